@@ -123,8 +123,15 @@ class LicenseScanner:
         self.auto.finish()
         self.vocabulary = frozenset(w for t in sequences for w in t)
         n = len(self.phrases)
-        #: per state: phrases that are the last words of its strings
-        self.phrase_at = [[k for k, i in ends if k < n and i == len(self.phrases[k][0]) - 1] for ends in self.auto.ends]
+        #: per state: phrases that its strings end with, given that they are long enough
+        self.phrase_at: list[list[int]] = [[] for _ in self.auto.step]
+        for k, (tokens, _) in enumerate(self.phrases):
+            at = 0
+            for token in tokens:
+                at = self.auto.step[at][token]
+            self.phrase_at[at].append(k)
+        for s in sorted(range(1, len(self.auto.step)), key=self.auto.length.__getitem__):
+            self.phrase_at[s] = self.phrase_at[s] + self.phrase_at[self.auto.link[s]]
         self.template_at = [sorted((k - n, i) for k, i in ends if k >= n) for ends in self.auto.ends]
 
     def scan(self, text: bytes) -> dict:
@@ -146,8 +153,7 @@ class LicenseScanner:
                 long.append(before)
             at = i
             if phrase_at[state]:
-                for k in self._phrases(state, size):
-                    places.append((i - len(self.phrases[k][0]) + 1, k))
+                places.extend((i - n + 1, k) for k in phrase_at[state] if (n := len(self.phrases[k][0])) <= size)
         if size >= self.min_match:
             long.append((at, size, state))
         spans = self._chain(long)
@@ -166,10 +172,6 @@ class LicenseScanner:
             "spans": [{"label": self.templates[t][1], "start": a, "end": b, "coverage": c} for t, c, a, b in spans],
         }
 
-    def _phrases(self, state: int, size: int) -> list[int]:
-        """Phrases that end here; those of the state that are longer than what matched are checked up the links."""
-        return [k for k in self.phrase_at[state] if len(self.phrases[k][0]) <= size]
-
     def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
         """Per template the chain that covers most: (template, share covered, first word, word after the last)."""
         per: dict[int, list] = {}
