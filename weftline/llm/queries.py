@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, license_scan
+from weftline.llm import chat_format, fingerprint, license_scan, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
