@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, fingerprint, license_scan, packing
+from weftline.llm import chat_format, fingerprint, license_scan, packing, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op6_warc": warc.op6_warc,
     "op7_license_scan": license_scan.op7_license_scan,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat_format": chat_format.op10_chat_format,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+}
