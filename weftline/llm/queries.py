@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, fingerprint, language_id, license_scan, media, packing, warc
+from weftline.llm import chat_format, fingerprint, language_id, license_scan, media, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_media": media.op2_media,
+    "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
     "op6_warc": warc.op6_warc,
     "op7_license_scan": license_scan.op7_license_scan,
