@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, fingerprint, language_id, license_scan, media, packing, quality, warc
+from weftline.llm import chat_format, fingerprint, language_id, license_scan, media, mixing, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_media": media.op2_media,
     "op3_quality": quality.op3_quality,
     "op4_language_id": language_id.op4_language_id,
+    "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
     "op7_license_scan": license_scan.op7_license_scan,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
 }
