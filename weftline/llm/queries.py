@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, fingerprint, language_id, license_scan, media, mixing, packing, quality, warc
+from weftline.llm import chat_format, fingerprint, jaccard_join, language_id, license_scan, media, mixing, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_warc": warc.op6_warc,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat_format": chat_format.op10_chat_format,
 }
