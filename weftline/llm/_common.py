@@ -54,6 +54,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str = "text", rows: int = 1000, mb: int = 8) -> DataFrame:
+    """Rows for whose ``column`` the decision holds; all columns stay as they are. ``make`` builds the decision once a task."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = make()
+        for batch in batches:
+            for part in slices(batch, rows, mb):
+                yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batch: pa.RecordBatch, rows: int, mb: int) -> Iterator[pa.RecordBatch]:
     each = max(1, batch.nbytes // max(1, batch.num_rows))
     step = max(1, min(rows, (mb << 20) // each))

@@ -373,6 +373,18 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     return narrow.join(named, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """One document of each class stays, that with the smallest id, as one row; rows with a null id stay."""
+    s = settings or Settings()
+    classes = materialize(near_duplicates(docs, s), "classes")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    few = gone.limit(s.few + 1).count() <= s.few
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicates of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

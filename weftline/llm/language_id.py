@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import slices, table
+from weftline.llm._common import filter_rows, slices, table
 
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
@@ -170,6 +170,17 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id") -> Dat
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, mixture map<string, double>")
 
 
+def keep_determined(docs: DataFrame, model: MixtureModel, least: float = 0.5) -> DataFrame:
+    """Documents in which one language holds a share of ``least`` or more; others, and undetermined ones, go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+        return lambda texts: [lang != UNDETERMINED and score >= least for lang, score, _ in map(m.predict, texts)]
+
+    return filter_rows(docs, make)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns outside fold 1 of 3, predicts every document; ``n_languages`` is the size of the chosen set."""
     docs = table(spark, sf_dir, "documents")

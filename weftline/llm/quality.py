@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import as_bytes, slices, table
+from weftline.llm._common import as_bytes, filter_rows, slices, table
 from weftline.llm._text import words
 from weftline.llm.language_id import fold
 
@@ -216,6 +216,16 @@ def score_documents(docs: DataFrame, field: LineField, id_col: str = "doc_id") -
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, score double, n_lines long")
 
 
+def keep_good(docs: DataFrame, field: LineField, least: float = 0.3) -> DataFrame:
+    """Documents whose quality is ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def make():
+        return lambda texts: (shared.value.score([(t or "").encode() for t in texts])[0] >= least).tolist()
+
+    return filter_rows(docs, make, mb=4)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns outside fold 0 of 5, scores every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
