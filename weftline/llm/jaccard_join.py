@@ -10,12 +10,15 @@ Jaccard similarity is at least 0.8. The join is exact and runs in these steps.
    many sets hold are marked in a bitmap of fixed size. Any bitmap keeps the join
    exact: it only orders tokens, frequent ones last.
 3. Token-group matrix. Prefixes in that order are dealt out by token again. The
-   sets that share a prefix token form a run; runs with the same sets are one.
+   sets that share a prefix token form a run; runs with the same sets are one. A
+   set's place in the order bounds the size of its partners: where the token is
+   the first that two sets share, both must still have enough tokens after it.
 4. Leaders. In each run and size class the smallest identity leads; each other
    set is compared with its leaders. Linked sets form groups of similar sets.
 5. Queries. Groups are cut into blocks of at most ``block`` sets, each with its
    union of tokens. A set queries the blocks of other groups that share a run
-   with it: only blocks whose union overlaps it in ceil(0.8 n) tokens at least
+   with it (one of the two must hold the token early, so that a run of sets that
+   hold it late makes no pairs): only blocks whose union overlaps it in ceil(0.8 n) tokens at least
    are opened, and their sets compared. Sets of one group are never paired.
 6. Components of all links, by large and small stars, give the classes.
 
@@ -36,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +66,7 @@ class Settings:
     block: int = 64
     salt: int = 2048
     per_bucket: int = 1 << 20
-    few: int = 2_000_000
+    few: int = 500_000
 
     def needed(self, n: np.ndarray) -> np.ndarray:
         """Overlap that a set of n tokens has with any set it links with."""
@@ -71,6 +75,10 @@ class Settings:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - self.needed(n) + 1
 
+    def most(self, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The greatest size of a partner whose first shared token is at this place (from 0)."""
+        return (n - place) * (self.numerator + self.denominator) // self.numerator - n
+
     def links(self, overlap: int, a: int, b: int) -> bool:
         return self.denominator * overlap >= self.numerator * (a + b - overlap)
 
@@ -111,7 +119,7 @@ def unpack_tokens(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-SETS = "doc_id long, sid long, n long, tokens binary"
+SETS = "doc_id long, sid long, n long, tokens binary, task int"
 
 
 def write_sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -119,8 +127,9 @@ def write_sets(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        task = TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, 1000, 4):
+            for part in slices(batch, 500, 1):
                 sids, sizes, tokens = [], [], []
                 for own in shingles(as_bytes(part.column(1)), s.words):
                     sizes.append(own.size)
@@ -128,10 +137,8 @@ def write_sets(docs: DataFrame, s: Settings) -> DataFrame:
                     sids.append(sid)
                     tokens.append(None if sid is None or sid in seen else pack_tokens(np.sort(own & _MASK)))
                     if sid is not None:
-                        if len(seen) > 1 << 20:
-                            seen.clear()  # a set may then be written again, which is allowed
                         seen.add(sid)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["doc_id", "sid", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array([task] * len(sids), pa.int32())], ["doc_id", "sid", "n", "tokens", "task"])
 
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SETS), "sets")
 
@@ -156,7 +163,7 @@ def _deal(sets: DataFrame, s: Settings, buckets: int, frequent: bytes | None, sc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).astype(bool) if shared is not None else None
         for batch in batches:
-            for part in slices(batch, 2000, 16):
+            for part in slices(batch, 2000, 4):
                 chosen, owners, sizes = [], [], []
                 for sid, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     t = unpack_tokens(data)
@@ -180,8 +187,11 @@ def _deal(sets: DataFrame, s: Settings, buckets: int, frequent: bytes | None, sc
                     held = [np.flatnonzero(c) for c in counts]
                     ids, ns = np.array(owners, dtype=np.int64), np.array(sizes, dtype=np.uint32)
                     cols += [[counts[k][x].astype(np.uint32).tobytes() for k, x in enumerate(held)], [ids[x].tobytes() for x in held], [ns[x].tobytes() for x in held]]
+                    # places in 256ths of the prefix, rounded down
+                    place = np.concatenate([np.arange(c.size) * 256 // c.size for c in chosen]).astype(np.uint8)[order]
+                    cols.append([place[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)])
                 kinds = [pa.int32(), *[pa.binary()] * (len(cols) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "tokens", "counts", "sids", "sizes"][: len(cols)]).filter(pa.array([bool(x) for x in cols[1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "tokens", "counts", "sids", "sizes", "places"][: len(cols)]).filter(pa.array([bool(x) for x in cols[1]]))
 
     rows = sets.where("tokens is not null").select("sid", "tokens").mapInArrow(run, schema)
     return rows.repartitionById(buckets, F.col("bucket"))
@@ -217,56 +227,73 @@ def frequent_tokens(sets: DataFrame, s: Settings, buckets: int) -> bytes:
     return bytes(out)
 
 
-RUNS = "run long, sid long, n long, leader long"
+RUNS = "run long, sid long, n long, most long, leader long, leader_n long, leader_most long"
 
 
 def shared_runs(sets: DataFrame, s: Settings, buckets: int, frequent: bytes) -> DataFrame:
-    """The token-group matrix's shared rows: sets that hold the same prefix token, equal rows once."""
+    """The token-group matrix's shared rows: sets that hold the same prefix token, with the greatest size of a partner;
+    equal rows once. ``leader`` is the smallest identity of the set's run and size class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, counts, sids, sizes in _by_bucket(batches, 5).values():
+        for tokens, counts, sids, sizes, places in _by_bucket(batches, 6).values():
             t = np.frombuffer(b"".join(tokens), dtype=np.uint32)
             c = np.frombuffer(b"".join(counts), dtype=np.uint32)
-            sid, n = (np.repeat(np.frombuffer(b"".join(x), dtype=k), c) for x, k in ((sids, np.int64), (sizes, np.uint32)))
             # a batch lists a bucket's tokens set by set, so the repeated owners line up with the tokens
-            order = np.lexsort((sid, t))
-            t, sid, n = t[order], sid[order], n[order].astype(np.int64)
-            new = np.concatenate([[True], (t[1:] != t[:-1]) | (sid[1:] != sid[:-1])])
-            t, sid, n = t[new], sid[new], n[new]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            length = np.diff(np.append(first, t.size))
-            keep = np.repeat(length > 1, length)
-            if not keep.any():
+            sid, n = (np.repeat(np.frombuffer(b"".join(x), dtype=k), c) for x, k in ((sids, np.int64), (sizes, np.uint32)))
+            place = np.frombuffer(b"".join(places), dtype=np.uint8)
+            order = np.lexsort((place, sid, t))
+            t, sid, n, place = t[order], sid[order], n[order].astype(np.int64), place[order].astype(np.int64)
+            new = _firsts(t, sid)
+            t, sid, n, place = t[new], sid[new], n[new], place[new]
+            most = s.most(n, place * s.prefix(n) >> 8)
+            start = np.flatnonzero(_firsts(t))
+            length = np.diff(np.append(start, t.size))
+            name = np.repeat(np.add.reduceat(mix(sid.view(np.uint64)), start), length)
+            # a set stays if some set of its run could be its partner by sizes
+            fits = (np.repeat(np.minimum.reduceat(n, start), length) <= most) & (np.repeat(np.maximum.reduceat(most, start), length) >= n)
+            two = np.flatnonzero(length == 2)
+            i = start[two]
+            fits[i] = fits[i + 1] = (n[i] <= most[i + 1]) & (n[i + 1] <= most[i])
+            keep = fits & np.repeat(length > 1, length)
+            sid, n, most, name = sid[keep], n[keep], most[keep], name[keep]
+            if not sid.size:
                 continue
-            sid, n = sid[keep], n[keep]
-            length = length[length > 1]
-            first = np.cumsum(length) - length
-            name = np.add.reduceat(mix(sid.view(np.uint64)), first)
-            name, at = np.unique(name, return_index=True)
-            length, first = length[at], first[at]
-            rows = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            sid, n, run_ = sid[rows], n[rows], np.repeat(name, length)
+            order = np.lexsort((-most, sid, name))
+            sid, n, most, name = sid[order], n[order], most[order], name[order]
+            new = _firsts(name, sid)
+            sid, n, most, name = sid[new], n[new], most[new], name[new]
             size_class = np.floor(np.log(n) / np.log(s.denominator / s.numerator) + 1e-9).astype(np.int64)
-            key = mix(run_ + size_class.astype(np.uint64))
-            _, place = np.unique(key, return_inverse=True)
-            leader = np.full(place.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(leader, place, sid)
+            order = np.lexsort((sid, size_class, name))
+            sid, n, most, name, size_class = sid[order], n[order], most[order], name[order], size_class[order]
+            first = np.flatnonzero(_firsts(name, size_class))
+            lead = np.repeat(first, np.diff(np.append(first, sid.size)))
             for a in range(0, sid.size, 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in (run_.view(np.int64), sid, n, leader[place])], ["run", "sid", "n", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in (name.view(np.int64), sid, n, most, sid[lead], n[lead], most[lead])], [f.split()[0] for f in RUNS.split(", ")])
 
-    dealt = _deal(sets, s, buckets, frequent, "bucket int, tokens binary, counts binary, sids binary, sizes binary")
-    return materialize(dealt.mapInArrow(run, RUNS).distinct(), "runs")
+    dealt = _deal(sets, s, buckets, frequent, "bucket int, tokens binary, counts binary, sids binary, sizes binary, places binary")
+    found = dealt.mapInArrow(run, RUNS).groupBy("run", "sid", "n", "leader", "leader_n").agg(F.max("most").alias("most"), F.max("leader_most").alias("leader_most"))
+    return materialize(found, "runs")
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where a sorted row differs from the one before."""
+    out = np.zeros(keys[0].size, dtype=bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
 
 
 # ---------------------------------------------------------------- opening groups
 
 
-def _tokens_of(sets: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
-    """sid and tokens of the wanted sets, one row each."""
-    rows = sets.where("tokens is not null").select("sid", "tokens")
-    wanted = wanted.select("sid").distinct()
-    few = wanted.limit(s.few + 1).count() <= s.few
-    return rows.join(F.broadcast(wanted) if few else wanted, "sid", "left_semi").dropDuplicates(["sid"])
+def _with_tokens(rows: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Rows with a ``sid``, and its tokens. Each set's tokens are taken from one of the tasks that wrote them."""
+    stored = sets.where("tokens is not null").select("sid", "task", "tokens")
+    one = sets.where("tokens is not null").groupBy("sid").agg(F.min("task").alias("task"))
+    rows = materialize(rows.join(one, "sid"), "asked")
+    few = rows.count() <= s.few
+    return stored.join(F.broadcast(rows) if few else rows, ["sid", "task"]).drop("task")
 
 
 LINKS = "u long, v long"
@@ -282,7 +309,7 @@ def open_groups(groups: DataFrame, queries: DataFrame, sets: DataFrame, s: Setti
     asked = queries.join(salts, "gid").select("gid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "sid")
     held = groups.join(salts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "sid")
     rows = held.unionByName(asked)
-    full = rows.join(_tokens_of(sets, rows, s), "sid").select("gid", "salt", "kind", "sid", "tokens")
+    full = _with_tokens(rows, sets, s).select("gid", "salt", "kind", "sid", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members, union = None, [], None
@@ -332,7 +359,7 @@ def set_links(sets: DataFrame, s: Settings) -> DataFrame:
     runs = shared_runs(sets, s, buckets, frequent_tokens(sets, s, buckets))
 
     # leaders: a group of one set each, queried by the sets of their runs
-    near = runs.where("sid <> leader").select(F.col("leader").alias("gid"), "sid").distinct()
+    near = runs.where("sid <> leader and leader_n <= most and n <= leader_most").select(F.col("leader").alias("gid"), "sid").distinct()
     leaders = near.select("gid").distinct().select("gid", F.col("gid").alias("sid"))
     first = materialize(open_groups(leaders, near, sets, s), "links")
     grouped = connected_components(first).withColumnRenamed("node", "sid").withColumnRenamed("root", "team")
@@ -347,13 +374,14 @@ def set_links(sets: DataFrame, s: Settings) -> DataFrame:
     # runs whose sets are of several groups
     open_runs = placed.groupBy("run").agg(F.min("team").alias("a"), F.max("team").alias("b")).where("a <> b").select("run")
     placed = materialize(placed.join(open_runs, "run", "left_semi"), "placed")
-    # per run and block the sizes met; single sets also tell their leader
-    target = placed.groupBy("run", "team", "gid", F.expr("case when k = 1 then sid end").alias("alone"), F.expr("case when k = 1 then leader end").alias("alone_leader")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # per run and block the sizes met of sets that hold the token early; single sets also tell their leader
+    early = placed.where("most >= n")
+    target = early.groupBy("run", "team", "gid", F.expr("case when k = 1 then sid end").alias("alone"), F.expr("case when k = 1 then leader end").alias("alone_leader")).agg(F.min("n").alias("low"), F.max("most").alias("most"))
     q, g = placed.alias("q"), target.alias("g")
-    num, den = F.lit(s.numerator), F.lit(s.denominator)
-    fits = (den * F.col("q.n") >= num * F.col("g.low")) & (den * F.col("g.high") >= num * F.col("q.n"))
+    fits = (F.col("q.n") <= F.col("g.most")) & (F.col("g.low") <= F.col("q.most"))
+    once = (F.col("q.most") < F.col("q.n")) | (F.col("q.team") < F.col("g.team"))
     compared = F.coalesce((F.col("q.leader") == F.col("g.alone")) | (F.col("g.alone_leader") == F.col("q.sid")), F.lit(False))
-    asked = q.join(g, (F.col("q.run") == F.col("g.run")) & (F.col("q.team") < F.col("g.team")) & fits & ~compared).select(F.col("g.gid").alias("gid"), F.col("q.sid").alias("sid")).distinct()
+    asked = q.join(g, (F.col("q.run") == F.col("g.run")) & (F.col("q.team") != F.col("g.team")) & once & fits & ~compared).select(F.col("g.gid").alias("gid"), F.col("q.sid").alias("sid")).distinct()
     asked = materialize(asked, "queries")
     wanted = blocked.join(asked.select("gid").distinct(), "gid", "left_semi").select("gid", "sid")
     second = open_groups(wanted, asked, sets, s)

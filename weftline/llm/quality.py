@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, **options) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 500, 4):
+            for part in slices(batch, 500, 1):
                 texts = as_bytes(part.column(1))
                 x, _, doc = line_features(texts)
                 cut = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, field: LineField, id_col: str = "doc_id") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1000, 4):
+            for part in slices(batch, 500, 1):
                 score, lines = shared.value.score(as_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array(lines)], [id_col, "score", "n_lines"])
 
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, field: LineField, least: float = 0.3) -> DataFram
     def make():
         return lambda texts: (shared.value.score([(t or "").encode() for t in texts])[0] >= least).tolist()
 
-    return filter_rows(docs, make, mb=4)
+    return filter_rows(docs, make, rows=500, mb=1)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
