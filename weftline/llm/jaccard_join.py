@@ -13,17 +13,21 @@ Jaccard similarity is at least 0.8. The join is exact and runs in these steps.
    sets that share a prefix token form a run; runs with the same sets are one. A
    set's place in the order bounds the size of its partners: where the token is
    the first that two sets share, both must still have enough tokens after it.
-4. Leaders. In each run and size class the smallest identity leads; each other
-   set is compared with its leaders. Linked sets form groups of similar sets.
-5. Queries. Groups are cut into blocks of at most ``block`` sets, each with its
-   union of tokens. A set queries the blocks of other groups that share a run
-   with it (one of the two must hold the token early, so that a run of sets that
-   hold it late makes no pairs): only blocks whose union overlaps it in ceil(0.8 n) tokens at least
-   are opened, and their sets compared. Sets of one group are never paired.
-6. Components of all links, by large and small stars, give the classes.
-
-Token lists move as binary columns; a leader's or block's queries are salted
-beyond ``salt`` rows. Blocks are the only rows held together.
+4. Groups. In each run the sets of one size class and the class below belong to
+   the group of the smallest identity among them, its leader. So two sets that
+   may link share a group. Large groups are salted; the leader is in each part.
+5. Opening. A part is cut into blocks of at most ``block`` sets of similar size,
+   each with its union of tokens. A set queries the blocks before it: parity
+   sketches bound the differences of set pairs from below, the union bounds the
+   overlap from above, and only blocks that pass both are opened. Sets already
+   known to be of one class are not compared again.
+6. Parts of a salted group: sets of different classes that share a run query
+   each other's blocks in the same way.
+7. Components of all links, by large and small stars, give the classes.
+
+Token lists move as binary columns. A part holds at most ``part_sets`` sets and
+about ``part_tokens`` tokens; nothing larger is held together. The identity of a
+set has 64 bits: a false copy is expected from some billions of sets on.
 
 Defined cases: null, empty and blank texts have an empty set, link with nothing
 and are their own component; texts under five words have one shingle, the whole
@@ -55,8 +59,8 @@ _FACTORS = np.random.RandomState(11).randint(1, 1 << 62, size=64, dtype=np.int64
 @dataclass(frozen=True)
 class Settings:
     """``numerator`` / ``denominator``: the similarity; ``frequent``: sets that share a token of ordinary frequency at
-    most; ``slots``: size of the bitmap of frequent tokens; ``block``, ``salt``: see the module; ``per_bucket``: tokens
-    that a bucket holds; ``few``: rows of 8 bytes that may be broadcast."""
+    most; ``slots``: size of the bitmap of frequent tokens; ``block``, ``part_sets``, ``part_tokens``: see the module;
+    ``per_bucket``: tokens that a bucket holds; ``few``: narrow rows that may be broadcast; ``cells``: bits of a sketch."""
 
     words: int = 5
     numerator: int = 80
@@ -64,9 +68,11 @@ class Settings:
     frequent: int = 8
     slots: int = 1 << 22
     block: int = 64
-    salt: int = 2048
+    part_sets: int = 4096
+    part_tokens: int = 2_000_000
+    cells: int = 1024
     per_bucket: int = 1 << 20
-    few: int = 500_000
+    few: int = 1_000_000
 
     def needed(self, n: np.ndarray) -> np.ndarray:
         """Overlap that a set of n tokens has with any set it links with."""
@@ -79,6 +85,10 @@ class Settings:
         """The greatest size of a partner whose first shared token is at this place (from 0)."""
         return (n - place) * (self.numerator + self.denominator) // self.numerator - n
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens at most that are in one of two linked sets only."""
+        return a + b - 2 * -(-self.numerator * (a + b) // (self.numerator + self.denominator))
+
     def links(self, overlap: int, a: int, b: int) -> bool:
         return self.denominator * overlap >= self.numerator * (a + b - overlap)
 
@@ -227,12 +237,12 @@ def frequent_tokens(sets: DataFrame, s: Settings, buckets: int) -> bytes:
     return bytes(out)
 
 
-RUNS = "run long, sid long, n long, most long, leader long, leader_n long, leader_most long"
+RUNS = "run long, sid long, n long, most long, leader long"
 
 
 def shared_runs(sets: DataFrame, s: Settings, buckets: int, frequent: bytes) -> DataFrame:
-    """The token-group matrix's shared rows: sets that hold the same prefix token, with the greatest size of a partner;
-    equal rows once. ``leader`` is the smallest identity of the set's run and size class."""
+    """The token-group matrix's shared rows: the sets of one run, of a size class and the class below, with the greatest
+    size of a partner and the smallest identity among them. Equal rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, counts, sids, sizes, places in _by_bucket(batches, 6).values():
@@ -258,20 +268,27 @@ def shared_runs(sets: DataFrame, s: Settings, buckets: int, frequent: bytes) ->
             sid, n, most, name = sid[keep], n[keep], most[keep], name[keep]
             if not sid.size:
                 continue
+            # equal runs once; then each size class with the class below, where the class itself has sets
             order = np.lexsort((-most, sid, name))
             sid, n, most, name = sid[order], n[order], most[order], name[order]
             new = _firsts(name, sid)
             sid, n, most, name = sid[new], n[new], most[new], name[new]
             size_class = np.floor(np.log(n) / np.log(s.denominator / s.numerator) + 1e-9).astype(np.int64)
-            order = np.lexsort((sid, size_class, name))
-            sid, n, most, name, size_class = sid[order], n[order], most[order], name[order], size_class[order]
-            first = np.flatnonzero(_firsts(name, size_class))
-            lead = np.repeat(first, np.diff(np.append(first, sid.size)))
-            for a in range(0, sid.size, 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in (name.view(np.int64), sid, n, most, sid[lead], n[lead], most[lead])], [f.split()[0] for f in RUNS.split(", ")])
+            own, above = (mix(name + (size_class + k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (0, 1))
+            extra = np.isin(above, own)
+            sid, n, most = (np.concatenate([x, x[extra]]) for x in (sid, n, most))
+            name = np.concatenate([own, above[extra]])
+            order = np.lexsort((sid, name))
+            sid, n, most, name = sid[order], n[order], most[order], name[order]
+            first = np.flatnonzero(_firsts(name))
+            length = np.diff(np.append(first, name.size))
+            leader, keep = np.repeat(sid[first], length), np.repeat(length > 1, length)
+            columns = [x[keep] for x in (name.view(np.int64), sid, n, most, leader)]
+            for a in range(0, columns[0].size, 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 18)]) for x in columns], [f.split()[0] for f in RUNS.split(", ")])
 
     dealt = _deal(sets, s, buckets, frequent, "bucket int, tokens binary, counts binary, sids binary, sizes binary, places binary")
-    found = dealt.mapInArrow(run, RUNS).groupBy("run", "sid", "n", "leader", "leader_n").agg(F.max("most").alias("most"), F.max("leader_most").alias("leader_most"))
+    found = dealt.mapInArrow(run, RUNS).groupBy("run", "sid", "n", "leader").agg(F.max("most").alias("most"))
     return materialize(found, "runs")
 
 
@@ -299,48 +316,84 @@ def _with_tokens(rows: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 LINKS = "u long, v long"
 
 
-def open_groups(groups: DataFrame, queries: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links between ``queries`` (gid, sid) and the sets of ``groups`` (gid, sid; at most ``block`` sets in each).
+def sketches(tokens: list[np.ndarray], cells: int) -> np.ndarray:
+    """Parities of the tokens in each cell: two sketches differ in no more bits than their sets in tokens."""
+    owner = np.repeat(np.arange(len(tokens)), [t.size for t in tokens])
+    cell = (np.concatenate(tokens) % np.uint64(cells)).astype(np.int64)
+    odd = np.bincount(owner * cells + cell, minlength=len(tokens) * cells).reshape(len(tokens), cells) & 1
+    return np.packbits(odd.astype(bool), axis=1).view(np.uint64)
 
-    A group's sets and their union are held while its queries stream by; a query opens the group only if the union
-    holds enough of its tokens, and stops at its first link.
-    """
-    salts = queries.groupBy("gid").agg(F.ceil(F.count("*") / s.salt).cast("int").alias("salts"))
-    asked = queries.join(salts, "gid").select("gid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "sid")
-    held = groups.join(salts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "sid")
-    rows = held.unionByName(asked)
-    full = _with_tokens(rows, sets, s).select("gid", "salt", "kind", "sid", "tokens")
+
+def resolve(sids: list[int], tokens: list[np.ndarray], s: Settings, asks: list[bool] | None = None, team: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect all linked sets of a part. With ``asks`` and ``team``, sets that ask query those that don't,
+    and sets of one team count as connected."""
+    order = sorted(range(len(sids)), key=lambda i: (tokens[i].size, sids[i]))
+    n = np.array([tokens[i].size for i in order])
+    sketch = sketches([tokens[i] for i in order], s.cells)
+    root = np.arange(len(order)) if team is None else np.unique([team[i] for i in order], return_inverse=True)[1]
+    role = None if asks is None else np.array([asks[i] for i in order])
+    unions: dict[int, np.ndarray] = {}
+    out = []
+    for i in range(1 if role is None else 0, len(order)):
+        if role is not None and not role[i]:
+            continue
+        low = int(np.searchsorted(n, -(-s.numerator * n[i] // s.denominator)))
+        high = i if role is None else int(np.searchsorted(n, n[i] * s.denominator // s.numerator, side="right"))
+        if low >= high:
+            continue
+        bits = np.bitwise_count(sketch[low:high] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        may = (bits <= s.apart(n[low:high], n[i])) & (root[low:high] != root[i])
+        if role is not None:
+            may &= ~role[low:high]
+        found = low + np.flatnonzero(may)
+        if not found.size:
+            continue
+        own = tokens[order[i]]
+        found = found[np.argsort(bits[found - low], kind="stable")]  # the likest first
+        closed: dict[int, np.ndarray | None] = {}
+        for j in found.tolist():
+            if root[j] == root[i]:
+                continue
+            k = j // s.block
+            if k not in closed:
+                if k not in unions:
+                    unions[k] = np.unique(np.concatenate([tokens[x] for x in order[k * s.block : (k + 1) * s.block]]))
+                inside = own[_within(own, unions[k])]
+                closed[k] = inside if inside.size >= s.needed(n[i]) else None
+            inside = closed[k]
+            if inside is None:
+                continue
+            other = tokens[order[j]]
+            if s.links(int(np.count_nonzero(_within(inside, other))), own.size, other.size):
+                out.append((sids[order[i]], sids[order[j]]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def open_groups(rows: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links among the sets of each part. ``rows``: gid, salt, sid, and asks and team (null within a group's own part)."""
+    full = _with_tokens(rows, sets, s).select("gid", "salt", "sid", "tokens", "asks", "team")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, union = None, [], None
+        key, held = None, ([], [], [], [])
+
+        def links() -> pa.RecordBatch | None:
+            sids, tokens, asks, team = held
+            found = resolve(sids, tokens, s) if asks[0] is None else resolve(sids, tokens, s, asks, team)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"]) if found else None
+
         for batch in batches:
-            u, v = [], []
-            for gid, salt, kind, sid, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for gid, salt, sid, data, asks, team in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (gid, salt) != key:
-                    key, members, union = (gid, salt), [], None
-                own = unpack_tokens(data)
-                if kind == 0:
-                    members.append((sid, own))
-                    continue
-                if union is None:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members])) if members else own[:0]
-                n = own.size
-                inside = own[_within(own, union)]
-                if inside.size < s.needed(np.int64(n)):
-                    continue
-                for other, tokens in members:
-                    a, b = min(n, tokens.size), max(n, tokens.size)
-                    if s.denominator * a < s.numerator * b or other == sid:
-                        continue
-                    overlap = inside.size if len(members) == 1 else int(np.count_nonzero(_within(inside, tokens)))
-                    if s.links(overlap, n, tokens.size):
-                        u.append(sid)
-                        v.append(other)
-                        break
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    if held[0] and (out := links()) is not None:
+                        yield out
+                    key, held = (gid, salt), ([], [], [], [])
+                for column, value in zip(held, (sid, unpack_tokens(data), asks, team), strict=True):
+                    column.append(value)
+        if held[0] and (out := links()) is not None:
+            yield out
 
-    return full.repartition("gid", "salt").sortWithinPartitions("gid", "salt", "kind", "sid").mapInArrow(run, LINKS)
+    return full.repartition("gid", "salt").sortWithinPartitions("gid", "salt", "sid").mapInArrow(run, LINKS)
 
 
 def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -358,34 +411,43 @@ def set_links(sets: DataFrame, s: Settings) -> DataFrame:
     buckets = min(1 << 16, 1 << (least - 1).bit_length())
     runs = shared_runs(sets, s, buckets, frequent_tokens(sets, s, buckets))
 
-    # leaders: a group of one set each, queried by the sets of their runs
-    near = runs.where("sid <> leader and leader_n <= most and n <= leader_most").select(F.col("leader").alias("gid"), "sid").distinct()
-    leaders = near.select("gid").distinct().select("gid", F.col("gid").alias("sid"))
-    first = materialize(open_groups(leaders, near, sets, s), "links")
-    grouped = connected_components(first).withColumnRenamed("node", "sid").withColumnRenamed("root", "team")
-
-    # sets of different groups that share a run and that no leader has compared
-    members = runs.join(grouped, "sid", "left").withColumn("team", F.coalesce("team", "sid"))
-    sizes = members.select("sid", "team").distinct().groupBy("team").agg(F.count("*").alias("k"))
-    blocked = members.select("sid", "team").distinct().join(sizes, "team")
-    blocked = blocked.select("sid", "team", "k", F.when(F.col("k") == 1, F.col("sid")).otherwise(F.xxhash64("team", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / s.block)))).alias("gid"))
-    blocked = materialize(blocked, "blocks")
-    placed = runs.join(blocked, "sid")
-    # runs whose sets are of several groups
-    open_runs = placed.groupBy("run").agg(F.min("team").alias("a"), F.max("team").alias("b")).where("a <> b").select("run")
-    placed = materialize(placed.join(open_runs, "run", "left_semi"), "placed")
-    # per run and block the sizes met of sets that hold the token early; single sets also tell their leader
-    early = placed.where("most >= n")
-    target = early.groupBy("run", "team", "gid", F.expr("case when k = 1 then sid end").alias("alone"), F.expr("case when k = 1 then leader end").alias("alone_leader")).agg(F.min("n").alias("low"), F.max("most").alias("most"))
-    q, g = placed.alias("q"), target.alias("g")
+    # groups: the leader and the sets of its runs, in parts of bounded size
+    member = runs.where("sid <> leader").groupBy(F.col("leader").alias("gid"), "sid").agg(F.max("n").alias("n"))
+    parts = F.ceil(F.greatest(F.count("*") / s.part_sets, F.sum("n") / s.part_tokens)).cast("int")
+    salts = member.groupBy("gid").agg(parts.alias("salts"))
+    placed = member.join(salts, "gid").select("gid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), "sid", "salts")
+    leaders = salts.select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("gid").alias("sid"), "salts")
+    placed = materialize(placed.unionByName(leaders), "parts")
+    none = [F.lit(None).cast("boolean").alias("asks"), F.lit(None).cast("long").alias("team")]
+    links = materialize(open_groups(placed.select("gid", "salt", "sid", *none), sets, s), "links")
+    large = placed.where("salts > 1").select(F.col("gid").alias("leader"), "salt", "sid")
+    if large.isEmpty():
+        return connected_components(links)
+    return connected_components(links.unionByName(_across_parts(runs, large, links, sets, s)))
+
+
+def _across_parts(runs: DataFrame, large: DataFrame, links: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links between sets in different parts of a group: sets of different classes that share a run, one of which holds
+    the run's token early, query each other's blocks."""
+    teams = connected_components(links).withColumnsRenamed({"node": "sid", "root": "team"})
+    rows = runs.where("sid <> leader").join(large, ["leader", "sid"]).join(teams, "sid", "left").withColumn("team", F.coalesce("team", "sid"))
+    # blocks of one part and class
+    size = rows.select("leader", "salt", "team", "sid").distinct().groupBy("leader", "salt", "team").agg(F.count("*").alias("k"))
+    block = F.xxhash64("leader", "salt", "team", F.pmod(F.xxhash64("sid", F.lit("block")), F.ceil(F.col("k") / s.block)))
+    rows = materialize(rows.join(size, ["leader", "salt", "team"]).withColumn("block", block), "placed")
+    mixed = rows.groupBy("leader", "run").agg(F.min("team").alias("a"), F.max("team").alias("b")).where("a <> b").select("leader", "run")
+    rows = rows.join(mixed, ["leader", "run"], "left_semi")
+    target = rows.where("most >= n").groupBy("leader", "run", "salt", "team", "block").agg(F.min("n").alias("low"), F.max("most").alias("most"))
+    q, g = rows.alias("q"), target.alias("g")
     fits = (F.col("q.n") <= F.col("g.most")) & (F.col("g.low") <= F.col("q.most"))
     once = (F.col("q.most") < F.col("q.n")) | (F.col("q.team") < F.col("g.team"))
-    compared = F.coalesce((F.col("q.leader") == F.col("g.alone")) | (F.col("g.alone_leader") == F.col("q.sid")), F.lit(False))
-    asked = q.join(g, (F.col("q.run") == F.col("g.run")) & (F.col("q.team") != F.col("g.team")) & once & fits & ~compared).select(F.col("g.gid").alias("gid"), F.col("q.sid").alias("sid")).distinct()
-    asked = materialize(asked, "queries")
-    wanted = blocked.join(asked.select("gid").distinct(), "gid", "left_semi").select("gid", "sid")
-    second = open_groups(wanted, asked, sets, s)
-    return connected_components(first.unionByName(second))
+    on = (F.col("q.leader") == F.col("g.leader")) & (F.col("q.run") == F.col("g.run")) & (F.col("q.salt") != F.col("g.salt")) & (F.col("q.team") != F.col("g.team")) & once & fits
+    asked = materialize(q.join(g, on).select(F.col("g.block").alias("gid"), F.col("q.sid").alias("sid"), F.col("q.team").alias("team")).distinct(), "queries")
+    salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / s.part_sets).cast("int").alias("salts"))
+    held = rows.select(F.col("block").alias("gid"), "sid", "team").distinct().join(salts, "gid")
+    held = held.select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sid", F.lit(False).alias("asks"), "team")
+    asking = asked.join(salts, "gid").select("gid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), "sid", F.lit(True).alias("asks"), "team")
+    return open_groups(held.unionByName(asking), sets, s)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
