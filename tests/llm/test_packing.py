@@ -34,6 +34,21 @@ def test_rest_is_split_into_powers_of_two_where_that_is_cheaper():
     assert packing.split_rest(0, 2048, 8) == []
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 8), min_size=1, max_size=9), st.booleans())
+def test_open_end_is_least_cost(steps, final):
+    at = np.cumsum(steps).tolist()
+    penalty = [1.0] * len(at)
+    rest = (lambda n: packing.rest_cost(n, 8, 2.0)) if final else (lambda n: 0.0)
+    found = packing.plan_cuts(at, penalty, 8, rest)
+
+    def total(cuts):
+        left = at[-1] - (cuts[-1] if cuts else 0)
+        return cost(at, penalty, cuts, 8) + rest(left) if left <= 8 else float("inf")
+
+    assert total(found) == min(total(list(c)) for k in range(len(at) + 1) for c in combinations(at, k))
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return packing.Encoder()

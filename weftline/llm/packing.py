@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,11 @@ class Encoder:
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-def plan_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
-    """Positions of the least-cost cuts of a stream whose candidates ``at`` ascend by at most ``size`` and end at its end."""
+def plan_cuts(at: list[int], penalty: list[float], size: int, rest: Callable[[int], float] | None = None) -> list[int]:
+    """Positions of the least-cost cuts of a stream whose candidates ``at`` ascend by at most ``size`` and end at its end.
+
+    The last cut is that end. With ``rest``, what follows the last cut stays open, at most ``size`` tokens, at that cost.
+    """
     pos = [0, *at]
     cost = [0.0] * len(pos)
     came = [0] * len(pos)
@@ -102,8 +106,11 @@ def plan_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
         if head > 4096:
             del queue[:head], keys[:head]
             head = 0
-    cuts = []
     j = len(pos) - 1
+    if rest is not None:
+        first = bisect_left(pos, pos[-1] - size)
+        j = min(range(len(pos) - 1, first - 1, -1), key=lambda k: cost[k] + rest(pos[-1] - pos[k]))
+    cuts = []
     while j:
         cuts.append(pos[j])
         j = came[j]
@@ -111,13 +118,18 @@ def plan_cuts(at: list[int], penalty: list[float], size: int) -> list[int]:
 
 
 def split_rest(length: int, size: int, penalty: float) -> list[int]:
-    """Lengths for the last sequence of a stream: as it is, padded, or cut into powers of two."""
+    """Lengths for the rest of a stream: one padded sequence, or powers of two where their cuts cost less."""
     if length == 0:
         return []
     parts = [1 << k for k in range(length.bit_length() - 1, -1, -1) if length >> k & 1]
     return parts if len(parts) == 1 or penalty * (len(parts) - 1) < size - length else [length]
 
 
+def rest_cost(length: int, size: int, penalty: float) -> float:
+    """What ``split_rest`` costs: the lesser of the cuts and the padding."""
+    return min(penalty * max(0, length.bit_count() - 1), float(size - length)) if length else 0.0
+
+
 class Packer:
     """Packs a stream of (id, tokens). ``sentence_penalty`` and ``hard_penalty`` are in tokens of padding; ``grid``:
     distance of cuts offered where a sentence is longer; ``block``: tokens planned at once."""
@@ -153,12 +165,13 @@ class Packer:
         """Pieces of all planned sequences: (id, start, tokens, document's tokens, number of sequence here, offset, length of sequence)."""
         ids = np.concatenate([p[3] for p in self.parts])
         bounds = np.cumsum([len(p[3]) for p in self.parts])
-        cuts = plan_cuts(*self._candidates(ids, bounds), self.size)
-        before = cuts[-2] if len(cuts) > 1 else 0
+        plan = self._candidates(ids, bounds)
         if last:
-            cuts = cuts[:-1] + (before + np.cumsum(split_rest(int(cuts[-1]) - before, self.size, self.hard))).tolist()
+            cuts = plan_cuts(*plan, self.size, lambda n: rest_cost(n, self.size, self.hard))
+            before = cuts[-1] if cuts else 0
+            cuts += (before + np.cumsum(split_rest(int(bounds[-1]) - before, self.size, self.hard))).astype(int).tolist()
         else:
-            cuts = cuts[:-1]  # the last one may grow yet
+            cuts = plan_cuts(*plan, self.size, lambda n: 0.0)  # the next block goes on with the rest
         end = cuts[-1] if cuts else 0
         edges = np.union1d(np.concatenate([[0], bounds[bounds < end]]), cuts).astype(np.int64)
         a, b = edges[:-1], edges[1:]
