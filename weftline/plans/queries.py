@@ -52,6 +52,25 @@ def _(v: Views) -> DataFrame:
     return tables.json_lines(v.table("region").select("r_regionkey", "r_name")).select("sha256")
 
 
+@query("s7_s8_csv_round_trip", "SELECT volume, t, z, y, x, score FROM det")
+def _(v: Views) -> DataFrame:
+    from weftline.plans.storage import shared_dir
+    from weftline.schema import DETECTIONS
+
+    path = shared_dir(v.spark, "csv")
+    tables.write_csv(v.det.select(*DETECTIONS.fieldNames()), path)
+    return tables.read_csv(v.spark, path, DETECTIONS)
+
+
+@query("s9_shards_round_trip", "SELECT volume, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS total FROM det GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    from weftline.plans.storage import shared_dir
+
+    path = shared_dir(v.spark, "shards")
+    tables.write_shards(v.det, path)
+    return v.spark.read.parquet(path).groupBy("volume").agg(F.count("*").alias("n"), F.sum("node_id").alias("total"))
+
+
 @query("p1_physical", "SELECT node_id, round(z * 1.625, 6) AS zu, round(y * 0.40625, 6) AS yu, round(x * 0.40625, 6) AS xu FROM det")
 def _(v: Views) -> DataFrame:
     return r6(geometry.physical(v.det).select("node_id", "zu", "yu", "xu"), "zu", "yu", "xu")
@@ -237,11 +256,13 @@ def _(v: Views) -> DataFrame:
     return detection.negative_patches(candidates, v.det, 5, 32).select("volume", "t", "candidate_id")
 
 
-@query("v23_paint_labels", """WITH n AS (SELECT volume, t, node_id AS label, CAST(z AS BIGINT) AS z, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM det)
-SELECT volume, t, greatest(z - 2, 0) + i AS z, greatest(y - 4, 0) + j AS y, greatest(x - 4, 0) + k AS x, max(label) AS label FROM n, range(0, 5) a(i), range(0, 9) b(j), range(0, 9) c(k)
-WHERE greatest(z - 2, 0) + i <= z + 2 AND greatest(y - 4, 0) + j <= y + 4 AND greatest(x - 4, 0) + k <= x + 4 GROUP BY ALL""")
+@query("v23_paint_labels", """WITH n AS (SELECT volume, t, node_id AS label, CAST(z AS BIGINT) AS z, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM det),
+p AS (SELECT volume, t, greatest(z - 2, 0) + i AS z, greatest(y - 4, 0) + j AS y, greatest(x - 4, 0) + k AS x, max(label) AS label FROM n, range(0, 5) a(i), range(0, 9) b(j), range(0, 9) c(k)
+WHERE greatest(z - 2, 0) + i <= z + 2 AND greatest(y - 4, 0) + j <= y + 4 AND greatest(x - 4, 0) + k <= x + 4 GROUP BY ALL)
+SELECT volume, t, label, count(*) AS n, CAST(sum(z) AS BIGINT) AS z, CAST(sum(y) AS BIGINT) AS y, CAST(sum(x) AS BIGINT) AS x FROM p GROUP BY ALL""")
 def _(v: Views) -> DataFrame:
-    return detection.paint_labels(v.det.withColumns({"label": F.col("node_id"), "ord": F.col("node_id")}))
+    painted = detection.paint_labels(v.det.withColumns({"label": F.col("node_id"), "ord": F.col("node_id")}))
+    return painted.groupBy("volume", "t", "label").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in "zyx"])
 
 
 # ---------------------------------------------------------------- joins
@@ -390,9 +411,16 @@ def _(v: Views) -> DataFrame:
     return tracking.track_previous_present(v.det.select("volume", "t", "z", "y", "x", "score", "node_id"), 8.0, 2)
 
 
-@query("t6_tracklets")
+@query("t6_tracklets", """WITH RECURSIVE ge AS (SELECT DISTINCT * FROM gt_edges), ch AS (SELECT volume, source_id AS node_id, count(*) AS c FROM ge GROUP BY ALL), pn AS (SELECT volume, target_id AS node_id, count(*) AS p FROM ge GROUP BY ALL),
+kn AS (SELECT n.volume, n.node_id, n.t, coalesce(ch.c, 0) AS c, coalesce(pn.p, 0) AS p FROM gt_nodes n LEFT JOIN ch ON ch.volume = n.volume AND ch.node_id = n.node_id LEFT JOIN pn ON pn.volume = n.volume AND pn.node_id = n.node_id),
+je AS (SELECT ge.*, a.c, b.p FROM ge JOIN kn a ON a.volume = ge.volume AND a.node_id = ge.source_id JOIN kn b ON b.volume = ge.volume AND b.node_id = ge.target_id),
+dv AS (SELECT volume, target_id AS node_id, min(source_id) AS parent_node FROM je WHERE c >= 2 GROUP BY ALL),
+st AS (SELECT kn.volume, kn.node_id, dv.parent_node, row_number() OVER (PARTITION BY kn.volume ORDER BY kn.t, kn.node_id) AS label FROM kn LEFT JOIN dv ON dv.volume = kn.volume AND dv.node_id = kn.node_id WHERE kn.p = 0 OR dv.parent_node IS NOT NULL),
+wk(volume, label, node_id) AS (SELECT volume, label, node_id FROM st UNION ALL SELECT wk.volume, wk.label, je.target_id FROM wk JOIN je ON je.volume = wk.volume AND je.source_id = wk.node_id AND je.c = 1 AND je.p = 1)
+SELECT s.volume, s.label, min(n.t) AS begin, max(n.t) AS "end", coalesce(max(pl.label), 0) AS parent FROM st s JOIN wk ON wk.volume = s.volume AND wk.label = s.label JOIN gt_nodes n ON n.volume = wk.volume AND n.node_id = wk.node_id
+  LEFT JOIN wk pl ON pl.volume = s.volume AND pl.node_id = s.parent_node GROUP BY s.volume, s.label""")
 def _(v: Views) -> DataFrame:
-    return tracking.tracklets(v.gt_nodes, v.gt_edges)[0]
+    return tracking.tracklets(v.gt_nodes, v.gt_edges.distinct())[0]
 
 
 @query("t7_track_statistics", """SELECT volume, count(*) AS n_tracks, CAST(sum(n) AS BIGINT) AS n_points, quantile_cont(n, 0.5) AS median_length, round(avg(n), 6) AS mean_length, max(n) AS max_length, min(n) AS min_length
@@ -576,7 +604,21 @@ def _(v: Views) -> DataFrame:
     return evaluation.division_counts_v2(_all_pred(v), v.gt_edges, v.matches, _volumes(v))
 
 
-@query("m5_division_counts_v1")
+_DIV1 = """pd AS (SELECT DISTINCT volume, source_id, target_id FROM pe), gd AS (SELECT DISTINCT volume, source_id, target_id FROM gt_edges),
+fk AS (SELECT volume, source_id AS p FROM pd GROUP BY ALL HAVING count(*) = 2), td AS (SELECT volume, source_id AS d FROM gd GROUP BY ALL HAVING count(*) = 2),
+nb AS (SELECT volume, source_id AS a, target_id AS b FROM pd UNION SELECT volume, target_id, source_id FROM pd),
+rc(volume, a, b) AS (SELECT volume, a, a FROM nb UNION SELECT r.volume, r.a, e.b FROM rc r JOIN nb e ON r.volume = e.volume AND r.b = e.a), cm AS (SELECT volume, a AS p, min(b) AS c FROM rc GROUP BY ALL),
+ff AS (SELECT fk.volume, c, min(fk.p) AS first FROM fk JOIN cm ON cm.volume = fk.volume AND cm.p = fk.p GROUP BY ALL),
+cd AS (SELECT td.volume, td.d, gd.target_id AS child FROM td JOIN gd ON gd.volume = td.volume AND gd.source_id = td.d),
+ds(volume, d, child, g) AS (SELECT volume, d, child, child FROM cd UNION SELECT ds.volume, ds.d, ds.child, gd.target_id FROM ds JOIN gd ON gd.volume = ds.volume AND gd.source_id = ds.g),
+wa AS (SELECT * FROM ds UNION ALL SELECT volume, d, NULL, d FROM td UNION ALL SELECT td.volume, td.d, NULL, gd.source_id FROM td JOIN gd ON gd.volume = td.volume AND gd.target_id = td.d),
+pr AS (SELECT wa.volume, wa.d, count(DISTINCT wa.child) AS kids, bool_or(wa.child IS NULL) AS pre, min(coalesce(cm.c, m.pred_id)) AS lo, max(coalesce(cm.c, m.pred_id)) AS hi FROM wa JOIN matches m ON m.volume = wa.volume AND m.gt_id = wa.g LEFT JOIN cm ON cm.volume = m.volume AND cm.p = m.pred_id GROUP BY wa.volume, wa.d),
+fd AS (SELECT pr.volume, pr.d, ff.first FROM pr JOIN ff ON ff.volume = pr.volume AND ff.c = pr.lo WHERE kids = 2 AND pre AND lo = hi),
+wr AS (SELECT fk.volume, fk.p FROM fk JOIN matches m ON m.volume = fk.volume AND m.pred_id = fk.p WHERE EXISTS (SELECT 1 FROM gd WHERE gd.volume = fk.volume AND gd.source_id = m.gt_id) AND NOT EXISTS (SELECT 1 FROM fd WHERE fd.volume = fk.volume AND fd.first = fk.p)),
+d1 AS (SELECT vol.volume, (SELECT count(*) FROM fd WHERE fd.volume = vol.volume) AS div_tp, (SELECT count(*) FROM wr WHERE wr.volume = vol.volume) AS div_fp, (SELECT count(*) FROM td WHERE td.volume = vol.volume) - (SELECT count(*) FROM fd WHERE fd.volume = vol.volume) AS div_fn FROM vol)"""
+
+
+@query("m5_division_counts_v1", f"WITH RECURSIVE {_VOL}, {_PE}, {_DIV1} SELECT * FROM d1")
 def _(v: Views) -> DataFrame:
     return evaluation.division_counts_v1(_all_pred(v), v.gt_edges, v.matches, _volumes(v))
 
@@ -606,14 +648,25 @@ def _(v: Views) -> DataFrame:
     return r6(a.select("datasets", "pred_nodes", "est_nodes", "edge_tp", "edge_fp", "edge_fn", "edge_jaccard", "adjusted_edge_jaccard", "division_jaccard"), "edge_jaccard", "adjusted_edge_jaccard", "division_jaccard")
 
 
-@query("m7_m9_evaluate_v1")
+_EDGE1_ALL = _EDGE1.replace("FROM pred_edges e LEFT", "FROM pe e LEFT")
+_EVAL1 = f"""WITH RECURSIVE {_VOL}, {_PE}, {_DIV1}, {_EDGE1_ALL}, {_SIZE}, ev AS (SELECT sz.volume, pred_nodes, matched_nodes, sz.gt_nodes, coalesce(nullif(est_nodes, 0), sz.gt_nodes) AS est_nodes, edge_tp, edge_fp, edge_fn, div_tp, div_fp, div_fn, edge_tp + edge_fp + edge_fn AS w,
+  CASE WHEN edge_tp + edge_fp + edge_fn > 0 THEN edge_tp / (edge_tp + edge_fp + edge_fn) ELSE 0 END AS ej, CASE WHEN div_tp + div_fp + div_fn > 0 THEN div_tp / (div_tp + div_fp + div_fn) ELSE 0 END AS dj FROM sz JOIN e1 USING (volume) JOIN d1 USING (volume)),
+sc AS (SELECT *, CASE WHEN est_nodes <= 0 THEN ej ELSE greatest(0, ej * (1 - 0.1::DOUBLE * (pred_nodes - est_nodes) / est_nodes)) END AS adj, CASE WHEN pred_nodes <= 0 OR est_nodes <= 0 OR pred_nodes <= est_nodes THEN ej ELSE ej * est_nodes / pred_nodes END AS req FROM ev)"""
+_SCORES1 = ["edge_jaccard", "division_jaccard", "adjusted_edge_jaccard", "requested_adjusted_edge_jaccard", "official_like_score", "requested_combined_score"]
+
+
+@query("m7_m9_evaluate_v1", f"""{_EVAL1} SELECT volume, pred_nodes, matched_nodes, gt_nodes, est_nodes, edge_tp, edge_fp, edge_fn, div_tp, div_fp, div_fn, round(ej, 6) AS edge_jaccard, round(dj, 6) AS division_jaccard, round(adj, 6) AS adjusted_edge_jaccard,
+  round(req, 6) AS requested_adjusted_edge_jaccard, round(adj + 0.1::DOUBLE * dj, 6) AS official_like_score, round(0.5::DOUBLE * req + 0.5::DOUBLE * dj, 6) AS requested_combined_score FROM sc""")
 def _(v: Views) -> DataFrame:
-    return evaluation.evaluate(v.det, _all_pred(v), v.gt_nodes, v.gt_edges, v.gt_meta, 1, v.matches)
+    return r6(evaluation.evaluate(v.det, _all_pred(v), v.gt_nodes, v.gt_edges, v.gt_meta, 1, v.matches), *_SCORES1)
 
 
-@query("m10_aggregate_v1")
+@query("m10_aggregate_v1", f"""{_EVAL1}, su AS (SELECT count(*) AS datasets, CAST(sum(edge_tp) AS BIGINT) AS edge_tp, CAST(sum(edge_fp) AS BIGINT) AS edge_fp, CAST(sum(edge_fn) AS BIGINT) AS edge_fn, CAST(sum(div_tp) AS BIGINT) AS a, CAST(sum(div_fp) AS BIGINT) AS b, CAST(sum(div_fn) AS BIGINT) AS c,
+  sum(adj * w) / sum(w) AS adj, sum(req * w) / sum(w) AS req FROM sc)
+SELECT datasets, edge_tp, edge_fp, edge_fn, round(edge_tp / (edge_tp + edge_fp + edge_fn), 6) AS edge_jaccard, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) ELSE 0 END, 6) AS division_jaccard, round(adj, 6) AS adjusted_edge_jaccard, round(req, 6) AS requested_adjusted_edge_jaccard FROM su""")
 def _(v: Views) -> DataFrame:
-    return evaluation.aggregate(evaluation.evaluate(v.det, _all_pred(v), v.gt_nodes, v.gt_edges, v.gt_meta, 1, v.matches), 1)
+    a = evaluation.aggregate(evaluation.evaluate(v.det, _all_pred(v), v.gt_nodes, v.gt_edges, v.gt_meta, 1, v.matches), 1)
+    return r6(a.select("datasets", "edge_tp", "edge_fp", "edge_fn", *_SCORES1[:4]), *_SCORES1[:4])
 
 
 @query("m1_m13_evaluate_solved")
