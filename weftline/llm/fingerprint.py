@@ -99,7 +99,7 @@ def edit(text: str, follower: str) -> str:
 
 def _ranges(docs: DataFrame, parts: int) -> tuple[list[float], dict]:
     """Bounds of descending id ranges, and for each range's first id the range that needs it as follower."""
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     found = docs.select("doc_id", _range_of(bounds)("doc_id").alias("r")).groupBy("r").agg(F.max("doc_id").alias("first")).collect()  # at most ``parts`` rows
     order = sorted((x.r, x.first) for x in found)
     return bounds, {order[(k + 1) % len(order)][1]: order[k][0] for k in range(len(order))}
@@ -121,10 +121,13 @@ def _range_of(bounds: list[float]):
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Fingerprints of each document, of its edited text, and how like they and the follower's are."""
+def edited_pairs(docs: DataFrame, parts: int | None = None, rows_per_range: int = 20_000) -> DataFrame:
+    """Fingerprints of each document, of its edited text, and how like they and the follower's are.
+
+    ``parts`` id ranges; without it, the session's shuffle partitions, or more, so that ranges hold ``rows_per_range``.
+    """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_per_range))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds, follow = _ranges(narrow, parts)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
