@@ -202,3 +202,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     columns = ["conv_id", "turn", "role", "text"]
     return digest_conversations(table(spark, sf_dir, "conversations").select(*columns).unionByName(probe_conversation(spark)))
+
+
+def _sql_escaped(column: str) -> str:
+    """SQL of an escaped text's length: backslashes count twice, each control string gets one more character."""
+    doubled = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    more = " + ".join(f"(length({doubled}) - length(replace({doubled}, '{c}', ''))) // {len(c)}" for c in CONTROL)
+    return f"length({doubled}) + {more}"
+
+
+OP10_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(coalesce(text, ''), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(OPEN) + len(MIDDLE) + len(CLOSE) + 1} + {_sql_escaped("role")} + {_sql_escaped("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
 }
