@@ -149,3 +149,21 @@ def test_stream_equals_batch(spark, tmp_path):
     key = ["volume", "t", "z", "y", "x"]
     both = got.where("not late").join(batch.select(*key, F.col("track_id").alias("b")), key)
     assert both.select("track_id", "b").distinct().count() == 4
+
+
+def test_text_runs_are_deterministic(spark, tmp_path):
+    import hashlib
+
+    from weftline.plans.trace import analyze
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_bytes("Head?\r\nall of it\n\nMARK\nx = 1\n".encode() + b"\xff\n")
+    (tmp_path / "in/b.txt").write_bytes(b"never\n")
+    markers = [{"name": "mark", "match": "exact", "value": "MARK", "type": "notebook_1"}]
+    one, two = (analyze(spark, f"{tmp_path}/in", f"{tmp_path}/{k}", markers) for k in "xy")
+    assert one == two and [m["segments"] for m in one] == [2, 1]
+    folder = tmp_path / "x" / one[0]["run_id"]
+    for name, sha in one[0]["artifacts"].items():
+        assert hashlib.sha256((folder / name).read_bytes()).hexdigest() == sha == hashlib.sha256((tmp_path / "y" / one[0]["run_id"] / name).read_bytes()).hexdigest()
+    kinds = [json.loads(x)["paragraph_type"] for x in (folder / "segments.jsonl").read_text().splitlines()]
+    assert kinds == ["preamble_instruction", "notebook_runtime_output"] and json.loads((folder / "metrics.json").read_text())["absolute_cue_count"] == 1

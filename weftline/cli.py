@@ -129,6 +129,13 @@ def edge_pairs(spark, a) -> None:
     tables.write_shards(pairs.sample_negatives(found, a.neg_ratio) if a.neg_ratio else found, a.output_dir)
 
 
+def analyze_text(spark, a) -> None:
+    from weftline.plans.trace import analyze
+
+    markers = json.loads(Path(a.markers).read_text()) if a.markers else None
+    print(json.dumps(analyze(spark, a.input, a.output_root, markers), indent=2))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftline")
     sub = p.add_subparsers(required=True)
@@ -161,6 +168,7 @@ def parser() -> argparse.ArgumentParser:
     stage("truth-statistics", truth_statistics, train_dir=str, output=str)
     stage("tracklets", tracklet_export, train_dir=str, output_dir=str, radii=(2, 4, 4), shape=(64, 256, 256))
     stage("edge-pairs", edge_pairs, train_dir=str, dets=str, output_dir=str, neg_ratio=0)
+    stage("analyze-text", analyze_text, input=str, output_root=str, markers=None)
     return p
 
 
