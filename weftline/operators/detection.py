@@ -163,7 +163,14 @@ def multi_cell_targets(cells: DataFrame, patch: tuple[int, int, int], sigma: flo
 
 def negative_patches(candidates: DataFrame, cells: DataFrame, n: int, patch: int, seed: str = "negatives") -> DataFrame:
     """At most n candidate centres per volume and frame with no cell within the L1 distance, the smallest hashes first."""
-    near = candidates.alias("c").join(cells.alias("g"), (F.col("c.volume") == F.col("g.volume")) & (F.col("c.t") == F.col("g.t")) & (sum((F.abs(F.col(f"c.{k}") - F.col(f"g.{k}")) for k in "zyx"), F.lit(0)) < patch)).select("c.volume", "c.t", "c.candidate_id").distinct()
+    # an equi-join on grid cells four patches wide; a candidate goes to each cell within its reach
+    cell = lambda k, move: F.floor((F.col(k) + move) / (4.0 * patch)).cast("long")
+    c, g = candidates, cells.select("volume", "t", "z", "y", "x", *[cell(k, 0).alias(f"c{k}") for k in "zyx"])
+    for k in "zyx":
+        c = c.withColumn(f"c{k}", F.explode(F.sequence(cell(k, -patch), cell(k, patch))))
+    same = [F.col(f"c.{n}") == F.col(f"g.{n}") for n in ("volume", "t", "cz", "cy", "cx")]
+    apart = sum((F.abs(F.col(f"c.{k}") - F.col(f"g.{k}")) for k in "zyx"), F.lit(0))
+    near = c.alias("c").join(g.alias("g"), [*same, apart < patch]).select("c.volume", "c.t", "c.candidate_id").distinct()
     free = candidates.join(near, ["volume", "t", "candidate_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("volume", "t").orderBy(F.xxhash64("volume", "t", "candidate_id", F.lit(seed)), "candidate_id"))
     return free.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
