@@ -172,7 +172,8 @@ def negative_patches(candidates: DataFrame, cells: DataFrame, n: int, patch: int
     apart = sum((F.abs(F.col(f"c.{k}") - F.col(f"g.{k}")) for k in "zyx"), F.lit(0))
     near = c.alias("c").join(g.alias("g"), [*same, apart < patch]).select("c.volume", "c.t", "c.candidate_id").distinct()
     free = candidates.join(near, ["volume", "t", "candidate_id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("volume", "t").orderBy(F.xxhash64("volume", "t", "candidate_id", F.lit(seed)), "candidate_id"))
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), "volume", F.col("t").cast("string"), F.col("candidate_id").cast("string")).cast("binary"))
+    rank = F.row_number().over(Window.partitionBy("volume", "t").orderBy(hashed))
     return free.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -250,9 +250,12 @@ def _(v: Views) -> DataFrame:
     return r6(detection.multi_cell_targets(cells, (8, 16, 16)), "v")
 
 
-@query("v22_negative_patches")
+@query("v22_negative_patches", """WITH c AS (SELECT volume, t, node_id AS candidate_id, z + 11 AS z, y + 13 AS y, x + 17 AS x FROM det),
+f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM det g WHERE g.volume = c.volume AND g.t = c.t AND abs(c.z - g.z) + abs(c.y - g.y) + abs(c.x - g.x) < 32)),
+k AS (SELECT *, row_number() OVER (PARTITION BY volume, t ORDER BY md5('negatives|' || volume || '|' || t || '|' || candidate_id)) AS k FROM f)
+SELECT volume, t, candidate_id FROM k WHERE k <= 5""")
 def _(v: Views) -> DataFrame:
-    candidates = v.det.where("node_id % 4 = 0").select("volume", "t", F.col("node_id").alias("candidate_id"), (F.col("z") + 3).alias("z"), (F.col("y") + 9).alias("y"), (F.col("x") + 9).alias("x"))
+    candidates = v.det.select("volume", "t", F.col("node_id").alias("candidate_id"), (F.col("z") + 11).alias("z"), (F.col("y") + 13).alias("y"), (F.col("x") + 17).alias("x"))
     return detection.negative_patches(candidates, v.det, 5, 32).select("volume", "t", "candidate_id")
 
 
