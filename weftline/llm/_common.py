@@ -1,14 +1,16 @@
-"""What the operators of this subpackage share: table reading, shared folders, Arrow row mapping."""
+"""What the operators of this subpackage share: table reading, Arrow row mapping, and written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans.storage import materialize, shared_dir
+
+__all__ = ["DOC_COLUMNS", "as_bytes", "filter_rows", "map_batches", "materialize", "shared_dir", "slices", "table"]
+
 #: The columns of the ``documents`` table, in order; pipeline stages but the last return these.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,24 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

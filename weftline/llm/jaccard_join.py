@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import as_bytes, materialize, slices, table
+from weftline.llm._common import as_bytes, materialize, shared_dir, slices, table
 from weftline.llm._text import mix, words
 from weftline.llm.components import connected_components
 
@@ -150,7 +150,10 @@ def write_sets(docs: DataFrame, s: Settings) -> DataFrame:
                         seen.add(sid)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array([task] * len(sids), pa.int32())], ["doc_id", "sid", "n", "tokens", "task"])
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SETS), "sets")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SETS)
+    path = shared_dir(docs.sparkSession, "sets")
+    made.write.option("parquet.block.size", 16 << 20).parquet(path)  # tokens don't compress: small row groups bound what writers hold
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
 
 
 # ---------------------------------------------------------------- prefixes, dealt out by token
@@ -382,8 +385,8 @@ def open_groups(rows: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             found = resolve(sids, tokens, s) if asks[0] is None else resolve(sids, tokens, s, asks, team)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"]) if found else None
 
-        for batch in batches:
-            for gid, salt, sid, data, asks, team in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for part in (p for batch in batches for p in slices(batch, 2000, 4)):
+            for gid, salt, sid, data, asks, team in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                 if (gid, salt) != key:
                     if held[0] and (out := links()) is not None:
                         yield out
