@@ -444,6 +444,19 @@ def test_tokens_equal_pythons(spark):
         assert r.t == re.findall(r"\w+|[^\w\s]", r.text)
 
 
+def test_lexical_metrics_equal_token_lists(spark):
+    import re
+
+    texts = ["", None, "All of IT, never; can't! no_no __ 12 ١٢ 3a ½ ¿qué? Every-day must\nNEED needs", "é ü_ _1 x" * 3, "don't dont NOT not1 any ANY"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in text_analysis.lexical_metrics(docs).collect():
+        t = re.findall(r"\w+|[^\w\s]", r.text or "")
+        low = [x.lower() for x in t]
+        cues = [sum(x in c for x in low) for c in (text_analysis.ABSOLUTE_CUES, text_analysis.NEGATION_CUES, text_analysis.MODAL_CUES)]
+        kinds = [len(t), sum(any(c.isalpha() for c in x) for x in t), sum(x.isdigit() for x in t), sum(not any(c.isalnum() for c in x) for x in t)]
+        assert list(r)[2:] == [*kinds, (r.text or "").count("?") + (r.text or "").count("¿"), *cues]
+
+
 def test_describe_and_names(spark):
     got = text_analysis.describe(spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,)], "v double"), "v").first()
     assert (got["count"], got["median"], round(got["p10"], 9), got["max"]) == (3, 2.0, 1.2, 4.0)

@@ -18,21 +18,32 @@ def normalize_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+#: A word character: letters, numbers and the underscore of all scripts.
+_W, _NOT_W = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_\s]"
+
+
 def tokens(text: Column) -> Column:
     """Unicode word runs and single other symbols."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"(?U){_W}+|{_NOT_W}"), F.lit(0))
 
 
 def lexical_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds counts of tokens by kind, question marks and cue words."""
-    t = docs.withColumn("_t", tokens(F.coalesce(text, F.lit(""))))
-    matching = lambda pattern: F.size(F.filter("_t", lambda x: x.rlike(pattern))).cast("long")
-    cues = lambda words: F.size(F.filter("_t", lambda x: F.lower(x).isin(list(words)))).cast("long")
-    marks = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[?¿]"), F.lit(0))).cast("long")
-    return t.withColumns({
-        "token_count": F.size("_t").cast("long"), "alphabetic_token_count": matching(r"\p{L}"), "digit_token_count": matching(r"^\p{Nd}+$"), "punctuation_token_count": matching(r"^[^\p{L}\p{N}]+$"),
-        "question_mark_count": marks, "absolute_cue_count": cues(ABSOLUTE_CUES), "negation_cue_count": cues(NEGATION_CUES), "modal_cue_count": cues(MODAL_CUES),
-    }).drop("_t")
+    """Adds counts of tokens by kind, question marks and cue words.
+
+    Each count scans the text once by a pattern that stands for whole tokens, so no token lists are built. Cue words
+    with an apostrophe never count, as the tokenizer splits them.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("long")
+    whole = lambda inner: f"(?U)(?<!{_W})(?:{inner})(?!{_W})"
+    every = sorted({w for w in ABSOLUTE_CUES + NEGATION_CUES + MODAL_CUES if w.isalpha()})
+    docs = docs.withColumn("_cues", F.regexp_extract_all(F.lower(body), F.lit(whole("|".join(every))), F.lit(0)))
+    cues = lambda words: F.size(F.filter("_cues", lambda c: c.isin(list(words)))).cast("long")
+    return docs.withColumns({
+        "token_count": count(f"(?U){_W}+|{_NOT_W}"), "alphabetic_token_count": count(rf"(?U)[\p{{N}}_]*\p{{L}}{_W}*"), "digit_token_count": count(whole(r"\p{Nd}+")),
+        "punctuation_token_count": count(f"(?U){_NOT_W}|" + whole("_+")[4:]), "question_mark_count": count("[?¿]"),
+        "absolute_cue_count": cues(ABSOLUTE_CUES), "negation_cue_count": cues(NEGATION_CUES), "modal_cue_count": cues(MODAL_CUES),
+    }).drop("_cues")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

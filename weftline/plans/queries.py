@@ -884,7 +884,7 @@ def _(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.sha2(text_analysis.normalize_newlines(made).cast("binary"), 256).alias("sha256"))
 
 
-_TOK = r"tk AS (SELECT doc_id, text, regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]') AS t FROM documents)"
+_TOK = r"tk AS (SELECT doc_id, text, regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s]') AS t FROM documents)"
 
 
 def _cue(words: tuple[str, ...]) -> str:
