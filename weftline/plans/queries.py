@@ -180,7 +180,7 @@ s AS (SELECT p.node_id, sum(b.v) AS s, sum(b.v * b.z) AS sz, sum(b.v * b.y) AS s
 SELECT node_id, round(CAST(sz AS DOUBLE) / s, 6) AS z, round(CAST(sy AS DOUBLE) / s, 6) AS y, round(CAST(sx AS DOUBLE) / s, 6) AS x FROM s""")
 def _(v: Views) -> DataFrame:
     bright = v.voxels.where("v > 990").select("volume", "t", *[F.col(k).cast("double").alias(k) for k in "zyx"])
-    points = bright.withColumn("node_id", F.row_number().over(Window.orderBy("volume", "t", "z", "y", "x")))
+    points = bright.withColumn("node_id", F.row_number().over(Window.orderBy("volume", "t", "z", "y", "x")).cast("long"))
     return r6(detection.refine_centroids(points, v.voxels).select("node_id", "z", "y", "x"), "z", "y", "x")
 
 
