@@ -2,7 +2,7 @@ import corpus_pipeline as pipeline
 from test_jaccard_join import brute
 from test_packing import check
 
-from weftline.llm import mixing, packing, quality
+from weftline.llm import mixing, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def test_stages_one_by_one(spark):
     good = pipeline.quality_stage(spark, languages, DATA).cache()
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     kept = good.join(labels, "doc_id").groupBy("quality").count().collect()
-    assert {r.quality for r in kept} == {1} or sum(r["count"] for r in kept if r.quality == 0) <= 3
+    assert sum(r["count"] for r in kept if r.quality == 0) <= 3
     assert languages.join(labels.where("quality = 1"), "doc_id").join(good, "doc_id", "left_anti").count() <= 3
     one = pipeline.near_duplicate_stage(spark, good, DATA).cache()
     assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in brute([(r.doc_id, r.text) for r in good.collect()])})
@@ -39,4 +39,3 @@ def test_odd_documents_pass_each_stage(spark, odd_docs, clashing, store):
         docs = stage(spark, docs, path)
         assert docs.columns == clashing(odd_docs).columns
     assert pipeline.STAGES[-1][1](spark, docs, path).count() > 0
-    assert quality is not None

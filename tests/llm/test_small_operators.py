@@ -129,7 +129,7 @@ def test_escapes_are_reversible(text):
     escaped = chat.escape(text)
     assert not any(c in escaped for c in chat.CONTROL) and chat.unescape(escaped) == text
     formatted, _ = chat.format_turn(text, [{"type": "text", "text": text}])
-    ((role, parts),) = chat.parse_turns(formatted * 1)
+    ((role, parts),) = chat.parse_turns(formatted)
     assert role == text and "".join(p["text"] for p in parts) == text
 
 
@@ -155,7 +155,7 @@ def test_format_turns_columns(spark):
 
 def test_conversations_digest(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "a"), (2, 0, "assistant", None), (2, 0, "assistant", None), (None, 0, "user", "x"), (3, None, "assistant", "first"), (3, 0, "assistant", "é\\"), (4, 0, None, "")]
-    got = {r.conv_id: r for r in chat.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumnRenamed("x", "x")).collect()}
+    got = {r.conv_id: r for r in chat.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].turns_sha256 == sha("user\na\nassistant\nb</s>\n") and got[1].loss_sha256 == sha("b</s>") and (got[1].n_turns, got[1].loss_chars) == (2, 5)
     assert got[2].n_turns == 2 and got[2].loss_chars == 0 and got[3].loss_sha256 == sha("firsté\\") and got[4].turns_sha256 == sha("\n\n") and got[None].n_turns == 1
