@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id") -> Dat
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, mixture map<string, double>")
 
 
-def keep_determined(docs: DataFrame, model: MixtureModel, least: float = 0.5) -> DataFrame:
+def keep_determined(docs: DataFrame, model: MixtureModel, least: float = 1 / 3) -> DataFrame:
     """Documents in which one language holds a share of ``least`` or more; others, and undetermined ones, go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
