@@ -256,3 +256,27 @@ def test_order_is_shuffled(spark):
     docs = spark.createDataFrame([(i, "t", "en", "s", 1) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
     ids = [r.doc_id for r in mixing.replicate(docs).collect()]
     assert SequenceMatcher(None, ids[:300], sorted(ids[:300])).ratio() < 0.3
+
+
+def test_small_sources_reach_their_targets(spark):
+    rows = [(i, "t", "en", "tiny" if i < 100 else "big", 1) for i in range(40_100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").cache()
+    n = {r.source: (r.rate, r.n) for r in mixing.replicate(docs).groupBy("source", "rate").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert n["tiny"][0] == pytest.approx(10 * 40_100 / (210 * 100)) and n["tiny"][1] == pytest.approx(1910, rel=0.1)
+    capped = mixing.replicate(docs, max_rate=4).where("source = 'tiny'")
+    assert capped.first().rate == 4 and capped.count() < 500
+
+
+def test_large_rates_invert_poisson(spark):
+    import math
+
+    docs = spark.createDataFrame([(i, "t", "en", "one" if i < 5 else "big", 1) for i in range(20_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    rate = 0.5 * 20_000 / 5
+    got = {r.doc_id: r.n_copies for r in mixing.replicate(docs, targets={"one": 1.0, "big": 1.0}).where("source = 'one' and copy = 0").collect()}
+    for i in range(5):
+        u = int(hashlib.md5(f"{i}|{mixing.SEED}".encode()).hexdigest()[:13], 16) / 16**13
+        k, below = 0, math.exp(-rate)
+        while below <= u:
+            k += 1
+            below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        assert got[i] == k

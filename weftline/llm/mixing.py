@@ -8,7 +8,8 @@ which shuffles them globally. Built from DataFrame functions alone.
 
 Parameters: ``targets`` (source -> weight; sources not named get weight 0), or
 without it weights that grow as the source's size to the power ``flatten``;
-``max_rate`` is the most epochs that a source is repeated on average.
+``max_rate`` (none unless given, then at most 8) caps the mean number of epochs of
+a source, whose share then falls short of its target.
 
 Defined cases: a null source is a source of its own; null ids share one random
 number; rows with equal ids get equal counts; empty and null texts are replicated
@@ -20,17 +21,16 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm._common import DOC_COLUMNS, table
 
 SEED = "mix-1"
-#: Terms of the distribution that are summed; counts beyond have a probability under 1e-15 at the rates allowed.
-TERMS = 48
+#: The cap in the SQL below; the operator itself has none unless ``max_rate`` is given.
 MAX_RATE = 4.0
-#: Rows of source statistics that may be broadcast.
-SOURCES_BROADCAST = 10_000
+#: Terms of all sources' distributions that may be broadcast.
+TERMS_BROADCAST = 500_000
 
 
 def uniform(key: Column, salt: str, digits: int = 13) -> Column:
@@ -43,9 +43,10 @@ def _digits(key: Column, salt: str, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
-def rates(docs: DataFrame, targets: dict[str, float] | None = None, flatten: float = 0.5, max_rate: float = MAX_RATE) -> DataFrame:
-    """source, rate and the cumulative distribution of counts: one row per source."""
-    if not 0 < max_rate <= 8:
+def rates(docs: DataFrame, targets: dict[str, float] | None = None, flatten: float = 0.5, max_rate: float | None = None) -> DataFrame:
+    """source, rate, and the counts (first, last) outside of which a Poisson distribution of that rate has less than
+    the random number's resolution: one row per source."""
+    if max_rate is not None and not 0 < max_rate <= 8:
         raise ValueError("max_rate must be above 0 and at most 8")
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     if targets is None:
@@ -55,24 +56,37 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, flatten: flo
         weight = F.coalesce(named[F.col("source")], F.lit(0.0)) if targets else F.lit(0.0)
     weighted = sizes.withColumn("w", weight.cast("double"))
     total = weighted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.least(F.lit(float(max_rate)), F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0)))
+    rate = F.coalesce(F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n")), F.lit(0.0))
+    if max_rate is not None:
+        rate = F.least(F.lit(float(max_rate)), rate)
     joined = weighted.join(F.broadcast(total), how="cross").select("source", rate.alias("rate"))  # the total is one row
-    terms = F.transform(F.sequence(F.lit(0), F.lit(TERMS - 1)), lambda k: F.pow(F.col("rate"), k) / F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda a, i: a * i))
-    below = F.transform(terms, lambda _, k: F.exp(-F.col("rate")) * F.aggregate(F.slice(terms, F.lit(1), k + 1), F.lit(0.0), lambda a, x: a + x))
-    return joined.withColumn("below", below)
+    reach = F.when(F.col("rate") > 0, 10 * F.sqrt("rate") + 30).otherwise(0.0)
+    return joined.withColumns({"first": F.greatest(F.lit(0), F.floor(F.col("rate") - reach)).cast("long"), "last": F.ceil(F.col("rate") + reach).cast("long")})
+
+
+def distributions(rates_: DataFrame) -> DataFrame:
+    """Adds ``below``, the cumulative distribution of counts from ``first`` on. Terms are relative to the first one and
+    summed as logarithms, so that no rate underflows."""
+    terms = rates_.withColumn("k", F.explode(F.sequence("first", "last")))
+    ordered = Window.partitionBy("source").orderBy("k")
+    step = F.when(F.col("k") == F.col("first"), 0.0).otherwise(F.ln(F.col("rate") / F.col("k")))
+    summed = terms.withColumn("log", F.sum(step).over(ordered)).withColumn("sum", F.sum(F.exp("log")).over(ordered))
+    found = summed.groupBy("source", "rate", "first").agg(F.array_sort(F.collect_list("sum")).alias("sums"))
+    return found.select("source", "rate", "first", F.transform("sums", lambda x: x / F.element_at("sums", -1)).alias("below"))
 
 
 def replicate(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """Documents repeated and shuffled; adds rate, n_copies, copy (from 0) and shuffle_key."""
     docs = docs.drop("rate", "n_copies", "copy", "shuffle_key")
-    table_ = rates(docs, **options).withColumnRenamed("source", "_source")
-    few = table_.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST
+    found = rates(docs, **options)
+    few = (found.agg(F.sum(F.col("last") - F.col("first") + 1).alias("n")).first().n or 0) <= TERMS_BROADCAST
+    table_ = distributions(found).withColumnsRenamed({"source": "_source", "first": "_first", "below": "_below"})
     joined = docs.join(F.broadcast(table_) if few else table_, F.col("source").eqNullSafe(F.col("_source")))
     # the random number sits in the state, so that it is computed once a row
-    state = F.struct(uniform(F.col("doc_id"), seed).alias("u"), F.lit(0).cast("long").alias("n"))
-    passed = F.aggregate("below", state, lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
+    state = F.struct(uniform(F.col("doc_id"), seed).alias("u"), F.col("_first").alias("n"))
+    passed = F.aggregate("_below", state, lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
     counted = joined.withColumn("n_copies", passed).where("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))).drop("below", "_source")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))).drop("_below", "_first", "_source")
     key = _digits(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")), f"{seed}|shuffle", 15)
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
