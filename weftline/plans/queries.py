@@ -875,7 +875,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     from weftline.plans.calibration import calibrate
 
-    return calibrate(v.det, v.gt_nodes, v.gt_edges, v.gt_meta, trials=6)
+    return calibrate(v.det, v.gt_nodes, v.gt_edges, v.gt_meta)
 
 
 @query("x4_normalize_newlines", "SELECT doc_id, sha256(regexp_replace(replace(text, chr(10), chr(13) || chr(10)) || chr(13), chr(13) || chr(10) || '?', chr(10), 'g')) AS sha256 FROM documents")
