@@ -63,6 +63,21 @@ def test_templates_give_labels_of_their_own():
     assert SCANNER.scan(b"permission is hereby")["labels"] == ""
 
 
+def test_each_copy_of_a_header_is_a_span():
+    head, between = lic.TEMPLATES["apache"], " ".join(["code"] * 40)
+    size = len(lic.words_of(head.encode()))
+    for gap in (between, "", "x y"):
+        step = size + len(gap.split())
+        spans = [s for s in SCANNER.scan(f" {gap} ".join([head] * 3).encode())["spans"] if s["label"] == "apache"]
+        assert [(s["start"], s["end"], s["coverage"]) for s in spans] == [(i * step, i * step + size, 1.0) for i in range(3)]
+    # a worse copy stays beside a better one
+    cut = " ".join(head.split()[:12])
+    spans = [s for s in SCANNER.scan(f"{cut} {between} {head}".encode())["spans"] if s["label"] == "apache"]
+    assert len(spans) == 2 and spans[0]["coverage"] < spans[1]["coverage"] == 1
+    many = SCANNER.scan(" ".join([head] * 3000).encode())["spans"]
+    assert len([s for s in many if s["label"] == "apache" and s["coverage"] == 1]) == 3000
+
+
 def test_license_scan_odd_documents(odd_docs, no_docs, clashing):
     rows = lic.scan_licenses(clashing(odd_docs)).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}

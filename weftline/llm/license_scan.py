@@ -2,8 +2,9 @@
 
 Each text streams through the automaton, which yields its matching statistics
 (the longest template substring that ends at each word). Right-maximal matches
-are chained, in order and with bounded gaps, into covered template spans; the
-share of a template that its best chain covers decides the labels.
+are chained, in order and with bounded gaps, into covered template spans, every
+one that overlaps no better span of the same template; the share of a template
+that its best chain covers decides the labels.
 
 Defined cases: null text counts as empty; empty texts have no words, no places,
 empty labels and score 0; repeated rows give repeated results; long texts are
@@ -173,30 +174,59 @@ class LicenseScanner:
         }
 
     def _chain(self, long: list[tuple[int, int, int]]) -> list[tuple[int, float, int, int]]:
-        """Per template the chain that covers most: (template, share covered, first word, word after the last)."""
+        """Per template the chains that overlap no better one: (template, share covered, first word, word after the last).
+
+        The best chain is taken, its words are removed, and what is left on either side is searched again.
+        """
         per: dict[int, list] = {}
         for at, size, state in long:
             for t, i in self.template_at[state]:
                 per.setdefault(t, []).append((at - size + 1, at + 1, i - size + 1, i + 1))
         out = []
-        for t, found in per.items():
-            found.sort(key=lambda m: (m[1], m[3]))
-            best: list[tuple[int, int]] = []  # words covered, first word of the chain
-            low = 0
-            for j, (a, b, c, d) in enumerate(found):
-                while low < j and found[low][1] < a - self.max_gap:
-                    low += 1
-                top = (d - c, a)
-                for h in range(low, j):
-                    pa_, pb, pc, pd_ = found[h]
-                    over = max(0, pb - a, pd_ - c)
-                    if pa_ < a and pc < c and over < d - c and c - pd_ <= self.max_gap and best[h][0] + d - c - over > top[0]:
-                        top = (best[h][0] + d - c - over, best[h][1])
-                best.append(top)
-            j = max(range(len(best)), key=lambda j: best[j][0])
-            out.append((t, min(1.0, best[j][0] / len(self.templates[t][0])), best[j][1], found[j][1]))
+        for t, matches in per.items():
+            pieces = self._apart(matches)
+            while pieces:
+                found = pieces.pop()
+                covered, a, b = self._best(found)
+                out.append((t, min(1.0, covered / len(self.templates[t][0])), a, b))
+                left = [(p, min(q, a), c, d - max(0, q - a)) for p, q, c, d in found if min(q, a) - p >= self.min_match]
+                right = [(max(p, b), q, c + max(0, b - p), d) for p, q, c, d in found if q - max(p, b) >= self.min_match]
+                pieces += [*self._apart(left), *self._apart(right)]
         return sorted(out, key=lambda x: (self.templates[x[0]][1], x[2]))
 
+    def _apart(self, found: list[tuple]) -> list[list[tuple]]:
+        """Matches in pieces so far apart that no chain crosses; each piece by its matches' ends."""
+        pieces: list[list[tuple]] = []
+        end = 0
+        for m in sorted(found):
+            if not pieces or m[0] - end > self.max_gap:
+                pieces.append([])
+            pieces[-1].append(m)
+            end = max(end, m[1])
+        return [sorted(p, key=lambda m: (m[1], m[3])) for p in pieces]
+
+    def _best(self, found: list[tuple]) -> tuple[int, int, int]:
+        """Words covered, first word and word after the last of the chain that covers most."""
+        best: list[tuple[int, int]] = []  # words covered, first word of the chain
+        low = 0
+        for j, (a, b, c, d) in enumerate(found):
+            while low < j and found[low][1] < a - self.max_gap:
+                low += 1
+            top = (d - c, a)
+            for h in range(low, j):
+                pa_, pb, pc, pd_ = found[h]
+                over = max(0, pb - a, pd_ - c)
+                if pa_ < a and pc < c and over < d - c and c - pd_ <= self.max_gap and best[h][0] + d - c - over > top[0]:
+                    top = (best[h][0] + d - c - over, best[h][1])
+            best.append(top)
+        most = max(n for n, _ in best)
+        ties = [j for j, (n, _) in enumerate(best) if n == most]
+        # of equal chains one in the middle, so that many copies in a row are halved; of those that overlap the first
+        k = len(ties) // 2
+        while k and found[ties[k - 1]][1] > best[ties[k]][1]:
+            k -= 1
+        return most, best[ties[k]][1], found[ties[k]][1]
+
 
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, start: long, end: long, coverage: double>>"
 
