@@ -17,7 +17,7 @@ from weftline.llm._common import materialize, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and mixtures in which no language holds a third."""
+    """Drops documents without a letter and those that are no learned language; mixtures of any number of languages stay."""
     return language_id.keep_determined(docs, language_id.train(docs))
 
 

@@ -48,6 +48,17 @@ def test_language_odd_documents(spark, odd_docs, no_docs, clashing):
     assert kept.columns == clashing(odd_docs).columns and {4, 5, 7, 11}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_mixtures_of_any_number_of_languages_stay(spark):
+    words = {c: ["".join(np.random.RandomState(i * 100 + j).choice(list(c), 5)) for j in range(60)] for i, c in enumerate(["abcde", "fghij", "klmno", "pqrst", "uvwxy"])}
+    rng = np.random.RandomState(3)
+    taught = [(i, " ".join(rng.choice(words[c], 100)), c, "s", 1) for i, c in enumerate(sorted(words) * 20)]
+    model = li.train(spark.createDataFrame(taught, "doc_id long, text string, lang string, source string, n_chars long"))
+    mixed = {k: " ".join(" ".join(rng.choice(words[c], 60)) for c in sorted(words)[:k]) for k in range(1, 6)}
+    noise = {k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2000)) for k in (11, 12)}
+    docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in (mixed | noise).items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in li.keep_determined(docs, model).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
     rows = li.op4_language_id(spark, DATA).join(docs, "doc_id").where("held_out").collect()

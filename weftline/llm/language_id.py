@@ -113,6 +113,19 @@ class MixtureModel:
                 chosen, best, mix = own, value, found
         return {self.languages[k]: float(m) for k, m in zip(chosen, mix, strict=True)}, best / float(n.sum())
 
+    def is_language(self, at: np.ndarray, n: np.ndarray) -> bool:
+        """False without languages, and if a uniform background beside all of them raises the log-likelihood by more
+        than its penalty and takes the larger part of the text."""
+        if not self.languages or not at.size:
+            return False
+        p = np.column_stack([self.likely[at], np.full(at.size, 1 / self.buckets)])
+        k = len(self.languages)
+        mix, value = self._fit(p, n, np.full(k + 1, 1 / (k + 1)))
+        if mix[-1] <= 0.5:
+            return True
+        _, without = self._fit(p[:, :k], n, np.full(k, 1 / k))
+        return value <= without + self.penalty * np.log(n.sum() + 1)
+
     def predict(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         if not text or not has_letter(text):
             return UNDETERMINED, 0.0, {}
@@ -170,13 +183,14 @@ def predict(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id") -> Dat
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, mixture map<string, double>")
 
 
-def keep_determined(docs: DataFrame, model: MixtureModel, least: float = 1 / 3) -> DataFrame:
-    """Documents in which one language holds a share of ``least`` or more; others, and undetermined ones, go."""
+def keep_determined(docs: DataFrame, model: MixtureModel) -> DataFrame:
+    """Documents in the learned languages, in any mixture; those that are no language, and those without a letter, go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
-        return lambda texts: [lang != UNDETERMINED and score >= least for lang, score, _ in map(m.predict, texts)]
+        known = lambda text: bool(text) and has_letter(text) and m.is_language(*gram_counts(text.encode(), m.buckets))
+        return lambda texts: [known(t) for t in texts]
 
     return filter_rows(docs, make)
 
