@@ -38,6 +38,16 @@ def test_mixture_proportions():
     assert all(b >= a - 1e-9 for a, b in zip(values, values[1:], strict=False))
 
 
+def test_the_background_takes_what_is_no_language():
+    rng = np.random.RandomState(0)
+    counts = rng.gamma(0.3, size=(3, 512)) * 1000
+    model = li.MixtureModel(["a", "b", "c"], counts)
+    pure = rng.choice(512, 1000, p=model.likely[:, 0] / model.likely[:, 0].sum())
+    half, none = np.concatenate([pure, rng.choice(512, 1000)]), rng.choice(512, 2000)
+    shares = [sum(model.infer(at, n.astype(float))[0].values()) for at, n in (np.unique(x, return_counts=True) for x in (pure, half, none))]
+    assert shares[0] > 0.9 and shares[1] == pytest.approx(0.5, abs=0.1) and shares[2] < 0.2
+
+
 def test_language_odd_documents(spark, odd_docs, no_docs, clashing):
     model = li.train(clashing(odd_docs))
     rows = {r.doc_id: r for r in li.predict(clashing(odd_docs), model).collect()}

@@ -3,7 +3,8 @@
 Languages are learned as distributions over hashed byte n-grams (lower-cased,
 word edges marked), from a bounded sample of labelled rows. A document is a
 mixture of languages: expectation-maximisation over its n-grams estimates the
-proportions, starting from all learned languages and a uniform background.
+proportions, starting from all learned languages and a uniform background, which
+stays a component of every set: what it holds lowers the score.
 The language set then grows greedily from the best single language while the
 penalised log-likelihood improves; the largest proportion names the document.
 
@@ -90,28 +91,38 @@ class MixtureModel:
         return mix, float(n @ np.log(p @ mix))
 
     def infer(self, at: np.ndarray, n: np.ndarray) -> tuple[dict[str, float], float]:
-        """Proportions of the chosen language set, and the log-likelihood per n-gram."""
+        """Proportions of the chosen language set, and the log-likelihood per n-gram; the rest is the background's."""
         if not self.languages or not at.size:
             return {}, 0.0
-        p = self.likely[at]
-        alone = n @ np.log(p)
-        chosen, best = [int(np.argmax(alone))], float(np.max(alone))
-        mix = np.ones(1)
-        if len(self.languages) > 1:
-            full, _ = self._fit(p, n, np.full(p.shape[1], 1 / p.shape[1]))
+        k_all = len(self.languages)
+        p = np.column_stack([self.likely[at], np.full(at.size, 1 / self.buckets)])  # the background comes last
+        single, alone = self._alone(p, n)
+        chosen = [int(np.argmax(alone))]
+        best, mix = float(alone[chosen[0]]), np.array([single[chosen[0]], 1 - single[chosen[0]]])
+        if k_all > 1:
+            full, _ = self._fit(p, n, np.full(k_all + 1, 1 / (k_all + 1)))
             cost = self.penalty * np.log(n.sum() + 1)
-            for k in np.argsort(-full, kind="stable"):
+            for k in np.argsort(-full[:k_all], kind="stable"):
                 if k in chosen:
                     continue
                 if full[k] < 0.02:
                     break
-                own = [*chosen, int(k)]
+                own = [*chosen, int(k), k_all]
                 start = full[own] + 0.01
                 found, value = self._fit(p[:, own], n, start / start.sum())
                 if value <= best + cost:
                     break
-                chosen, best, mix = own, value, found
-        return {self.languages[k]: float(m) for k, m in zip(chosen, mix, strict=True)}, best / float(n.sum())
+                chosen, best, mix = own[:-1], value, found
+        return {self.languages[k]: float(m) for k, m in zip(chosen, mix[:-1], strict=True)}, best / float(n.sum())
+
+    def _alone(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each language with the background alone: its share, and the log-likelihood."""
+        own, back, total = p[:, :-1], p[:, -1:], n.sum()
+        share = np.full(own.shape[1], 0.9)
+        for _ in range(self.rounds):
+            part = share * own
+            share = n @ (part / (part + (1 - share) * back)) / total
+        return share, n @ np.log(share * own + (1 - share) * back)
 
     def is_language(self, at: np.ndarray, n: np.ndarray) -> bool:
         """False without languages, and if a uniform background beside all of them raises the log-likelihood by more
