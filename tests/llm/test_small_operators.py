@@ -106,9 +106,9 @@ def test_difference_is_bounded_and_symmetric():
 
 
 def brute_pairs(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2], r[1] or ""))
     out = []
-    for i, (key, text) in enumerate(order):
+    for i, (key, text, _) in enumerate(order):
         text, following = text or "", order[(i + 1) % len(order)][1] or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
@@ -117,22 +117,46 @@ def brute_pairs(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_edited_pairs_equal_brute_force(odd_docs, clashing, parts):
-    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    assert sorted((tuple(r) for r in fp.edited_pairs(clashing(odd_docs), parts).collect()), key=str) == brute_pairs(rows)
+def with_hashes(docs):
+    """Rows and the hash that orders rows with equal ids."""
+    return [tuple(r) for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, ''))").collect()]
+
+
+def pairs(docs, *options):
+    return sorted((tuple(r) for r in fp.edited_pairs(docs, *options).collect()), key=str)
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 1000])
+def test_edited_pairs_equal_brute_force(odd_docs, clashing, size):
+    assert pairs(clashing(odd_docs), size) == brute_pairs(with_hashes(odd_docs))
 
 
 def test_edited_pairs_of_many_ranges(spark):
     rows = [(i * 37 % 1009 * 10**12, "é" * (i % 7) + f"text {i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted((tuple(r) for r in fp.edited_pairs(docs, 16).collect()), key=str) == brute_pairs(rows)
+    assert pairs(docs, 20) == brute_pairs(with_hashes(docs)) == pairs(docs, 20, 3)
+
+
+def test_edited_pairs_keep_every_row_of_large_null_and_repeated_ids(spark):
+    top, least = (1 << 63) - 1, -(1 << 63)
+    rows = [((1 << 60) + i, f"large {i}") for i in range(40)] + [(None, "no id")] + [(top, "top"), (least, "least"), (0, "zero"), (-1, "minus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (1, 4, 50):
+        assert pairs(docs, size) == brute_pairs(with_hashes(docs))
+    # a third of all rows has one id, a third none, and many rows are the same
+    rows += [((1 << 60) + 7, f"hot {i % 60}") for i in range(90)] + [(None, f"none {i % 50}") for i in range(90)] + [(least, f"last {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (3, 10):
+        assert pairs(docs, size) == brute_pairs(with_hashes(docs))
+    assert fp._ranges(docs.selectExpr("doc_id", "xxhash64(text) as h"), len(rows), 10).count > 25
 
 
 def test_edited_pairs_small_tables(spark, no_docs):
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
-    assert [tuple(r) for r in fp.edited_pairs(one, 4).collect()] == brute_pairs([(5, "abcd")])
-    assert fp.edited_pairs(no_docs, 4).count() == 0
+    assert pairs(one) == brute_pairs(with_hashes(one))
+    nothing = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
+    assert pairs(nothing, 1) == brute_pairs(with_hashes(nothing))
+    assert fp.edited_pairs(no_docs).count() == 0
 
 
 # ---------------------------------------------------------------- chat

@@ -8,14 +8,17 @@ for quartiles that lie 0 to 3 apart, the header at most 3 x 12; likeness is one
 minus the share of the greatest difference.
 
 ``edited_pairs`` needs each document's follower by descending id. Rows are dealt
-into id ranges whose bounds come from quantiles; the first row of a range is
-also sent to the range before it, so each range is streamed alone, one row held
-at a time.
+into ranges, one to a partition, whose bounds come from quantiles of the ids; an
+id (or the null id) that many rows have is split further by the hash of the text.
+The first row of a range is also sent to the range before it, so each range is
+streamed alone, one row held at a time.
 
 Defined cases: null text is empty and has the digest of no triplets; texts under
 three bytes have no triplets; null ids come after all others; rows with equal
-ids are ordered by text; a single row is its own follower; an empty table gives
-no rows.
+ids are ordered by a hash of their text, then the text, so that ties give the
+same rows in any layout; repeated rows follow each other; a single row is its own
+follower; very long texts are held one at a time; other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -97,51 +101,99 @@ def edit(text: str, follower: str) -> str:
     return text[: len(text) - half] + follower[:half]
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[list[float], dict]:
-    """Bounds of descending id ranges, and for each range's first id the range that needs it as follower."""
-    bounds = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
-    found = docs.select("doc_id", _range_of(bounds)("doc_id").alias("r")).groupBy("r").agg(F.max("doc_id").alias("first")).collect()  # at most ``parts`` rows
-    order = sorted((x.r, x.first) for x in found)
-    return bounds, {order[(k + 1) % len(order)][1]: order[k][0] for k in range(len(order))}
+@dataclass(frozen=True)
+class Ranges:
+    """Where the ranges of the order begin. A row's place is (descending id as an ascending number, hash of its text);
+    rows with null ids are ranges of their own, after all others. ``first``: the place of each range's first row."""
 
+    bounds: np.ndarray  # (n, 2) places, ascending: a row lies behind as many bounds as its range's number
+    null_bounds: np.ndarray  # hashes
+    needed_by: dict  # (null, place, hash) of a range's first row -> the range before it
 
-def _range_of(bounds: list[float]):
-    at = np.array(bounds)
+    def of(self, null: np.ndarray, place: np.ndarray, text_hash: np.ndarray) -> np.ndarray:
+        low, high = (np.searchsorted(self.bounds[:, 0], place, side=side) for side in ("left", "right"))
+        out = high.copy()
+        split = np.flatnonzero(low != high)  # bounds at this very id: the hash decides
+        for at, end in set(zip(low[split].tolist(), high[split].tolist(), strict=True)):
+            here = split[(low[split] == at) & (high[split] == end)]
+            out[here] = at + np.searchsorted(self.bounds[at:end, 1], text_hash[here], side="right")
+        return np.where(null, len(self.bounds) + 1 + np.searchsorted(self.null_bounds, text_hash, side="right"), out).astype(np.int32)
 
-    @F.pandas_udf("int")
-    def r(ids):
-        import pandas as pd
+    @property
+    def count(self) -> int:
+        return len(self.bounds) + len(self.null_bounds) + 2
 
-        found = len(at) - np.searchsorted(at, ids.to_numpy(dtype=float, na_value=-np.inf), side="left")
-        return pd.Series(found.astype(np.int32))
+
+_LEAST = -(1 << 63)
+
+
+def _hash_bounds(n: int, size: int) -> list[int]:
+    """Hashes that deal n rows into pieces of about ``size``."""
+    pieces = -(-n // size)
+    return [_LEAST + (k << 64) // pieces for k in range(1, pieces)]
+
+
+def _keys(column: pa.Array, hashes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """null, place and hash as integers: ids never pass through floating point."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return null, ~column.fill_null(0).to_numpy(), hashes.to_numpy()
+
+
+def _range_numbers(ranges: Ranges):
+    @F.arrow_udf("int")
+    def r(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(ranges.of(*_keys(ids, hashes)))
 
     return r
 
 
+def _ranges(keyed: DataFrame, rows: int, size: int) -> Ranges:
+    """Ranges of about ``size`` rows: by quantiles of the ids, and by the hash of the text within ids (or the null id)
+    that more rows have. The driver receives some numbers per range."""
+    parts = -(-rows // size)
+    place = keyed.where("doc_id is not null").select(F.bitwise_not("doc_id").alias("place"))
+    marks = place.approxQuantile("place", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    bounds = {(min(max(int(q), _LEAST), -_LEAST - 1), _LEAST) for q in marks}
+    nulls: list[int] = []
+    if parts > 1:
+        for r in keyed.groupBy("doc_id").count().where(F.col("count") > size).collect():  # at most ``parts`` rows
+            if r.doc_id is None:
+                nulls = _hash_bounds(r["count"], size)
+            else:
+                bounds |= {(~r.doc_id, h) for h in [_LEAST, *_hash_bounds(r["count"], size)]}
+                bounds |= {(~r.doc_id + 1, _LEAST)} if r.doc_id > _LEAST else set()
+    found = Ranges(np.array(sorted(bounds), dtype=np.int64).reshape(-1, 2), np.array(nulls, dtype=np.int64), {})
+    first = keyed.groupBy(_range_numbers(found)("doc_id", "h").alias("r")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("place"), "h")).alias("first"))
+    order = sorted((x.r, tuple(x.first)) for x in first.collect())  # one row per range
+    return replace(found, needed_by={order[(k + 1) % len(order)][1]: order[k][0] for k in range(len(order))})
+
+
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_pairs(docs: DataFrame, parts: int | None = None, rows_per_range: int = 20_000) -> DataFrame:
+def edited_pairs(docs: DataFrame, rows_per_range: int = 20_000, most_ranges: int = 100_000) -> DataFrame:
     """Fingerprints of each document, of its edited text, and how like they and the follower's are.
 
-    ``parts`` id ranges; without it, the session's shuffle partitions, or more, so that ranges hold ``rows_per_range``.
+    Ranges hold about ``rows_per_range`` rows; where that would take more than ``most_ranges``, so that the driver's list
+    of ranges stays bounded, they hold more (a range is streamed, its sort spills).
     """
     spark = docs.sparkSession
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // rows_per_range))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, follow = _ranges(narrow, parts)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = [f.split()[0] for f in PAIRS.split(", ")]
-    at, firsts = np.array(bounds), dict(follow)
-
-    @F.pandas_udf("array<int>")
-    def goals(ids):
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = keyed.count()
+    size = max(1, min(rows_per_range, -(-rows // int(spark.conf.get("spark.sql.shuffle.partitions")))), -(-rows // most_ranges))
+    ranges = _ranges(keyed.select("doc_id", "h"), rows, size)
+    needed = ranges.needed_by
+
+    @F.arrow_udf("array<int>")
+    def goals(ids: pa.Array, hashes: pa.Array) -> pa.Array:
         """Twice the own range; for a first row also twice the range that needs it, plus one."""
-        import pandas as pd
+        null, place, h = _keys(ids, hashes)
+        own = ranges.of(null, place, h).tolist()
+        keys = zip(null.tolist(), place.tolist(), h.tolist(), strict=True)
+        return pa.array([[2 * r, 2 * needed[k] + 1] if k in needed else [2 * r] for r, k in zip(own, keys, strict=True)], pa.list_(pa.int32()))
 
-        own = len(at) - np.searchsorted(at, ids.to_numpy(dtype=float, na_value=-np.inf), side="left")
-        keys = [None if x != x or x is None else int(x) for x in ids.tolist()]
-        return pd.Series([[2 * int(r), 2 * firsts[k] + 1] if k in firsts else [2 * int(r)] for r, k in zip(own, keys, strict=True)])
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [f.split()[0] for f in PAIRS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # range, id, text, fingerprint: waits for its follower
@@ -152,7 +204,7 @@ def edited_pairs(docs: DataFrame, parts: int | None = None, rows_per_range: int
                 for goal, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     r, guest = divmod(goal, 2)
                     if guest and r == done_with:
-                        continue  # rows with equal ids: the first is the follower
+                        continue  # rows that tie for the first: one is the follower
                     own = fingerprint(text.encode())
                     if held is not None and held[0] == r:
                         changed = edit(held[2], text).encode()
@@ -162,9 +214,12 @@ def edited_pairs(docs: DataFrame, parts: int | None = None, rows_per_range: int
                     done_with = r if guest else None
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        if held is not None:
+            raise RuntimeError("a range ended without the row that follows its last")
 
-    dealt = narrow.withColumn("goal", F.explode(goals("doc_id"))).select("goal", "doc_id", "text", F.expr("goal div 2").alias("r"))
-    return dealt.repartition(parts, "r").sortWithinPartitions("goal", F.col("doc_id").desc_nulls_last(), "text").drop("r").mapInArrow(run, PAIRS)
+    dealt = keyed.withColumn("goal", F.explode(goals("doc_id", "h"))).select("goal", "doc_id", "text", "h", F.expr("goal div 2").cast("int").alias("r"))
+    ordered = dealt.repartitionById(ranges.count, "r").sortWithinPartitions("goal", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return ordered.select("goal", "doc_id", "text").mapInArrow(run, PAIRS)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
