@@ -11,10 +11,12 @@ without it weights that grow as the source's size to the power ``flatten``;
 ``max_rate`` (none unless given, then at most 8) caps the mean number of epochs of
 a source, whose share then falls short of its target.
 
-Defined cases: a null source is a source of its own; null ids share one random
-number; rows with equal ids get equal counts; empty and null texts are replicated
-like others; an empty table gives no rows; columns of the input that are named
-like those added (rate, n_copies, copy, shuffle_key) are replaced.
+Defined cases: a null source is a source of its own; rows without an id take the
+md5 of their text in its place; rows with equal ids get equal counts; empty, null
+and very long texts are replicated like others; rows with equal shuffle keys
+(copies of rows with equal ids) may stand in any order; an empty table gives no
+rows; columns of the input that are named like those added (rate, n_copies, copy,
+shuffle_key) are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from weftline.llm._common import DOC_COLUMNS, table
 
 SEED = "mix-1"
-#: The cap in the SQL below; the operator itself has none unless ``max_rate`` is given.
-MAX_RATE = 4.0
 #: Terms of all sources' distributions that may be broadcast.
 TERMS_BROADCAST = 500_000
 
@@ -39,10 +39,15 @@ def uniform(key: Column, salt: str, digits: int = 13) -> Column:
 
 
 def _digits(key: Column, salt: str, digits: int) -> Column:
-    text = F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("null")), F.lit(salt))
+    text = F.concat_ws("|", key, F.lit(salt))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def _key() -> Column:
+    """What a row's random numbers are drawn from."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, flatten: float = 0.5, max_rate: float | None = None) -> DataFrame:
     """source, rate, and the counts (first, last) outside of which a Poisson distribution of that rate has less than
     the random number's resolution: one row per source."""
@@ -83,11 +88,11 @@ def replicate(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     table_ = distributions(found).withColumnsRenamed({"source": "_source", "first": "_first", "below": "_below"})
     joined = docs.join(F.broadcast(table_) if few else table_, F.col("source").eqNullSafe(F.col("_source")))
     # the random number sits in the state, so that it is computed once a row
-    state = F.struct(uniform(F.col("doc_id"), seed).alias("u"), F.col("_first").alias("n"))
+    state = F.struct(uniform(_key(), seed).alias("u"), F.col("_first").alias("n"))
     passed = F.aggregate("_below", state, lambda s, c: F.struct(s["u"].alias("u"), (s["n"] + (c <= s["u"]).cast("long")).alias("n")), lambda s: s["n"])
     counted = joined.withColumn("n_copies", passed).where("n_copies > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))).drop("_below", "_first", "_source")
-    key = _digits(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")), f"{seed}|shuffle", 15)
+    key = _digits(F.concat_ws("|", _key(), F.col("copy")), f"{seed}|shuffle", 15)
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
@@ -96,15 +101,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(table(spark, sf_dir, "documents").select(*DOC_COLUMNS))
 
 
+#: Distributions reach so far beyond the mean that what is left is below the random number's resolution.
 OP5_SQL = f"""
 WITH s AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
-r AS (SELECT source, least({MAX_RATE}, w * (SELECT sum(n) FROM s) / ((SELECT sum(w) FROM s) * n)) AS rate FROM s),
-t AS (SELECT source, rate, k, exp(-rate) * list_sum(list_transform(range(0, k + 1), lambda i: pow(rate, i) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE))) AS below
-  FROM r, (SELECT unnest(range(0, 30)) AS k)),
-d AS (SELECT *, CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|{SEED}'), 1, 13)) AS BIGINT) / {float(16**13)} AS u FROM documents),
-c AS (SELECT d.doc_id, any_value(t.rate) AS rate, count(*) FILTER (t.below <= d.u) AS n_copies FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.doc_id),
-e AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.rate, c.n_copies, unnest(range(0, c.n_copies)) AS copy FROM d JOIN c ON d.doc_id = c.doc_id WHERE c.n_copies > 0)
+r AS (SELECT source, w * (SELECT sum(n) FROM s) / ((SELECT sum(w) FROM s) * n) AS rate FROM s),
+k AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 30) AS BIGINT))) AS k FROM r),
+t AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM k),
+d AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
+u AS (SELECT *, CAST(('0x' || substr(md5(key || '|{SEED}'), 1, 13)) AS BIGINT) / {float(16**13)} AS u FROM d),
+b AS (SELECT source, any_value(rate) AS rate, list(below ORDER BY k) AS below FROM t GROUP BY source),
+e AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.key, b.rate, len(list_filter(b.below, lambda x: x <= u.u)) AS n_copies
+  FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source),
+c AS (SELECT *, unnest(range(0, n_copies)) AS copy FROM e)
 SELECT doc_id, text, lang, source, n_chars, rate, n_copies, copy,
-  CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(copy AS VARCHAR) || '|{SEED}|shuffle'), 1, 15)) AS BIGINT) AS shuffle_key
-FROM e
+  CAST(('0x' || substr(md5(key || '|' || CAST(copy AS VARCHAR) || '|{SEED}|shuffle'), 1, 15)) AS BIGINT) AS shuffle_key
+FROM c
 """
