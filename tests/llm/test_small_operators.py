@@ -219,37 +219,94 @@ def brute_records(rows):
     return sorted(out, key=str)
 
 
-def test_archives_round_trip(spark, tmp_path):
-    evil = f"a\r\n\r\n{warc.VERSION}\r\nWARC-Type: response\r\n\r\nb\r\n\r\n" + "z" * 100
-    rows = [(3, "u", BIG), (1, "u\r\nX: y", BIG), (2, None, BIG), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", evil), (8, "u", evil), (9, "u", "é🙂\r\n\r\n" * 40), (None, "u", BIG), (10, "u", "x\r\n\r\n"), (1, "u", BIG), (-5, "u", "tail\n" * 50)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for compression in ("gzip", "none"):
-        run, path = "b7c5a3c0-0000-4000-8000-000000000000", f"{tmp_path}/{compression}"
-        warc.write_archives(warc.plan_records(pages.repartition(3)), path, run, compression=compression)
-        got = sorted((tuple(r) for r in warc.resolve_revisits(warc.read_archives(spark, path, run)).collect()), key=str)
-        assert got == brute_records([(k, h) for k, _, h in rows])
-
-
-def test_archive_bytes_are_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/", BIG), (2, "http://b/", BIG)], "page_id long, url string, html string").coalesce(1)
-    warc.write_archives(warc.plan_records(pages).coalesce(1), f"{tmp_path}/w", "run", compression="none")
-    data = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")).read_bytes()
-    records, at = [], 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:])
-        assert data.startswith(b"WARC/1.1\r\n", at)
-        n = int(head[b"Content-Length"])
-        assert data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
-        records.append((head[b"WARC-Type"], data[end + 4 : end + 4 + n]))
-        at = end + 8 + n
-    assert sorted(k for k, _ in records) == [b"response", b"revisit"] and sum(BIG.encode() in b for _, b in records) == 1
+PAGES = "page_id long, url string, html string"
+EVIL = f"a\r\n\r\n{warc.VERSION}\r\nWARC-Type: response\r\n\r\nb\r\n\r\n" + "z" * 100
+ODD_PAGES = [
+    (3, "u", BIG), (1, "u\r\nX: y", BIG), (2, None, BIG), (4, "u", "short"), (5, "u", "short"), (6, "u", None), (7, "u", EVIL), (8, "u", EVIL), (9, "u", "é🙂\r\n\r\n" * 40), (None, "u", BIG), (None, "u", BIG),
+    (10, "u", "x\r\n\r\n"), (1, "u", BIG), (-5, "u", "tail\n" * 60), (11, "u", "long " * 300_000), (12, "u", "long " * 300_000), (None, None, "only without ids " * 20), (None, None, "only without ids " * 20), (8, "u", EVIL),
+]
+
+
+def records_of(folder):
+    """Per file the records of its gzip members, by a reader of its own."""
+    import gzip
+    import io
+
+    out = []
+    for p in sorted(x for x in folder.iterdir() if x.name.startswith("part-")):
+        data, records = p.read_bytes(), []
+        starts = [i for i in range(len(data)) if data[i : i + 4] == b"\x1f\x8b\x08\x00"]
+        whole = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
+        while whole:
+            head, rest = whole.split(b"\r\n\r\n", 1)
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            n = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and rest[n : n + 4] == b"\r\n\r\n"
+            records.append((fields, rest[:n]))
+            whole = rest[n + 4 :]
+        out.append((len(starts), records))
+    return out
+
+
+@pytest.mark.parametrize("few", [1_000_000, 1], ids=["broadcast", "waves"])
+@pytest.mark.parametrize("stored", [True, False])
+def test_archives_round_trip(spark, tmp_path, few, stored):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame(ODD_PAGES, PAGES).repartition(3).withColumns({c: F.lit("clash") for c in ("digest", "first", "sole", "n", "refers_to", "payload_bytes", "value")})
+    if stored:
+        pages.write.parquet(f"{tmp_path}/pages")
+        pages = spark.read.parquet(f"{tmp_path}/pages")
+    warc.write_archives(pages, f"{tmp_path}/w", few=few, blob_mb=0)
+    records = warc.read_archives(spark, f"{tmp_path}/w")
+    got = sorted((tuple(r) for r in warc.resolve_revisits(records, few - 1).collect()), key=str)
+    assert got == brute_records([(k, h) for k, _, h in ODD_PAGES])
+    rows = records.collect()
+    texts = sorted((h or "") for _, _, h in ODD_PAGES)
+    assert [r.payload for r in rows if r.record_type == "revisit"] == [None] * sum(r.record_type == "revisit" for r in rows) and set(r.payload for r in rows if r.payload is not None) == set(texts)
+    ids = {r.record_id: r for r in rows}
+    assert len(ids) == len(rows) == len(ODD_PAGES)
+    for r in rows:  # page 1 stands twice, so its copies name no single record
+        if r.record_type == "revisit":
+            assert (r.refers_to_id is None) == (r.refers_to == 1) and (r.refers_to_id is None or ids[r.refers_to_id].page_id == r.refers_to)
+
+
+def test_each_record_is_a_member_after_a_warcinfo(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame(ODD_PAGES, PAGES).repartition(2), f"{tmp_path}/w")
+    files = records_of(tmp_path / "w")
+    for members, records in files:
+        assert members == len(records) + 1  # the last one is empty
+        kinds = [f[b"WARC-Type"] for f, _ in records]
+        assert kinds[0] == b"warcinfo" and b"warcinfo" not in kinds[1:]
+        assert {f[b"WARC-Warcinfo-ID"] for f, _ in records[1:]} == {records[0][0][b"WARC-Record-ID"]}
+    every = [x for _, records in files for x in records]
+    assert len({f[b"WARC-Record-ID"] for f, _ in every}) == len(every) == len(ODD_PAGES) + len(files)
+    assert sum(BIG.encode() in b for _, b in every) == 2 and all(b"sha256:" in f[b"WARC-Payload-Digest"] for f, _ in every if f[b"WARC-Type"] != b"warcinfo")
+
+
+def test_payloads_are_in_no_exchange(spark, tmp_path):
+    spark.createDataFrame(ODD_PAGES, PAGES).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    for records in warc.plan_records(pages):
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    plan = warc.shared_payloads(pages)._jdf.queryExecution().executedPlan().toString()
+    assert all("html" not in line for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_changed_archives_are_refused():
+    head = warc.page_record(1, "u", b"x" * 9, 9, hashlib.sha256(b"x" * 9).hexdigest(), None, True, "run", "0", "info", "2025-01-01T00:00:00Z")
+    assert warc.parse_record(head)[1].endswith(b"x" * 9)
+    with pytest.raises(ValueError):
+        warc.parse_record(head[:-1])
+    with pytest.raises(ValueError):
+        list(warc.members_of(warc._member(head)[:-3]))
 
 
 def test_no_pages(spark, tmp_path):
-    pages = spark.createDataFrame([], "page_id long, url string, html string")
-    warc.write_archives(warc.plan_records(pages), f"{tmp_path}/e", "run")
-    assert warc.resolve_revisits(warc.read_archives(spark, f"{tmp_path}/e", "run")).count() == 0
+    pages = spark.createDataFrame([], PAGES)
+    warc.write_archives(pages, f"{tmp_path}/e")
+    assert warc.resolve_revisits(warc.read_archives(spark, f"{tmp_path}/e")).count() == 0
 
 
 # ---------------------------------------------------------------- mixing
@@ -280,6 +337,21 @@ def test_counts_invert_poisson(spark):
         assert got.get(i, 0) == k
 
 
+def test_targets_are_met_without_a_cap_and_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    # a source of 200 rows among 10,000, a third of the rows without an id
+    rows = [(None if i % 3 == 0 else i, f"text {i}", "en", "small" if i < 200 else "large" if i % 7 else None, 1) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").cache()
+    n = {r.source: r["count"] for r in mixing.replicate(docs, targets={"small": 0.5, "large": 0.5}).groupBy("source").count().collect()}
+    assert set(n) == {"small", "large"} and sum(n.values()) == pytest.approx(10_000, rel=0.05) and n["small"] / sum(n.values()) == pytest.approx(0.5, abs=0.03)
+    documents = docs.toArrow()
+    sql = duckdb.sql(mixing.OP5_SQL).fetchall()
+    got = mixing.replicate(docs).select("doc_id", "text", "lang", "source", "n_chars", "rate", "n_copies", "copy", "shuffle_key").collect()
+    plain = lambda r: (-1 if r[0] is None or r[0] != r[0] else int(r[0]), *r[1:5], round(r[5], 9), *r[6:])
+    assert max(r.rate for r in got) > 4 and sorted(map(plain, got), key=str) == sorted(map(plain, sql), key=str) and documents.num_rows == 10_000
+
+
 def test_mixing_odd_documents(odd_docs, no_docs, clashing):
     docs = clashing(odd_docs)
     out = mixing.replicate(docs)
