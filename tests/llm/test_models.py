@@ -93,6 +93,29 @@ def test_marginals_equal_enumeration():
     assert pair.sum() == pytest.approx(sum(n - 1 for n in lengths))
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_chains_of_any_length_run_in_blocks(block):
+    rng = np.random.RandomState(4)
+    lengths = [1, 9, 2, 6, 3]
+    doc = np.repeat(np.arange(5), lengths)
+    score, link = rng.randn(doc.size, 2) * 3, rng.randn(2, 2)
+    own, pair, z = q.marginals(score, link, doc, block)
+    expected = [brute_marginals(score[doc == d].tolist(), link.tolist()) for d in range(5)]
+    assert np.allclose(own, np.concatenate([m for m, _ in expected])) and z == pytest.approx(sum(x for _, x in expected))
+    assert np.allclose(pair, q.marginals(score, link, doc, 100)[1])
+
+
+def test_choice_of_repeated_ids_and_labels_is_fixed(spark):
+    docs = [(1, "Good text one.\nAnd more."), (1, "### || 999"), (2, "### || 888 77"), (2, "### || 888 77"), (3, "A plain line."), (4, "line\n" * 500)]
+    labels = [(1, 1, 0), (1, 0, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0), (4, 1, 0)]
+    fields = []
+    for n in (1, 3, 5):
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        fields.append(q.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(n), sample_lines=100, steps=20))
+    assert fields[0].prior == pytest.approx(1 / 3)  # ids 1 and 2 are bad, 3 is good, 4 has too many lines
+    assert all(np.array_equal(f.weights, fields[0].weights) and np.array_equal(f.link, fields[0].link) for f in fields)
+
+
 def test_gradient_equals_differences():
     rng = np.random.RandomState(2)
     doc = np.array([0, 0, 0, 1, 1])

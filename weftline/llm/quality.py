@@ -6,13 +6,17 @@ link the labels of adjacent lines. Documents' labels teach every line of the
 document. A document's quality is the mean marginal probability of good, from
 the forward-backward recursions, weighted by the lines' lengths in bytes.
 
-Parameters: ``sample`` labelled documents at most are learned from (the smallest
-hashes of their ids), ``l2`` and ``steps`` of gradient descent.
+Parameters: at most ``sample`` labelled documents, of ``sample_lines`` lines in all,
+are learned from (the smallest hashes of their ids), each as one whole chain;
+``l2`` and ``steps`` of gradient descent.
 
 Defined cases: blank lines are no lines; null, empty and blank texts score the
-share of good documents in the sample; without labels every score is that share
-with nothing seen, 0.5; null labels teach nothing; repeated rows give repeated
-results; all lines of a long text count.
+share of good documents in the sample; without labels, as with empty tables,
+every score is that share with nothing seen, 0.5; null labels teach nothing;
+repeated rows teach once and give repeated results; of several labels or texts
+under one id a fixed choice teaches (see ``train``); all lines of a long text
+count, in one chain; a score of exactly the threshold counts as good; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -86,29 +90,51 @@ def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(score: np.ndarray, link: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(score: np.ndarray, link: np.ndarray, doc: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward over all chains at once. ``score``: (lines, 2), ``link``: (2, 2), ``doc``: ascending numbers.
 
-    Returns the lines' marginals, the summed pair marginals and the log partition function.
+    Chains of any length: each block of ``block`` lines is first summed to the matrix that leads through it, the
+    matrices carry messages along the chains, and then all blocks run side by side. Returns the lines' marginals, the
+    summed pair marginals and the log partition function.
     """
     n = score.shape[0]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     lengths = np.diff(np.append(first, n))
-    order = np.argsort(-lengths, kind="stable")
-    first, lengths = first[order], lengths[order]
-    alive = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    fwd, bwd = np.empty((n, 2)), np.zeros((n, 2))
-    fwd[first] = score[first]
-    for t in range(1, lengths[0]):
-        at = first[: alive[t]] + t
-        before = fwd[at - 1]
-        fwd[at, 0] = score[at, 0] + np.logaddexp(before[:, 0] + link[0, 0], before[:, 1] + link[1, 0])
-        fwd[at, 1] = score[at, 1] + np.logaddexp(before[:, 0] + link[0, 1], before[:, 1] + link[1, 1])
-    for t in range(lengths[0] - 2, -1, -1):
-        at = first[: alive[t + 1]] + t
+    per = -(-lengths // block)
+    nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)  # a block's number in its chain
+    start = np.repeat(first, per) + nth * block
+    size = np.minimum(block, np.repeat(first + lengths, per) - start)
+    opens, closes = nth == 0, nth == np.repeat(per, per) - 1
+    by_size = np.argsort(-size, kind="stable")
+    alive = np.searchsorted(-size[by_size], -np.arange(1, size.max() + 1), side="right")
+    by_nth = np.split(np.argsort(nth, kind="stable"), np.cumsum(np.bincount(nth))[:-1])
+
+    def through(m: np.ndarray) -> np.ndarray:
+        """Messages (blocks, 2) one line on, before that line's score."""
+        return np.column_stack([np.logaddexp(m[:, 0] + link[0, c], m[:, 1] + link[1, c]) for c in (0, 1)])
+
+    into, out = np.full((size.size, 2), [0.0, -np.inf]), np.zeros((size.size, 2))
+    if len(by_nth) > 1:
+        lead = np.empty((2, size.size, 2))  # from the label before the block to that of its last line
+        for a in (0, 1):
+            lead[a] = np.where(opens[:, None], 0.0, link[a]) + score[start]
+            for t in range(1, size.max()):
+                at = by_size[: alive[t]]
+                lead[a][at] = through(lead[a][at]) + score[start[at] + t]
+        for at in by_nth[1:]:
+            into[at] = np.logaddexp(into[at - 1, :1] + lead[0][at - 1], into[at - 1, 1:] + lead[1][at - 1])
+        for at in by_nth[:0:-1]:
+            out[at - 1] = np.column_stack([np.logaddexp(lead[a][at, 0] + out[at, 0], lead[a][at, 1] + out[at, 1]) for a in (0, 1)])
+    fwd, bwd = np.empty((n, 2)), np.empty((n, 2))
+    fwd[start] = np.where(opens[:, None], 0.0, through(into)) + score[start]
+    for t in range(1, size.max()):
+        at = start[by_size[: alive[t]]] + t
+        fwd[at] = through(fwd[at - 1]) + score[at]
+    bwd[start + size - 1] = np.where(closes[:, None], 0.0, out)
+    for t in range(size.max() - 2, -1, -1):
+        at = start[by_size[: alive[t + 1]]] + t
         after = bwd[at + 1] + score[at + 1]
-        bwd[at, 0] = np.logaddexp(link[0, 0] + after[:, 0], link[0, 1] + after[:, 1])
-        bwd[at, 1] = np.logaddexp(link[1, 0] + after[:, 0], link[1, 1] + after[:, 1])
+        bwd[at] = np.column_stack([np.logaddexp(link[a, 0] + after[:, 0], link[a, 1] + after[:, 1]) for a in (0, 1)])
     whole = fwd + bwd
     z = np.logaddexp(whole[:, 0], whole[:, 1])
     own = np.exp(whole - z[:, None])
@@ -169,10 +195,27 @@ class LineField:
         return np.clip(out, 0, 1), lines
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, **options) -> LineField:
-    """Learns from at most ``sample`` labelled documents; only their features reach the driver."""
-    drawn = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])  # at most ``sample`` rows
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_lines: int = 400_000, **options) -> LineField:
+    """Learns from at most ``sample`` labelled documents; only their features reach the driver.
+
+    An id with labels of both kinds counts as the lower one; of several texts under one id that of the smallest hash
+    teaches. Documents are drawn whole, in the order of a hash of their ids, while their lines add up to no more than
+    ``sample_lines``; one that is larger alone is passed over.
+    """
+    ranked = F.struct(F.xxhash64("doc_id", F.lit("quality sample")).alias("h"), "doc_id")
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    drawn = known.withColumn("rank", ranked).orderBy("rank").limit(sample)
+    one = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality", "rank").agg(one.alias("one"))  # at most ``sample`` rows
+    rows = rows.select("doc_id", "quality", "rank", "one.text")
+    sizes = rows.select("doc_id", "quality", "rank", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    chosen, total = {}, 0
+    for r in sorted(sizes.collect(), key=lambda r: tuple(r["rank"])):
+        if total + r.lines <= sample_lines:
+            total += r.lines
+            chosen[r.doc_id] = len(chosen)
+    if not chosen:
+        return LineField()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,23 +226,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, **options) ->
                 data = [x[a:b].astype("<f4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(data, pa.binary())], ["doc_id", "quality", "x"])
 
-    kind = rows.schema["quality"].dataType.simpleString()
-    ids = rows.schema["doc_id"].dataType.simpleString()
-    got = sorted(rows.select("doc_id", "text", "quality").mapInArrow(run, f"doc_id {ids}, quality {kind}, x binary").collect(), key=lambda r: r.doc_id)
-    if not got:
-        return LineField()
+    kind, ids = (rows.schema[c].dataType.simpleString() for c in ("quality", "doc_id"))
+    picked = docs.sparkSession.createDataFrame([(k,) for k in chosen], f"doc_id {ids}")
+    taught = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    got = sorted(taught.mapInArrow(run, f"doc_id {ids}, quality {kind}, x binary").collect(), key=lambda r: chosen[r.doc_id])
     field = LineField(prior=sum(int(r.quality) for r in got) / len(got))
     xs = [np.frombuffer(r.x, dtype="<f4").reshape(-1, FEATURES).astype(np.float64) for r in got]
-    x = np.concatenate(xs)
+    x, per = np.concatenate(xs), [len(own) for own in xs]
     if not x.shape[0]:
         return field
-    # chains of the sample are cut at 64 lines, so that recursions over all of them stay short
-    doc, good, at = [], [], 0
-    for r, own in zip(got, xs, strict=True):
-        doc.append(at + np.arange(len(own)) // 64)
-        at += 1 + len(own) // 64
-        good.append(np.full(len(own), int(r.quality)))
-    return field.fit(x, np.concatenate(doc), np.concatenate(good), **options)
+    return field.fit(x, np.repeat(np.arange(len(got)), per), np.repeat([int(r.quality) for r in got], per), **options)
 
 
 def score_documents(docs: DataFrame, field: LineField, id_col: str = "doc_id") -> DataFrame:
