@@ -201,6 +201,42 @@ def test_conversations_digest(spark):
     assert chat.digest_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def brute_digest(turns):
+    """Digests of one conversation's (role, text), and what it must format to."""
+    formatted = "".join(chat.format_turn(r, [{"type": "text", "text": t}])[0] for r, t in turns)
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)), len(loss), sha(loss), len(formatted))
+
+
+@pytest.mark.parametrize("chunk", [1, 60, 4_000_000])
+def test_masked_text_is_read_back_from_stored_conversations(spark, chunk):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["assistant", "<|turn|>", "<|end|>\n", "\\", "é🙂", "</s>", "<|image:0|>", "plain text", ""]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "assistant\\", "<|text|>"]), None if rng.random() < 0.1 else " ".join(rng.choices(words, k=rng.randrange(6)))) for c in (1, 2, 3, None) for t in range(25)]
+    rows += [(4, 0, "user", "x"), (4, 1, "assistant", "very long </s> " * 100_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).withColumns({c: F.lit("clash") for c in ("start", "formatted", "loss", "chunk", "last", "_order")})
+    got = {r.conv_id: tuple(r)[1:] for r in chat.digest_conversations(turns, chunk=chunk).collect()}
+    assert got == {c: brute_digest([(r, t) for k, _, r, t in rows if k == c]) for c in (1, 2, 3, 4, None)}
+
+
+def test_mask_spans_cover_the_assistants_parts_alone(spark):
+    parts = "array<struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>>"
+    rows = [
+        (1, 0, "user", [("text", "look: ", None, None, None, None, None), ("image", None, "a.png", 28, 28, None, None)]),
+        (1, 1, "assistant", [("text", "a <|end|> ", None, None, None, None, None), ("audio", None, "b.wav", None, None, 2.0, None), ("text", "b\\", None, None, None, None, None), ("document", None, "c.pdf", None, None, None, 2)]),
+        (1, 2, "assistant", None),
+    ]
+    stored = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts {parts}"))
+    row = stored.first()
+    assert [chat.unescape(row.formatted[x.start : x.start + x.length]) for x in row.loss] == ["a <|end|> <|audio:0|>b\\<|document:1|>"]
+    assert [(a.kind, a.ref, a.tokens) for a in row.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 50), ("document", "c.pdf", 1024)] and row.n_placeholder_tokens == 1078
+    digest = chat.digest_stored(stored).first()
+    assert digest.n_turns == 3 and digest.loss_sha256 == hashlib.sha256(b"a <|end|> b\\").hexdigest() and digest.formatted_chars == len(row.formatted)
+
+
 # ---------------------------------------------------------------- WARC
 
 BIG = "<p>" + "x" * 120 + "</p>"

@@ -7,13 +7,20 @@ tokens that each placeholder expands to. Turns are marked by control strings;
 inside texts a backslash breaks every control string, so that formatting can be
 read back exactly.
 
-Conversations are never gathered: turns are dealt out by conversation, sorted,
-and streamed. A conversation's digests grow turn by turn.
+Conversations are stored as strings with loss masks: spans, counted from the
+conversation's start, of the assistant's text. Turns are dealt out by
+conversation and streamed; a conversation longer than ``chunk`` characters is
+stored in several rows, cut between turns, so nothing larger than a chunk or a
+single turn is held. Reading back parses the stored strings and takes the
+trained text from the spans alone; only conversations of several rows are dealt
+out again.
 
 Defined cases: null text is empty, null role is the empty role, null turns come
 first, a null conversation id is a conversation of its own; rows with equal
-turns are ordered by role, then text; repeated rows are repeated turns; parts of
-unknown type raise ValueError; an empty table gives no conversation.
+turns are ordered by role, then text; repeated rows are repeated turns; a null
+list of parts is empty; parts of unknown type raise ValueError; very long texts
+are whole; other columns are not read, whatever their names, or stay as they are
+in ``format_turns``; an empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -24,10 +31,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import slices, table
+from weftline.llm._common import materialize, slices, table
 
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that steer a model; texts never contain them unbroken.
@@ -135,9 +142,102 @@ def format_turns(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, made(message).alias("_made")).select(*kept, "_made.*")
 
 
+# ---------------------------------------------------------------- stored conversations
+
+
+@dataclass
+class Chunk:
+    """What is formatted of the conversation that streams by and not yet stored."""
+
+    key: object
+    number: int = 0
+    start: int = 0  # characters of the conversation before this chunk
+    size: int = 0
+    placeholder_tokens: int = 0
+    pieces: list[str] = field(default_factory=list)
+    spans: list[tuple[int, int]] = field(default_factory=list)
+    attachments: list[dict] = field(default_factory=list)
+
+    def add(self, role: str | None, parts: list[dict], trained: str) -> None:
+        """One turn. The mask covers the parts of the trained role's turn, without what marks the turn."""
+        formatted, attached = format_turn(role, parts)
+        if role == trained:
+            ahead = len(OPEN) + len(escape(role)) + len(MIDDLE)
+            length = len(formatted) - ahead - len(CLOSE) - 1
+            if length:
+                self.spans.append((self.start + self.size + ahead, length))
+        self.pieces.append(formatted)
+        self.size += len(formatted)
+        self.attachments += attached
+        self.placeholder_tokens += sum(a["tokens"] for a in attached)
+
+    def row(self, last: bool) -> tuple:
+        return (self.key, self.number, last, self.start, "".join(self.pieces), [{"start": a, "length": n} for a, n in self.spans], self.attachments, self.placeholder_tokens)
+
+    def following(self) -> Chunk:
+        return Chunk(self.key, self.number + 1, self.start + self.size)
+
+
+STORED = (
+    "conv_id long, chunk long, last boolean, start long, formatted string, loss array<struct<start: long, length: long>>, "
+    "attachments array<struct<kind: string, ref: string, position: int, tokens: long>>, n_placeholder_tokens long"
+)
+_STORED = pa.schema([
+    ("conv_id", pa.int64()), ("chunk", pa.int64()), ("last", pa.bool_()), ("start", pa.int64()), ("formatted", pa.string()),
+    ("loss", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
+    ("attachments", pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("position", pa.int32()), ("tokens", pa.int64())]))), ("n_placeholder_tokens", pa.int64()),
+])
+
+
+def text_parts() -> Column:
+    """A text column as a list of one typed part."""
+    return F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+
+
+def format_conversations(turns: DataFrame, trained: str = "assistant", chunk: int = 4_000_000) -> DataFrame:
+    """Turn rows (conv_id, turn, role, and parts or text) as formatted conversations with loss masks: one row each, or one
+    per ``chunk`` characters. Attachments are numbered within their turn."""
+    columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), F.col("role")]
+    if "parts" in turns.columns:
+        narrow = turns.select(*columns, F.coalesce("parts", F.array()).alias("parts")).withColumn("_order", F.to_json("parts"))
+    else:
+        narrow = turns.select(*columns, text_parts().alias("parts"), F.col("text").alias("_order"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Chunk | None = None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STORED, strict=True)], schema=_STORED)
+
+        for batch in batches:
+            for part in slices(batch, 2000, 16):
+                done, held = [], 0
+                for key, role, parts in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if now is None or now.key != key:
+                        if now is not None:
+                            done.append(now.row(True))
+                            held += now.size
+                        now = Chunk(key)
+                    elif now.size >= chunk:
+                        done.append(now.row(False))
+                        held += now.size
+                        now = now.following()
+                    now.add(role, parts, trained)
+                    if held >= 16_000_000:
+                        yield batch_of(done)
+                        done, held = [], 0
+                if done:
+                    yield batch_of(done)
+        if now is not None:
+            yield batch_of([now.row(True)])
+
+    dealt = narrow.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "_order")
+    return dealt.select("conv_id", "role", "parts").mapInArrow(run, STORED)
+
+
 @dataclass
 class _Digest:
-    """What is known of the conversation that streams by."""
+    """What is known of the conversation that is read back."""
 
     key: object
     turns: int = 0
@@ -146,13 +246,21 @@ class _Digest:
     all: object = field(default_factory=hashlib.sha256)
     loss: object = field(default_factory=hashlib.sha256)
 
-    def add(self, role: str, text: str, formatted: str) -> None:
-        self.turns += 1
-        self.chars += len(formatted)
-        self.all.update(f"{role}\n{text}\n".encode())
-        if role == "assistant":
+    def add(self, formatted: str, start: int, spans: list[dict]) -> None:
+        """The next stored string. Turns come from its marks, trained text from its mask."""
+        if start != self.chars:
+            raise ValueError("a chunk is missing")
+        for role, parts in parse_turns(formatted):
+            self.turns += 1
+            self.all.update(f"{role}\n{''.join(p.get('text', '') for p in parts)}\n".encode())
+        for span in spans:
+            at = span["start"] - start
+            if at < 0 or at + span["length"] > len(formatted):
+                raise ValueError("a span leaves its chunk")
+            text = unescape(_PLACE.sub("", formatted[at : at + span["length"]]))
             self.loss_chars += len(text)
             self.loss.update(text.encode())
+        self.chars += len(formatted)
 
     def row(self) -> tuple:
         return (self.key, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars)
@@ -161,36 +269,34 @@ class _Digest:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest_conversations(turns: DataFrame) -> DataFrame:
-    """Format each turn, read the formatted string back, and digest conversations in the order of their turns."""
+def digest_stored(stored: DataFrame) -> DataFrame:
+    """Digests of stored conversations, read back. Placeholders are no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Digest | None = None
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = [f.split()[0] for f in DIGEST.split(", ")]
-
-        def rows(done: list[_Digest]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[d.row() for d in done], strict=True), kinds, strict=True)], names)
-
         for batch in batches:
             for part in slices(batch, 2000, 16):
                 done = []
-                for key, role, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    if now is None or now.key != key:
-                        if now is not None:
-                            done.append(now)
+                for key, number, last, start, formatted, spans in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                    if number == 0:
                         now = _Digest(key)
-                    formatted, _ = format_turn(role, [{"type": "text", "text": text}])
-                    for back, parts in parse_turns(formatted):
-                        now.add(back, "".join(p["text"] for p in parts), formatted)
+                    now.add(formatted, start, spans)
+                    if last:
+                        done.append(now.row())
                 if done:
-                    yield rows(done)
-        if now is not None:
-            yield rows([now])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+
+    columns = ["conv_id", "chunk", "last", "start", "formatted", "loss"]
+    whole = stored.where("chunk = 0 and last").select(*columns).mapInArrow(run, DIGEST)
+    cut = stored.where("not (chunk = 0 and last)").select(*columns).repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "chunk")
+    return whole.unionByName(cut.mapInArrow(run, DIGEST))
+
 
-    narrow = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role"), F.col("text"), F.col("turn"))
-    dealt = narrow.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.drop("turn").mapInArrow(run, DIGEST)
+def digest_conversations(turns: DataFrame, **options) -> DataFrame:
+    """Format and store conversations, read them back, and digest them."""
+    return digest_stored(materialize(format_conversations(turns, **options), "conversations"))
 
 
 def probe_conversation(spark: SparkSession) -> DataFrame:
