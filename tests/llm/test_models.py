@@ -13,13 +13,68 @@ from weftline.llm import quality as q
 DATA = "/root/testdata/sf0.01"
 
 
-def test_gram_counts_equal_brute_force():
-    data = "Ab  c!é".encode()
-    cleaned = "".join(chr(int(c)) for c in li._CLASS[np.frombuffer(b" " + data + b" ", np.uint8)])
-    while "  " in cleaned:
-        cleaned = cleaned.replace("  ", " ")
-    at, n = li.gram_counts(data)
-    assert n.sum() == 2 * len(cleaned) - 3 and len(set(at)) == len(at)
+@pytest.mark.parametrize("text", ["Ab  c!é", "", "a", "  ", "Zebra zebra 12 zebra-crossing Ünïcödé ... x", "aaaa" * 50])
+@pytest.mark.parametrize("buckets", [1 << 6, 1 << 14])
+def test_gram_counts_equal_brute_force(text, buckets):
+    spaced = [32, *(c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in text.encode()), 32]
+    cleaned = [c for i, c in enumerate(spaced) if not (c == 32 and i and spaced[i - 1] == 32)]
+    shift, expected = 32 - (buckets.bit_length() - 1), {}
+    for i in range(len(cleaned) - 1) if len(cleaned) > 2 else ():
+        a, b = cleaned[i : i + 2]
+        grams = [((a << 8 | b) * 2246822519 + 374761393) % (1 << 32) >> shift]
+        if i + 2 < len(cleaned):
+            grams.append((a << 16 | b << 8 | cleaned[i + 2]) * 2654435761 % (1 << 32) >> shift)
+        for g in grams:
+            expected[g] = expected.get(g, 0) + 1
+    at, n = li.gram_counts(text.encode(), buckets)
+    assert dict(zip(at.tolist(), n.tolist(), strict=True)) == expected
+
+
+def best_fit(p, n, rounds=400):
+    """Proportions of a set by many plain steps, one n-gram at a time."""
+    mix = [1 / p.shape[1]] * p.shape[1]
+    for _ in range(rounds):
+        new = [0.0] * len(mix)
+        for row, c in zip(p.tolist(), n.tolist(), strict=True):
+            whole = sum(m * x for m, x in zip(mix, row, strict=True))
+            for k, x in enumerate(row):
+                new[k] += c * mix[k] * x / whole
+        mix = [x / n.sum() for x in new]
+    return mix, sum(c * math.log(sum(m * x for m, x in zip(mix, row, strict=True))) for row, c in zip(p.tolist(), n.tolist(), strict=True))
+
+
+def test_language_sets_equal_exhaustive_search():
+    """The chosen set has the greatest penalised likelihood of all sets, by a fit of its own."""
+    from itertools import combinations
+
+    rng = np.random.RandomState(5)
+    model = li.MixtureModel(list("abcd"), rng.gamma(0.3, size=(4, 64)) * 1000, rounds=60)
+    draw = lambda k, size: rng.choice(64, size, p=model.likely[:, k] / model.likely[:, k].sum())
+    cases = [{0: 300}, {0: 300, 1: 150}, {0: 200, 1: 200, 2: 200}, {3: 20}, {0: 150, 1: 150, 2: 150, 3: 150}, {2: 400, 3: 24}]
+    for sizes in cases:
+        at, n = np.unique(np.concatenate([draw(k, size) for k, size in sizes.items()]), return_counts=True)
+        n = n.astype(float)
+        p = np.column_stack([model.likely[at], np.full(at.size, 1 / 64)])
+        cost = model.penalty * math.log(n.sum() + 1)
+        scored = {}
+        for size in range(1, 5):
+            for own in combinations(range(4), size):
+                mix, value = best_fit(p[:, [*own, 4]], n, 150)
+                scored[own] = (value - (size - 1) * cost, mix)
+                assert value <= model._most(p, n) + 1e-9
+        best = max(scored, key=lambda k: scored[k][0])
+        found, _ = model.infer(at, n)
+        assert set(found) == {model.languages[k] for k in best}
+        for k, share in zip(best, scored[best][1], strict=False):
+            assert found[model.languages[k]] == pytest.approx(share, abs=0.02)
+
+
+def test_a_small_passage_in_a_long_text_is_found():
+    rng = np.random.RandomState(6)
+    model = li.MixtureModel(list("abcd"), rng.gamma(0.3, size=(4, 512)) * 1000)
+    drawn = np.concatenate([rng.choice(512, size, p=model.likely[:, k] / model.likely[:, k].sum()) for k, size in ((0, 60_000), (2, 900))])
+    found, _ = model.infer(*(x.astype(t) for x, t in zip(np.unique(drawn, return_counts=True), (int, float), strict=True)))
+    assert set(found) == {"a", "c"} and found["c"] == pytest.approx(0.015, abs=0.005)
 
 
 def test_mixture_proportions():

@@ -2,21 +2,27 @@
 
 Languages are learned as distributions over hashed byte n-grams (lower-cased,
 word edges marked), from a bounded sample of labelled rows. A document is a
-mixture of languages: expectation-maximisation over its n-grams estimates the
-proportions, starting from all learned languages and a uniform background, which
-stays a component of every set: what it holds lowers the score.
-The language set then grows greedily from the best single language while the
-penalised log-likelihood improves; the largest proportion names the document.
+mixture of languages and of a uniform background, which is a component of every
+set: what it holds lowers the score. Expectation-maximisation over the n-grams
+estimates the proportions. The language set grows from the best single language:
+each step tries every language that is not yet chosen, and takes the one with the
+greatest likelihood, while that pays the penalty. (No step is tried where the
+likelihood of all languages together, bounded from above by its gradient, could
+not pay it.) The largest proportion names the document.
 
 Parameters: ``per_language`` rows are sampled per language at most (by a hash of
-the id, so about that many; every language with fewer keeps all its rows),
-``buckets`` n-gram buckets, ``penalty`` per added language and log n-gram,
-``rounds`` of expectation-maximisation.
+the id, so about that many; every language with fewer keeps all its rows), of
+which each counts as ``most_grams`` n-grams at most, whatever its length (all its
+n-grams are read, their counts are scaled); ``buckets`` n-gram buckets,
+``penalty`` per added language and log n-gram, ``rounds`` of
+expectation-maximisation.
 
 Defined cases: null text, empty text and texts without a letter are ``und`` with
 score 0; null languages teach nothing; a text whose n-grams were never seen falls
-to the smoothed distributions; without any labelled row everything is ``und``;
-repeated rows give repeated results; long texts are counted whole.
+to the background; without any labelled row, as with an empty table, everything
+is ``und``; repeated rows teach repeatedly and give repeated results; very long
+texts are counted whole; of equal likelihoods or proportions the language that
+comes first by name wins; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,22 +105,29 @@ class MixtureModel:
         single, alone = self._alone(p, n)
         chosen = [int(np.argmax(alone))]
         best, mix = float(alone[chosen[0]]), np.array([single[chosen[0]], 1 - single[chosen[0]]])
-        if k_all > 1:
-            full, _ = self._fit(p, n, np.full(k_all + 1, 1 / (k_all + 1)))
-            cost = self.penalty * np.log(n.sum() + 1)
-            for k in np.argsort(-full[:k_all], kind="stable"):
-                if k in chosen:
-                    continue
-                if full[k] < 0.02:
-                    break
-                own = [*chosen, int(k), k_all]
-                start = full[own] + 0.01
-                found, value = self._fit(p[:, own], n, start / start.sum())
+        cost = self.penalty * np.log(n.sum() + 1)
+        if k_all > 1 and self._most(p, n) > best + cost:
+            while len(chosen) < k_all:
+                tried = [self.fit_set([*chosen, k], p, n) for k in range(k_all) if k not in chosen]
+                found, value, own = max(tried, key=lambda t: (t[1], [-k for k in t[2]]))
                 if value <= best + cost:
                     break
-                chosen, best, mix = own[:-1], value, found
+                chosen, best, mix = own, value, found
         return {self.languages[k]: float(m) for k, m in zip(chosen, mix[:-1], strict=True)}, best / float(n.sum())
 
+    def fit_set(self, languages: list[int], p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float, list[int]]:
+        """Proportions of a set and the background, and the log-likelihood."""
+        own = [*languages, len(self.languages)]
+        found, value = self._fit(p[:, own], n, np.append(np.full(len(languages), 0.9 / len(languages)), 0.1))
+        return found, value, languages
+
+    def _most(self, p: np.ndarray, n: np.ndarray) -> float:
+        """No mixture is likelier than this: as the log-likelihood is concave in the proportions, its gradient at some
+        proportions bounds it everywhere."""
+        mix, value = self._fit(p, n, np.full(p.shape[1], 1 / p.shape[1]))
+        gain = float((p.T @ (n / (p @ mix))).max() / n.sum())
+        return value + float(n.sum()) * np.log(max(1.0, gain))
+
     def _alone(self, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each language with the background alone: its share, and the log-likelihood."""
         own, back, total = p[:, :-1], p[:, -1:], n.sum()
@@ -147,7 +160,7 @@ class MixtureModel:
         return top, min(1.0, found[top]), found
 
 
-def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, **options) -> MixtureModel:
+def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, most_grams: int = 1000, **options) -> MixtureModel:
     """Learns from rows with text and language. Counts are summed per task before the shuffle; the driver receives one
     row of ``buckets`` counts per language."""
     rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
@@ -162,8 +175,7 @@ def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, **o
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, n = gram_counts(text.encode(), buckets)
-                # a long text teaches no more than a thousand n-grams
-                sums.setdefault(lang, np.zeros(buckets))[at] += n * min(1.0, 1000 / max(1.0, n.sum()))
+                sums.setdefault(lang, np.zeros(buckets))[at] += n * min(1.0, most_grams / max(1.0, n.sum()))
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size), pa.array(at), pa.array(s[at])], ["lang", "at", "n"])
