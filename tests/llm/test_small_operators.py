@@ -56,7 +56,7 @@ def test_matching_statistics_are_longest_matches():
 
 
 def test_templates_give_labels_of_their_own():
-    text = "Header. " + lic.TEMPLATES["mit"].replace("copy", "kopy") + " And more. " + lic.TEMPLATES["bsd"]
+    text = "Header. " + lic.TEMPLATES["mit"][0].replace("copy", "kopy") + " And more. " + lic.TEMPLATES["bsd"][0]
     found = SCANNER.scan(text.encode())
     assert found["labels"] == "bsd,mit" and found["base_labels"] == "" and found["n_base"] == 0 and found["score"] > 0.8
     assert {x["label"] for x in found["spans"]} >= {"mit", "bsd"}
@@ -64,7 +64,7 @@ def test_templates_give_labels_of_their_own():
 
 
 def test_each_copy_of_a_header_is_a_span():
-    head, between = lic.TEMPLATES["apache"], " ".join(["code"] * 40)
+    head, between = lic.TEMPLATES["apache"][0], " ".join(["code"] * 40)
     size = len(lic.words_of(head.encode()))
     for gap in (between, "", "x y"):
         step = size + len(gap.split())
@@ -78,6 +78,25 @@ def test_each_copy_of_a_header_is_a_span():
     assert len([s for s in many if s["label"] == "apache" and s["coverage"] == 1]) == 3000
 
 
+@pytest.mark.parametrize("label", sorted(lic.TEMPLATES))
+def test_each_licence_is_told_from_those_that_share_its_wording(label):
+    for text in lic.TEMPLATES[label]:
+        found = SCANNER.scan(f"# Copyright 2020 someone {text} end of file".encode())
+        assert label in found["labels"].split(",") and set(found["labels"].split(",")) - {label} <= set(found["base_labels"].split(","))
+        assert any(s["label"] == label and s["coverage"] == 1 and (s["start"], s["end"]) == (3, 3 + len(lic.words_of(text.encode()))) for s in found["spans"])
+
+
+def test_bodies_without_their_opening_are_found():
+    texts = lic.TEMPLATES
+    mit = " ".join(texts["mit"][1].split()[25:])
+    assert SCANNER.scan(mit.encode())["labels"] == "mit"
+    assert SCANNER.scan(" ".join(texts["bsd"][1:]).encode())["labels"] == "bsd"
+    three = " ".join([*texts["bsd"][:2], *texts["bsd-3-clause"], texts["bsd"][2]])
+    assert SCANNER.scan(three.encode())["labels"] == "bsd,bsd-3-clause"
+    # the warranty alone is shared by licences, so that it tells none
+    assert SCANNER.scan(" ".join(texts["mit"][1].split()[88:130]).encode())["labels"] == ""
+
+
 def test_license_scan_odd_documents(odd_docs, no_docs, clashing):
     rows = lic.scan_licenses(clashing(odd_docs)).collect()
     texts = {r.doc_id: r.text for r in odd_docs.collect()}

@@ -3,12 +3,17 @@
 Each text streams through the automaton, which yields its matching statistics
 (the longest template substring that ends at each word). Right-maximal matches
 are chained, in order and with bounded gaps, into covered template spans, every
-one that overlaps no better span of the same template; the share of a template
-that its best chain covers decides the labels.
+one that overlaps no better span of the same template. Licences share wording, so
+of spans that lie for the better part in one another only the best is kept: that
+of the larger share of its template, then of more words. The share of a template
+that a kept span covers decides the labels.
 
 Defined cases: null text counts as empty; empty texts have no words, no places,
-empty labels and score 0; repeated rows give repeated results; long texts are
-streamed word by word and never cut.
+empty labels and score 0; an empty table gives no rows; repeated rows give
+repeated results; very long texts are streamed word by word and never cut; of
+equal chains one in the middle is taken first, so that many copies in a row are
+halved, and equal spans of different templates are all kept; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm._common import as_bytes, map_batches, table
+from weftline.llm.license_texts import TEMPLATES
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -32,19 +38,6 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-# Opening passages of well-known public licences.
-TEMPLATES = {
-    "apache": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text after lower-casing A-Z; every non-ASCII byte belongs to a word."""
     return WORD.findall(text.lower())
@@ -112,11 +105,11 @@ class LicenseScanner:
     """Base phrases and templates in one automaton. ``min_match``: words of a chained match, ``max_gap``: words
     between chained matches, ``cover``: the share of a template that gives its label."""
 
-    def __init__(self, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, min_match: int = 4, max_gap: int = 12, cover: float = 0.6):
+    def __init__(self, phrases: dict[str, str] | None = None, templates: dict[str, tuple[str, ...]] | None = None, min_match: int = 4, max_gap: int = 12, cover: float = 0.6):
         phrases, templates = BASE_PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
         self.min_match, self.max_gap, self.cover = min_match, max_gap, cover
         self.phrases = [(words_of(p.encode()), label) for p, label in phrases.items()]
-        self.templates = [(words_of(t.encode()), label) for label, t in templates.items()]
+        self.templates = [(words_of(t.encode()), label) for label, texts in templates.items() for t in texts]
         self.auto = SuffixAutomaton()
         sequences = [t for t, _ in self.phrases + self.templates]
         for i, tokens in enumerate(sequences):
@@ -157,7 +150,7 @@ class LicenseScanner:
                 places.extend((i - n + 1, k) for k in phrase_at[state] if (n := len(self.phrases[k][0])) <= size)
         if size >= self.min_match:
             long.append((at, size, state))
-        spans = self._chain(long)
+        spans = self._best_of_each_place(self._chain(long))
         base = sorted({self.phrases[k][1] for _, k in places})
         own = {self.templates[t][1] for t, covered, *_ in spans if covered >= self.cover}
         score = max([1.0 if places else 0.0, *(covered for _, covered, *_ in spans)])
@@ -194,6 +187,24 @@ class LicenseScanner:
                 pieces += [*self._apart(left), *self._apart(right)]
         return sorted(out, key=lambda x: (self.templates[x[0]][1], x[2]))
 
+    def _best_of_each_place(self, spans: list[tuple[int, float, int, int]]) -> list[tuple[int, float, int, int]]:
+        """Spans without those that lie for the better part in a span that is better: of a larger share, then of more words."""
+        rank = lambda x: (x[1], x[1] * len(self.templates[x[0]][0]))
+        order = sorted(spans, key=lambda x: (x[2], x[3]))
+        beaten = [False] * len(order)
+        open_: list[int] = []
+        for i, x in enumerate(order):
+            open_ = [j for j in open_ if order[j][3] > x[2]]
+            for j in open_:
+                y = order[j]
+                common = min(x[3], y[3]) - x[2]
+                if rank(x) != rank(y):
+                    worse, k = (x, i) if rank(x) < rank(y) else (y, j)
+                    beaten[k] |= 2 * common >= worse[3] - worse[2]
+            open_.append(i)
+        kept = [x for x, gone in zip(order, beaten, strict=True) if not gone]
+        return sorted(kept, key=lambda x: (self.templates[x[0]][1], x[2]))
+
     def _apart(self, found: list[tuple]) -> list[list[tuple]]:
         """Matches in pieces so far apart that no chain crosses; each piece by its matches' ends."""
         pieces: list[list[tuple]] = []
