@@ -1,3 +1,6 @@
+import base64
+
+import naive_webp
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -20,6 +23,45 @@ def test_each_part_of_the_format_round_trips(options, shape):
         assert (w.decode(w.encode(px, **options)) == px).all()
 
 
+@pytest.mark.parametrize("options", [*OPTIONS, {"palette": True}, {"palette": True, "predictor": 1, "cache_bits": 2}, {"tile_bits": 2, "predictor": 13, "cross": (-3, 5, -100)}], ids=str)
+def test_a_decoder_of_its_own_reads_the_same(options):
+    rng = np.random.RandomState(9)
+    few = rng.randint(0, 2**32, size=11, dtype=np.uint64).astype(np.uint32)
+    for px in (few[rng.randint(0, 11, size=(9, 13))], few[rng.randint(0, 2, size=(6, 21))]):
+        data = w.encode(px, **options)
+        assert naive_webp.decode(data, w.NEIGHBOURS) == px.tolist() == w.decode(data).tolist()
+
+
+def test_a_file_of_another_encoder():
+    """The one-pixel file that is widely used to find out whether a browser reads lossless WebP."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert w.decode(data).shape == (1, 1) and w.decode(data).tolist() == naive_webp.decode(data, w.NEIGHBOURS)
+
+
+def test_short_distances_are_ordered_by_nearness():
+    far = [x * x + y * y for x, y in w.NEIGHBOURS]
+    assert len(set(w.NEIGHBOURS)) == 120 and far == sorted(far) and all(y > 0 or x > 0 for x, y in w.NEIGHBOURS)
+
+
+@pytest.mark.parametrize("text", ["a plain text, " * 40, "ab" * 300, "".join(map(chr, range(32, 127))) * 9, "\n".join(f"line {i % 7} that is met again and again" for i in range(40)), "x", "é漢🙂" * 50])
+def test_stored_payloads_are_read_by_a_decoder_of_its_own(text):
+    payload = media.padded(text.encode())
+    rows = [row for f in media.files_of(media.store(payload)) for row in naive_webp.decode(f, w.NEIGHBOURS)]
+    assert bytes(p >> 8 & 255 for row in rows for p in row) == payload == media.samples_of(media.store(payload))
+
+
+@pytest.mark.parametrize("mode", [1, 2])
+def test_payloads_of_gradients_are_predicted(mode):
+    steps = np.random.RandomState(2).randint(0, 3, size=(40, 64)).astype(np.uint8)
+    rows = np.cumsum(steps, axis=2 - mode, dtype=np.uint8)
+    payload = rows.tobytes()
+    stored = media.store(payload)
+    plain = len(payload) * 7 // 8
+    assert len(stored) < plain / 2 and media.samples_of(stored) == payload
+    assert bytes(p >> 8 & 255 for row in naive_webp.decode(stored, w.NEIGHBOURS) for p in row) == payload
+    assert (media.pixels_of(stored)[0] >> 24 == 255).all()
+
+
 @pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16, 17, 256])
 def test_palettes_pack_samples(colours):
     rng = np.random.RandomState(colours)

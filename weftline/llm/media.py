@@ -4,9 +4,17 @@ A payload of whole 64-byte rows becomes grey samples, 64 to a row, in images of
 at most ``MAX_SIDE`` rows; larger payloads take several files one after the
 other. The codec is ``webp_lossless``.
 
+The encoder takes, by its entropy, the shortest of: a palette that packs samples,
+back-references to repeated lines, and a predictor with uniform mode. Colour
+cache, code groups and transforms across colours cannot shorten one channel of
+text; they are decoded wherever other encoders used them.
+
 Defined cases: null text is the empty payload, which is padded to one row of
 zeros; repeated rows give equal files; very long texts take several images, so
-that a decoder holds one MiB of samples at a time; an empty table gives no rows.
+that a decoder holds one MiB of samples at a time; of equally short forms the one
+without a predictor, then the left neighbour is taken, so that equal texts give
+equal bytes; other columns are not read, whatever their names (``read_features``
+replaces those that it adds); an empty table gives no rows.
 """
 
 from __future__ import annotations

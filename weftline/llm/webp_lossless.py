@@ -518,7 +518,18 @@ def _predict_all(values: list, width: int, modes: list, inverse: bool) -> list:
     return out
 
 
+def _sum_up(pixels: np.ndarray, width: int, height: int, mode: int) -> np.ndarray:
+    """Inverse of one mode everywhere, left (1) or top (2): running sums. The edges lead to the first pixel."""
+    c = _channels(pixels).reshape(height, width, 4).copy()
+    c[0, 0, 3] = int(c[0, 0, 3]) + 255 & 255
+    edge = c[:, 0] if mode == 1 else c[0]
+    edge[:] = np.cumsum(edge, axis=0, dtype=np.uint8)
+    return _joined(np.cumsum(c, axis=2 - mode, dtype=np.uint8))
+
+
 def _unpredict(pixels: np.ndarray, width: int, height: int, bits: int, elements: np.ndarray, inverse: bool = True) -> np.ndarray:
+    if inverse and elements.size and (elements == elements[0]).all() and (mode := int(elements[0] >> 8 & 15)) in (1, 2):
+        return _sum_up(pixels, width, height, mode)
     modes = (_tiles(width, height, bits, elements) >> 8 & 15).tolist()
     values = [tuple(c) for c in _channels(pixels).tolist()]
     return _joined(np.array(_predict_all(values, width, modes, inverse), dtype=np.uint8))
@@ -678,9 +689,11 @@ def _write_lengths(w: _Writer, lengths: dict[int, int], alphabet: int) -> dict[i
 
 def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
     """Samples as the green channel, in rows of ``width``. At most 16 different values go through a palette that packs
-    samples; otherwise lines (ended by byte 10) met before become back-references. All steps work on whole arrays."""
+    samples; otherwise lines (ended by byte 10) met before become back-references, or the samples are predicted from
+    their left or top neighbour, whichever is shortest by its entropy. With one channel and one code a colour cache and
+    the transforms across colours could save nothing. All steps work on whole arrays."""
     b = np.frombuffer(samples, dtype=np.uint8)
-    height = b.size // width
+    height, now = b.size // width, width
     counts = np.bincount(b, minlength=256)
     w = _Writer()
     _head(w, width, height)
@@ -691,13 +704,13 @@ def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
         steps = np.diff(_channels(colours << 8 | np.uint32(255 << 24)).astype(np.int16), axis=0, prepend=0)
         _write_image(w, _joined((steps & 255).astype(np.uint8)), colours.size, 0, False, False)
         bits = 3 if colours.size <= 2 else 2 if colours.size <= 4 else 1
-        green, _ = _bundle(np.searchsorted(colours, b).reshape(height, width), bits)
+        green, now = _bundle(np.searchsorted(colours, b).reshape(height, width), bits)
         b = (green >> 8 & 255).astype(np.uint8)
         counts = np.bincount(b, minlength=256)
         references = []
     else:
         references = _line_references(samples, least_line)
-    w.put(0, 3)  # no further transform, no cache, one group
+    alpha = 255
     pieces, at = [], 0
     for start, length, _ in references:
         pieces.append(b[at:start])
@@ -706,6 +719,15 @@ def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
     literals = np.concatenate(pieces) if references else b
     if references:
         counts = np.bincount(literals, minlength=256)
+    if now == width and (best := _paying_predictor(b.reshape(height, width), _cost(counts) + 4 * len(references))):
+        mode, b = best
+        tile = 9
+        w.put(0b001, 3)
+        w.put(tile - 2, 3)
+        across, down = (n + (1 << tile) - 1 >> tile for n in (width, height))
+        _write_image(w, np.full(across * down, 255 << 24 | mode << 8, dtype=np.uint32), across, 0, True, False)
+        counts, references, pieces, alpha = np.bincount(b, minlength=256), [], [b], 0
+    w.put(0, 3)  # no further transform, no cache, one group
     own = {int(s): int(counts[s]) for s in np.flatnonzero(counts)}
     far: dict[int, int] = {}
     for _, length, d in references:
@@ -714,7 +736,7 @@ def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
         p = prefix_of(d + len(NEIGHBOURS))[0]
         far[p] = far.get(p, 0) + 1
     green = _write_lengths(w, code_lengths(own, 12), LITERALS + LENGTHS)
-    for alone in (0, 0, 255):
+    for alone in (0, 0, alpha):
         _write_code(w, {alone: 1}, LITERALS)
     distance = _write_lengths(w, code_lengths(far or {0: 1}, 12), DISTANCES)
     if len(green) == 1:
@@ -742,6 +764,25 @@ def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
     return _riff(w, _pack_bits(w, value, size))
 
 
+def _cost(counts: np.ndarray) -> float:
+    """Bytes of so many symbols by their entropy, and about what their code's description takes."""
+    n = counts[counts > 0]
+    return float((n * np.log2(n.sum() / n)).sum()) / 8 + 0.6 * n.size
+
+
+def _paying_predictor(rows: np.ndarray, cost: float) -> tuple[int, np.ndarray] | None:
+    """The mode (left or top) and residuals that take less than ``cost`` with its own overhead, if there is one."""
+    best, out = cost - 16, None
+    left = np.diff(rows, axis=1, prepend=np.uint8(0))
+    left[:, 0] = np.diff(rows[:, 0], prepend=np.uint8(0))
+    top = np.diff(rows, axis=0, prepend=np.uint8(0))
+    top[0] = np.diff(rows[0], prepend=np.uint8(0))
+    for mode, residual in ((1, left.ravel()), (2, top.ravel())):
+        if (need := _cost(np.bincount(residual, minlength=256))) < best:
+            best, out = need, (mode, residual)
+    return out
+
+
 def _pack_bits(w: _Writer, value: np.ndarray, size: np.ndarray) -> bytes:
     """The writer's bits, then each value in its size (at most 32 bits)."""
     ends = np.cumsum(size)
