@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline import cli, schema
 from weftline.plans.views import Views
-from weftline.sources import chunked, tables
+from weftline.sources import blosc, chunked, lineage_store, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def volume(tmp_path, name="a_1", codec="zlib", shape=(3, 4, 6, 5)):
     return data
 
 
-@pytest.mark.parametrize("codec", ["zlib", "raw"])
+@pytest.mark.parametrize("codec", ["zlib", "raw", "blosc"])
 def test_chunked_frames(spark, tmp_path, codec):
     data = volume(tmp_path, codec=codec)
     volume(tmp_path, "b_2", codec)
@@ -49,8 +49,107 @@ def test_bad_volumes(tmp_path):
     (tmp_path / "a_1.zarr/.zarray").write_text(json.dumps(meta | {"chunks": [2, 4, 6, 5]}))
     with pytest.raises(ValueError, match="one frame"):
         chunked.read_frame(chunked.array_info(tmp_path / "a_1.zarr"), 0)
-    with pytest.raises(NotImplementedError, match="blosc"):
-        chunked.decompress(b"", "blosc")
+    with pytest.raises(NotImplementedError, match="lzma"):
+        chunked.decompress(b"", "lzma")
+
+
+def frame_by_hand(data, size, codec, flags, block):
+    """A Blosc frame built element by element and bit by bit."""
+    import zlib
+
+    import zstandard
+
+    press = zlib.compress if codec == 3 else zstandard.ZstdCompressor().compress
+    starts, body, at = [], b"", 16 + 4 * -(-len(data) // block)
+    for k in range(0, len(data), block):
+        part = data[k : k + block]
+        n = len(part) // size
+        items = [part[i * size : (i + 1) * size] for i in range(n)]
+        if flags & 4 and n % 8 == 0:
+            rows = []
+            for byte in range(size):
+                for bit in range(8):
+                    rows += [sum((items[i + j][byte] >> bit & 1) << j for j in range(8)) for i in range(0, n, 8)]
+            part = bytes(rows) + part[n * size :]
+        elif flags & 1:
+            part = bytes(items[i][byte] for byte in range(size) for i in range(n)) + part[n * size :]
+        streams = size if not flags & 16 and len(part) == block and block // size >= 128 else 1
+        starts.append(at)
+        for q in range(streams):
+            own = part[q * len(part) // streams : (q + 1) * len(part) // streams]
+            made = press(own)
+            made = made if len(made) < len(own) else own
+            body += struct.pack("<I", len(made)) + made
+            at += 4 + len(made)
+    return struct.pack("<4B3I", 2, 1, flags | codec << 5, size, len(data), block, 16 + 4 * len(starts) + len(body)) + struct.pack(f"<{len(starts)}I", *starts) + body
+
+
+@pytest.mark.parametrize("codec", [3, 4])
+@pytest.mark.parametrize("flags", [0, 1, 4, 16, 17, 20])
+@pytest.mark.parametrize("size", [1, 2, 8])
+def test_blosc_frames_made_by_hand(codec, flags, size):
+    rng = np.random.RandomState(flags + size)
+    for n in (0, 5, 64, 3000, 5003):
+        data = np.repeat(rng.randint(0, 256, n // 3 + 1), 3).astype(np.uint8).tobytes()[:n]
+        assert blosc.decode(frame_by_hand(data, size, codec, flags, 1024)) == data
+
+
+def test_blosc_round_trips_and_errors():
+    rng = np.random.RandomState(1)
+    data = np.sort(rng.randint(0, 60000, 100_003)).astype("<u2").tobytes()
+    for shuffle in ("bits", "bytes", "none"):
+        frame = blosc.encode(data, 2, shuffle)
+        assert blosc.decode(frame) == data
+    assert len(blosc.encode(data, 2)) < len(data) / 2 and blosc.decode(blosc.encode(b"", 2)) == b""
+    stored = struct.pack("<4B3I", 2, 1, 2, 2, 6, 6, 22) + b"abcdef"
+    assert blosc.decode(stored) == b"abcdef"
+    with pytest.raises(ValueError):
+        blosc.decode(frame[:-1])
+    with pytest.raises(NotImplementedError, match="lz4"):
+        blosc.decode(struct.pack("<4B3I", 2, 1, 16 | 1 << 5, 1, 64, 64, 26) + struct.pack("<2I", 20, 2) + b"xx")
+
+
+def write_array(folder, a, chunk, version, codec="raw"):
+    """Numbers as a chunked array."""
+    folder.mkdir(parents=True)
+    grid = [-(-s // c) for s, c in zip(a.shape, chunk, strict=True)]
+    if version == 3:
+        codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, *([{"name": codec}] if codec != "raw" else [])]
+        meta = {"zarr_format": 3, "node_type": "array", "shape": a.shape, "data_type": a.dtype.name, "chunk_grid": {"configuration": {"chunk_shape": chunk}}, "codecs": codecs, "chunk_key_encoding": {"configuration": {"separator": "/"}}, "fill_value": 0}
+        (folder / "zarr.json").write_text(json.dumps(meta))
+    else:
+        (folder / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": a.shape, "chunks": chunk, "dtype": a.dtype.str, "compressor": {"id": codec} if codec != "raw" else None, "fill_value": 0, "order": "C", "filters": None}))
+    for at in np.ndindex(*grid):
+        part = np.zeros(chunk, a.dtype)
+        own = a[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunk, strict=True))]
+        part[tuple(slice(0, n) for n in own.shape)] = own
+        data = blosc.encode(part.tobytes(), a.dtype.itemsize) if codec == "blosc" else part.tobytes()
+        f = folder / ("c/" + "/".join(map(str, at)) if version == 3 else ".".join(map(str, at)))
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(data)
+
+
+@pytest.mark.parametrize("version,codec,kind", [(2, "raw", "attrs"), (3, "blosc", "props"), (2, "blosc", "props")])
+def test_lineage_stores(spark, tmp_path, version, codec, kind):
+    rng = np.random.RandomState(7)
+    nodes = {}
+    for name, n in (("v1", 25), ("v2", 3)):
+        store = tmp_path / f"{name}.geff"
+        nodes[name] = [np.arange(n, dtype=np.uint64) * 3, rng.randint(0, 9, n).astype("<i4"), *(rng.rand(n).astype(d) for d in ("<f8", "<f4", "<f8"))]
+        write_array(store / "nodes" / "ids", nodes[name][0], (10,), version, codec)
+        for c, values in zip("tzyx", nodes[name][1:], strict=True):
+            write_array(store / "nodes" / kind / c / "values", values, (7,), version, codec)
+        write_array(store / "edges" / "ids", np.stack([nodes[name][0][:-1], nodes[name][0][1:]], axis=1), (6, 1 if n > 5 else 2), version, codec)
+        about = {"geff": {"version": "1", "extra": {"estimated_number_of_nodes": 4 * n} if n > 5 else None}}
+        (store / ("zarr.json" if version == 3 else ".zattrs")).write_text(json.dumps({"zarr_format": 3, "node_type": "group", "attributes": about} if version == 3 else about))
+    n, e, m = lineage_store.read_lineage_stores(spark, str(tmp_path))
+    expected = sorted((v, *(x.item() for x in row)) for v, columns in nodes.items() for row in zip(*columns, strict=True))
+    assert sorted(map(tuple, n.collect())) == expected and n.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, e.collect())) == sorted((v, int(a), int(b)) for v, c in nodes.items() for a, b in zip(c[0], c[0][1:], strict=False))
+    assert {r.volume: r.estimated_number_of_nodes for r in m.collect()} == {"v1": 100, "v2": None}
+    assert {r.volume for r in lineage_store.read_lineage_stores(spark, str(tmp_path), ["v2"])[0].collect()} == {"v2"}
+    with pytest.raises(FileNotFoundError, match="v9"):
+        lineage_store.read_lineage_stores(spark, str(tmp_path), ["v1", "v9"])
 
 
 def test_csv_round_trip(spark, tmp_path):

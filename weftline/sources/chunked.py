@@ -3,8 +3,8 @@
 A volume is a folder ``name.zarr`` with an array (or a member ``0``) of
 little-endian uint16, axes t, z, y, x, one frame per chunk. Metadata is read from
 the array's JSON (version 2 ``.zarray`` or 3 ``zarr.json``). Chunks may be raw,
-zlib, gzip or zstd compressed; other codecs raise a clear error. Spark reads
-through ``spark.read.format("chunked_frames").load(path)``.
+zlib, gzip, zstd or Blosc (over zstd or zlib) compressed; other codecs raise a
+clear error. Spark reads through ``spark.read.format("chunked_frames").load(path)``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from weftline.sources import blosc
+
 
 def find_volumes(path: str | Path | list) -> list[Path]:
     """The volume itself, or the sorted volumes of a folder; a list is checked and its bad paths are named."""
@@ -72,7 +74,9 @@ def decompress(data: bytes, codec: str) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    raise NotImplementedError(f"codec {codec!r}: recode the chunks as raw, zlib, gzip or zstd")
+    if codec == "blosc":
+        return blosc.decode(data)
+    raise NotImplementedError(f"codec {codec!r}: recode the chunks as raw, zlib, gzip, zstd or blosc")
 
 
 def read_frame(info: ArrayInfo, t: int) -> tuple[list[int], bytes]:
@@ -134,4 +138,62 @@ def write_volume(path: str | Path, frames, codec: str = "zlib") -> None:
     (folder / ".zarray").write_text(json.dumps(meta))
     for t in range(a.shape[0]):
         data = a[t].tobytes()
-        (folder / ".".join([str(t), *["0"] * (a.ndim - 1)])).write_bytes(zlib.compress(data) if codec == "zlib" else data)
+        stored = {"zlib": zlib.compress, "blosc": lambda x: blosc.encode(x, 2), "raw": bytes}[codec](data)
+        (folder / ".".join([str(t), *["0"] * (a.ndim - 1)])).write_bytes(stored)
+
+
+# ---------------------------------------------------------------- arrays of any number type
+
+
+@dataclass(frozen=True)
+class StoredArray(ArrayInfo):
+    dtype: str
+    fill: float
+
+
+def attributes(group: str | Path) -> dict:
+    """Attributes of a group, version 2 or 3."""
+    if (f := Path(group) / "zarr.json").exists():
+        return json.loads(f.read_text()).get("attributes") or {}
+    f = Path(group) / ".zattrs"
+    return json.loads(f.read_text()) if f.exists() else {}
+
+
+def stored_array(folder: str | Path) -> StoredArray:
+    """Metadata of one array of numbers in C order."""
+    if (f := Path(folder) / "zarr.json").exists():
+        m = json.loads(f.read_text())
+        names = [c["name"] for c in m["codecs"] if c["name"] != "bytes"]
+        if any((c.get("configuration") or {}).get("endian", "little") != "little" for c in m["codecs"] if c["name"] == "bytes") or len(names) > 1:
+            raise NotImplementedError(f"{folder}: codecs {[c['name'] for c in m['codecs']]}")
+        separator = m.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
+        return StoredArray(str(folder), tuple(m["shape"]), tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), names[0] if names else "raw", 3, separator, m["data_type"], m.get("fill_value") or 0)
+    m = json.loads((Path(folder) / ".zarray").read_text())
+    if m.get("order", "C") != "C" or m.get("filters"):
+        raise NotImplementedError(f"{folder}: order {m.get('order')!r}, filters {m.get('filters')!r}")
+    return StoredArray(str(folder), tuple(m["shape"]), tuple(m["chunks"]), (m.get("compressor") or {}).get("id", "raw"), 2, m.get("dimension_separator", "."), m["dtype"], m.get("fill_value") or 0)
+
+
+def read_rows(a: StoredArray, step: int | None = None) -> Iterator:
+    """An array of one or two axes as pieces of ``step`` rows (its chunks' rows without one), the last one shorter."""
+    import numpy as np
+
+    held, n, step = [], 0, step or a.chunk[0]
+    dtype = np.dtype(a.dtype)
+    for i in range(-(-a.shape[0] // a.chunk[0])):
+        across = [range(-(-s // c)) for s, c in zip(a.shape[1:], a.chunk[1:], strict=True)]
+        parts = []
+        for j in across[0] if across else [None]:
+            key = a.separator.join(str(k) for k in (i, j) if k is not None)
+            f = Path(a.folder) / ("c" + a.separator + key if a.version == 3 else key)
+            data = np.frombuffer(decompress(f.read_bytes(), a.codec), dtype) if f.exists() else np.full(math.prod(a.chunk), a.fill, dtype)
+            parts.append(data.reshape(a.chunk))
+        rows = np.concatenate(parts, axis=1)[:, : a.shape[1]] if across else parts[0]
+        held.append(rows[: a.shape[0] - i * a.chunk[0]])
+        n += len(held[-1])
+        while n >= step:
+            whole = np.concatenate(held)
+            yield whole[:step]
+            held, n = [whole[step:]], n - step
+    if n:
+        yield np.concatenate(held)
