@@ -1,7 +1,8 @@
 """One-to-one matching of candidate pairs within groups.
 
 A pair that is the only one for both of its ends is taken in SQL; only contested
-pairs reach the solver, one (volume, frame) at a time.
+pairs reach the solver, one group (volume, frame) at a time, or one connected
+component at a time where groups pool many frames.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.solver import match_pairs
+from weftline.operators.graph import components
 
 
 class Objective(Enum):
@@ -27,8 +29,9 @@ class Objective(Enum):
         return 1000.0 * gate + 1 if self is Objective.CARDINALITY else gate + 1
 
 
-def match(candidates: DataFrame, gate: float, objective: Objective = Objective.CARDINALITY, keys: tuple[str, ...] = ("volume", "t"), strict: bool = False) -> DataFrame:
-    """``candidates``: keys, a_id, b_id, distance_um. The pairs of an optimal matching; ``strict`` drops pairs at the gate itself."""
+def match(candidates: DataFrame, gate: float, objective: Objective = Objective.CARDINALITY, keys: tuple[str, ...] = ("volume", "t"), strict: bool = False, by_component: bool = False) -> DataFrame:
+    """``candidates``: keys, a_id, b_id, distance_um. The pairs of an optimal matching; ``strict`` drops pairs at the gate itself.
+    ``by_component``: groups may be large, so their connected components are found first and are solved apart."""
     near = F.col("distance_um") < gate if strict else F.col("distance_um") <= gate
     candidates = candidates.where(near).select(*keys, "a_id", "b_id", "distance_um")
     count = lambda c: F.count("*").over(Window.partitionBy(*keys, c))
@@ -42,4 +45,10 @@ def match(candidates: DataFrame, gate: float, objective: Objective = Objective.C
         return pdf[take]
 
     contested = counted.where(~alone).drop("_na", "_nb")
+    if by_component:
+        group = F.struct(*keys).alias("volume")
+        edges = contested.select(group, (2 * F.col("a_id")).alias("source_id"), (2 * F.col("b_id") + 1).alias("target_id"))
+        of_a = components(edges).where("node_id % 2 = 0").select(*[F.col(f"volume.{k}").alias(k) for k in keys], (F.col("node_id") / 2).cast("long").alias("a_id"), "component")
+        columns = contested.columns
+        return sure.unionByName(contested.join(of_a, [*keys, "a_id"]).groupBy(*keys, "component").applyInPandas(lambda pdf: solve(pdf)[columns], contested.schema))
     return sure.unionByName(contested.groupBy(*keys).applyInPandas(solve, contested.schema))

@@ -337,12 +337,24 @@ def detect_by_scorer(frames: DataFrame, scorer: Callable[[np.ndarray], np.ndarra
 
 
 def to_dense(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Long-form voxels of full frames as dense frames."""
-    value = F.transform(F.array_sort(F.collect_list(F.struct("z", "y", "x", "v"))), lambda s: s["v"].cast("int"))
-    listed = voxels.groupBy("volume", "t").agg(value.alias("values"))
+    """Long-form voxels as dense frames: each plane is packed by itself, then a frame's planes are joined. Voxels that are
+    not there are 0; positions outside of the shape and values beyond 16 bits raise ValueError."""
+    depth, rows, columns = shape
+
+    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = int(pdf.z.iloc[0])
+        if not 0 <= z < depth or not pdf.y.between(0, rows - 1).all() or not pdf.x.between(0, columns - 1).all() or not pdf.v.between(0, 65535).all():
+            raise ValueError(f"voxels outside of {shape} or of 16 bits: {pdf.volume.iloc[0]}, frame {pdf.t.iloc[0]}")
+        out = np.zeros((rows, columns), dtype="<u2")
+        out[pdf.y, pdf.x] = pdf.v
+        return pd.DataFrame({"volume": [pdf.volume.iloc[0]], "t": [int(pdf.t.iloc[0])], "z": [z], "data": [out.tobytes()]})
+
+    planes = voxels.select("volume", "t", "z", "y", "x", "v").groupBy("volume", "t", "z").applyInPandas(plane, "volume string, t int, z int, data binary")
+    listed = planes.groupBy("volume", "t").agg(F.collect_list(F.struct("z", "data")).alias("planes"))  # as large as the frame
 
     @F.pandas_udf("binary")
-    def packed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: np.asarray(v, dtype="<u2").tobytes())
+    def joined(planes: pd.Series) -> pd.Series:
+        dark = bytes(2 * rows * columns)
+        return planes.map(lambda found: b"".join((held := {p["z"]: p["data"] for p in found}).get(z, dark) for z in range(depth)))
 
-    return listed.select("volume", F.col("t").cast("int").alias("t"), F.array(*[F.lit(int(n)) for n in shape]).alias("shape"), packed("values").alias("data"))
+    return listed.select("volume", "t", F.array(*[F.lit(int(n)) for n in shape]).alias("shape"), joined("planes").alias("data"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,7 +183,7 @@ def fold_node_scores(folds_: DataFrame, pred: DataFrame, truth: DataFrame, gate:
     # frames play no part: the fold takes their place in the join
     pool = lambda df: df.withColumn("t", F.col("fold"))
     pairs = radius_join(pool(p), pool(g), gate, [0], ["volume", "t", "node_id"], ["node_id"]).select(F.col("volume_a").alias("volume"), F.col("t_a").alias("t"), F.col("node_id_a").alias("a_id"), F.col("node_id_b").alias("b_id"), "distance_um")
-    tp = match(pairs, gate).groupBy("volume", F.col("t").alias("fold")).agg(F.count("*").alias("tp"))
+    tp = match(pairs, gate, by_component=True).groupBy("volume", F.col("t").alias("fold")).agg(F.count("*").alias("tp"))
     n_p, n_g = (df.groupBy("volume", "fold").agg(F.count("*").alias(c)) for df, c in ((p, "n_pred"), (g, "n_gt")))
     rows = n_p.join(n_g, ["volume", "fold"], "full").join(tp, ["volume", "fold"], "left").fillna(0, ["n_pred", "n_gt", "tp"])
     rows = rows.withColumns({"precision": F.col("tp") / F.greatest("n_pred", F.lit(1)), "recall": F.col("tp") / F.greatest("n_gt", F.lit(1))})
@@ -212,12 +214,34 @@ def summarize_folds(rows: DataFrame, value: str) -> DataFrame:
 # ---------------------------------------------------------------- ranking metrics
 
 
+def _running(counts: DataFrame, keys: list[str], columns: list[str], descending: bool = False) -> DataFrame:
+    """Per group the sums of columns over the rows before, by score ``s`` (one row per group and score), as ``_before_*``.
+
+    Scores are dealt into ranges by quantiles: each range sums its own rows, and what the ranges before it hold, one row
+    per range, is added. So no task sees all scores, also without keys.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.col("s").cast("double")
+    bounds = sorted(set(counts.select(number.alias("s")).approxQuantile("s", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < number)) if bounds else F.lit(0)
+    placed = counts.withColumn("_part", F.when(F.col("s").isNull(), -1).otherwise(part))
+    order = F.col("s").desc_nulls_last() if descending else F.col("s").asc_nulls_first()
+    inner = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy(F.col("_part").desc() if descending else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in columns])
+    names = {k: f"_t_{k}" for k in [*keys, "_part"]}
+    totals = totals.select(*[F.col(k).alias(t) for k, t in names.items()], *[F.coalesce(F.sum(c).over(outer), none).alias(f"_t_{c}") for c in columns])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(t)) for k, t in names.items()])
+    sums = {f"_before_{c}": F.coalesce(F.sum(c).over(inner), none) + F.col(f"_t_{c}") for c in columns}
+    return placed.join(totals, same).withColumns(sums).drop(*names.values(), *[f"_t_{c}" for c in columns], "_part")
+
+
 def roc_auc(rows: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by mid-ranks per group; 0.5 with a single class. Equal scores are counted together first."""
     keys = keys or []
     counts = rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("mid", before + (F.col("n") + 1) / 2.0)
+    ranked = _running(counts, keys, ["n"]).withColumn("mid", F.col("_before_n") + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("n_pos"), F.sum("n").alias("n"))
     pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
     return sums.select(*keys, F.col("n").alias("n_pairs"), "n_pos", F.coalesce(F.try_divide(F.col("r") - pos * (pos + 1) / 2, pos * neg), F.lit(0.5)).alias("auc"))
@@ -227,8 +251,7 @@ def average_precision(rows: DataFrame, score: str, label: str, keys: list[str] |
     """Sum over distinct scores, descending, of precision times the gain in recall; 0 without positives."""
     keys = keys or []
     counts = rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(F.col("s").desc())
-    steps = counts.withColumns({"tp": F.sum("p").over(w), "seen": F.sum("n").over(w)})
+    steps = _running(counts, keys, ["p", "n"], descending=True).withColumns({"tp": F.col("_before_p") + F.col("p"), "seen": F.col("_before_n") + F.col("n")})
     sums = steps.groupBy(*keys).agg(F.sum(F.col("tp") / F.col("seen") * F.col("p")).alias("a"), F.sum("p").alias("n_pos"))
     return sums.select(*keys, "n_pos", F.coalesce(F.try_divide(F.col("a"), F.col("n_pos").cast("double")), F.lit(0.0)).alias("average_precision"))
 
@@ -237,3 +260,17 @@ def cosine(a: str, b: str) -> Column:
     """Cosine of two float arrays, in doubles; 0 for a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def contrastive_loss(views: DataFrame, temperature: float = 0.1) -> DataFrame:
+    """Normalised cross-entropy over batches. ``views``: batch, i, pair (both views of one thing), embedding.
+
+    Each view's partner competes with all other views of its batch; a batch joins itself, so its size bounds the pairs.
+    Returns batch, n (views that have a partner) and their mean loss.
+    """
+    a, b = (views.select("batch", F.col("i").alias(f"{k}_i"), F.col("pair").alias(f"{k}_pair"), F.col("embedding").alias(f"{k}_e")) for k in "ab")
+    s = a.join(b, "batch").where("a_i <> b_i").select("batch", "a_i", (F.col("a_pair") == F.col("b_pair")).alias("pos"), (cosine("a_e", "b_e") / temperature).alias("s"))
+    most = F.max("s")  # taken out of the exponentials, so that no temperature overflows
+    per = s.groupBy("batch", "a_i").agg(most.alias("m"), F.max(F.when(F.col("pos"), F.col("s"))).alias("p"), F.collect_list("s").alias("all"))
+    total = F.aggregate(F.transform("all", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda x, y: x + y)
+    return per.select("batch", (F.col("m") + F.log(total) - F.col("p")).alias("loss")).groupBy("batch").agg(F.count("loss").alias("n"), F.avg("loss").alias("loss"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.storage import materialize
+from weftline.plans.storage import materialize, release
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, ["volume", "u"]).select("volume", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("volume", "u").agg(F.min("v").alias("m"))
         small = large.join(low, ["volume", "u"]).select("volume", F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = materialize(small.select("volume", F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "components")
+        before, now = now, materialize(small.select("volume", F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "components")
+        release(before)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("volume", "u", "v") % 1_000_003)).first()
         if after == state:
             break
@@ -39,13 +40,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select("volume", F.col("u").alias("node_id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def closure(edges: DataFrame, rounds: int = 62) -> DataFrame:
     """volume, node_id, reach_id: every node that a directed path leads to, by doubling path lengths."""
     paths = materialize(edges.select("volume", F.col("source_id").alias("node_id"), F.col("target_id").alias("reach_id")).distinct(), "closure")
     count = paths.count()
     for _ in range(rounds):
         step = paths.alias("p").join(paths.alias("q"), (F.col("p.volume") == F.col("q.volume")) & (F.col("p.reach_id") == F.col("q.node_id"))).select("p.volume", "p.node_id", "q.reach_id")
-        paths = materialize(paths.unionByName(step).distinct(), "closure")
+        before, paths = paths, materialize(paths.unionByName(step).distinct(), "closure")
+        release(before)
         after = paths.count()
         if after == count:
             return paths
@@ -53,7 +55,7 @@ def closure(edges: DataFrame, rounds: int = 20) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
-def lineage_extent(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def lineage_extent(nodes: DataFrame, edges: DataFrame, rounds: int = 62) -> DataFrame:
     """volume, node_id, t, age (frames since the first ancestor, from 1) and span (frames to the last descendant, from 1).
 
     Earliest ancestor and latest descendant times spread along edges with doubled reach: a node learns from the
@@ -66,8 +68,12 @@ def lineage_extent(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> Data
         for _ in range(rounds):
             via = hop.join(best.withColumnRenamed("node_id", "via"), ["volume", "via"]).select("volume", "node_id", "best")
             best = materialize(best.unionByName(via).groupBy("volume", "node_id").agg(pick("best").alias("best")), "extent")
+            known = hop
             hop = materialize(hop.alias("p").join(hop.alias("q"), (F.col("p.volume") == F.col("q.volume")) & (F.col("p.via") == F.col("q.node_id"))).select("p.volume", "p.node_id", "q.via").distinct(), "hops")
+            release(known)
             if hop.isEmpty():
                 break
+        else:
+            raise RuntimeError("edges lead in a circle")
         out = out.join(best.withColumnRenamed("best", f"_{name}"), ["volume", "node_id"], "left")
     return out.select("volume", "node_id", "t", (F.col("t") - F.coalesce("_age", "t") + 1).alias("age"), (F.coalesce("_span", "t") - F.col("t") + 1).alias("span"))

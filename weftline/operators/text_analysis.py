@@ -141,6 +141,39 @@ DEFAULT_RULES = (
 )
 
 
+# Texts by which the rules of a chat export's analysis know a paragraph.
+CLOSING_TAGS = ("</think>", "</antmlThinking>")
+FINISHED_LINE = "Pensamiento completado"
+META_PHRASES = ("wait, i should make sure", "let's refine", "this looks perfect")
+PERSONA_OPENINGS = ("cold coffee", "pulls my oversized", "i pull my oversized")
+QUESTION_OPENINGS = ("ok ", "pero ", "ayud", "inm ")
+QUESTION_PHRASE = "explic"
+AFFECTIONATE_PHRASES = ("my love", "mi amor", "cariño", "te amo", "te adoro")
+
+
+def _any(test: str, column: str, values: tuple[str, ...]) -> str:
+    """SQL: some value passes the test (startswith, contains) on a column."""
+    quoted = ["'" + v.replace("'", "\\'") + "'" for v in values]
+    return "(" + " or ".join(f"{test}({column}, {q})" for q in quoted) + ")"
+
+
+#: The rules of a chat export's analysis as data, in order.
+CONTEXT_RULES = (
+    ("reasoning_tag_artifact", f"exact_line:{FINISHED_LINE}", f"first = '{FINISHED_LINE}'"),
+    ("reasoning_tag_artifact", "exact_thought_closing_tag", f"first in {CLOSING_TAGS}"),
+    ("notebook_code_paste", "major_section_notebook_and_code_likeness>=0.35", "section_type like 'notebook%' and code_share >= 0.35"),
+    ("notebook_runtime_output", "major_section_notebook_fallback", "section_type like 'notebook%'"),
+    ("dataset_description", "major_section_dataset", "section_type = 'dataset_description'"),
+    ("ui_footer_artifact", "major_section_footer", "section_type = 'ui_footer_artifact'"),
+    ("meta_reasoning", "meta_reasoning_phrase", _any("contains", "lower", META_PHRASES)),
+    ("preamble_instruction", "persona_opening_phrase", _any("startswith", "lower", PERSONA_OPENINGS)),
+    ("transcript_user_text", "question_pattern", f"contains(text, '?') and ({_any('startswith', 'lower', QUESTION_OPENINGS)} or contains(lower, '{QUESTION_PHRASE}'))"),
+    ("transcript_assistant_text", "affectionate_assistant_phrase", _any("contains", "lower", AFFECTIONATE_PHRASES)),
+    ("transcript_assistant_text", "major_section_transcript_fallback", "section_type like 'transcript%'"),
+    ("preamble_instruction", "major_section_preamble", "section_type = 'preamble_instruction'"),
+)
+
+
 def classify(paragraphs_: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Adds paragraph_type and classifier_rule; ``other`` by ``fallback`` where no rule holds."""
     share = F.size(F.filter("lines", is_code_line)) / F.size("lines")

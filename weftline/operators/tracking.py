@@ -106,6 +106,26 @@ def track_previous_present(detections: DataFrame, gate: float, min_length: int =
 # ---------------------------------------------------------------- Kalman tracker
 
 
+def pairs_within(a: np.ndarray, b: np.ndarray, gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and b nearer than the gate, and their distances: only points of neighbouring cells are compared."""
+    cell = lambda p: np.floor(p / gate).astype(np.int64)
+    base = np.array([1 << 42, 1 << 21, 1])
+    own = (cell(b) + (1 << 19)) @ base
+    order = np.argsort(own, kind="stable")
+    own, rows, columns = own[order], [], []
+    for step in np.ndindex(3, 3, 3):
+        key = (cell(a) + (1 << 19) + np.array(step) - 1) @ base
+        low, high = np.searchsorted(own, key, side="left"), np.searchsorted(own, key, side="right")
+        n = high - low
+        rows.append(np.repeat(np.arange(len(a)), n))
+        columns.append(order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    i, j = np.concatenate(rows), np.concatenate(columns)
+    d = np.sqrt(((a[i] - b[j]) ** 2).sum(axis=1))
+    near = np.flatnonzero(d < gate)
+    near = near[np.lexsort((j[near], i[near]))]
+    return i[near], j[near], d[near]
+
+
 class KalmanBank:
     """Constant-velocity filters of all live tracks of a volume.
 
@@ -126,9 +146,8 @@ class KalmanBank:
         spread = self.spread + self.process
         out = np.full(len(points), -1, dtype=np.int64)
         if len(guess) and len(points):
-            d = np.sqrt(((guess[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-            i, j = np.nonzero(d < self.gate)
-            take = match_pairs(i, j, d[i, j], 1e6)
+            i, j, d = pairs_within(guess, points, self.gate)
+            take = match_pairs(i, j, d, 1e6)
             i, j = i[take], j[take]
         else:
             i = j = np.zeros(0, dtype=int)

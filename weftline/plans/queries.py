@@ -186,17 +186,19 @@ def _(v: Views) -> DataFrame:
 
 @query("v6_v10_detect_dog_v1")
 def _(v: Views) -> DataFrame:
-    return detection.detect_frames(detection.to_dense(v.voxels, (8, 16, 16)), detection.detect_v1, k=1, least=1)
+    return detection.detect_frames(v.frames, detection.detect_v1)
 
 
 @query("v7_v9_v11_v13_detect_dog_v2")
 def _(v: Views) -> DataFrame:
-    return detection.detect_frames(detection.to_dense(v.voxels, (8, 16, 16)), detection.detect_v2, k=1)
+    return detection.detect_frames(v.frames, detection.detect_v2)
 
 
-@query("v24_detect_by_scorer")
+@query("v24_detect_by_scorer", """WITH q AS (SELECT *, least(greatest(v, quantile_cont(v, 0.01) OVER w), quantile_cont(v, 0.999) OVER w) AS c FROM voxels WINDOW w AS (PARTITION BY volume, t)),
+s AS (SELECT volume, t, z, y, x, 1 / (1 + exp(-2 * (c - avg(c) OVER w) / CASE WHEN stddev_pop(c) OVER w < 1e-6 THEN 1 ELSE stddev_pop(c) OVER w END)) AS s FROM q WINDOW w AS (PARTITION BY volume, t))
+SELECT volume, CAST(t AS BIGINT) AS t, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, round(s, 6) AS score FROM s WHERE s > 0.9""")
 def _(v: Views) -> DataFrame:
-    return detection.detect_by_scorer(detection.to_dense(v.voxels, (8, 16, 16)), _bright, (8, 8, 8), 0.9)
+    return r6(detection.detect_by_scorer(detection.to_dense(v.voxels, (8, 16, 16)), _bright, (8, 8, 8), 0.9), "score")
 
 
 def _bright(patch):
@@ -353,6 +355,57 @@ def _candidates(v: Views, gate: float, gap: int = 1) -> DataFrame:
     return j.select(F.col("volume_a").alias("volume"), F.col("t_a").alias("t"), F.col("node_id_a").alias("a_id"), F.col("node_id_b").alias("b_id"), "distance_um")
 
 
+def _optimum_sql(pairs: str, best: str, columns: str) -> str:
+    """Least-cost matchings by enumeration: all matchings of each connected component of candidate pairs (volume, t, a_id,
+    b_id, d), of which the best one's ``columns`` are summed per frame."""
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY volume, t, a_id, b_id) AS i FROM ({pairs})),
+j AS (SELECT x.i AS u, y.i AS v FROM p x JOIN p y ON x.volume = y.volume AND x.t = y.t AND x.a_id = y.a_id UNION SELECT x.i, y.i FROM p x JOIN p y ON x.volume = y.volume AND x.t = y.t AND x.b_id = y.b_id),
+r(u, v) AS (SELECT u, v FROM j UNION SELECT r.u, j.v FROM r JOIN j ON r.v = j.u),
+c AS MATERIALIZED (SELECT p.*, k.comp, row_number() OVER (PARTITION BY k.comp ORDER BY p.i) AS k, count(*) OVER (PARTITION BY k.comp) AS m FROM p JOIN (SELECT u, min(v) AS comp FROM r GROUP BY u) k ON k.u = p.i),
+m(comp, k, m, volume, t, ua, ub, n, cost) AS (SELECT comp, CAST(0 AS BIGINT), m, volume, t, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM c WHERE k = 1
+  UNION ALL SELECT m.comp, c.k, m.m, m.volume, m.t, CASE WHEN take THEN list_append(ua, c.a_id) ELSE ua END, CASE WHEN take THEN list_append(ub, c.b_id) ELSE ub END, n + CAST(take AS BIGINT), cost + CASE WHEN take THEN c.d ELSE 0 END
+  FROM m JOIN c ON c.comp = m.comp AND c.k = m.k + 1, (VALUES (true), (false)) q(take) WHERE NOT (take AND (list_contains(ua, c.a_id) OR list_contains(ub, c.b_id)))),
+b AS (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY {best}) AS o FROM m WHERE k = m)
+SELECT volume, t, {columns} FROM b WHERE o = 1 GROUP BY volume, t"""
+
+
+_MOST = ("n DESC, cost", "CAST(sum(n) AS BIGINT) AS n_pairs, round(sum(cost), 6) AS total_um")
+
+
+def _pairs_sql(gap: int, near: str, truth: str = "det") -> str:
+    return f"SELECT a.volume, a.t, a.node_id AS a_id, b.node_id AS b_id, {um('a', 'b')} AS d FROM det a JOIN {truth} b ON a.volume = b.volume AND b.t = a.t + {gap} WHERE {um('a', 'b')} {near}"
+
+
+def _totals(matched: DataFrame) -> DataFrame:
+    return r6(matched.groupBy("volume", "t").agg(F.count("*").alias("n_pairs"), F.sum("distance_um").alias("total_um")), "total_um")
+
+
+@query("a1_link_optimum", _optimum_sql(_pairs_sql(1, "<= 8"), *_MOST))
+def _(v: Views) -> DataFrame:
+    return _totals(assignment.match(_candidates(v, 8.0), 8.0))
+
+
+@query("a2_gap_optimum", _optimum_sql(_pairs_sql(2, "<= 12"), *_MOST))
+def _(v: Views) -> DataFrame:
+    return _totals(assignment.match(_candidates(v, 12.0, 2), 12.0))
+
+
+@query("a3_strict_optimum", _optimum_sql(_pairs_sql(1, "< 12"), *_MOST))
+def _(v: Views) -> DataFrame:
+    return _totals(assignment.match(_candidates(v, 12.0), 12.0, strict=True))
+
+
+@query("a3_optimum_by_component", _optimum_sql(_pairs_sql(1, "<= 12"), *_MOST))
+def _(v: Views) -> DataFrame:
+    return _totals(assignment.match(_candidates(v, 12.0), 12.0, by_component=True))
+
+
+@query("a5_metric_optimum", _optimum_sql(_pairs_sql(0, "<= 7", "gt_nodes"), "8 * n - cost DESC", "round(sum(8 * n - cost), 6) AS gain"))
+def _(v: Views) -> DataFrame:
+    m = evaluation.match_nodes(v.det, v.gt_nodes)
+    return r6(m.groupBy("volume", "t").agg(F.sum(8 - F.col("distance_um")).alias("gain")), "gain")
+
+
 @query("a1_link_assignment")
 def _(v: Views) -> DataFrame:
     return assignment.match(_candidates(v, 8.0), 8.0)
@@ -390,7 +443,7 @@ def _(v: Views) -> DataFrame:
 
 @query("t1_strict_linker")
 def _(v: Views) -> DataFrame:
-    return tracking.track(v.det, 4.0, 5, False)
+    return tracking.track(v.dtracks, 4.0, 5, False)
 
 
 @query("t3_assign_tracks", """WITH RECURSIVE c AS (SELECT volume, source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY volume, target_id ORDER BY source_id) AS k FROM pred_edges) WHERE k = 1),
@@ -761,12 +814,16 @@ def focal_loss(p: Column, label: Column, alpha: float = 0.25, gamma: float = 2.0
     return F.when(label == 1, -alpha * F.pow(1 - p, F.lit(gamma)) * F.log(p)).otherwise(-(1 - alpha) * F.pow(p, F.lit(gamma)) * F.log(1 - p))
 
 
-@query("n6_contrastive_loss", f"WITH {_EMB}, b AS (SELECT i, cos / 0.2 AS s, j = i + 1 AS pos FROM em), l AS (SELECT i, ln(sum(exp(s))) - max(CASE WHEN pos THEN s END) AS loss FROM b GROUP BY 1) SELECT count(loss) AS n, round(avg(loss), 6) AS loss FROM l")
+_VIEWS = 32  # vectors of a batch: 16 pairs of views
+
+
+@query("n6_contrastive_loss", f"""WITH u AS (SELECT vec_id AS i, vec_id // {_VIEWS} AS batch, vec_id // 2 AS pair, list_transform(embedding, lambda q: CAST(q AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda r: CAST(r AS DOUBLE) * r)))) AS e FROM embeddings),
+s AS (SELECT a.batch, a.i, a.pair = b.pair AS pos, list_sum(list_transform(range(1, 65), lambda k: a.e[k] * b.e[k])) / 0.2 AS s FROM u a JOIN u b ON a.batch = b.batch AND a.i <> b.i),
+l AS (SELECT batch, i, ln(sum(exp(s))) - max(CASE WHEN pos THEN s END) AS loss FROM s GROUP BY 1, 2)
+SELECT batch, count(loss) AS n, round(avg(loss), 6) AS loss FROM l GROUP BY 1""")
 def _(v: Views) -> DataFrame:
-    """Temperature .2; the next vector is the positive, the other seven are negatives."""
-    s = _embedding_pairs(v).select("i", (F.col("cos") / 0.2).alias("s"), (F.col("j") == F.col("i") + 1).alias("pos"))
-    per = s.groupBy("i").agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("pos"), F.col("s")))).alias("loss"))
-    return r6(per.agg(F.count("loss").alias("n"), F.avg("loss").alias("loss")), "loss")
+    views = v.table("embeddings").selectExpr("cast(vec_id AS long) AS i", f"vec_id div {_VIEWS} AS batch", "vec_id div 2 AS pair", "embedding")
+    return r6(evaluation.contrastive_loss(views, 0.2), "loss")
 
 
 @query("n2_weighted_mse", "SELECT volume, t, round(avg((1 + 500 * y01) * pow(p - y01, 2)), 6) AS loss FROM (SELECT volume, t, v / 3010.0 AS p, CASE WHEN v > 1000 THEN 1 ELSE 0 END AS y01 FROM voxels) GROUP BY ALL")
@@ -962,6 +1019,44 @@ def _(v: Views) -> DataFrame:
     return text_analysis.classify(_paragraphs(v)).select("doc_id", "line_start", "paragraph_type", "classifier_rule")
 
 
+# texts and sections that between them meet every rule, dealt to the paragraphs by document
+_HEADS = (
+    text_analysis.FINISHED_LINE, *text_analysis.CLOSING_TAGS, *text_analysis.META_PHRASES, *text_analysis.PERSONA_OPENINGS, *[f"{o}then?" for o in text_analysis.QUESTION_OPENINGS], "could you explic that?", *text_analysis.AFFECTIONATE_PHRASES,
+    "x = 1\nimport os", "plain words", "",
+)
+_KINDS = ("transcript_1", "other_kind", "preamble_instruction", "dataset_description", "ui_footer_artifact", "notebook_2", "transcript_2")
+
+
+def _sql_any(test: str, column: str, values: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"{test}({column}, '{v.replace(chr(39), chr(39) * 2)}')" for v in values) + ")"
+
+
+_HEADS_SQL = ", ".join("'" + h.replace("'", "''") + "'" for h in _HEADS)
+_CONTEXT = f"""{_PARA}, h AS (SELECT doc_id, line_start, CASE WHEN doc_id % 3 = 0 THEN head || chr(10) || text WHEN head = '' THEN text ELSE head || ' ' || text END AS text, section_type FROM
+  (SELECT *, ([{_HEADS_SQL}])[doc_id * 31 // 7 % {len(_HEADS)} + 1] AS head, ({list(_KINDS)})[doc_id % {len(_KINDS)} + 1] AS section_type FROM (SELECT doc_id, line_start, text FROM pa))),
+e AS (SELECT *, lower(text) AS l, trim(string_split(text, chr(10))[1]) AS f, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS ls FROM h),
+cl AS (SELECT *, len(list_filter(ls, lambda x: x <> '' AND ({" OR ".join(f"starts_with(x, '{c}')" for c in text_analysis.CODE_STARTS)} OR (contains(x, '=') AND NOT contains(x, '==') AND NOT ends_with(x, '?')) OR (ends_with(x, ':') AND len(regexp_split_to_array(x, '\\s+')) <= 6)))) / len(ls) AS code FROM e)"""
+_CONTEXT_CASES = (
+    (f"f = '{text_analysis.FINISHED_LINE}'", 0), (f"f IN {text_analysis.CLOSING_TAGS}", 1), ("section_type LIKE 'notebook%' AND code >= 0.35", 2), ("section_type LIKE 'notebook%'", 3), ("section_type = 'dataset_description'", 4),
+    ("section_type = 'ui_footer_artifact'", 5), (_sql_any("contains", "l", text_analysis.META_PHRASES), 6), (_sql_any("starts_with", "l", text_analysis.PERSONA_OPENINGS), 7),
+    (f"contains(text, '?') AND ({_sql_any('starts_with', 'l', text_analysis.QUESTION_OPENINGS)} OR contains(l, '{text_analysis.QUESTION_PHRASE}'))", 8), (_sql_any("contains", "l", text_analysis.AFFECTIONATE_PHRASES), 9),
+    ("section_type LIKE 'transcript%'", 10), ("section_type = 'preamble_instruction'", 11),
+)
+
+
+def _context_case(column: int) -> str:
+    return "CASE " + " ".join(f"WHEN {when} THEN '{text_analysis.CONTEXT_RULES[k][column]}'" for when, k in _CONTEXT_CASES) + f" ELSE '{('other', 'fallback')[column]}' END"
+
+
+@query("x11_context_rules", f"WITH {_CONTEXT} SELECT doc_id, line_start, {_context_case(0)} AS paragraph_type, {_context_case(1)} AS classifier_rule FROM cl")
+def _(v: Views) -> DataFrame:
+    head = F.element_at(F.array(*[F.lit(h) for h in _HEADS]), F.expr(f"cast(doc_id * 31 div 7 % {len(_HEADS)} + 1 as int)"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), F.expr(f"cast(doc_id % {len(_KINDS)} + 1 as int)"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(head, F.lit("\n"), "text")).when(head == "", F.col("text")).otherwise(F.concat(head, F.lit(" "), "text"))
+    placed = _paragraphs(v).withColumns({"text": text, "section_type": kind}).withColumn("lines", F.split("text", "\n"))
+    return text_analysis.classify(placed, text_analysis.CONTEXT_RULES).select("doc_id", "line_start", "paragraph_type", "classifier_rule")
+
+
 @query("x12_segments", f"WITH {_CLASS} SELECT doc_id, line_start, 'seg_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_no, line_start) AS VARCHAR), 4, '0') AS segment_id, sha256(text) AS sha256, substr(replace(text, chr(10), ' '), 1, 160) AS preview FROM cl")
 def _(v: Views) -> DataFrame:
     return text_analysis.segments(text_analysis.classify(_paragraphs(v))).select("doc_id", "line_start", "segment_id", "sha256", "preview")

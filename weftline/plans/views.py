@@ -129,6 +129,25 @@ class Views:
             "(n * 7919 + (n div 16) * 104729 + (n div 256) * 1299709) % 1009 + CASE WHEN n div 256 % 8 = 4 AND n div 16 % 16 = 8 AND n % 16 = 8 THEN 2000 ELSE 0 END AS v",
         )
 
+    @cached_property
+    def frames(self) -> DataFrame:
+        """Dense frames of 16 x 64 x 64 voxels, in which every detection is a blob on a noisy ground."""
+        import numpy as np
+        import pandas as pd
+
+        shape = (16, 64, 64)
+        axes = np.meshgrid(*[np.arange(n) for n in shape], indexing="ij", sparse=True)
+
+        def paint(pdf: pd.DataFrame) -> pd.DataFrame:
+            volume, t = pdf.volume.iloc[0], int(pdf.t.iloc[0])
+            frame = (7919 * axes[0] + 104729 * axes[1] + 1299709 * axes[2]) * (t + 1) % 97 + 100.0
+            for r in pdf.sort_values("node_id").itertuples():
+                far = ((axes[0] - r.z % 16) / 1.2) ** 2 + ((axes[1] - r.y % 64) / 4) ** 2 + ((axes[2] - r.x % 64) / 4) ** 2
+                frame += (800 + r.node_id % 400) * np.exp(-far / 2)
+            return pd.DataFrame({"volume": [volume], "t": [t], "shape": [list(shape)], "data": [np.minimum(frame, 65535).astype("<u2").tobytes()]})
+
+        return self.det.select("volume", "t", "node_id", "z", "y", "x").groupBy("volume", "t").applyInPandas(paint, "volume string, t int, shape array<int>, data binary")
+
     @cached_property
     def lines(self) -> DataFrame:
         from weftline.operators.text_analysis import lines
