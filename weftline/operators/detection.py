@@ -204,13 +204,20 @@ def gaussian_filter(a: np.ndarray, sigma: tuple[float, ...], mode: str = "reflec
         pad = [(r, r) if k == axis else (0, 0) for k in range(out.ndim)]
         wide = np.pad(out, pad, mode="symmetric" if mode == "reflect" else "edge")
         n = out.shape[axis]
-        out = sum(wk * np.take(wide, np.arange(k, k + n), axis=axis) for k, wk in enumerate(w))
+        out = np.zeros(out.shape)
+        for k, wk in enumerate(w):
+            out += wk * wide[tuple(slice(k, k + n) if i == axis else slice(None) for i in range(wide.ndim))]
     return out
 
 
 def maximum_filter(a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Greatest value over the (dz, dy, dx) offsets, edges extended."""
     r = np.abs(offsets).max(axis=0)
+    if len(offsets) == np.prod(2 * r + 1):  # a whole box: axis by axis
+        for axis, k in enumerate(r):
+            wide = np.pad(a, [(k, k) if i == axis else (0, 0) for i in range(a.ndim)], mode="edge")
+            a = np.max(np.lib.stride_tricks.sliding_window_view(wide, 2 * k + 1, axis=axis), axis=-1)
+        return a
     wide = np.pad(a, [(k, k) for k in r], mode="edge")
     out = np.full(a.shape, -np.inf)
     for o in offsets:

@@ -135,15 +135,18 @@ class Views:
         import numpy as np
         import pandas as pd
 
-        shape = (16, 64, 64)
+        shape, widths = (16, 64, 64), (1, 4, 4)
         axes = np.meshgrid(*[np.arange(n) for n in shape], indexing="ij", sparse=True)
+        lines = [np.arange(n) for n in shape]
 
         def paint(pdf: pd.DataFrame) -> pd.DataFrame:
             volume, t = pdf.volume.iloc[0], int(pdf.t.iloc[0])
             frame = (7919 * axes[0] + 104729 * axes[1] + 1299709 * axes[2]) * (t + 1) % 97 + 100.0
             for r in pdf.sort_values("node_id").itertuples():
-                far = ((axes[0] - r.z % 16) / 1.2) ** 2 + ((axes[1] - r.y % 64) / 4) ** 2 + ((axes[2] - r.x % 64) / 4) ** 2
-                frame += (800 + r.node_id % 400) * np.exp(-far / 2)
+                at = [int(c % n) for c, n in zip((r.z, r.y, r.x), shape, strict=True)]
+                box = tuple(slice(max(0, c - 3 * w), c + 3 * w + 1) for c, w in zip(at, widths, strict=True))
+                bells = [np.exp(-(((line[b] - c) / w) ** 2) / 2) for line, c, w, b in zip(lines, at, widths, box, strict=True)]
+                frame[box] += (800 + r.node_id % 400) * np.multiply.outer(np.multiply.outer(bells[0], bells[1]), bells[2])
             return pd.DataFrame({"volume": [volume], "t": [t], "shape": [list(shape)], "data": [np.minimum(frame, 65535).astype("<u2").tobytes()]})
 
         return self.det.select("volume", "t", "node_id", "z", "y", "x").groupBy("volume", "t").applyInPandas(paint, "volume string, t int, shape array<int>, data binary")
