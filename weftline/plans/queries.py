@@ -175,12 +175,12 @@ def _(v: Views) -> DataFrame:
     return detection.threshold_peaks(v.voxels, 1000)
 
 
-@query("v12_refine_centroids", """WITH p AS (SELECT volume, t, z, y, x, row_number() OVER (ORDER BY volume, t, z, y, x) AS node_id FROM voxels WHERE v > 990),
+@query("v12_refine_centroids", """WITH p AS (SELECT volume, t, z, y, x, ((t * 2 + CAST(volume = 'v1' AS INTEGER)) * 2048 + z * 256 + y * 16 + x) AS node_id FROM voxels WHERE v > 990),
 s AS (SELECT p.node_id, sum(b.v) AS s, sum(b.v * b.z) AS sz, sum(b.v * b.y) AS sy, sum(b.v * b.x) AS sx FROM p JOIN voxels b ON p.volume = b.volume AND p.t = b.t AND abs(p.z - b.z) <= 1 AND abs(p.y - b.y) <= 3 AND abs(p.x - b.x) <= 3 GROUP BY 1)
 SELECT node_id, round(CAST(sz AS DOUBLE) / s, 6) AS z, round(CAST(sy AS DOUBLE) / s, 6) AS y, round(CAST(sx AS DOUBLE) / s, 6) AS x FROM s""")
 def _(v: Views) -> DataFrame:
-    bright = v.voxels.where("v > 990").select("volume", "t", *[F.col(k).cast("double").alias(k) for k in "zyx"])
-    points = bright.withColumn("node_id", F.row_number().over(Window.orderBy("volume", "t", "z", "y", "x")).cast("long"))
+    node = F.expr("(t * 2 + cast(volume = 'v1' AS int)) * 2048 + z * 256 + y * 16 + x").alias("node_id")
+    points = v.voxels.where("v > 990").select("volume", "t", node, *[F.col(k).cast("double").alias(k) for k in "zyx"])
     return r6(detection.refine_centroids(points, v.voxels).select("node_id", "z", "y", "x"), "z", "y", "x")
 
 

@@ -31,8 +31,9 @@ SQL = {
     "dtracks": """SELECT volume, user_id * 1000 + min(t) OVER (PARTITION BY volume, user_id, g) AS track_id, t, z, y, x, score, node_id FROM
   (SELECT *, t - row_number() OVER (PARTITION BY volume, user_id ORDER BY t) AS g FROM
   (SELECT volume, user_id, t, min(event_id) AS node_id, min_by(z, event_id) AS z, min_by(y, event_id) AS y, min_by(x, event_id) AS x, min_by(score, event_id) AS score FROM det2 GROUP BY volume, user_id, t))""",
-    "voxels": """SELECT 'v' || (n // 2048 % 2) AS volume, n // 4096 AS t, n // 256 % 8 AS z, n // 16 % 16 AS y, n % 16 AS x,
-  (n * 7919 + (n // 16) * 104729 + (n // 256) * 1299709) % 1009 + CASE WHEN n // 256 % 8 = 4 AND n // 16 % 16 = 8 AND n % 16 = 8 THEN 2000 ELSE 0 END AS v FROM range(0, 8192) r(n)""",
+    "voxels": """SELECT 'v' || (s_suppkey % 2) AS volume, s_suppkey // 2 AS t, n // 256 AS z, n // 16 % 16 AS y, n % 16 AS x,
+  ((n + s_suppkey * 2048) * 7919 + (n // 16) * 104729 + (n // 256) * 1299709) % 1009 + CASE WHEN n // 256 = 4 AND n // 16 % 16 = 8 AND n % 16 = 8 THEN 2000 + CAST(floor(abs(s_acctbal)) AS BIGINT) % 500 ELSE 0 END AS v
+  FROM supplier, range(0, 2048) r(n)""",
 }
 #: Which views a view reads.
 NEEDS = {name: [k for k in SQL if k != name and re.search(rf"\b{k}\b", text)] for name, text in SQL.items()}
@@ -124,9 +125,11 @@ class Views:
 
     @cached_property
     def voxels(self) -> DataFrame:
-        return self.spark.range(8192).withColumnRenamed("id", "n").selectExpr(
-            "concat('v', n div 2048 % 2) AS volume", "n div 4096 AS t", "n div 256 % 8 AS z", "n div 16 % 16 AS y", "n % 16 AS x",
-            "(n * 7919 + (n div 16) * 104729 + (n div 256) * 1299709) % 1009 + CASE WHEN n div 256 % 8 = 4 AND n div 16 % 16 = 8 AND n % 16 = 8 THEN 2000 ELSE 0 END AS v",
+        """One frame of 8 x 16 x 16 voxels per supplier, with a peak in its middle."""
+        grid = self.table("supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2047).cast("long"))).alias("n"))
+        return grid.selectExpr(
+            "concat('v', s_suppkey % 2) AS volume", "s_suppkey div 2 AS t", "n div 256 AS z", "n div 16 % 16 AS y", "n % 16 AS x",
+            "((n + s_suppkey * 2048) * 7919 + (n div 16) * 104729 + (n div 256) * 1299709) % 1009 + CASE WHEN n div 256 = 4 AND n div 16 % 16 = 8 AND n % 16 = 8 THEN 2000 + cast(floor(abs(s_acctbal)) AS long) % 500 ELSE 0 END AS v",
         )
 
     @cached_property
