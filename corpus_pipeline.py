@@ -4,8 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what a stage
 keeps is written as Parquet and read again as the next one's documents. All but
 the last return the columns of documents.
 
-Defined cases are those of the operators. An empty table passes every stage. The
-mixing stage repeats rows, so later stages meet equal ids.
+Defined cases, on top of the operators' own: an empty table passes every stage.
+Null, empty and blank texts hold no language and go in the first stage; null ids,
+languages, sources and lengths stay as they are. Without labels every document
+has quality 0.5 and stays. Of near duplicates the row with the smallest id stays
+(null ids last), then that of the smallest hash of its text; equal rows are one;
+different texts under one id are different documents. The mixing stage repeats
+rows, so the last one meets equal ids and packs each row. Very long texts pass
+whole. Columns beyond those of documents stay up to the last stage, also where
+they are named like columns that operators add.
 """
 
 from __future__ import annotations
