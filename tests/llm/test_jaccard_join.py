@@ -53,7 +53,7 @@ def family(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("settings", [jj.Settings(), jj.Settings(part_sets=6, block=3, per_bucket=500, cells=64, frequent=2), jj.Settings(few=1, part_tokens=3000, slots=1 << 10)], ids=["default", "parts", "joins"])
+@pytest.mark.parametrize("settings", [jj.Settings(), jj.Settings(part_sets=6, block=3, per_bucket=500, cells=64, frequent=2), jj.Settings(few=1, part_tokens=3000, slots=1 << 10), jj.Settings(most_buckets=16, per_bucket=100, slots=256, most_slots=256), jj.Settings(hot=3, frequent=2), jj.Settings(hot=2, few=1, part_sets=7, most_buckets=16, per_bucket=300)], ids=["default", "parts", "joins", "turns", "hot", "all"])
 def test_equals_brute_force(spark, settings):
     rows = family(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -85,6 +85,47 @@ def test_keep_one(odd_docs, clashing):
     assert ids == expected
 
 
+def test_keep_one_tells_rows_apart_by_text(spark):
+    b, d = "quite another text of seven plain words", "and here is a third one, unlike the two before"
+    rows = [(3, "same words in this one text", "x"), (5, "same words in this one text", "x"), (5, b, "x"), (7, "SAME words in this one text", "x"), (7, d, "x"), (9, d[::-1], "x"), (9, "", "x"), (9, "", "x"), (None, "only without an id it has words", "b"), (None, "only without an id it has words", "a"), (3, "same words in this one text", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string").repartition(3)
+    for s in (jj.Settings(), jj.Settings(few=0)):
+        kept = sorted(map(tuple, jj.keep_one(docs, s).collect()), key=str)
+        # one row of each class; both texts that share the ids 5 and 7 with copies stay; what has no words stays
+        assert kept == sorted([(3, "same words in this one text", "a"), (5, b, "x"), (7, d, "x"), (9, d[::-1], "x"), (9, "", "x"), (9, "", "x"), (None, "only without an id it has words", "a")], key=str)
+
+
+def template(n):
+    """Different texts that share most of a template and do not link."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(5, 95), 4):
+            text[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_large_groups_of_unlike_texts_ask_parts_not_sets(spark, monkeypatch):
+    asked = []
+    plain = jj.materialize
+
+    def counted(df, name="step"):
+        out = plain(df, name)
+        if name == "queries":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    for n in (60, 120):
+        rows = template(n)
+        got = sorted(tuple(r) for r in jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), jj.Settings(part_sets=20)).collect())
+        assert got == brute(rows)
+    assert len(asked) == 2 and all(a <= n * -(-n // 10) for a, n in zip(asked, (60, 120), strict=True))
+
+
 def test_sketches_bound_differences():
     import numpy as np
 

@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans.storage import materialize, shared_dir
+from weftline.plans.storage import materialize, release, shared_dir
 
-__all__ = ["DOC_COLUMNS", "as_bytes", "filter_rows", "map_batches", "materialize", "shared_dir", "slices", "table"]
+__all__ = ["DOC_COLUMNS", "as_bytes", "filter_rows", "map_batches", "materialize", "release", "shared_dir", "slices", "table"]
 
 #: The columns of the ``documents`` table, in order; pipeline stages but the last return these.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")

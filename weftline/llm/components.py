@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import materialize
+from weftline.llm._common import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: the node and its smaller neighbours hang under the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "links")
+        before, edges = edges, materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "links")
+        release(before)
         after = _state(edges)
         if after == state:
             break

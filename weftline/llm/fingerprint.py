@@ -42,9 +42,12 @@ _MOST = BUCKETS * 6 + 3 * 12
 _STEP = np.array([0, 1, 2, 6])
 
 
+_PERMUTATION = np.random.RandomState(20250101).permutation(256)
+
+
 def _tables() -> tuple[list[np.ndarray], np.ndarray]:
     """For each salt a table of byte pairs, and the last table that leads to buckets."""
-    t = np.random.RandomState(20250101).permutation(256).astype(np.uint8)
+    t = _PERMUTATION.astype(np.uint8)
     high, low = np.divmod(np.arange(65536), 256)
     return [t[t[t[salt] ^ high.astype(np.uint8)] ^ low.astype(np.uint8)] for salt, _, _ in TRIPLETS], (t & (BUCKETS - 1)).astype(np.int64)
 
@@ -225,3 +228,37 @@ def edited_pairs(docs: DataFrame, rows_per_range: int = 20_000, most_ranges: int
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against their edited texts and followers."""
     return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same in SQL: bytes as rows, their triplets' buckets, and digests as strings."""
+    look = lambda x: f"t[{x} + 1]"
+    triplet = lambda salt, i, j: look(f"xor({look(f'xor({look(f"xor({_PERMUTATION[salt]}, b0)")}, b{i})')}, b{j})")
+    buckets = ", ".join(f"CASE WHEN b{j} IS NOT NULL THEN {triplet(salt, i, j)} & {BUCKETS - 1} END" for salt, i, j in TRIPLETS)
+    q1, q2, q3 = (f"s[{k * BUCKETS // 4}]" for k in (1, 2, 3))
+    ratio = lambda q: f"CASE WHEN {q3} > 0 THEN 15 * {q} // {q3} ELSE 0 END"
+
+    def near(k: str) -> str:
+        steps = f"list_sum(list_transform(range(1, {BUCKETS + 1}), lambda i: ({_STEP.tolist()})[abs(a.codes[i] - {k}.codes[i]) + 1]))"
+        return f"1.0 - ({steps} + list_sum(list_transform([1, 2, 3], lambda i: least(12, abs(a.head[i] - {k}.head[i]))))) / CAST({_MOST} AS DOUBLE)"
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following, length(text) AS n_chars FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+e AS (SELECT doc_id, n_chars, text, following, substr(text, 1, n_chars - n_chars // 2) || substr(following, 1, n_chars // 2) AS edited FROM f),
+x AS (SELECT *, row_number() OVER () AS id FROM (SELECT text FROM e UNION SELECT edited FROM e)),
+b AS (SELECT id, unnest(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS INTEGER))) AS b0, unnest(range(0, strlen(text))) AS pos FROM x),
+n AS (SELECT id, b0, {", ".join(f"lead(b0, {k}) OVER w AS b{k}" for k in range(1, 5))} FROM b WINDOW w AS (PARTITION BY id ORDER BY pos)),
+k AS (SELECT id, unnest([{buckets}]) AS bucket FROM (SELECT *, {_PERMUTATION.tolist()} AS t FROM n)),
+c AS (SELECT id, bucket, count(*) AS c FROM k WHERE bucket IS NOT NULL GROUP BY ALL),
+g AS (SELECT x.id, x.text, list(coalesce(c.c, 0) ORDER BY r.bucket) AS counts FROM x CROSS JOIN (SELECT unnest(range(0, {BUCKETS})) AS bucket) r LEFT JOIN c ON c.id = x.id AND c.bucket = r.bucket GROUP BY x.id, x.text),
+q AS (SELECT *, list_sort(counts) AS s FROM g),
+h AS (SELECT text, list_transform(counts, lambda v: CAST(v > {q1} AS INTEGER) + CAST(v > {q2} AS INTEGER) + CAST(v > {q3} AS INTEGER)) AS codes,
+  [least(255, CAST(round_even(12 * log2(strlen(text) + 1), 0) AS INTEGER)), {ratio(q1)}, {ratio(q2)}] AS head FROM q),
+p AS (SELECT *, array_to_string(list_transform(head, lambda v: format('{{:02x}}', v)), '') || array_to_string(list_transform(range(0, {BUCKETS // 2}), lambda i: format('{{:x}}', 4 * codes[2 * i + 1] + codes[2 * i + 2])), '') AS digest FROM h)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.digest AS fingerprint, o.digest AS edited_fingerprint, {near("o")} AS near_edited, {near("w")} AS near_next
+FROM e JOIN p a ON a.text = e.text JOIN p o ON o.text = e.edited JOIN p w ON w.text = e.following
+"""
+
+
+OP9_SQL = _sql()

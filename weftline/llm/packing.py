@@ -22,7 +22,9 @@ characters are all below U+0250 and printable; any other text goes through
 
 Defined cases: null or empty text is the closing id alone; null ids stay null;
 repeated rows are packed as often as they occur; an empty table gives no rows;
-a document of any length is tokenised whole and cut by the same program.
+a document of any length is tokenised whole and cut by the same program; of plans
+of equal cost that whose last window begins earliest is taken; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op9_fingerprint": fingerprint.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
