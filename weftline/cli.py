@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from weftline import schema
 from weftline.operators import detection, divisions, evaluation, formatting, pairs, tracking
-from weftline.sources import chunked, tables
+from weftline.sources import chunked, lineage_store, tables
 
 
 def _read(spark: SparkSession, path: str, s: T.StructType | None = None) -> DataFrame:
@@ -85,6 +85,12 @@ def graph_table(spark, a) -> None:
     _write(formatting.graph_table(_read(spark, a.tracks, schema.TRACKS), edges), a.output, ["id"])
 
 
+def _lineage(spark, path: str, volumes: list[str] | None = None):
+    """Ground truth from lineage stores where the folder has some, else from Parquet tables."""
+    stores = Path(path).is_dir() and any(p.suffix == ".geff" for p in Path(path).iterdir())
+    return (lineage_store.read_lineage_stores if stores else tables.read_lineage)(spark, path, volumes)
+
+
 def evaluate(spark, a) -> None:
     submission = _read(spark, a.submission)
     names = a.datasets.split(",") if a.datasets else None
@@ -93,7 +99,7 @@ def evaluate(spark, a) -> None:
         from weftline.operators.joins import existing_edges
 
         edges = existing_edges(edges, nodes)
-    gt_nodes, gt_edges, meta = tables.read_lineage(spark, a.train_dir, names)
+    gt_nodes, gt_edges, meta = _lineage(spark, a.train_dir, names)
     rows = evaluation.evaluate(nodes, edges, gt_nodes, gt_edges, meta, a.version)
     print(json.dumps({"volumes": [r.asDict() for r in rows.orderBy("volume").collect()], "all": evaluation.aggregate(rows, a.version).first().asDict()}, indent=2))
 
@@ -101,7 +107,7 @@ def evaluate(spark, a) -> None:
 def calibrate(spark, a) -> None:
     from weftline.plans.calibration import calibrate as run
 
-    gt_nodes, gt_edges, meta = tables.read_lineage(spark, a.train_dir)
+    gt_nodes, gt_edges, meta = _lineage(spark, a.train_dir)
     keep = pairs.validation_subset(meta, a.subset_size).select("volume")
     only = lambda df: df.join(keep, "volume", "left_semi")
     rows = run(only(_read(spark, a.predictions)), only(gt_nodes), only(gt_edges), only(meta), min(a.n_trials, 30), a.topk, a.seed)
@@ -109,12 +115,12 @@ def calibrate(spark, a) -> None:
 
 
 def truth_statistics(spark, a) -> None:
-    nodes, edges, _ = tables.read_lineage(spark, a.train_dir)
+    nodes, edges, _ = _lineage(spark, a.train_dir)
     _write(divisions.truth_divisions(nodes, edges), a.output)
 
 
 def tracklet_export(spark, a) -> None:
-    nodes, edges, _ = tables.read_lineage(spark, a.train_dir)
+    nodes, edges, _ = _lineage(spark, a.train_dir)
     table, labels = tracking.tracklets(nodes, edges)
     tables.write_tracklet_table(table, f"{a.output_dir}/tracks")
     painted = detection.paint_labels(nodes.join(labels, ["volume", "node_id"]).where("label is not null").withColumn("ord", F.col("node_id")), tuple(a.radii), tuple(a.shape))
@@ -123,7 +129,7 @@ def tracklet_export(spark, a) -> None:
 
 
 def edge_pairs(spark, a) -> None:
-    nodes, edges, _ = tables.read_lineage(spark, a.train_dir)
+    nodes, edges, _ = _lineage(spark, a.train_dir)
     points = tracking.number_nodes(_read(spark, a.dets, schema.DETECTIONS), "score")
     found = pairs.edge_pairs(points, nodes, edges)
     tables.write_shards(pairs.sample_negatives(found, a.neg_ratio) if a.neg_ratio else found, a.output_dir)

@@ -71,6 +71,45 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).groupBy("volume").agg(F.count("*").alias("n"), F.sum("node_id").alias("total"))
 
 
+def _volumes_of(v: Views, codec: str) -> DataFrame:
+    """The voxel view written as chunked arrays and read back through the data source."""
+    from weftline.plans.storage import mounted, shared_dir
+    from weftline.sources import chunked
+
+    path = mounted(shared_dir(v.spark, "volumes"))
+    chunked.write_frames(detection.to_dense(v.voxels, (8, 16, 16)), path, codec)
+    chunked.register(v.spark)
+    return chunked.frame_voxels(v.spark.read.format("chunked_frames").load(path))
+
+
+for _codec in ("zlib", "blosc"):
+
+    @query(f"s1_s5_chunked_{_codec}", "SELECT volume, t, z, y, x, CAST(v AS BIGINT) AS v FROM voxels")
+    def _(v: Views, codec: str = _codec) -> DataFrame:
+        return _volumes_of(v, codec)
+
+
+def _stores_of(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ground truth written as lineage stores and read back."""
+    from weftline.plans.storage import mounted, shared_dir
+    from weftline.sources import lineage_store
+
+    path = mounted(shared_dir(v.spark, "stores"))
+    lineage_store.write_lineage_stores(v.gt_nodes, v.gt_edges, v.gt_meta, path)
+    return lineage_store.read_lineage_stores(v.spark, path)
+
+
+@query("s6_lineage_store_nodes", "SELECT volume, node_id, t, z, y, x, estimated_number_of_nodes FROM gt_nodes JOIN gt_meta USING (volume)")
+def _(v: Views) -> DataFrame:
+    nodes, _, meta = _stores_of(v)
+    return nodes.join(meta, "volume")
+
+
+@query("s6_g6_lineage_store_edges", "SELECT volume, source_id, target_id FROM gt_edges")
+def _(v: Views) -> DataFrame:
+    return _stores_of(v)[1]
+
+
 @query("p1_physical", "SELECT node_id, round(z * 1.625, 6) AS zu, round(y * 0.40625, 6) AS yu, round(x * 0.40625, 6) AS xu FROM det")
 def _(v: Views) -> DataFrame:
     return r6(geometry.physical(v.det).select("node_id", "zu", "yu", "xu"), "zu", "yu", "xu")
@@ -270,6 +309,27 @@ def _(v: Views) -> DataFrame:
     return painted.groupBy("volume", "t", "label").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in "zyx"])
 
 
+@query("s10_label_frames", """WITH n AS (SELECT volume, t, node_id % 60000 + 1 AS label, CAST(z AS BIGINT) % 16 AS z, CAST(y AS BIGINT) % 64 AS y, CAST(x AS BIGINT) % 64 AS x FROM det),
+p AS (SELECT volume, t, z, y, x, max(label) AS label FROM n GROUP BY ALL)
+SELECT volume, t, label, count(*) AS n, CAST(sum(z) AS BIGINT) AS z, CAST(sum(y) AS BIGINT) AS y, CAST(sum(x) AS BIGINT) AS x FROM p GROUP BY ALL""")
+def _(v: Views) -> DataFrame:
+    """Painted voxels as TIFF files, read back and counted by label."""
+    import numpy as np
+    import pandas as pd
+
+    painted = v.det.selectExpr("volume", "t", "node_id % 60000 + 1 AS label", "cast(z AS long) % 16 AS z", "cast(y AS long) % 64 AS y", "cast(x AS long) % 64 AS x").groupBy("volume", "t", "z", "y", "x").agg(F.max("label").alias("label"))
+
+    def read(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                frame = tables.read_tiff(bytes(r.content))
+                z, y, x = np.nonzero(frame)
+                yield pd.DataFrame({"volume": r.volume, "t": r.t, "label": frame[z, y, x].astype(np.int64), "z": z, "y": y, "x": x})
+
+    back = tables.label_frames(painted, (16, 64, 64)).mapInPandas(read, "volume string, t long, label long, z long, y long, x long")
+    return back.groupBy("volume", "t", "label").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in "zyx"])
+
+
 # ---------------------------------------------------------------- joins
 
 
@@ -467,18 +527,30 @@ def _(v: Views) -> DataFrame:
     return tracking.track_previous_present(v.det.select("volume", "t", "z", "y", "x", "score", "node_id"), 8.0, 2)
 
 
-@query("t6_tracklets", """WITH RECURSIVE ge AS (SELECT DISTINCT * FROM gt_edges), ch AS (SELECT volume, source_id AS node_id, count(*) AS c FROM ge GROUP BY ALL), pn AS (SELECT volume, target_id AS node_id, count(*) AS p FROM ge GROUP BY ALL),
+_TRACKLETS = """WITH RECURSIVE ge AS (SELECT DISTINCT * FROM gt_edges), ch AS (SELECT volume, source_id AS node_id, count(*) AS c FROM ge GROUP BY ALL), pn AS (SELECT volume, target_id AS node_id, count(*) AS p FROM ge GROUP BY ALL),
 kn AS (SELECT n.volume, n.node_id, n.t, coalesce(ch.c, 0) AS c, coalesce(pn.p, 0) AS p FROM gt_nodes n LEFT JOIN ch ON ch.volume = n.volume AND ch.node_id = n.node_id LEFT JOIN pn ON pn.volume = n.volume AND pn.node_id = n.node_id),
 je AS (SELECT ge.*, a.c, b.p FROM ge JOIN kn a ON a.volume = ge.volume AND a.node_id = ge.source_id JOIN kn b ON b.volume = ge.volume AND b.node_id = ge.target_id),
 dv AS (SELECT volume, target_id AS node_id, min(source_id) AS parent_node FROM je WHERE c >= 2 GROUP BY ALL),
 st AS (SELECT kn.volume, kn.node_id, dv.parent_node, row_number() OVER (PARTITION BY kn.volume ORDER BY kn.t, kn.node_id) AS label FROM kn LEFT JOIN dv ON dv.volume = kn.volume AND dv.node_id = kn.node_id WHERE kn.p = 0 OR dv.parent_node IS NOT NULL),
 wk(volume, label, node_id) AS (SELECT volume, label, node_id FROM st UNION ALL SELECT wk.volume, wk.label, je.target_id FROM wk JOIN je ON je.volume = wk.volume AND je.source_id = wk.node_id AND je.c = 1 AND je.p = 1)
 SELECT s.volume, s.label, min(n.t) AS begin, max(n.t) AS "end", coalesce(max(pl.label), 0) AS parent FROM st s JOIN wk ON wk.volume = s.volume AND wk.label = s.label JOIN gt_nodes n ON n.volume = wk.volume AND n.node_id = wk.node_id
-  LEFT JOIN wk pl ON pl.volume = s.volume AND pl.node_id = s.parent_node GROUP BY s.volume, s.label""")
+  LEFT JOIN wk pl ON pl.volume = s.volume AND pl.node_id = s.parent_node GROUP BY s.volume, s.label"""
+
+
+@query("t6_tracklets", _TRACKLETS)
 def _(v: Views) -> DataFrame:
     return tracking.tracklets(v.gt_nodes, v.gt_edges.distinct())[0]
 
 
+@query("s10_tracklet_table", f"""SELECT volume, label || ' ' || begin || ' ' || "end" || ' ' || parent AS line FROM ({_TRACKLETS})""")
+def _(v: Views) -> DataFrame:
+    from weftline.plans.storage import shared_dir
+
+    path = shared_dir(v.spark, "tracklets")
+    tables.write_tracklet_table(tracking.tracklets(v.gt_nodes, v.gt_edges.distinct())[0], path)
+    return v.spark.read.text(path).select("volume", F.col("value").alias("line"))
+
+
 @query("t7_track_statistics", """SELECT volume, count(*) AS n_tracks, CAST(sum(n) AS BIGINT) AS n_points, quantile_cont(n, 0.5) AS median_length, round(avg(n), 6) AS mean_length, max(n) AS max_length, min(n) AS min_length
 FROM (SELECT volume, track_id, count(*) AS n FROM tracks GROUP BY ALL) GROUP BY volume""")
 def _(v: Views) -> DataFrame:

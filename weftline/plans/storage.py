@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mounted(path: str) -> str:
+    """The plain path of a folder that Python's own files reach: all machines must mount it. Other stores raise."""
+    if m := re.match(r"file:(?://)?(?=/)", path):
+        return path[m.end() :]
+    if re.match(r"[a-z0-9+.-]+:", path, re.IGNORECASE):
+        raise ValueError(f"{path}: plain files need a folder that all machines mount")
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write as Parquet and read again: cuts lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)

@@ -17,7 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from weftline.sources import blosc
@@ -127,19 +129,58 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChunkedFrames)
 
 
+def _describe(folder: Path, shape: list[int], codec: str) -> None:
+    folder.mkdir(parents=True, exist_ok=True)
+    meta = {"zarr_format": 2, "shape": shape, "chunks": [1, *shape[1:]], "dtype": "<u2", "compressor": None if codec == "raw" else {"id": codec}, "fill_value": 0, "order": "C", "filters": None}
+    (folder / ".zarray").write_text(json.dumps(meta))
+
+
+def _write_frame(folder: Path, t: int, shape: list[int], data: bytes, codec: str) -> None:
+    stored = {"zlib": zlib.compress, "blosc": lambda x: blosc.encode(x, 2), "raw": bytes}[codec](data)
+    (folder / ".".join([str(t), *["0"] * len(shape)])).write_bytes(stored)
+
+
 def write_volume(path: str | Path, frames, codec: str = "zlib") -> None:
     """A version 2 array of (t, z, y, x) uint16, one frame per chunk."""
     import numpy as np
 
     a = np.asarray(frames, dtype="<u2")
-    folder = Path(path)
-    folder.mkdir(parents=True)
-    meta = {"zarr_format": 2, "shape": list(a.shape), "chunks": [1, *a.shape[1:]], "dtype": "<u2", "compressor": None if codec == "raw" else {"id": codec}, "fill_value": 0, "order": "C", "filters": None}
-    (folder / ".zarray").write_text(json.dumps(meta))
+    _describe(Path(path), list(a.shape), codec)
     for t in range(a.shape[0]):
-        data = a[t].tobytes()
-        stored = {"zlib": zlib.compress, "blosc": lambda x: blosc.encode(x, 2), "raw": bytes}[codec](data)
-        (folder / ".".join([str(t), *["0"] * (a.ndim - 1)])).write_bytes(stored)
+        _write_frame(Path(path), t, list(a.shape[1:]), a[t].tobytes(), codec)
+
+
+def write_frames(frames: DataFrame, path: str, codec: str = "blosc") -> None:
+    """Frames (volume, t, shape, data) as one array per volume under ``path``, a folder that all machines mount. The tasks
+    write the chunks, the driver the description of each volume; frames that are not there read as 0."""
+    kinds = frames.groupBy("volume").agg(F.max("t").alias("last"), F.min("shape").alias("shape"), F.max("shape").alias("other")).collect()  # one row per volume
+    for r in kinds:
+        if r.shape != r.other:
+            raise ValueError(f"{r.volume}: frames of different shapes")
+        _describe(Path(path) / f"{r.volume}.zarr", [int(r.last) + 1, *r.shape], codec)
+
+    def run(batches):
+        for batch in batches:
+            for volume, t, shape, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                _write_frame(Path(path) / f"{volume}.zarr", t, shape, data, codec)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    frames.select("volume", "t", "shape", "data").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def frame_voxels(frames: DataFrame) -> DataFrame:
+    """Frames as rows (volume, t, z, y, x, v)."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for volume, t, shape, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                values = np.frombuffer(data, dtype="<u2").astype(np.int64)
+                places = [x.ravel() for x in np.indices(shape)]
+                yield pa.RecordBatch.from_arrays([pa.array([volume] * values.size), pa.array(np.full(values.size, t, dtype=np.int64)), *(pa.array(x.astype(np.int64)) for x in places), pa.array(values)], ["volume", "t", "z", "y", "x", "v"])
+
+    return frames.select("volume", "t", "shape", "data").mapInArrow(run, "volume string, t long, z long, y long, x long, v long")
 
 
 # ---------------------------------------------------------------- arrays of any number type
@@ -197,3 +238,20 @@ def read_rows(a: StoredArray, step: int | None = None) -> Iterator:
             held, n = [whole[step:]], n - step
     if n:
         yield np.concatenate(held)
+
+
+def write_array(folder: str | Path, a, rows: int = 1 << 16, codec: str = "blosc") -> None:
+    """Numbers of one or two axes as a version 2 array of ``rows`` rows a chunk."""
+    import numpy as np
+
+    a = np.ascontiguousarray(a)
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    chunk = [rows, *a.shape[1:]]
+    meta = {"zarr_format": 2, "shape": list(a.shape), "chunks": chunk, "dtype": a.dtype.str, "compressor": None if codec == "raw" else {"id": codec}, "fill_value": 0, "order": "C", "filters": None}
+    (folder / ".zarray").write_text(json.dumps(meta))
+    for i in range(0, a.shape[0], rows):
+        part = np.zeros(chunk, a.dtype)
+        part[: a.shape[0] - i] = a[i : i + rows]
+        data = part.tobytes()
+        (folder / ".".join([str(i // rows), *["0"] * (a.ndim - 1)])).write_bytes(blosc.encode(data, a.dtype.itemsize) if codec == "blosc" else data)

@@ -9,15 +9,19 @@ read chunk by chunk and handed on as Arrow batches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from weftline.sources.chunked import attributes, read_rows, stored_array
+from weftline.sources.chunked import attributes, read_rows, stored_array, write_array
 
 SCHEMAS = {
     "nodes": "volume string, node_id long, t long, z double, y double, x double",
@@ -94,3 +98,30 @@ def read_lineage_stores(spark: SparkSession, path: str, volumes: list[str] | Non
     spark.dataSource.register(LineageStores)
     out = [spark.read.format("lineage_stores").option("table", k).load(path) for k in SCHEMAS]
     return tuple(df if volumes is None else df.where(df.volume.isin(volumes)) for df in out)
+
+
+def write_lineage_stores(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> None:
+    """One store per volume under ``path``, a folder that all machines mount. A volume's graph, one row per node, edge and
+    estimate, is written by one task."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = nodes.select("volume", kind("node"), F.col("node_id").cast("long").alias("a"), F.col("t").cast("long").alias("b"), *[F.col(c).cast("double").alias(c) for c in "zyx"])
+    rows = rows.unionByName(edges.select("volume", kind("edge"), F.col("source_id").cast("long").alias("a"), F.col("target_id").cast("long").alias("b"), *none("double", *"zyx")))
+    rows = rows.unionByName(meta.select("volume", kind("meta"), F.col("estimated_number_of_nodes").cast("long").alias("a"), *none("long", "b"), *none("double", *"zyx")))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        volume = pdf.volume.iloc[0]
+        store = Path(path) / f"{volume}.geff"
+        own = {k: pdf[pdf.kind == k].sort_values(["a", "b"]) for k in ("node", "edge", "meta")}
+        integers = lambda column: column.to_numpy(dtype=np.int64)
+        write_array(store / "nodes" / "ids", integers(own["node"].a).astype(np.uint64))
+        write_array(store / "nodes" / "props" / "t" / "values", integers(own["node"].b))
+        for c in "zyx":
+            write_array(store / "nodes" / "props" / c / "values", own["node"][c].to_numpy(dtype=np.float64))
+        write_array(store / "edges" / "ids", np.stack([integers(own["edge"].a), integers(own["edge"].b)], axis=1).astype(np.uint64))
+        estimate = own["meta"].a.dropna()
+        extra = {"estimated_number_of_nodes": int(estimate.iloc[0])} if len(estimate) else {}
+        (store / ".zattrs").write_text(json.dumps({"geff": {"version": "1", "directed": True, "extra": extra}}))
+        return pd.DataFrame({"volume": [volume]})
+
+    rows.groupBy("volume").applyInPandas(write, "volume string").collect()  # one row per volume

@@ -70,6 +70,32 @@ def tiff(frame) -> bytes:
     return bytes(out)
 
 
+def read_tiff(data: bytes):
+    """(pages, rows, columns) of an uncompressed little-endian TIFF of 16-bit samples, a strip or more per page."""
+    import struct
+
+    import numpy as np
+
+    if data[:4] != b"II*\0":
+        raise ValueError("not a little-endian TIFF")
+    pages, at = [], struct.unpack_from("<I", data, 4)[0]
+    while at:
+        tags = {}
+        for k in range(struct.unpack_from("<H", data, at)[0]):
+            tag, kind, count = struct.unpack_from("<HHI", data, at + 2 + 12 * k)
+            width = {3: 2, 4: 4}.get(kind)
+            if width is not None:
+                place = at + 10 + 12 * k
+                place = struct.unpack_from("<I", data, place)[0] if width * count > 4 else place
+                tags[tag] = struct.unpack_from(f"<{count}{'H' if width == 2 else 'I'}", data, place)
+        if tags.get(258, (1,)) != (16,) or tags.get(259, (1,)) != (1,):
+            raise ValueError("expected uncompressed 16-bit samples")
+        strips = b"".join(data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True))
+        pages.append(np.frombuffer(strips, "<u2").reshape(tags[257][0], tags[256][0]))
+        at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    return np.stack(pages)
+
+
 def label_frames(painted: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Painted voxels (volume, t, z, y, x, label) as TIFF files: volume, t, name, content."""
     import numpy as np
