@@ -33,7 +33,7 @@ def brute(rows):
     return sorted((key, len(s), min([k for k in least[find(i)] if k is not None], default=key)) for i, (key, s) in enumerate(sets) if key is not None)
 
 
-def family(seed, n=220):
+def family(seed, n=140):
     """Near copies at all distances, shared passages, and exact copies."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))

@@ -405,8 +405,7 @@ def shared_runs(sets: DataFrame, s: Settings, buckets: int, found: Frequent, tur
     if found.hot.size:
         open_ = rows.where("leader is null")
         led = materialize(open_.groupBy("run").agg(F.min("sid").alias("first"), F.count("*").alias("k"), F.max("own").alias("any")).where("k > 1 and any").select("run", "first"), "led")
-        led = F.broadcast(led) if led.limit(s.few + 1).count() <= s.few else led
-        rows = rows.where("leader is not null").unionByName(open_.drop("leader").join(led, "run").withColumnRenamed("first", "leader"))
+        rows = rows.where("leader is not null").unionByName(open_.drop("leader").join(_few(led, s), "run").withColumnRenamed("first", "leader"))
     runs = materialize(rows.groupBy("run", "sid", "n", "leader").agg(F.max("most").alias("most")), "runs")
     if several:
         release(*made)
@@ -560,10 +559,8 @@ def set_links(sets: DataFrame, s: Settings) -> DataFrame:
 def _dealt(rows: DataFrame, salts: DataFrame, s: Settings) -> DataFrame:
     """Rows of groups (``gid``) with the number of the group's parts and their own. Groups of several parts are few, one
     for each ``part_sets`` rows at most, so that the rows of a large group are not gathered to learn its number."""
-    several = salts.where("salts > 1")
-    several = F.broadcast(several) if several.limit(s.few + 1).count() <= s.few else several
     number = F.coalesce("salts", F.lit(1))
-    numbered = rows.join(several, "gid", "left").withColumn("salts", number)
+    numbered = rows.join(_few(salts.where("salts > 1"), s), "gid", "left").withColumn("salts", number)
     return numbered.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
 
 
@@ -599,12 +596,20 @@ def classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     s = settings or Settings()
     sets = write_sets(docs, s)
     roots = set_links(sets, s)
-    own = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    classed = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(least, "root").select("sid", "root", "component_id")
-    narrow = sets.select("doc_id", "key", "sid", F.col("n").alias("n_shingles"))
-    return narrow.join(named, "sid", "left").select("doc_id", "key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    # only sets that several rows have, or that link with another one, need to be looked up
+    linked = own.join(roots.withColumnRenamed("node", "sid"), "sid")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "class_ids")
+    linked = linked.join(_few(least, s), "root").select("sid", "root", "component_id")
+    shared = own.join(linked, "sid", "left").where("rows > 1 or root is not null")
+    shared = materialize(shared.select("sid", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "shared_sets")
+    rows = sets.select("doc_id", "key", "sid", F.col("n").alias("n_shingles")).join(_few(shared, s), "sid", "left")
+    return rows.select("doc_id", "key", "n_shingles", F.coalesce("root", "sid").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _few(rows: DataFrame, s: Settings) -> DataFrame:
+    """Narrow rows, to be broadcast where there are at most ``few``."""
+    return F.broadcast(rows) if rows.limit(s.few + 1).count() <= s.few else rows
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -621,10 +626,8 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")
     best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
     several = materialize(best.where("rows > 1"), "several")
-    gone = rows.join(F.broadcast(several) if several.limit(s.few + 1).count() <= s.few else several, "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key")
+    gone = rows.join(_few(several, s), "root").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))).select("doc_id", "key")
     gone = materialize(gone, "gone")
-    few = gone.limit(s.few + 1).count() <= s.few
-
     own = "_key"
     while own in docs.columns:
         own += "_"
@@ -633,7 +636,7 @@ def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
         return F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col(f"d.{own}") == F.col(f"{other}.key"))
 
     keyed = docs.withColumn(own, text_key()).alias("d")
-    kept = keyed.join((F.broadcast(gone) if few else gone).alias("g"), same("g"), "left_anti")
+    kept = keyed.join(_few(gone, s).alias("g"), same("g"), "left_anti")
     repeated = best.where("best.n > 1").select(F.col("best.doc_id").alias("doc_id"), F.col("best.key").alias("key"))
     if repeated.isEmpty():
         return kept.select(*docs.columns)
