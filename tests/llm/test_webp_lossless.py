@@ -50,6 +50,58 @@ def test_stored_payloads_are_read_by_a_decoder_of_its_own(text):
     assert bytes(p >> 8 & 255 for row in rows for p in row) == payload == media.samples_of(media.store(payload))
 
 
+def recurring(n, seed=4):
+    """Text of groups of four bytes, of which few hundred recur, but no line does."""
+    rng = np.random.RandomState(seed)
+    groups = rng.randint(32, 127, size=(300, 4)).astype(np.uint8)
+    return groups[rng.randint(0, 300, size=n // 4) ** 2 // 300].tobytes()
+
+
+def test_payloads_of_recurring_groups_take_a_colour_cache():
+    payload = media.padded(recurring(20_000))
+    stored = media.store(payload)
+    assert len(stored) < len(w.encode_grey(payload, 64)) * 15 / 16 and media.samples_of(stored) == payload
+    (pixels,) = media.pixels_of(stored)
+    assert pixels.shape == (len(payload) // 64, 16) and naive_webp.decode(stored, w.NEIGHBOURS) == pixels.tolist()
+    short = media.padded(recurring(2000))
+    assert media.store(short) == w.encode_grey(short, 64)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100])
+def test_pixels_are_read_across_chunks(chunk, monkeypatch):
+    whole = w._read_pixels
+    read = []
+    monkeypatch.setattr(w, "_read_pixels", lambda r, n, codes, bits: read.append(whole(r, n, codes, bits, chunk)) or read[-1])
+    payload = media.padded(recurring(5000, 8))
+    px = w.decode(w.encode_cached(payload, 16))
+    assert px.astype("<u4").tobytes() == payload and read[-1] is not None
+    mixed = np.random.RandomState(1).randint(0, 2**32, size=(9, 16), dtype=np.uint64).astype(np.uint32)
+    for options in ({"references": False}, {"references": False, "cache_bits": 3}, {"predictor": 5, "cache_bits": 2}):
+        assert (w.decode(w.encode(mixed, **options)) == mixed).all() and read[-1] is not None
+
+
+def test_pixels_with_references_are_read_symbol_by_symbol():
+    px = np.tile(np.random.RandomState(5).randint(0, 2**32, size=(3, 16), dtype=np.uint64).astype(np.uint32), (4, 1))
+    for bits in (0, 4):
+        assert (w.decode(w.encode(px, cache_bits=bits)) == px).all()
+
+
+def test_cut_files_of_pixels_raise():
+    stored = w.encode_cached(media.padded(recurring(5000)), 16)
+    body = stored[20 : 20 + len(stored) // 2]
+    with pytest.raises(ValueError):
+        w.decode(b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=4, max_size=900) | st.text(alphabet="ab", min_size=4, max_size=600).map(str.encode), st.integers(1, 11))
+def test_cached_pixels_round_trip(data, bits):
+    payload = media.padded(data)
+    stored = w.encode_cached(payload, 16, cache_bits=bits)
+    assert w.decode(stored).astype("<u4").tobytes() == payload
+    assert naive_webp.decode(stored, w.NEIGHBOURS) == w.decode(stored).tolist()
+
+
 @pytest.mark.parametrize("mode", [1, 2])
 def test_payloads_of_gradients_are_predicted(mode):
     steps = np.random.RandomState(2).randint(0, 3, size=(40, 64)).astype(np.uint8)

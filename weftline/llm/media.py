@@ -1,18 +1,21 @@
 """Media columns: payloads stored as lossless WebP and read back into pixel arrays.
 
-A payload of whole 64-byte rows becomes grey samples, 64 to a row, in images of
-at most ``MAX_SIDE`` rows; larger payloads take several files one after the
-other. The codec is ``webp_lossless``.
-
-The encoder takes, by its entropy, the shortest of: a palette that packs samples,
-back-references to repeated lines, and a predictor with uniform mode. Colour
-cache, code groups and transforms across colours cannot shorten one channel of
-text; they are decoded wherever other encoders used them.
+A payload of whole 64-byte rows becomes images of at most ``MAX_SIDE`` rows, each
+either of 64 grey samples to a row or of 16 pixels of four samples (blue, green,
+red, alpha); larger payloads take several files one after the other. The codec is
+``webp_lossless``.
+
+The encoder takes, by its entropy, the shortest grey form: a palette that packs
+samples, back-references to repeated lines, or a predictor with uniform mode. From
+``PIXELS_FROM`` bytes on it also weighs pixels with a colour cache, which then holds
+the groups of four bytes that recur, and takes them where they save ``WORTH`` of the
+grey form: their codes take more time to write and read. Code groups and transforms
+across colours do not shorten text; they are decoded wherever other encoders used them.
 
 Defined cases: null text is the empty payload, which is padded to one row of
 zeros; repeated rows give equal files; very long texts take several images, so
-that a decoder holds one MiB of samples at a time; of equally short forms the one
-without a predictor, then the left neighbour is taken, so that equal texts give
+that a decoder holds one MiB of samples at a time; of equally short grey forms the
+one without a predictor, then the left neighbour is taken, so that equal texts give
 equal bytes; other columns are not read, whatever their names (``read_features``
 replaces those that it adds); an empty table gives no rows.
 """
@@ -31,6 +34,8 @@ from weftline.llm import webp_lossless
 from weftline.llm._common import as_bytes, map_batches, table
 
 ROW = 64
+#: Payload bytes from which pixels are weighed against grey samples, and the share that they have to save.
+PIXELS_FROM, WORTH = 4096, 1 / 16
 
 
 def padded(data: bytes) -> bytes:
@@ -41,7 +46,14 @@ def padded(data: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """WebP files, one after the other, of a payload of whole rows."""
     most = ROW * webp_lossless.MAX_SIDE
-    return b"".join(webp_lossless.encode_grey(payload[i : i + most], ROW) for i in range(0, len(payload), most))
+    return b"".join(_image(payload[i : i + most]) for i in range(0, len(payload), most))
+
+
+def _image(part: bytes) -> bytes:
+    grey = webp_lossless.encode_grey(part, ROW)
+    if len(part) < PIXELS_FROM:
+        return grey
+    return webp_lossless.encode_cached(part, ROW // 4, len(grey) * (1 - WORTH)) or grey
 
 
 def files_of(media: bytes) -> list[bytes]:
@@ -59,7 +71,8 @@ def pixels_of(media: bytes) -> list[np.ndarray]:
 
 
 def samples_of(media: bytes) -> bytes:
-    return b"".join((p >> 8 & 255).astype(np.uint8).tobytes() for p in pixels_of(media))
+    """The samples of images that ``store`` wrote: their width tells how many a pixel holds."""
+    return b"".join(p.astype("<u4").tobytes() if p.shape[1] == ROW // 4 else (p >> 8 & 255).astype(np.uint8).tobytes() for p in pixels_of(media))
 
 
 def feature(samples: bytes) -> str:

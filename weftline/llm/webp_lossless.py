@@ -5,12 +5,15 @@ prefix codes, and inverts the predictor, cross-colour, subtract-green and
 palette transforms. Images whose red, blue and alpha codes have one symbol each
 and that use no cache (grey samples) take a path that looks up, for every bit,
 how many bits the next few literals use, walks those jumps and expands all
-literals at once.
+literals at once. Other images of one group are walked alike, a pixel at a time,
+and their cache is resolved by sorting; only those with back-references, several
+groups or few pixels are read symbol by symbol.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import cache
 
 import numpy as np
 
@@ -89,23 +92,30 @@ def prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * top + (v >> extra & 1), extra, v & ((1 << extra) - 1)
 
 
+@cache
+def _turned(width: int) -> np.ndarray:
+    """All numbers of ``width`` bits, each with its bits in reverse."""
+    out = np.zeros(1, dtype=np.int64)
+    for _ in range(width):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
+
+
 class _Code:
-    """A prefix code as read: ``symbols`` and ``bits`` by the next ``width`` bits; one symbol takes no bits."""
+    """A prefix code as read: symbols and their bits by the next ``width`` bits; one symbol takes no bits."""
 
     def __init__(self, lengths: dict[int, int]):
+        self._lists: tuple[list, list] | None = None
         self.single = next(iter(lengths)) if len(lengths) == 1 else None
         if self.single is not None:
-            self.width, self.symbols, self.bits = 0, [self.single], [0]
+            self.width, self.array, self.array_bits = 0, np.array([self.single]), np.array([0])
             return
         if sum(1 << (15 - n) for n in lengths.values()) != 1 << 15:
             raise ValueError("not a complete prefix code")
         self.width = width = max(lengths.values())
-        symbols, bits = np.zeros(1 << width, dtype=np.int64), np.zeros(1 << width, dtype=np.int64)
-        for s, (code, n) in canonical(lengths).items():
-            symbols[code :: 1 << n] = s
-            bits[code :: 1 << n] = n
-        self.array, self.array_bits = symbols, bits
-        self._lists: tuple[list, list] | None = None
+        order = np.array(sorted((n, s) for s, n in lengths.items()))
+        turned = _turned(width)  # codes ascend by their first bits, which are the lowest ones here
+        self.array, self.array_bits = (np.repeat(order[:, k], 1 << width - order[:, 0])[turned] for k in (1, 0))
 
     def read(self, r: _Reader) -> int:
         if self.single is not None:
@@ -286,6 +296,8 @@ def _read_image(r: _Reader, width: int, height: int, main: bool) -> np.ndarray:
     codes = [[_read_code(r, n) for n in (size, LITERALS, LITERALS, LITERALS, DISTANCES)] for _ in range(groups)]
     if groups == 1 and not cache_bits and all(c.single is not None for c in codes[0][1:4]):
         return _read_grey(r, width, width * height, codes[0])
+    if groups == 1 and width * height >= 64 and (found := _read_pixels(r, width * height, codes[0], cache_bits)) is not None:
+        return found
     return _read_general(r, width, width * height, codes, cache_bits, tile, which)
 
 
@@ -333,6 +345,80 @@ def _read_general(r: _Reader, width: int, n: int, codes: list, cache_bits: int,
     return np.array(out, dtype=np.uint32)
 
 
+def _windows(data: np.ndarray, bits: int) -> np.ndarray:
+    """The next ``bits`` bits (at most 16) from each bit of all bytes but the last two."""
+    wide = data.astype(np.uint32)
+    wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
+    out = np.empty((wide.size, 8), dtype=np.uint16)
+    for k in range(8):
+        np.bitwise_and(wide >> k, (1 << bits) - 1, out=out[:, k], casting="unsafe")
+    return out.ravel()
+
+
+def _read_pixels(r: _Reader, n: int, codes: list, cache_bits: int, chunk: int = 1 << 16) -> np.ndarray | None:
+    """Images of literals and cache indices alone: the bits that a pixel would take are looked up from every bit of
+    ``chunk`` bytes at a time, and these jumps are walked. None, with nothing read, where back-references occur."""
+    channels = codes[:4]  # green, red, blue, alpha
+    data = np.frombuffer(r.data, dtype=np.uint8)
+    at, done, values, keys = r.at, 0, [], []
+    while done < n:
+        base = at >> 3
+        size = min(chunk, len(r.data) - 16 - base)
+        if size <= 0:
+            raise ValueError("image data ends early")
+        peeks = _windows(data[base : base + size + 14], 15)  # four codes take at most 60 bits
+        symbols = channels[0].array[peeks & ((1 << channels[0].width) - 1)]
+        took = [c.array_bits.astype(np.uint8)[peeks & ((1 << c.width) - 1)] for c in channels]
+        ends = np.arange(8 * size, dtype=np.int32) + took[0][: 8 * size]
+        only = took[0][: 8 * size].copy()
+        for own in took[1:]:
+            ends += own[ends]
+        literal = symbols[: 8 * size] < LITERALS
+        only[literal] = (ends - np.arange(8 * size, dtype=np.int32))[literal]
+        only[~literal & (symbols[: 8 * size] < LITERALS + LENGTHS)] = 0
+        jump, p, end = only.tobytes(), at - 8 * base, 8 * size
+        steps: list[int] = []
+        add = steps.append
+        while p < end and (j := jump[p]):
+            add(p)
+            p += j
+        if len(steps) > n - done:  # the walk went on behind the image
+            p = steps[n - done]
+            del steps[n - done :]
+        elif len(steps) < n - done and p < end:
+            return None
+        start = np.array(steps, dtype=np.int64)
+        green = symbols[start]
+        hit = green >= LITERALS + LENGTHS
+        here, value = start[~hit], np.zeros(start.size, dtype=np.uint32)
+        own = green[~hit] << 8
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            here = here + took[k - 1][here]
+            own |= channels[k].array[peeks[here] & ((1 << channels[k].width) - 1)] << shift
+        value[~hit] = own
+        values.append(value)
+        keys.append(np.where(hit, green - LITERALS - LENGTHS, -1))
+        done += start.size
+        at = p + 8 * base
+    pixels, key = np.concatenate(values), np.concatenate(keys)
+    if at > 8 * (len(r.data) - 16) + 7:
+        raise ValueError("image data ends early")
+    if (key >= 0).any():
+        literal = key < 0
+        key[literal] = _cache_keys(pixels[literal], cache_bits)
+        order = np.argsort(key, kind="stable")
+        last = np.maximum.accumulate(np.where(literal[order], np.arange(n), -1))  # the last literal, of any key
+        if (last < 0).any() or (key[order][last] != key[order]).any():
+            return None  # an index of the cache that no literal has filled
+        pixels[order] = pixels[order][last]
+    r.at = at
+    return pixels
+
+
+def _cache_keys(pixels: np.ndarray, bits: int) -> np.ndarray:
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+
+
 def _read_grey(r: _Reader, width: int, n: int, codes: list) -> np.ndarray:
     """Images in which only green varies: literals are found by jumps, back-references one by one."""
     green, red, blue, alpha, distance = codes
@@ -343,12 +429,7 @@ def _read_grey(r: _Reader, width: int, n: int, codes: list) -> np.ndarray:
     begin = r.at >> 3
     width_bits = max(green.width, 8 if n < 512 else 10 if n < 8192 else 12)
     count, bits, symbols = _literal_table(green, width_bits)
-    body = data[begin:].astype(np.uint32)
-    body = body[:-2] | body[1:-1] << 8 | body[2:] << 16
-    peeks = np.empty((body.size, 8), dtype=np.uint16)
-    for k in range(8):
-        np.bitwise_and(body >> k, (1 << width_bits) - 1, out=peeks[:, k], casting="unsafe")
-    peeks = peeks.ravel()
+    peeks = _windows(data[begin:], width_bits)
     jump = bits[peeks].tobytes()
     p, end = r.at - 8 * begin, 8 * (len(r.data) - 16 - begin)
     out = np.empty(n + 64, dtype=np.uint8)
@@ -764,6 +845,44 @@ def encode_grey(samples: bytes, width: int, least_line: int = 24) -> bytes:
     return _riff(w, _pack_bits(w, value, size))
 
 
+def encode_cached(samples: bytes, width: int, most: float = float("inf"), cache_bits: int = 10) -> bytes | None:
+    """Samples, four to a pixel (blue, green, red, alpha), in rows of ``width`` pixels: literals, and indices of a colour
+    cache wherever it holds the pixel. None if that would take ``most`` bytes or more by its entropy."""
+    pixels = np.frombuffer(samples, dtype="<u4")
+    key = _cache_keys(pixels, cache_bits)
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(pixels.size, dtype=bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    blue, green, red, alpha = _channels(pixels).T
+    green = np.where(hit, LITERALS + LENGTHS + key, green)
+    sizes = (LITERALS + LENGTHS + (1 << cache_bits), LITERALS, LITERALS, LITERALS)
+    streams = (green, red, blue, alpha)
+    counts = [np.bincount(x if k == 0 else x[~hit], minlength=n) for k, (x, n) in enumerate(zip(streams, sizes, strict=True))]
+    if sum(_cost(c) for c in counts) + 30 >= most:
+        return None
+    w = _Writer()
+    _head(w, width, pixels.size // width)
+    w.put(0, 1)  # no transform
+    w.put(1, 1)
+    w.put(cache_bits, 4)
+    w.put(0, 1)  # one group
+    value, size = [], []
+    for x, c, n in zip(streams, counts, sizes, strict=True):
+        lengths = _write_lengths(w, code_lengths({int(s): int(c[s]) for s in np.flatnonzero(c)}, 15), n)
+        code, bits = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
+        for s, (v, k) in ({} if len(lengths) == 1 else canonical(lengths)).items():
+            code[s], bits[s] = v, k
+        value.append(code[x])
+        size.append(bits[x])
+    _write_code(w, {0: 1}, DISTANCES)
+    for k in (1, 2, 3):
+        value[k][hit], size[k][hit] = 0, 0
+    # two codes of at most 15 bits each are written as one value
+    pairs = [value[a] | value[a + 1] << size[a].astype(np.uint64) for a in (0, 2)]
+    total = np.column_stack([size[0] + size[1], size[2] + size[3]]).ravel()
+    return _riff(w, _pack_bits(w, np.column_stack(pairs).ravel(), total)) if total.any() else _riff(w)
+
+
 def _cost(counts: np.ndarray) -> float:
     """Bytes of so many symbols by their entropy, and about what their code's description takes."""
     n = counts[counts > 0]
