@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import chat_format, fingerprint, jaccard_join, language_id, license_scan, media, mixing, packing, quality, warc
+from weftline.llm import best_fit, chat_format, clustering, fingerprint, jaccard_join, language_id, license_scan, media, mixing, packing, quality, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_hamerly": clustering.op11_hamerly,
+    "op12_best_fit": best_fit.op12_best_fit,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.OP5_SQL,
@@ -22,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.OP8_SQL,
     "op9_fingerprint": fingerprint.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op11_hamerly": clustering.OP11_SQL,
 }
