@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions.geometry import half_even
 from weftline.operators.joins import lookup_nodes
+from weftline.operators.ranks import number_rows
 from weftline.schema import require_columns
 
 
 def number_track_nodes(tracks: DataFrame) -> DataFrame:
     """node_id from 1 in each volume by track and frame."""
-    return tracks.withColumn("node_id", F.row_number().over(Window.partitionBy("volume").orderBy("track_id", "t")).cast("long"))
+    return number_rows(tracks, ["volume"], ["track_id"], ["t"], "node_id")
 
 
 def track_edges(numbered: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def division_node_edges(numbered: DataFrame, divisions: DataFrame) -> tuple[Data
 def graph_table(tracks: DataFrame, divisions: DataFrame | None = None) -> DataFrame:
     """Rows in order: volumes, their tracks (nodes, then edges), their divisions; ``id`` counts from 0.
 
-    ``divisions`` has an ``ordinal`` that orders it. The running id is a sum of counts per volume plus the rank
-    within the volume, so no task sorts more than one volume.
+    ``divisions`` has an ``ordinal`` that orders it. The running id is a sum of counts per volume, plus counts of the
+    tracks before, plus the place in the track, so no task sorts the rows of a volume; its division edges are one part.
     """
     require_columns(tracks, ["volume", "track_id", "t", "z", "y", "x"], "tracks")
     n = number_track_nodes(tracks)
@@ -48,8 +49,8 @@ def graph_table(tracks: DataFrame, divisions: DataFrame | None = None) -> DataFr
         rows = rows.unionByName(edge(division_node_edges(n, divisions)[0], 1, F.lit(0).cast("long"), F.col("ordinal").cast("long")))
     counts = rows.groupBy("volume").agg(F.count("*").alias("_n"))
     start = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("volume").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # one row per volume
-    rank = F.row_number().over(Window.partitionBy("volume").orderBy("section", "track_id", "kind", "place"))
-    return rows.withColumn("_rank", rank).join(start, "volume").select((F.col("_start") + F.col("_rank") - 1).cast("long").alias("id"), F.col("volume").alias("dataset"), "row_type", "node_id", "t", "z", "y", "x", "source_id", "target_id")
+    placed = number_rows(rows, ["volume"], ["section", "track_id", "kind"], ["place"], "_rank")
+    return placed.join(start, "volume").select((F.col("_start") + F.col("_rank") - 1).cast("long").alias("id"), F.col("volume").alias("dataset"), "row_type", "node_id", "t", "z", "y", "x", "source_id", "target_id")
 
 
 def split_graph(table: DataFrame, datasets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.geometry import prefix_of
 from weftline.operators.joins import nearest_join, radius_join, track_successor
+from weftline.operators.ranks import hash_ranked, number_rows
 from weftline.schema import SCALE
 
 PAIR_GATE, MATCH_GATE = 12.0, 7.0
@@ -33,15 +34,18 @@ def hash_rank(keys: list[Column], group: list[str], seed: int) -> Column:
 
 def sample_negatives(pairs: DataFrame, ratio: int = 5, seed: int = 0) -> DataFrame:
     """All positives and at most ``ratio`` negatives per positive of a volume; volumes without positives go."""
-    n_pos = F.sum("label").over(Window.partitionBy("volume"))
-    rank = hash_rank([F.col("volume"), F.col("i").cast("string"), F.col("j").cast("string")], ["volume", "label"], seed)
-    return pairs.withColumns({"_pos": n_pos, "_rank": rank}).where(f"_pos > 0 and (label = 1 or _rank <= {ratio} * _pos)").drop("_pos", "_rank")
+    keys = [F.col("volume"), F.col("i").cast("string"), F.col("j").cast("string")]
+    n_pos = pairs.groupBy(F.col("volume").alias("_v")).agg(F.sum("label").alias("_pos")).where("_pos > 0")  # one row per volume
+    negatives = hash_ranked(pairs.where("label = 0"), keys, ["volume"], seed, "_rank")
+    rows = pairs.where("label = 1").withColumn("_rank", F.lit(0).cast("long")).unionByName(negatives)
+    return rows.join(n_pos, F.col("volume").eqNullSafe(F.col("_v"))).where(f"_rank <= {ratio} * _pos").drop("_v", "_pos", "_rank")
 
 
 def patch_index(pairs: DataFrame) -> DataFrame:
     """Each endpoint once per volume, with its patch number from 0."""
     ends = pairs.select("volume", F.explode(F.array("i", "j")).alias("node_id")).distinct()
-    return ends.withColumn("patch_id", F.row_number().over(Window.partitionBy("volume").orderBy("node_id")).cast("long") - 1)
+    numbered = number_rows(ends.withColumn("_part", F.shiftright("node_id", 16)), ["volume"], ["_part"], ["node_id"], "patch_id")
+    return numbered.select("volume", "node_id", (F.col("patch_id") - 1).alias("patch_id"))
 
 
 def pseudo_pairs(tracks: DataFrame, gate: float = PAIR_GATE, negatives: int = 5, seed: int = 0) -> DataFrame:
@@ -68,19 +72,20 @@ def contrarian_pairs(tracks: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame
 
 def sample_shard(patches: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """All patches whose greatest heat exceeds .5, and negatives by hash up to the budget of each shard."""
-    p = patches.withColumn("positive", F.col("max_heat") > 0.5)
-    n_pos = F.sum(F.col("positive").cast("long")).over(Window.partitionBy("shard"))
-    rank = hash_rank([F.col("shard").cast("string"), F.col("patch_id").cast("string")], ["shard", "positive"], seed)
-    return p.withColumns({"_pos": n_pos, "_rank": rank}).where(F.col("positive") | (F.col("_rank") <= F.greatest(F.lit(budget) - F.col("_pos"), F.lit(0)))).drop("_pos", "_rank")
+    p = patches.withColumn("positive", F.coalesce(F.col("max_heat") > 0.5, F.lit(False)))
+    n_pos = p.groupBy(F.col("shard").alias("_s")).agg(F.count_if("positive").alias("_pos"))
+    negatives = hash_ranked(p.where("not positive"), [F.col("shard").cast("string"), F.col("patch_id").cast("string")], ["shard"], seed, "_rank")
+    kept = negatives.join(n_pos, F.col("shard").eqNullSafe(F.col("_s"))).where(F.col("_rank") <= F.greatest(F.lit(budget) - F.col("_pos"), F.lit(0)))
+    return p.where("positive").unionByName(kept.drop("_s", "_pos", "_rank"))
 
 
 def sample_ratio(rows: DataFrame, key: str, label: str, n: int, seed: int = 0) -> DataFrame:
     """About n rows in the class ratio of the table: floor(n · share) of each class by hash, all if there are fewer."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_k"))
     total = sizes.agg(F.sum("_k").alias("_all"))
-    quota = sizes.join(F.broadcast(total)).select(label, F.floor(F.lit(float(n)) * F.col("_k") / F.col("_all")).alias("_quota"))
-    ranked = rows.withColumn("_rank", hash_rank([F.col(key).cast("string")], [label], seed))
-    return ranked.join(F.broadcast(quota), label).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+    quota = sizes.join(F.broadcast(total)).select(F.col(label).alias("_l"), F.floor(F.lit(float(n)) * F.col("_k") / F.col("_all")).alias("_quota"))
+    ranked = hash_ranked(rows, [F.col(key).cast("string")], [label], seed, "_rank")
+    return ranked.join(quota, F.col(label).eqNullSafe(F.col("_l"))).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_l", "_quota")
 
 
 def split_volumes(volumes: DataFrame, fraction: float = 0.2, mode: str = "first") -> DataFrame:

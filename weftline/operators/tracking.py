@@ -13,13 +13,14 @@ from weftline.functions.solver import match_pairs
 from weftline.operators.assignment import match
 from weftline.operators.graph import components
 from weftline.operators.joins import radius_join
+from weftline.operators.ranks import number_rows
 from weftline.plans.storage import materialize
 from weftline.schema import require_columns
 
 
 def number_nodes(detections: DataFrame, order: str) -> DataFrame:
     """node_id from 1 in each volume, by frame and then by ``order``."""
-    return detections.withColumn("node_id", F.row_number().over(Window.partitionBy("volume").orderBy("t", order)).cast("long"))
+    return number_rows(detections, ["volume"], ["t"], [order], "node_id")
 
 
 def link_frames(nodes: DataFrame, gate: float = 8.0) -> DataFrame:
@@ -70,7 +71,7 @@ def assign_tracks(nodes: DataFrame, edges: DataFrame, min_length: int = 2) -> Da
     """Nodes of components of at least ``min_length`` nodes, numbered per volume by first frame, then first node."""
     placed = nodes.join(components(edges), ["volume", "node_id"])
     sizes = placed.groupBy("volume", "component").agg(F.count("*").alias("_n"), F.min("t").alias("_t")).where(F.col("_n") >= min_length)
-    numbered = sizes.withColumn("track_id", F.row_number().over(Window.partitionBy("volume").orderBy("_t", "component")).cast("long")).select("volume", "component", "track_id")
+    numbered = number_rows(sizes, ["volume"], ["_t"], ["component"], "track_id").select("volume", "component", "track_id")
     return placed.join(numbered, ["volume", "component"]).drop("component")
 
 
@@ -99,7 +100,7 @@ def track_previous_present(detections: DataFrame, gate: float, min_length: int =
     grouped = components(edges)
     placed = detections.join(grouped, ["volume", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
     first = placed.groupBy("volume", "component").agg(F.min("t").alias("_t"))
-    numbered = first.withColumn("track_id", F.row_number().over(Window.partitionBy("volume").orderBy("_t", "component")).cast("long")).drop("_t")
+    numbered = number_rows(first, ["volume"], ["_t"], ["component"], "track_id").drop("_t")
     return drop_short(placed.join(numbered, ["volume", "component"]).drop("component"), min_length)
 
 
@@ -221,7 +222,7 @@ def tracklets(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     divided = joined.where("children >= 2").groupBy("volume", F.col("target_id").alias("node_id")).agg(F.min("source_id").alias("parent_node"))
     starts = known.join(divided, ["volume", "node_id"], "left").where("parents = 0 or parent_node is not null").select("volume", "node_id", "t", "parent_node")
     begun = pieces.select("volume", "node_id", "component").join(starts, ["volume", "node_id"])
-    labelled = begun.withColumn("label", F.row_number().over(Window.partitionBy("volume").orderBy("t", "node_id")).cast("long"))
+    labelled = number_rows(begun, ["volume"], ["t"], ["node_id"], "label")
     of_node = pieces.join(labelled.select("volume", "component", "label"), ["volume", "component"], "left").select("volume", "node_id", "t", "label")
     spans = of_node.where("label is not null").groupBy("volume", "label").agg(F.min("t").alias("begin"), F.max("t").alias("end"))
     parents = labelled.select("volume", "label", F.col("parent_node").alias("node_id")).join(of_node.select("volume", "node_id", F.col("label").alias("parent")), ["volume", "node_id"], "left").select("volume", "label", "parent")

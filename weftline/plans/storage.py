@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``. Only a local session may go without that setting: on a cluster a
+def base_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session may go without that setting: on a cluster a
     machine's own folder would lose rows, so it is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -23,7 +23,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="weftline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in that folder, removed when the application ends."""
+    path = f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
     return path
