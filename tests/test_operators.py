@@ -471,9 +471,3 @@ def test_validation_subset(spark):
     assert [r.volume for r in pairs.validation_subset(two, 5).orderBy("volume").collect()] == ["a_0", "a_2", "a_4", "b_0", "b_4"]
     assert pairs.validation_subset(v("a_1", "b_1"), 15).count() == 2
     assert rows(pairs.split_volumes(v("x", "y", "z"), mode="last_two"), "volume", "is_val") == [("x", False), ("y", True), ("z", True)]
-
-
-def test_calibration_query_searches_all_trials(spark):
-    from weftline.plans import queries
-
-    assert {r.trial for r in queries.QUERIES["x3_calibration"](spark, DATA).select("trial").collect()} == set(range(30))

@@ -110,7 +110,7 @@ def calibrate(spark, a) -> None:
     gt_nodes, gt_edges, meta = _lineage(spark, a.train_dir)
     keep = pairs.validation_subset(meta, a.subset_size).select("volume")
     only = lambda df: df.join(keep, "volume", "left_semi")
-    rows = run(only(_read(spark, a.predictions)), only(gt_nodes), only(gt_edges), only(meta), min(a.n_trials, 30), a.topk, a.seed)
+    rows = run(only(_frames(spark, a.train_dir)), only(gt_nodes), only(gt_edges), only(meta), a.n_trials, a.seed, most=a.topk, min_track_length=a.min_track_length)
     tables.write_artifact(a.output, tables.canonical_json([r.asDict() for r in rows.collect()]))  # at most 30 rows
 
 
@@ -170,7 +170,7 @@ def parser() -> argparse.ArgumentParser:
     stage("division-events", divide_scored, tracks=str, output=str, edges_output=None, max_parent_child_dist_um=8.0, min_daughter_separation_um=8.0, min_parent_age=10, min_daughter_persistence=2, max_gap=1, allow_existing_daughter_tracks=bool)
     stage("graph-table", graph_table, tracks=str, division_edges=None, output=str)
     stage("evaluate", evaluate, submission=str, train_dir=str, datasets=None, version=2)
-    stage("calibrate", calibrate, predictions=str, train_dir=str, output=str, n_trials=30, subset_size=15, topk=500, seed=20260702)
+    stage("calibrate", calibrate, train_dir=str, output=str, n_trials=30, subset_size=15, topk=500, min_track_length=2, seed=20260702)
     stage("truth-statistics", truth_statistics, train_dir=str, output=str)
     stage("tracklets", tracklet_export, train_dir=str, output_dir=str, radii=(2, 4, 4), shape=(64, 256, 256))
     stage("edge-pairs", edge_pairs, train_dir=str, dets=str, output_dir=str, neg_ratio=0)

@@ -277,31 +277,61 @@ def detect_v1(frame: np.ndarray, sigmas=(1.0, 1.5, 2.0, 2.5, 3.0), quantile: flo
     return _ordered(found, response[tuple(found.T)], most, k)
 
 
-def detect_v2(frame: np.ndarray, k: int = 4, scales=((1.5, 4.0), (2.2, 5.5)), rel: float = 0.045, percentile: float = 50.0, radius_um: float = 3.2, most: int | None = 40000, refine: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Peaks of the micrometre response within an ellipsoid, bright enough in the normalized frame; optionally refined."""
+def _response_v2(frame: np.ndarray, k: int, scales: tuple[tuple[float, float], ...]) -> tuple[np.ndarray, np.ndarray, tuple[float, float, float]]:
+    """Response and normalized intensity of the downsampled frame, and its spacing."""
     ds = frame[:, ::k, ::k].astype(np.float64)
     spacing = (SCALE["z"], SCALE["y"] * k, SCALE["x"] * k)
     lo, hi = np.percentile(ds, [1.0, 99.7])
     hi = lo + 1.0 if hi <= lo else hi
     n = np.clip((ds - lo) / (hi - lo), 0, None)
-    response = dog_v2(n, spacing, tuple(scales))
+    return dog_v2(n, spacing, tuple(scales)), n, spacing
+
+
+def detect_v2(frame: np.ndarray, k: int = 4, scales=((1.5, 4.0), (2.2, 5.5)), rel: float = 0.045, percentile: float = 50.0, radius_um: float = 3.2, most: int | None = 40000, refine: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Peaks of the micrometre response within an ellipsoid, bright enough in the normalized frame; optionally refined."""
+    response, n, spacing = _response_v2(frame, k, scales)
     peak = (response == maximum_filter(response, ball_offsets(radius_um, spacing))) & (response >= max(rel, 0.0)) & (n >= np.percentile(n, percentile))
     found = np.argwhere(peak)
     points, scores = _ordered(found, response[tuple(found.T)], most, k)
     return (centroids(frame, points) if refine else points), scores
 
 
+def candidates_v2(frame: np.ndarray, least_rel: float, radii_um: tuple[float, float], k: int = 4, scales=((1.5, 4.0), (2.2, 5.5)), percentile: float = 50.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``detect_v2`` finds for any threshold from ``least_rel`` on and any radius in a range: refined points by score,
+    scores, and how far off the nearest greater response is (infinite beyond the range).
+
+    A point is found at a threshold and radius if its score reaches the one and its distance exceeds the other.
+    """
+    response, n, spacing = _response_v2(frame, k, scales)
+    low, high = radii_um
+    peak = (response == maximum_filter(response, ball_offsets(low, spacing))) & (response >= max(least_rel, 0.0)) & (n >= np.percentile(n, percentile))
+    found = np.argwhere(peak)
+    points, scores = _ordered(found, response[tuple(found.T)], None, k)
+    at = np.rint(points / (1, k, k)).astype(np.int64)
+    offsets = ball_offsets(high, spacing)
+    reach = np.abs(offsets).max(axis=0)
+    wide = np.pad(response, [(r, r) for r in reach], constant_values=-np.inf)
+    clear = np.full(len(at), np.inf)
+    for o in offsets:
+        far = float(np.sqrt(((o * np.array(spacing)) ** 2).sum()))
+        greater = wide[tuple((at + reach + o).T)] > scores
+        clear[greater] = np.minimum(clear[greater], far)
+    return centroids(frame, points), scores, clear
+
+
 def centroids(frame: np.ndarray, points: np.ndarray, window: tuple[int, int, int] = (1, 3, 3)) -> np.ndarray:
-    """Intensity-weighted centres of boxes cut at the frame's edges; dark boxes keep the point."""
-    out = points.astype(np.float64).copy()
-    f = frame.astype(np.float64)
-    for i, p in enumerate(np.rint(points).astype(int)):
-        box = tuple(slice(max(0, c - w), min(n, c + w + 1)) for c, w, n in zip(p, window, f.shape, strict=True))
-        part = f[box]
-        if (total := part.sum()) > 0:
-            axes = np.meshgrid(*[np.arange(b.start, b.stop) for b in box], indexing="ij", sparse=True)
-            out[i] = [(part * a).sum() / total for a in axes]
-    return out
+    """Intensity-weighted centres of boxes cut at the frame's edges; dark boxes keep the point. One step per place in the
+    box, for all points at once."""
+    at = np.rint(points).astype(np.int64)
+    total, sums = np.zeros(len(at)), np.zeros((len(at), 3))
+    for o in box_offsets(tuple(2 * w + 1 for w in window)):
+        place = at + o
+        inside = ((place >= 0) & (place < frame.shape)).all(axis=1)
+        v = np.where(inside, frame[tuple(np.where(inside[:, None], place, 0).T)].astype(np.float64), 0.0)
+        total += v
+        sums += v[:, None] * place
+    bright = total > 0
+    return np.where(bright[:, None], sums / np.where(bright, total, 1.0)[:, None], points.astype(np.float64))
 
 
 POINTS = "volume string, t long, z double, y double, x double, score double"
@@ -319,6 +349,18 @@ def detect_frames(frames: DataFrame, detector: Callable[..., tuple[np.ndarray, n
     return frames.select("volume", "t", "shape", "data").mapInPandas(run, POINTS)
 
 
+def candidate_frames(frames: DataFrame, least_rel: float, radii_um: tuple[float, float], **options) -> DataFrame:
+    """``candidates_v2`` of dense frames, frame by frame: beside the point ``clear_um`` and ``place``, its number by score from 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                points, scores, clear = candidates_v2(np.frombuffer(r.data, dtype="<u2").reshape(tuple(r.shape)), least_rel, radii_um, **options)
+                yield pd.DataFrame({"volume": r.volume, "t": np.int64(r.t), "z": points[:, 0], "y": points[:, 1], "x": points[:, 2], "score": scores, "clear_um": clear, "place": np.arange(1, len(scores) + 1)})
+
+    return frames.select("volume", "t", "shape", "data").mapInPandas(run, f"{POINTS}, clear_um double, place long")
+
+
 def detect_by_scorer(frames: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], patch: tuple[int, int, int] = (32, 64, 64), threshold: float = 0.1) -> DataFrame:
     """Every voxel whose score exceeds the threshold, over half-overlapping zero-padded windows; the highest score stays."""
 

@@ -23,9 +23,11 @@ def number_nodes(detections: DataFrame, order: str) -> DataFrame:
     return number_rows(detections, ["volume"], ["t"], [order], "node_id")
 
 
-def link_frames(nodes: DataFrame, gate: float = 8.0) -> DataFrame:
-    """Optimal links between frames t and t + 1: volume, source_id, target_id, distance_um. An empty frame breaks chains."""
-    pairs = radius_join(nodes, nodes, gate, [1], ["volume", "t", "node_id"], ["node_id"])
+def link_frames(nodes: DataFrame, gate: float = 8.0, own_gate: str | None = None) -> DataFrame:
+    """Optimal links between frames t and t + 1: volume, source_id, target_id, distance_um. An empty frame breaks chains.
+    ``own_gate``: a column with each volume's gate, none above ``gate``."""
+    pairs = radius_join(nodes, nodes, gate, [1], ["volume", "t", "node_id", *([own_gate] if own_gate else [])], ["node_id"])
+    pairs = pairs.where(F.col("distance_um") <= F.col(f"{own_gate}_a")) if own_gate else pairs
     pairs = pairs.select(F.col("volume_a").alias("volume"), F.col("t_a").alias("t"), F.col("node_id_a").alias("a_id"), F.col("node_id_b").alias("b_id"), "distance_um")
     return match(pairs, gate).select("volume", F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"), "distance_um")
 
@@ -92,11 +94,11 @@ def drop_short(tracks: DataFrame, least: int) -> DataFrame:
     return tracks.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
 
 
-def track_previous_present(detections: DataFrame, gate: float, min_length: int = 1) -> DataFrame:
-    """The memoryless tracker: each frame links to the last frame that has points, however long ago."""
+def track_previous_present(detections: DataFrame, gate: float, min_length: int = 1, own_gate: str | None = None) -> DataFrame:
+    """The memoryless tracker: each frame links to the last frame that has points, however long ago. ``own_gate`` as in ``link_frames``."""
     frames = detections.select("volume", "t").distinct().withColumn("step", F.row_number().over(Window.partitionBy("volume").orderBy("t")).cast("long"))
     stepped = detections.join(frames, ["volume", "t"]).withColumnRenamed("t", "_t").withColumnRenamed("step", "t")
-    edges = materialize(link_frames(stepped, gate).select("volume", "source_id", "target_id"), "links")
+    edges = materialize(link_frames(stepped, gate, own_gate).select("volume", "source_id", "target_id"), "links")
     grouped = components(edges)
     placed = detections.join(grouped, ["volume", "node_id"], "left").withColumn("component", F.coalesce("component", "node_id"))
     first = placed.groupBy("volume", "component").agg(F.min("t").alias("_t"))

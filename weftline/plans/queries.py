@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry
 from weftline.operators import assignment, detection, divisions, evaluation, formatting, graph, joins, pairs, text_analysis, tracking
-from weftline.plans.views import Views, with_views
+from weftline.plans.views import FRAME_SHAPE, Views, with_views
 from weftline.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1004,7 +1004,10 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     from weftline.plans.calibration import calibrate
 
-    return calibrate(v.det, v.gt_nodes, v.gt_edges, v.gt_meta)
+    # the truth stands where its blobs are painted
+    placed = v.gt_nodes.join(v.det.select("node_id", *[F.col(k).alias(f"p{k}") for k in "zyx"]), "node_id")
+    truth = placed.select("volume", "t", *[(F.col(f"p{k}") % n).alias(k) for k, n in zip("zyx", FRAME_SHAPE, strict=True)], "node_id")
+    return calibrate(v.frames, truth, v.gt_edges, v.gt_meta)
 
 
 @query("x4_normalize_newlines", "SELECT doc_id, sha256(regexp_replace(replace(text, chr(10), chr(13) || chr(10)) || chr(13), chr(13) || chr(10) || '?', chr(10), 'g')) AS sha256 FROM documents")

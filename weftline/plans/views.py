@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Voxels of a painted frame along z, y and x.
+FRAME_SHAPE = (16, 64, 64)
+
 SQL = {
     "det": """SELECT event_type AS volume, CAST(date_diff('second', TIMESTAMP '2024-01-01', ts) // 25920 AS BIGINT) AS t,
   CAST((user_id % 5) * 12 + event_id % 5 AS DOUBLE) AS z, CAST((user_id // 5 % 6) * 40 + event_id % 23 AS DOUBLE) AS y,
@@ -138,7 +141,7 @@ class Views:
         import numpy as np
         import pandas as pd
 
-        shape, widths = (16, 64, 64), (1, 4, 4)
+        shape, widths = FRAME_SHAPE, (1, 4, 4)
         axes = np.meshgrid(*[np.arange(n) for n in shape], indexing="ij", sparse=True)
         lines = [np.arange(n) for n in shape]
 
