@@ -98,22 +98,34 @@ def refine_centroids(points: DataFrame, voxels: DataFrame, window: tuple[int, in
 PATCHES = ((64, 64, 64), (32, 128, 128))
 
 
-def axis_starts(size: int, patch: int) -> Column:
+def axis_starts(size: Column | int, patch: int) -> Column:
     """Multiples of the patch that fit, and a last start flush with the end."""
-    last = size - patch
-    return F.array_sort(F.array_distinct(F.concat(F.sequence(F.lit(0), F.lit(last), F.lit(patch)), F.array(F.lit(last)))))
+    last = (F.lit(size) - patch).cast("long") if isinstance(size, int) else (size - patch).cast("long")
+    zero = F.lit(0).cast("long")
+    return F.array_sort(F.array_distinct(F.concat(F.sequence(zero, last, F.lit(patch).cast("long")), F.array(last))))
 
 
-def patch_grid(spark: SparkSession, shape: tuple[int, int, int], patch: tuple[int, int, int]) -> DataFrame:
-    """patch_no, z0, y0, x0 of the patches that cover a volume, z first."""
+def patch_grids(shapes: DataFrame, patch: tuple[int, int, int]) -> DataFrame:
+    """volume, patch_no, z0, y0, x0 of the patches that cover each volume of ``shapes`` (volume, nz, ny, nx), z first. A
+    patch's number follows from its places along the axes, so no task numbers a grid."""
     if tuple(patch) not in PATCHES:
         raise ValueError(f"patch must be one of {PATCHES}")
-    if any(p > s for p, s in zip(patch, shape, strict=True)):
-        raise ValueError("patch exceeds the volume")
-    grid = spark.range(1).select()
-    for k, s, p in zip("zyx", shape, patch, strict=True):
-        grid = grid.withColumn(f"{k}0", F.explode(axis_starts(s, p).cast("array<bigint>")))
-    return grid.withColumn("patch_no", F.row_number().over(Window.orderBy("z0", "y0", "x0")).cast("long") - 1)  # one volume's grid
+    if not (small := shapes.where(" or ".join(f"n{k} < {p}" for k, p in zip("zyx", patch, strict=True))).limit(1)).isEmpty():
+        raise ValueError(f"patch exceeds the volume {small.first().volume}")
+    grid = shapes.select("volume", "nz", "ny", "nx").withColumn("patch_no", F.lit(0).cast("long"))
+    for k, p in zip("zyx", patch, strict=True):
+        grid = grid.withColumn("_s", axis_starts(F.col(f"n{k}"), p)).select("*", F.posexplode("_s").alias("_i", f"{k}0"))
+        grid = grid.withColumn("patch_no", F.col("patch_no") * F.size("_s") + F.col("_i")).drop("_s", "_i")
+    return grid.select("volume", "patch_no", "z0", "y0", "x0")
+
+
+def _one(spark: SparkSession, shape: tuple[int, int, int]) -> DataFrame:
+    return spark.createDataFrame([("", *shape)], "volume string, nz long, ny long, nx long")
+
+
+def patch_grid(spark: SparkSession, shape: tuple[int, int, int], patch: tuple[int, int, int]) -> DataFrame:
+    """The grid of one volume of a given shape."""
+    return patch_grids(_one(spark, shape), patch).drop("volume")
 
 
 def decode_index(index: Column, frames: int, patches: int) -> dict[str, Column]:
@@ -121,13 +133,15 @@ def decode_index(index: Column, frames: int, patches: int) -> dict[str, Column]:
     return {"volume_no": F.floor(index / (frames * patches)), "t": F.floor(index / patches) % frames, "patch_no": index % patches}
 
 
-def half_overlap_windows(spark: SparkSession, shape: tuple[int, int, int], patch: tuple[int, int, int]) -> DataFrame:
-    """Window starts at half patches up to the end of each axis, and the zero padding that each needs."""
-    grid = spark.range(1).select()
-    for k, s, p in zip("zyx", shape, patch, strict=True):
-        grid = grid.withColumn(f"{k}0", F.explode(F.sequence(F.lit(0), F.lit(s - 1), F.lit(max(1, p // 2))).cast("array<bigint>")))
-        grid = grid.withColumn(f"pad_{k}", F.greatest(F.lit(0), F.col(f"{k}0") + p - s).cast("long"))
-    return grid
+def half_overlap_windows(shapes: DataFrame, patch: tuple[int, int, int]) -> DataFrame:
+    """Window starts of each volume of ``shapes`` (volume, nz, ny, nx) at half patches up to the end of each axis, and the
+    zero padding that each needs."""
+    grid = shapes.select("volume", "nz", "ny", "nx")
+    for k, p in zip("zyx", patch, strict=True):
+        n = F.col(f"n{k}").cast("long")
+        grid = grid.withColumn(f"{k}0", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(max(1, p // 2)).cast("long"))))
+        grid = grid.withColumn(f"pad_{k}", F.greatest(F.lit(0), F.col(f"{k}0") + p - n).cast("long"))
+    return grid.drop("nz", "ny", "nx")
 
 
 def stitch(patches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators.assignment import Objective, match
 from weftline.operators.graph import closure, components, degrees
 from weftline.operators.joins import map_edges, radius_join
+from weftline.plans.storage import materialize
 
 MATCH_UM = 7.0
 #: Weight of the over-prediction adjustment and of divisions in the official-like score.
@@ -123,7 +124,7 @@ def estimated_nodes(volumes: DataFrame, gt_nodes: DataFrame, meta: DataFrame, ze
 def evaluate(pred_nodes: DataFrame, pred_edges: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, meta: DataFrame, version: int = 2, matches: DataFrame | None = None) -> DataFrame:
     """One row per ground-truth volume with all counts and scores of the version (1 or 2)."""
     volumes = gt_nodes.select("volume").distinct()
-    matches = match_nodes(pred_nodes, gt_nodes) if matches is None else matches
+    matches = materialize(match_nodes(pred_nodes, gt_nodes), "matches") if matches is None else matches  # read by every count
     edges = (edge_counts_v1 if version == 1 else edge_counts_v2)(pred_edges, gt_edges, matches, volumes)
     divisions = (division_counts_v1 if version == 1 else division_counts_v2)(pred_edges, gt_edges, matches, volumes)
     sizes = _counted(volumes, pred_nodes=pred_nodes, matched_nodes=matches)
@@ -167,12 +168,21 @@ def detector_recall(peaks: DataFrame, truth: DataFrame, gate: float = MATCH_UM)
 # ---------------------------------------------------------------- walk-forward folds
 
 
+def folds_of(frames: DataFrame, train: int = 80, val: int = 20, stride: int = 10) -> DataFrame:
+    """Per volume of ``frames`` (volume, total): fold, train and validation frames [start, end); a single fold over all
+    frames where no window fits."""
+    total, zero = F.col("total").cast("long"), F.lit(0).cast("long")
+    start = F.explode(F.sequence(zero, F.greatest(total - train - val, zero), F.lit(stride).cast("long")))
+    begun = frames.select("volume", total.alias("total"), start.alias("train_start"))
+    fits = F.col("total") >= train + val
+    cut = F.when(fits, F.col("train_start") + train).otherwise(F.greatest(zero, F.col("total") - val))
+    end = F.when(fits, F.col("train_start") + train + val).otherwise(F.col("total"))
+    return begun.select("volume", (F.col("train_start") / stride).cast("long").alias("fold"), "train_start", cut.alias("train_end"), cut.alias("val_start"), end.alias("val_end"))
+
+
 def folds(spark, total: int = 100, train: int = 80, val: int = 20, stride: int = 10) -> DataFrame:
-    """fold, train and validation frames [start, end); a single fold over all frames where no window fits."""
-    if total < train + val:
-        return spark.createDataFrame([(0, 0, max(0, total - val), max(0, total - val), total)], "fold long, train_start long, train_end long, val_start long, val_end long")
-    start = spark.range(0, total - train - val + 1, stride).withColumnRenamed("id", "train_start")
-    return start.select((F.col("train_start") / stride).cast("long").alias("fold"), "train_start", (F.col("train_start") + train).alias("train_end"), (F.col("train_start") + train).alias("val_start"), (F.col("train_start") + train + val).alias("val_end"))
+    """The folds of a given number of frames."""
+    return folds_of(spark.createDataFrame([("", total)], "volume string, total long"), train, val, stride).drop("volume")
 
 
 def fold_node_scores(folds_: DataFrame, pred: DataFrame, truth: DataFrame, gate: float = MATCH_UM) -> DataFrame:
@@ -240,7 +250,7 @@ def _running(counts: DataFrame, keys: list[str], columns: list[str], descending:
 def roc_auc(rows: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by mid-ranks per group; 0.5 with a single class. Equal scores are counted together first."""
     keys = keys or []
-    counts = rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    counts = materialize(rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")), "counts")
     ranked = _running(counts, keys, ["n"]).withColumn("mid", F.col("_before_n") + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("n_pos"), F.sum("n").alias("n"))
     pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
@@ -250,7 +260,7 @@ def roc_auc(rows: DataFrame, score: str, label: str, keys: list[str] | None = No
 def average_precision(rows: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
     """Sum over distinct scores, descending, of precision times the gain in recall; 0 without positives."""
     keys = keys or []
-    counts = rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    counts = materialize(rows.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")), "counts")
     steps = _running(counts, keys, ["p", "n"], descending=True).withColumns({"tp": F.col("_before_p") + F.col("p"), "seen": F.col("_before_n") + F.col("n")})
     sums = steps.groupBy(*keys).agg(F.sum(F.col("tp") / F.col("seen") * F.col("p")).alias("a"), F.sum("p").alias("n_pos"))
     return sums.select(*keys, "n_pos", F.coalesce(F.try_divide(F.col("a"), F.col("n_pos").cast("double")), F.lit(0.0)).alias("average_precision"))

@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, ["volume", "u"]).select("volume", F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         before, now = now, materialize(small.select("volume", F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "components")
         release(before)
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("volume", "u", "v") % 1_000_003)).first()
+        hashed = F.xxhash64("volume", "u", "v")
+        after = now.agg(F.count("*"), F.sum(hashed.cast("decimal(38,0)")), F.bit_xor(hashed)).first()  # both whole: 128 bits
         if after == state:
             break
         state = after

@@ -247,10 +247,22 @@ def _bright(patch):
     return 1 / (1 + np.exp(-2 * patch))
 
 
-@query("v14_patch_grid", """WITH a AS (SELECT unnest([0, 64, 96]) AS z0), b AS (SELECT unnest([0, 128]) AS y0), c AS (SELECT unnest([0, 128, 172]) AS x0)
-SELECT CAST(z0 AS BIGINT) AS z0, CAST(y0 AS BIGINT) AS y0, CAST(x0 AS BIGINT) AS x0, row_number() OVER (ORDER BY z0, y0, x0) - 1 AS patch_no FROM (SELECT unnest([0, 32, 64, 68]) AS z0), b, c""")
+_SHAPES = "sh AS (SELECT volume, CAST(greatest(max(z) + 1, 32) AS BIGINT) AS nz, CAST(greatest(max(y) + 1, 128) AS BIGINT) AS ny, CAST(greatest(max(x) + 1, 128) AS BIGINT) AS nx FROM det GROUP BY volume)"
+
+
+def _shapes(v: Views) -> DataFrame:
+    """The voxels that each volume's detections span, a patch at least."""
+    return v.det.groupBy("volume").agg(*[F.greatest(F.max(k) + 1, F.lit(float(p))).cast("long").alias(f"n{k}") for k, p in zip("zyx", (32, 128, 128), strict=True)])
+
+
+def _starts_sql(axis: str, patch: int) -> str:
+    return f"list_sort(list_distinct(list_concat(range(0, n{axis} - {patch} + 1, {patch}), [n{axis} - {patch}])))"
+
+
+@query("v14_patch_grid", f"""WITH {_SHAPES}, g AS (SELECT volume, z0, y0, unnest({_starts_sql("x", 128)}) AS x0 FROM (SELECT *, unnest({_starts_sql("y", 128)}) AS y0 FROM (SELECT *, unnest({_starts_sql("z", 32)}) AS z0 FROM sh)))
+SELECT volume, z0, y0, x0, row_number() OVER (PARTITION BY volume ORDER BY z0, y0, x0) - 1 AS patch_no FROM g""")
 def _(v: Views) -> DataFrame:
-    return detection.patch_grid(v.spark, (100, 256, 300), (32, 128, 128))
+    return detection.patch_grids(_shapes(v), (32, 128, 128))
 
 
 @query("v15_decode_index", "SELECT event_id, event_id // 1200 AS volume_no, event_id // 12 % 100 AS t, event_id % 12 AS patch_no FROM events")
@@ -258,10 +270,10 @@ def _(v: Views) -> DataFrame:
     return v.table("events").select("event_id").withColumns(detection.decode_index(F.col("event_id"), 100, 12))
 
 
-@query("v16_half_overlap_windows", """SELECT z0, greatest(z0 + 32 - 64, 0) AS pad_z, y0, greatest(y0 + 64 - 200, 0) AS pad_y, x0, greatest(x0 + 64 - 256, 0) AS pad_x
-FROM range(0, 64, 16) a(z0), range(0, 200, 32) b(y0), range(0, 256, 32) c(x0)""")
+@query("v16_half_overlap_windows", f"""WITH {_SHAPES} SELECT volume, z0, greatest(z0 + 32 - nz, 0) AS pad_z, y0, greatest(y0 + 64 - ny, 0) AS pad_y, x0, greatest(x0 + 64 - nx, 0) AS pad_x
+FROM (SELECT *, unnest(range(0, nx, 32)) AS x0 FROM (SELECT *, unnest(range(0, ny, 32)) AS y0 FROM (SELECT *, unnest(range(0, nz, 16)) AS z0 FROM sh)))""")
 def _(v: Views) -> DataFrame:
-    return detection.half_overlap_windows(v.spark, (64, 200, 256), (32, 64, 64))
+    return detection.half_overlap_windows(_shapes(v), (32, 64, 64))
 
 
 @query("v17_stitch", "WITH p AS (SELECT volume, t, z, y // 2 AS y, x // 2 AS x, v FROM voxels) SELECT volume, t, z, y, x, round(avg(v), 6) AS v, count(*) AS n FROM p GROUP BY ALL")
@@ -816,9 +828,12 @@ def _(v: Views) -> DataFrame:
 _FOLDS = "fo AS (SELECT i // 5 AS fold, i AS train_start, i + 60 AS train_end, i + 60 AS val_start, i + 80 AS val_end FROM range(0, 21, 5) t(i))"
 
 
-@query("m15_folds", f"WITH {_FOLDS} SELECT * FROM fo")
+@query("m15_folds", """WITH fr AS (SELECT volume, max(t) + 1 AS total FROM det WHERE volume <> 'view' OR t < 70 GROUP BY volume), s AS (SELECT *, unnest(range(0, greatest(total - 80, 0) + 1, 5)) AS i FROM fr)
+SELECT volume, i // 5 AS fold, i AS train_start, CASE WHEN total >= 80 THEN i + 60 ELSE greatest(0, total - 20) END AS train_end, CASE WHEN total >= 80 THEN i + 60 ELSE greatest(0, total - 20) END AS val_start, CASE WHEN total >= 80 THEN i + 80 ELSE total END AS val_end FROM s""")
 def _(v: Views) -> DataFrame:
-    return evaluation.folds(v.spark, 100, 60, 20, 5)
+    # one volume is too short for a window
+    frames = v.det.where("volume <> 'view' or t < 70").groupBy("volume").agg((F.max("t") + 1).alias("total"))
+    return evaluation.folds_of(frames, 60, 20, 5)
 
 
 @query("m17_fold_edges", f"""WITH {_FOLDS}, p AS (SELECT DISTINCT fold, x.volume, gt_source AS s, gt_target AS t FROM ({_MAPPED}) x JOIN det d ON d.volume = x.volume AND d.node_id = x.source_id JOIN fo ON d.t >= val_start AND d.t < val_end),
