@@ -124,6 +124,30 @@ def test_mixtures_of_any_number_of_languages_stay(spark):
     assert sorted(r.doc_id for r in li.keep_determined(docs, model).collect()) == [1, 2, 3, 4, 5]
 
 
+def test_rows_without_ids_are_drawn_by_their_texts(spark, monkeypatch):
+    from weftline.llm import language_id
+
+    docs = spark.range(60).selectExpr("cast(null as long) as doc_id", "concat('ein kurzer satz ', 100 + id) as text", "'de' as lang").unionByName(spark.range(60).selectExpr("id as doc_id", "'one text for all' as text", "'en' as lang"))
+    docs = docs.unionByName(spark.range(40).selectExpr("7L as doc_id", "'siempre la misma fila' as text", "'es' as lang"))
+    monkeypatch.setattr(language_id, "MixtureModel", lambda languages, counts: dict(zip(languages, counts.sum(axis=1), strict=True)))
+    full = language_id.train(docs, per_language=1000)
+    for asked in (59, 30, 10):
+        part = language_id.train(docs, per_language=asked)
+        assert all(abs(part[k] / full[k] - asked / 60) < 0.2 for k in ("de", "en"))
+    # no language is learned from nothing; equal rows go together
+    least = language_id.train(docs, per_language=0)
+    assert min(least.values()) > 0 and least["es"] == full["es"] and least["de"] < full["de"] / 20
+
+
+def test_the_number_of_languages_is_bounded(spark):
+    from weftline.llm import language_id
+
+    docs = spark.range(10_000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id) as lang").unionByName(spark.range(20).selectExpr("-id as doc_id", "concat('wort ', id) as text", "'de' as lang"))
+    model = language_id.train(docs, buckets=1024)
+    assert len(model.languages) == 256 and "de" in model.languages and "l0" in model.languages and "l9999" not in model.languages
+    assert language_id.predict(docs.where("doc_id = 5000"), model).count() == 1
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
     rows = li.op4_language_id(spark, DATA).join(docs, "doc_id").where("held_out").collect()

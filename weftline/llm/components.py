@@ -1,43 +1,15 @@
-"""Connected components of a link table, without ever gathering a component."""
+"""Connected components of a link table, by the engine's own operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import materialize, release
-
-
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return r[0], r[1]
+from weftline.operators.graph import components
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``links``: columns u, v (long, no nulls). Returns node, root: the smallest node that links reach.
-
-    Alternates large-star and small-star: each round hangs every node under the smallest node of its neighbourhood, by
-    map-side minima and joins, until the edges are stars. Rounds are cut by written tables.
-    """
-    edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = _state(edges)
-    for _ in range(rounds):
-        if state[0] == 0:
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: larger neighbours hang under the smallest neighbour
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: the node and its smaller neighbours hang under the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        before, edges = edges, materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct(), "links")
-        release(before)
-        after = _state(edges)
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    """``links``: columns u, v (long, no nulls). Returns node, root: the smallest node that links reach; nodes without
+    links to others are absent."""
+    edges = links.select(F.lit("").alias("volume"), F.col("u").alias("source_id"), F.col("v").alias("target_id"))
+    return components(edges, rounds).select(F.col("node_id").alias("node"), F.col("component").alias("root"))

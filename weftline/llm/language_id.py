@@ -10,15 +10,15 @@ greatest likelihood, while that pays the penalty. (No step is tried where the
 likelihood of all languages together, bounded from above by its gradient, could
 not pay it.) The largest proportion names the document.
 
-Parameters: ``per_language`` rows are sampled per language at most (by a hash of
-the id, so about that many; every language with fewer keeps all its rows), of
-which each counts as ``most_grams`` n-grams at most, whatever its length (all its
+Parameters: the ``most_languages`` most frequent languages are learned; about
+``per_language`` rows are sampled of each (by a hash of id and text; every language
+with fewer keeps all its rows), of which each counts as ``most_grams`` n-grams at most, whatever its length (all its
 n-grams are read, their counts are scaled); ``buckets`` n-gram buckets,
 ``penalty`` per added language and log n-gram, ``rounds`` of
 expectation-maximisation.
 
 Defined cases: null text, empty text and texts without a letter are ``und`` with
-score 0; null languages teach nothing; a text whose n-grams were never seen falls
+score 0; null languages teach nothing; rows without an id are drawn by their texts; a text whose n-grams were never seen falls
 to the background; without any labelled row, as with an empty table, everything
 is ``und``; repeated rows teach repeatedly and give repeated results; very long
 texts are counted whole; of equal likelihoods or proportions the language that
@@ -27,6 +27,7 @@ comes first by name wins; other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,15 +161,22 @@ class MixtureModel:
         return top, min(1.0, found[top]), found
 
 
-def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, most_grams: int = 1000, **options) -> MixtureModel:
-    """Learns from rows with text and language. Counts are summed per task before the shuffle; the driver receives one
-    row of ``buckets`` counts per language."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    if not sizes:
+def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, most_grams: int = 1000, most_languages: int = 256, **options) -> MixtureModel:
+    """Learns from rows with text and language, of the ``most_languages`` languages that most rows have (of equal ones the
+    first by name). Rows are drawn by a hash of id and text, about ``per_language`` of each language, and that of the
+    smallest hash always; equal rows are drawn together.
+
+    Counts are summed per task before the shuffle; the driver receives a row per learned language, and ``buckets`` counts.
+    """
+    hashed = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 30)).alias("h")
+    rows = docs.where("text is not null and lang is not null").select("lang", "text", hashed)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    learned = sizes.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not learned:
         return MixtureModel([], np.zeros((0, buckets)), **options)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(sizes.items())])
-    drawn = rows.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("language sample")), F.lit(1 << 30)) < share * (1 << 30))
+    bounds = [(r.lang, max(r.least + 1, math.ceil(min(1.0, per_language / r.n) * (1 << 30)))) for r in learned]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, below long"))  # a row per learned language
+    drawn = rows.join(bound, "lang").where("h < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -181,7 +189,7 @@ def train(docs: DataFrame, per_language: int = 2000, buckets: int = BUCKETS, mos
             yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size), pa.array(at), pa.array(s[at])], ["lang", "at", "n"])
 
     parts = drawn.select("lang", "text").mapInArrow(run, "lang string, at long, n double").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
+    languages = sorted(k for k, _ in bounds)
     counts = np.zeros((len(languages), buckets))
     where = {k: i for i, k in enumerate(languages)}
     for r in parts.toLocalIterator():

@@ -6,11 +6,11 @@ red, alpha); larger payloads take several files one after the other. The codec i
 ``webp_lossless``.
 
 The encoder takes, by its entropy, the shortest grey form: a palette that packs
-samples, back-references to repeated lines, or a predictor with uniform mode. From
-``PIXELS_FROM`` bytes on it also weighs pixels with a colour cache, which then holds
-the groups of four bytes that recur, and takes them where they save ``WORTH`` of the
-grey form: their codes take more time to write and read. Code groups and transforms
-across colours do not shorten text; they are decoded wherever other encoders used them.
+samples, back-references to repeated lines, or a predictor with uniform mode. It also
+weighs pixels with a colour cache, which holds the groups of four bytes that recur,
+and takes them where they save ``WORTH`` of the grey form: their codes take more time
+to write and read. Code groups and transforms across colours do not shorten text; they
+are decoded wherever other encoders used them.
 
 Defined cases: null text is the empty payload, which is padded to one row of
 zeros; repeated rows give equal files; very long texts take several images, so
@@ -34,8 +34,8 @@ from weftline.llm import webp_lossless
 from weftline.llm._common import as_bytes, map_batches, table
 
 ROW = 64
-#: Payload bytes from which pixels are weighed against grey samples, and the share that they have to save.
-PIXELS_FROM, WORTH = 4096, 1 / 16
+#: The share of the grey form that pixels have to save.
+WORTH = 1 / 16
 
 
 def padded(data: bytes) -> bytes:
@@ -51,8 +51,6 @@ def store(payload: bytes) -> bytes:
 
 def _image(part: bytes) -> bytes:
     grey = webp_lossless.encode_grey(part, ROW)
-    if len(part) < PIXELS_FROM:
-        return grey
     return webp_lossless.encode_cached(part, ROW // 4, len(grey) * (1 - WORTH)) or grey
 
 
