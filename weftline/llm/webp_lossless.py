@@ -68,8 +68,12 @@ def code_lengths(counts: dict[int, int], limit: int) -> dict[int, int]:
         counts = {s: (n + 1) >> 1 for s, n in counts.items()}  # flatter counts give shorter codes
 
 
+#: All 15-bit numbers with their bits in reverse.
+_REVERSED = sum((np.arange(1 << 15) >> k & 1) << 14 - k for k in range(15)).tolist()
+
+
 def _reverse(code: int, bits: int) -> int:
-    return int(f"{code:0{bits}b}"[::-1], 2) if bits else 0
+    return _REVERSED[code] >> 15 - bits
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -850,7 +854,7 @@ def encode_cached(samples: bytes, width: int, most: float = float("inf"), cache_
     cache wherever it holds the pixel. None if that would take ``most`` bytes or more by its entropy."""
     pixels = np.frombuffer(samples, dtype="<u4")
     key = _cache_keys(pixels, cache_bits)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key.astype(np.uint16), kind="stable")  # of so few bits a radix sort
     hit = np.zeros(pixels.size, dtype=bool)
     hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
     blue, green, red, alpha = _channels(pixels).T
