@@ -170,3 +170,21 @@ def test_odd_documents(odd_docs, no_docs, clashing):
     assert rows[4].payload_bytes == rows[5].payload_bytes == 64 and rows[4].payload_sha256 == rows[5].payload_sha256 and rows[4].n_bytes == 0
     assert rows[1].media_sha256 == rows[2].media_sha256 and rows[1].feature == rows[2].feature
     assert media.read_features(media.with_media(no_docs)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "x", "a plain text, " * 40, "ab" * 300, "é漢🙂" * 50, "\n".join(f"line {i % 7} that is met again and again" for i in range(40))])
+def test_small_payloads_weigh_pixels_where_asked(text):
+    payload = media.padded(text.encode())
+    stored = media.store(payload, 0)
+    grey = w.encode_grey(payload, 64)
+    assert media.samples_of(stored) == payload
+    assert stored == grey or len(stored) < len(grey)
+    rows = naive_webp.decode(stored, w.NEIGHBOURS)
+    read = bytes(p >> k & 255 for row in rows for p in row for k in (0, 8, 16, 24)) if len(rows[0]) == 16 else bytes(p >> 8 & 255 for row in rows for p in row)
+    assert read == payload
+
+
+def test_the_media_column_weighs_payloads_of_every_size(spark):
+    texts = ["", "x", recurring(2000).decode(), recurring(9000).decode()]
+    rows = media.with_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: bytes(r.media) for r in rows} == {i: media.store(media.padded(t.encode()), 0) for i, t in enumerate(texts)}

@@ -9,7 +9,8 @@ The encoder takes, by its entropy, the shortest grey form: a palette that packs
 samples, back-references to repeated lines, or a predictor with uniform mode. It also
 weighs pixels with a colour cache, which holds the groups of four bytes that recur,
 and takes them where they save ``WORTH`` of the grey form: their codes take more time
-to write and read. Code groups and transforms across colours do not shorten text; they
+to write and read. ``pixels_from`` spares small payloads that: ``store`` alone has such
+a bound by default, the media column and the query weigh every payload. Code groups and transforms across colours do not shorten text; they
 are decoded wherever other encoders used them.
 
 Defined cases: null text is the empty payload, which is padded to one row of
@@ -34,8 +35,8 @@ from weftline.llm import webp_lossless
 from weftline.llm._common import as_bytes, map_batches, table
 
 ROW = 64
-#: The share of the grey form that pixels have to save.
-WORTH = 1 / 16
+#: Payload bytes from which ``store`` weighs pixels unless told otherwise, and the share of the grey form that they have to save.
+PIXELS_FROM, WORTH = 4096, 1 / 16
 
 
 def padded(data: bytes) -> bytes:
@@ -43,15 +44,19 @@ def padded(data: bytes) -> bytes:
     return data + bytes(max(ROW, -(-len(data) // ROW) * ROW) - len(data))
 
 
-def store(payload: bytes) -> bytes:
+def store(payload: bytes, pixels_from: int = PIXELS_FROM) -> bytes:
     """WebP files, one after the other, of a payload of whole rows."""
     most = ROW * webp_lossless.MAX_SIDE
-    return b"".join(_image(payload[i : i + most]) for i in range(0, len(payload), most))
+    return b"".join(_image(payload[i : i + most], pixels_from) for i in range(0, len(payload), most))
 
 
-def _image(part: bytes) -> bytes:
+def _image(part: bytes, pixels_from: int) -> bytes:
     grey = webp_lossless.encode_grey(part, ROW)
-    return webp_lossless.encode_cached(part, ROW // 4, len(grey) * (1 - WORTH)) or grey
+    if len(part) < pixels_from:
+        return grey
+    most = len(grey) * (1 - WORTH)
+    pixels = webp_lossless.encode_cached(part, ROW // 4, most)  # none where its entropy says no
+    return pixels if pixels is not None and len(pixels) < most else grey
 
 
 def files_of(media: bytes) -> list[bytes]:
@@ -81,12 +86,12 @@ def feature(samples: bytes) -> str:
     return f"{(counts * np.arange(256)).sum() / len(samples):.4f}|{-(share * np.log2(share)).sum():.4f}|{','.join(map(str, bins))}"
 
 
-def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pixels_from: int = 0) -> DataFrame:
     """Id, length of the UTF-8 text, and the media column."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = as_bytes(batch.column(1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store(padded(t)) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store(padded(t), pixels_from) for t in texts], pa.binary())], [id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_batches(docs.select(F.col(id_col), F.col(text_col)), run, f"`{id_col}` {kind}, n_bytes long, media binary")
