@@ -3,6 +3,7 @@ import struct
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,8 +106,40 @@ def test_blosc_round_trips_and_errors():
     assert blosc.decode(stored) == b"abcdef"
     with pytest.raises(ValueError):
         blosc.decode(frame[:-1])
-    with pytest.raises(NotImplementedError, match="lz4"):
-        blosc.decode(struct.pack("<4B3I", 2, 1, 16 | 1 << 5, 1, 64, 64, 26) + struct.pack("<2I", 20, 2) + b"xx")
+    with pytest.raises(NotImplementedError, match="5"):
+        blosc.decode(whole_frame(b"xx", 64, 5))
+    for codec in range(5):
+        with pytest.raises(ValueError):
+            blosc.decode(whole_frame(b"\xff\xfe\xff", 64, codec))
+
+
+def whole_frame(stream, n, codec):
+    """A frame of one unshuffled block of one stream."""
+    return struct.pack("<4B3I", 2, 1, 16 | codec << 5, 1, n, n, 24 + len(stream)) + struct.pack("<2I", 20, len(stream)) + stream
+
+
+@pytest.mark.parametrize("codec,name", [(1, "lz4_raw"), (2, "snappy")])
+def test_blosc_over_other_codecs(codec, name):
+    data = np.repeat(np.random.RandomState(5).randint(0, 300, 900), 9).astype("<u2").tobytes()
+    assert blosc.decode(whole_frame(pa.compress(data, name, asbytes=True), len(data), codec)) == data
+
+
+def test_blosclz_streams_made_by_hand():
+    far = bytes(range(256)) * 40
+    literals = b"".join(bytes([31]) + far[k : k + 32] for k in range(0, len(far), 32))
+    cases = [
+        (b"\x04hello", b"hello"),
+        (b"\x02abc" + bytes([1 << 5 | 0, 2]), b"abcabc"),  # three bytes from three back
+        (b"\x00a" + bytes([7 << 5, 255, 4, 0]) + b"\x00z", b"a" * (1 + 6 + 255 + 4 + 3) + b"z"),  # a long run of one byte
+        (literals + bytes([2 << 5 | 31, 255, 3, 0]), far + far[len(far) - 8192 - 768 :][:4]),  # a far match
+        (literals + bytes([2 << 5 | 31, 254]), far + far[len(far) - 8191 :][:4]),  # the farthest of the short ones
+    ]
+    for stream, data in cases:
+        assert blosc._blosclz(stream, len(data)) == data
+    stream, data = cases[2]
+    assert blosc.decode(whole_frame(stream, len(data), 0)) == data
+    with pytest.raises(ValueError):
+        blosc._blosclz(b"\x02abc" + bytes([1 << 5, 3]), 6)
 
 
 def write_array(folder, a, chunk, version, codec="raw"):
@@ -152,6 +185,72 @@ def test_lineage_stores(spark, tmp_path, version, codec, kind):
         lineage_store.read_lineage_stores(spark, str(tmp_path), ["v1", "v9"])
 
 
+def test_filters_decide_which_frames_are_read(spark, tmp_path):
+    for name in ("a_1", "b_2"):
+        volume(tmp_path, name)
+    (tmp_path / "c_3.zarr").mkdir()  # without an array: reading it would raise
+    chunked.register(spark)
+    df = spark.read.format("chunked_frames").load(str(tmp_path))
+    cases = {"volume = 'a_1' and t = 2": 1, "volume in ('a_1', 'b_2') and t >= 1": 4, "volume like 'b%' and t < 2 and t > 0": 1, "volume = 'a_1' and t <= 1 and length(data) > 0": 2}
+    for condition, n in cases.items():
+        found = df.where(condition)
+        assert found.rdd.getNumPartitions() == n and found.count() == n
+    assert df.where("volume = 'nothing'").count() == 0
+    assert df.where("volume = 'a_1' and (t = 0 or shape[0] = 1)").count() == 1
+
+
+def test_filters_decide_which_stores_are_opened(spark, tmp_path):
+    frame = spark.createDataFrame([(v, i, 0, 1.0, 2.0, 3.0) for v in ("a", "b", "c") for i in range(3)], "volume string, node_id long, t long, z double, y double, x double")
+    lineage_store.write_lineage_stores(frame, frame.selectExpr("volume", "node_id source_id", "node_id target_id").limit(0), frame.selectExpr("volume", "1 estimated_number_of_nodes").limit(0), str(tmp_path))
+    for array in (tmp_path / "c.geff").rglob(".zarray"):
+        array.unlink()
+    nodes, edges, _ = lineage_store.read_lineage_stores(spark, str(tmp_path), ["a", "b"])
+    assert nodes.count() == 6 and nodes.rdd.getNumPartitions() == 2 and edges.count() == 0
+
+
+def test_stores_appear_whole(spark, tmp_path, monkeypatch):
+    """Several chunks per array over several tasks; ids beyond doubles; a job that fails leaves what was there."""
+    schema_ = "volume string, node_id long, t long, z double, y double, x double"
+    big = 2**60 + 1
+    rows = [("v", big + i, i % 5, i / 7, float(i), None if i == 3 else 0.5) for i in range(150_000)] + [("w", 1, 0, 0.0, 0.0, 0.0)]
+    nodes = spark.createDataFrame(rows, schema_)
+    edges = spark.createDataFrame([("v", big + i + 1, big + i) for i in range(70_000)], "volume string, source_id long, target_id long")
+    meta = spark.createDataFrame([("v", 5), ("v", 9), ("w", None), ("x", 2)], "volume string, estimated_number_of_nodes long")
+    lineage_store.write_lineage_stores(nodes, edges, meta, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v.geff", "w.geff", "x.geff"]
+    assert len(list((tmp_path / "v.geff/nodes/ids").glob("[0-9]*"))) == 3
+    n, e, m = lineage_store.read_lineage_stores(spark, str(tmp_path))
+    total = "count(*)", "sum(cast(node_id as decimal(38,0)) * (t + 1))", "count_if(isnan(x) or x is null)"
+    assert n.selectExpr(*total).first() == nodes.selectExpr(*total).first()
+    assert e.exceptAll(edges).count() == 0 and e.count() == 70_000
+    assert {r.volume: r.estimated_number_of_nodes for r in m.collect()} == {"v": 9, "w": None, "x": 2}
+    lost = nodes.where("node_id < 5").unionByName(spark.createDataFrame([("w", None, 0, 0.0, 0.0, 0.0)], schema_))
+    with pytest.raises(Exception, match="(?i)cannot convert"):
+        lineage_store.write_lineage_stores(lost, edges.limit(0), meta.limit(0), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["v.geff", "w.geff", "x.geff"]
+    assert lineage_store.read_lineage_stores(spark, str(tmp_path))[0].count() == 150_001
+
+
+def test_volumes_appear_whole(spark, tmp_path):
+    rows = [("a", t, [1, 2, 2], bytes([t] * 8)) for t in (0, 2)] + [("b", 0, [1, 1, 1], b"xy")]
+    frames = spark.createDataFrame(rows, schema.FRAMES).repartition(3)
+    chunked.write_frames(frames, str(tmp_path), "raw")
+    chunked.register(spark)
+    load = lambda: {(r.volume, r.t): bytes(r.data) for r in spark.read.format("chunked_frames").load(str(tmp_path)).collect()}
+    expected = {("a", 0): bytes(8), ("a", 1): bytes(8), ("a", 2): bytes([2] * 8), ("b", 0): b"xy"}
+    assert load() == expected
+    save = lambda rows, mode: spark.createDataFrame(rows, schema.FRAMES).repartition(2).write.format("chunked_frames").mode(mode).save(str(tmp_path))
+    for bad in ([("a", 0, [1, 2, 2], bytes(8)), ("a", 1, [1, 1, 2], bytes(4))], [("a", 0, [1, 2, 2], bytes(7))]):
+        with pytest.raises(Exception, match="shape"):
+            save(bad, "overwrite")
+    with pytest.raises(Exception, match="a.zarr"):
+        save([("a", 0, [1, 1, 1], b"no"), ("c", 0, [1, 1, 1], b"no")], "append")
+    assert load() == expected and sorted(p.name for p in tmp_path.iterdir()) == ["a.zarr", "b.zarr"]
+    save([("c", 0, [1, 1, 1], b"cc")], "append")
+    save([("a", 0, [1, 1, 1], b"aa")], "overwrite")
+    assert load() == {("a", 0): b"aa", ("b", 0): b"xy", ("c", 0): b"cc"}
+
+
 def test_csv_round_trip(spark, tmp_path):
     det = Views(spark, DATA).det.select(*schema.DETECTIONS.fieldNames())
     tables.write_csv(det, f"{tmp_path}/d", ["volume", "t"])

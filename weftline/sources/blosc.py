@@ -1,4 +1,4 @@
-"""Blosc 1 frames: header, blocks, splits, and byte or bit shuffling, over zstd or zlib.
+"""Blosc 1 frames: header, blocks, splits, and byte or bit shuffling, over any of the format's codecs.
 
 A frame begins with 16 bytes: version, codec version, flags, bytes per element,
 then as 32-bit numbers the length of the data, of a block and of the frame. The
@@ -12,16 +12,19 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 BYTES_SHUFFLED, STORED, BITS_SHUFFLED, WHOLE_BLOCKS = 1, 2, 4, 16
 #: Fixed values of the format: codecs by number.
 CODECS = ("blosclz", "lz4", "snappy", "zlib", "zstd")
 #: Fixed values of the format: blocks are split only up to this element size, and into streams of at least this length.
 MOST_SPLITS, LEAST_STREAM = 16, 128
+#: Fixed values of the codec ``blosclz``: shortest match, its longest length in the control byte, farthest short distance.
+LEAST_MATCH, LONG_MATCH, NEAR = 3, 6, 8191
 
 
 def decode(frame: bytes) -> bytes:
-    """The data of one frame. Codecs other than zstd and zlib raise NotImplementedError, damaged frames ValueError."""
+    """The data of one frame. An unknown codec raises NotImplementedError, a damaged frame ValueError."""
     if len(frame) < 16:
         raise ValueError("a frame has at least 16 bytes")
     _, _, flags, size = frame[:4]
@@ -61,13 +64,42 @@ def _block(frame: bytes, at: int, n: int, block: int, flags: int, size: int, cod
 def _inflate(stream: bytes, n: int, codec: str) -> bytes:
     if len(stream) == n:
         return stream
-    if codec == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(stream)
-    if codec == "zlib":
-        return zlib.decompress(stream)
-    raise NotImplementedError(f"Blosc codec {codec!r}: recode the chunks with zstd or zlib")
+    if codec not in CODECS:
+        raise NotImplementedError(f"Blosc codec {codec!r}: recode the chunks with one of {', '.join(CODECS)}")
+    try:
+        if codec == "zlib":
+            return zlib.decompress(stream)
+        if codec == "blosclz":
+            return _blosclz(stream, n)
+        return pa.decompress(stream, n, "lz4_raw" if codec == "lz4" else codec, asbytes=True)
+    except (IndexError, OSError, zlib.error) as e:
+        raise ValueError(f"damaged {codec} stream") from e
+
+
+def _blosclz(stream: bytes, n: int) -> bytes:
+    """Runs of literals, and matches that may reach into what they write themselves."""
+    out, at, control = bytearray(), 1, stream[0] & 31
+    while True:
+        if control < 32:
+            out += stream[at : at + control + 1]
+            at += control + 1
+        else:
+            length, high = (control >> 5) - 1, (control & 31) << 8
+            if length == LONG_MATCH:
+                while stream[at] == 255:
+                    length, at = length + 255, at + 1
+                length, at = length + stream[at], at + 1
+            distance, at = high + stream[at] + 1, at + 1
+            if distance == NEAR + 1:
+                distance, at = NEAR + 1 + (stream[at] << 8 | stream[at + 1]), at + 2
+            length += LEAST_MATCH
+            if distance > len(out) or len(out) + length > n:
+                raise ValueError("match outside of the block")
+            seen = bytes(out[-distance:])
+            out += (seen * -(-length // distance))[:length]
+        if at >= len(stream):
+            return bytes(out)
+        control, at = stream[at], at + 1
 
 
 def _unshuffle_bytes(data: bytes, size: int) -> bytes:

@@ -3,8 +3,9 @@
 A volume is a folder ``name.zarr`` with an array (or a member ``0``) of
 little-endian uint16, axes t, z, y, x, one frame per chunk. Metadata is read from
 the array's JSON (version 2 ``.zarray`` or 3 ``zarr.json``). Chunks may be raw,
-zlib, gzip, zstd or Blosc (over zstd or zlib) compressed; other codecs raise a
-clear error. Spark reads through ``spark.read.format("chunked_frames").load(path)``.
+zlib, gzip, zstd or Blosc compressed; other codecs raise a clear error. Spark reads through ``spark.read.format("chunked_frames").load(path)``:
+filters on volume and t decide which partitions there are. It writes by
+``df.write.format("chunked_frames").mode(...).save(path)``: volumes appear whole.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, InputPartition, WriterCommitMessage
 
-from weftline.sources import blosc
+from weftline.sources import blosc, pruning
+from weftline.sources.staged import StagedFolders
 
 
 def find_volumes(path: str | Path | list) -> list[Path]:
@@ -101,18 +102,64 @@ class FramePartition(InputPartition):
     t: int
 
 
-class FrameReader(DataSourceReader):
+class FrameReader(pruning.PrunedReader):
+    constant = ("volume", "t")
+
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[FramePartition]:
-        return [FramePartition(v.stem, str(v), t) for v in find_volumes(self.path) for t in range(array_info(v).shape[0])]
+        volumes = [v for v in find_volumes(self.path) if self.keeps(volume=v.stem)]
+        return [FramePartition(v.stem, str(v), t) for v in volumes for t in range(array_info(v).shape[0]) if self.keeps(t=t)]
 
-    def read(self, partition: FramePartition) -> Iterator[tuple]:
+    def read(self, partition: FramePartition | None) -> Iterator[tuple]:
+        if partition is None:  # no frame is left
+            return
         shape, data = read_frame(array_info(partition.path), partition.t)
         yield partition.volume, partition.t, shape, data
 
 
+@dataclass
+class FramesWritten(WriterCommitMessage):
+    """Last frame and shape of each volume that a task met."""
+
+    volumes: dict[str, tuple[int, list[int]]]
+
+
+class FrameWriter(StagedFolders):
+    """Rows (volume, t, shape, data) as chunks; frames that are not there read as 0."""
+
+    def __init__(self, path: str, overwrite: bool, codec: str):
+        super().__init__(path, overwrite)
+        self.codec = codec
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> FramesWritten:
+        met: dict[str, tuple[int, list[int]]] = {}
+        for batch in iterator:
+            for volume, t, shape, data in zip(*(batch.column(c).to_pylist() for c in ("volume", "t", "shape", "data")), strict=True):
+                if len(data) != 2 * math.prod(shape):
+                    raise ValueError(f"{volume}, frame {t}: {len(data)} bytes for shape {shape}")
+                self.put(f"{volume}.zarr/{_chunk_name(t, shape)}", _stored(data, self.codec))
+                _widen(met, volume, t, shape)
+        return FramesWritten(met)
+
+    def commit(self, messages: list[FramesWritten | None]) -> None:
+        met: dict[str, tuple[int, list[int]]] = {}
+        for m in messages:
+            for volume, (last, shape) in (m.volumes if m else {}).items():
+                _widen(met, volume, last, shape)
+        for volume, (last, shape) in met.items():
+            _describe(self.staging / f"{volume}.zarr", [last + 1, *shape], self.codec)
+        self.publish([f"{volume}.zarr" for volume in sorted(met)])
+
+
+def _widen(met: dict[str, tuple[int, list[int]]], volume: str, t: int, shape: list[int]) -> None:
+    last, own = met.get(volume, (t, shape))
+    if own != shape:
+        raise ValueError(f"{volume}: frames of different shapes")
+    met[volume] = max(last, t), shape
+
+
 class ChunkedFrames(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -124,9 +171,13 @@ class ChunkedFrames(DataSource):
     def reader(self, schema) -> FrameReader:
         return FrameReader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> FrameWriter:
+        return FrameWriter(self.options["path"], overwrite, self.options.get("codec", "blosc"))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChunkedFrames)
+    pruning.allow(spark)
 
 
 def _describe(folder: Path, shape: list[int], codec: str) -> None:
@@ -135,9 +186,12 @@ def _describe(folder: Path, shape: list[int], codec: str) -> None:
     (folder / ".zarray").write_text(json.dumps(meta))
 
 
-def _write_frame(folder: Path, t: int, shape: list[int], data: bytes, codec: str) -> None:
-    stored = {"zlib": zlib.compress, "blosc": lambda x: blosc.encode(x, 2), "raw": bytes}[codec](data)
-    (folder / ".".join([str(t), *["0"] * len(shape)])).write_bytes(stored)
+def _chunk_name(t: int, shape: list[int]) -> str:
+    return ".".join([str(t), *["0"] * len(shape)])
+
+
+def _stored(data: bytes, codec: str) -> bytes:
+    return {"zlib": zlib.compress, "blosc": lambda x: blosc.encode(x, 2), "raw": bytes}[codec](data)
 
 
 def write_volume(path: str | Path, frames, codec: str = "zlib") -> None:
@@ -147,25 +201,14 @@ def write_volume(path: str | Path, frames, codec: str = "zlib") -> None:
     a = np.asarray(frames, dtype="<u2")
     _describe(Path(path), list(a.shape), codec)
     for t in range(a.shape[0]):
-        _write_frame(Path(path), t, list(a.shape[1:]), a[t].tobytes(), codec)
+        (Path(path) / _chunk_name(t, list(a.shape[1:]))).write_bytes(_stored(a[t].tobytes(), codec))
 
 
 def write_frames(frames: DataFrame, path: str, codec: str = "blosc") -> None:
-    """Frames (volume, t, shape, data) as one array per volume under ``path``, a folder that all machines mount. The tasks
-    write the chunks, the driver the description of each volume; frames that are not there read as 0."""
-    kinds = frames.groupBy("volume").agg(F.max("t").alias("last"), F.min("shape").alias("shape"), F.max("shape").alias("other")).collect()  # one row per volume
-    for r in kinds:
-        if r.shape != r.other:
-            raise ValueError(f"{r.volume}: frames of different shapes")
-        _describe(Path(path) / f"{r.volume}.zarr", [int(r.last) + 1, *r.shape], codec)
-
-    def run(batches):
-        for batch in batches:
-            for volume, t, shape, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                _write_frame(Path(path) / f"{volume}.zarr", t, shape, data, codec)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    frames.select("volume", "t", "shape", "data").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    """Frames (volume, t, shape, data) as one array per volume under ``path``, a folder that all machines mount; a volume
+    that is there is replaced."""
+    register(frames.sparkSession)
+    frames.select("volume", "t", "shape", "data").write.format("chunked_frames").option("codec", codec).mode("overwrite").save(path)
 
 
 def frame_voxels(frames: DataFrame) -> DataFrame:
@@ -240,6 +283,21 @@ def read_rows(a: StoredArray, step: int | None = None) -> Iterator:
         yield np.concatenate(held)
 
 
+def array_metadata(shape: list[int], dtype, rows: int, codec: str) -> str:
+    """The description of a version 2 array of ``rows`` rows a chunk."""
+    compressor = None if codec == "raw" else {"id": codec}
+    return json.dumps({"zarr_format": 2, "shape": shape, "chunks": [rows, *shape[1:]], "dtype": dtype.str, "compressor": compressor, "fill_value": 0, "order": "C", "filters": None})
+
+
+def array_chunk(part, rows: int, codec: str) -> bytes:
+    """Stored bytes of at most ``rows`` rows, filled up with 0."""
+    import numpy as np
+
+    whole = np.zeros([rows, *part.shape[1:]], part.dtype)
+    whole[: part.shape[0]] = part
+    return blosc.encode(whole.tobytes(), part.dtype.itemsize) if codec == "blosc" else whole.tobytes()
+
+
 def write_array(folder: str | Path, a, rows: int = 1 << 16, codec: str = "blosc") -> None:
     """Numbers of one or two axes as a version 2 array of ``rows`` rows a chunk."""
     import numpy as np
@@ -247,11 +305,6 @@ def write_array(folder: str | Path, a, rows: int = 1 << 16, codec: str = "blosc"
     a = np.ascontiguousarray(a)
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    chunk = [rows, *a.shape[1:]]
-    meta = {"zarr_format": 2, "shape": list(a.shape), "chunks": chunk, "dtype": a.dtype.str, "compressor": None if codec == "raw" else {"id": codec}, "fill_value": 0, "order": "C", "filters": None}
-    (folder / ".zarray").write_text(json.dumps(meta))
+    (folder / ".zarray").write_text(array_metadata(list(a.shape), a.dtype, rows, codec))
     for i in range(0, a.shape[0], rows):
-        part = np.zeros(chunk, a.dtype)
-        part[: a.shape[0] - i] = a[i : i + rows]
-        data = part.tobytes()
-        (folder / ".".join([str(i // rows), *["0"] * (a.ndim - 1)])).write_bytes(blosc.encode(data, a.dtype.itemsize) if codec == "blosc" else data)
+        (folder / ".".join([str(i // rows), *["0"] * (a.ndim - 1)])).write_bytes(array_chunk(a[i : i + rows], rows, codec))
