@@ -74,10 +74,33 @@ def pairs_within(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return a.join(b, keys).where(F.col(f"{rank}_a") < F.col(f"{rank}_b"))
 
 
+#: Beyond this level a cell spans half of all places.
+_WIDEST = 30
+
+
 def nodes_in_box(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Nodes within the half-open boxes (volume, t, box_id, z0, z1, y0, y1, x0, x1)."""
-    inside = [(F.col(k) >= F.col(f"{k}0")) & (F.col(k) < F.col(f"{k}1")) for k in ("z", "y", "x")]
-    return nodes.join(boxes, ["volume", "t"]).where(inside[0] & inside[1] & inside[2])
+    """Nodes within the half-open boxes (volume, t, box_id, z0, z1, y0, y1, x0, x1).
+
+    A hierarchy of cells, four times as wide at every level, axis by axis: a box goes to the at most two cells per axis of
+    the level whose cells are as wide as the box, and a node to its one cell of each combination of levels that boxes of
+    its frame have. Boxes of any size take eight cells at most. Bounds may be infinite; a box without extent holds nothing.
+    """
+    axes = ("z", "y", "x")
+    wide = lambda k: F.col(f"{k}1") - F.col(f"{k}0")
+    side = lambda k: F.pow(F.lit(4.0), F.col(f"_l{k}"))
+    level = lambda k: F.when(F.isnan(wide(k)) | (wide(k) > 4.0 ** (_WIDEST - 1)), _WIDEST).otherwise(F.greatest(F.ceil(F.log2(wide(k)) / 2), F.lit(-_WIDEST))).cast("int")
+    cell = lambda k, place: F.when(F.col(f"_l{k}") == _WIDEST, F.when(place < 0, -1).otherwise(0)).otherwise(F.floor(place / side(k))).cast("long")
+    low = lambda k: F.when(F.col(f"_l{k}") == _WIDEST, -1).otherwise(cell(k, F.col(f"{k}0"))).cast("long")
+    high = lambda k: F.when(F.col(f"_l{k}") == _WIDEST, 0).otherwise(cell(k, F.col(f"{k}1"))).cast("long")
+    some = [(F.col(f"{k}0") < F.col(f"{k}1")) for k in axes]
+    levels, cells = [f"_l{k}" for k in axes], [f"_c{k}" for k in axes]
+    covered = boxes.where(some[0] & some[1] & some[2]).withColumns({f"_l{k}": level(k) for k in axes})
+    in_use = covered.select("volume", "t", *levels).distinct()
+    for k in axes:
+        covered = covered.withColumn(f"_c{k}", F.explode(F.sequence(low(k), high(k))))
+    placed = nodes.join(in_use, ["volume", "t"]).withColumns({f"_c{k}": cell(k, F.col(k)) for k in axes})
+    inside = [(F.col(k) >= F.col(f"{k}0")) & (F.col(k) < F.col(f"{k}1")) for k in axes]
+    return placed.join(covered, ["volume", "t", *levels, *cells]).where(inside[0] & inside[1] & inside[2]).drop(*levels, *cells)
 
 
 def existing_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

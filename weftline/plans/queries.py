@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import geometry
-from weftline.operators import assignment, detection, divisions, evaluation, formatting, graph, joins, pairs, text_analysis, tracking
+from weftline.operators import assignment, augment, detection, divisions, evaluation, formatting, graph, joins, pair_model, pairs, text_analysis, tracking
 from weftline.plans.views import FRAME_SHAPE, Views, with_views
 from weftline.sources import tables
 
@@ -1155,3 +1155,43 @@ def _(v: Views) -> DataFrame:
 @query("x14_counts_by_type", f"WITH {_CLASS} SELECT paragraph_type, count(*) AS n FROM cl GROUP BY 1")
 def _(v: Views) -> DataFrame:
     return text_analysis.counts_by_type(text_analysis.classify(_paragraphs(v)))
+
+
+# ---------------------------------------------------------------- pair model and augmented views
+
+
+@query("n4_pair_model")
+def _(v: Views) -> DataFrame:
+    """Scores of all pairs by a model fitted on the volumes that are not held out."""
+    from weftline.plans.storage import materialize
+
+    rows = pairs.edge_pairs(v.det, v.gt_nodes, v.gt_edges).join(F.broadcast(pairs.split_volumes(v.det)), "volume")
+    rows = materialize(rows.select("volume", "t", "i", "j", "label", "is_val", *pair_model.FEATURES), "pairs")
+    model = pair_model.fit(rows.where("not is_val"))
+    return rows.select("volume", "t", "i", "j", "label", "is_val", model.probability().alias("score"))
+
+
+_U = lambda name: f"(CAST('0x' || substr(md5('11|' || volume || '|' || t || '|' || view || '|{name}'), 1, 8) AS BIGINT) / 4294967296.0)"
+_DRAWS = f"""dr AS (SELECT volume, t, view, {', '.join(f"{_U(f'flip_{k}')} < 0.5 AS flip_{k}" for k in 'zyx')},
+  CASE WHEN {_U('turn')} < 0.5 THEN 1 + CAST(floor(3 * {_U('turns')}) AS INTEGER) ELSE 0 END AS turns, 1 + ({_U('gain')} - 0.5) * 0.6 AS gain, ({_U('offset')} - 0.5) * 0.2 AS shift
+  FROM (SELECT DISTINCT volume, t FROM voxels), (SELECT unnest(range(2)) AS view))"""
+_MOVED = f"""WITH {_DRAWS}, mirrored AS (SELECT volume, t, view, turns, gain, shift, v, CASE WHEN flip_z THEN 7 - z ELSE z END AS z, CASE WHEN flip_y THEN 15 - y ELSE y END AS my, CASE WHEN flip_x THEN 15 - x ELSE x END AS mx
+  FROM voxels JOIN dr USING (volume, t)), moved AS (SELECT *, CASE turns WHEN 1 THEN 15 - mx WHEN 2 THEN 15 - my WHEN 3 THEN mx ELSE my END AS y, CASE turns WHEN 1 THEN my WHEN 2 THEN 15 - mx WHEN 3 THEN 15 - my ELSE mx END AS x FROM mirrored)"""
+
+
+def _drawn(v: Views) -> DataFrame:
+    return augment.draw(detection.to_dense(v.voxels, (8, 16, 16)), seed=11, views=2)
+
+
+@query("n7_augment", f"{_MOVED} SELECT volume, t, CAST(view AS INTEGER) AS view, z, y, x, round(greatest(0, least(1, v / 3000.0 * gain + shift)), 6) AS v FROM moved")
+def _(v: Views) -> DataFrame:
+    from weftline.sources.chunked import frame_voxels
+
+    views = augment.augment(_drawn(v), scale=3000.0, noise=0.0, dtype="<f8")
+    return r6(frame_voxels(views, "<f8", ("view",)), "v")
+
+
+@query("n7_labels_follow", f"{_MOVED} SELECT volume, t, CAST(view AS INTEGER) AS view, z, y, x, CAST(v AS BIGINT) AS v FROM moved WHERE v > 1000")
+def _(v: Views) -> DataFrame:
+    drawn = augment.draw(v.voxels.select("volume", "t").distinct(), seed=11, views=2)
+    return augment.place(drawn, v.voxels.where("v > 1000"), (8, 16, 16)).select("volume", "t", "view", "z", "y", "x", "v")

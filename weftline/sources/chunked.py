@@ -211,19 +211,23 @@ def write_frames(frames: DataFrame, path: str, codec: str = "blosc") -> None:
     frames.select("volume", "t", "shape", "data").write.format("chunked_frames").option("codec", codec).mode("overwrite").save(path)
 
 
-def frame_voxels(frames: DataFrame) -> DataFrame:
-    """Frames as rows (volume, t, z, y, x, v)."""
+def frame_voxels(frames: DataFrame, dtype: str = "<u2", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Frames as rows (volume, t, further ``keys``, z, y, x, v); v is a double where ``dtype`` is a float."""
+    kind, number = ("double", "float64") if dtype[1] == "f" else ("long", "int64")
+    own = frames.select("volume", "t", *keys, "shape", "data")
+    schema = ", ".join(["volume string", "t long", *[f"{k} {own.schema[k].dataType.simpleString()}" for k in keys], "z long", "y long", "x long", f"v {kind}"])
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            for volume, t, shape, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                values = np.frombuffer(data, dtype="<u2").astype(np.int64)
-                places = [x.ravel() for x in np.indices(shape)]
-                yield pa.RecordBatch.from_arrays([pa.array([volume] * values.size), pa.array(np.full(values.size, t, dtype=np.int64)), *(pa.array(x.astype(np.int64)) for x in places), pa.array(values)], ["volume", "t", "z", "y", "x", "v"])
+            for volume, t, *extra, shape, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(data, dtype=dtype).astype(number)
+                places = [pa.array(x.ravel().astype(np.int64)) for x in np.indices(shape)]
+                further = [pa.repeat(pa.scalar(e, batch.schema.field(k).type), values.size) for k, e in zip(keys, extra, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([volume] * values.size, pa.string()), pa.array(np.full(values.size, t, dtype=np.int64)), *further, *places, pa.array(values)], ["volume", "t", *keys, "z", "y", "x", "v"])
 
-    return frames.select("volume", "t", "shape", "data").mapInArrow(run, "volume string, t long, z long, y long, x long, v long")
+    return own.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- arrays of any number type
