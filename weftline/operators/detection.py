@@ -333,9 +333,9 @@ def candidates_v2(frame: np.ndarray, least_rel: float, radii_um: tuple[float, fl
     return centroids(frame, points), scores, clear
 
 
-def centroids(frame: np.ndarray, points: np.ndarray, window: tuple[int, int, int] = (1, 3, 3)) -> np.ndarray:
+def centroids(frame: np.ndarray, points: np.ndarray, window: tuple[int, int, int] = (1, 3, 3), corner=(0, 0, 0)) -> np.ndarray:
     """Intensity-weighted centres of boxes cut at the frame's edges; dark boxes keep the point. One step per place in the
-    box, for all points at once."""
+    box, for all points at once. Points are relative to ``corner``, the place of the array in a larger frame; centres are not."""
     at = np.rint(points).astype(np.int64)
     total, sums = np.zeros(len(at)), np.zeros((len(at), 3))
     for o in box_offsets(tuple(2 * w + 1 for w in window)):
@@ -343,9 +343,9 @@ def centroids(frame: np.ndarray, points: np.ndarray, window: tuple[int, int, int
         inside = ((place >= 0) & (place < frame.shape)).all(axis=1)
         v = np.where(inside, frame[tuple(np.where(inside[:, None], place, 0).T)].astype(np.float64), 0.0)
         total += v
-        sums += v[:, None] * place
+        sums += v[:, None] * (place + np.array(corner))
     bright = total > 0
-    return np.where(bright[:, None], sums / np.where(bright, total, 1.0)[:, None], points.astype(np.float64))
+    return np.where(bright[:, None], sums / np.where(bright, total, 1.0)[:, None], points.astype(np.float64) + np.array(corner))
 
 
 POINTS = "volume string, t long, z double, y double, x double, score double"
