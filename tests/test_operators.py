@@ -205,6 +205,16 @@ def test_components_and_closure_equal_brute_force(spark):
         for _ in range(40):
             reach |= {(a, d) for a, b in reach for c, d in reach if b == c}
         assert rows(graph.closure(edges).where(F.col("volume") == v), "node_id", "reach_id") == sorted(reach)
+        values = {n: n * 7 % 40 for n in range(0, 40, 3)}
+        given = spark.createDataFrame([(x, n, value) for x in "01" for n, value in values.items()], "volume string, node_id long, value long")
+        want = []
+        for n in range(40):
+            if below := [values[m] for m in {n} | {b for a, b in reach if a == n} if m in values]:
+                want.append((n, min(below), max(below)))
+        assert rows(graph.range_below(given, edges).where(F.col("volume") == v), "node_id", "low", "high") == want
+    circle = spark.createDataFrame([("v", 1, 2), ("v", 2, 3), ("v", 3, 1)], EDGES)
+    got = graph.range_below(spark.createDataFrame([("v", 1, 4), ("v", 3, 9)], "volume string, node_id long, value long"), circle, rounds=4)
+    assert rows(got, "node_id", "low", "high") == [(1, 4, 9), (2, 4, 9), (3, 4, 9)]
 
 
 def test_long_chain_extent(spark):

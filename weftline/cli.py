@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline import schema
-from weftline.operators import detection, divisions, evaluation, formatting, pairs, tracking
+from weftline.operators import bricks, detection, divisions, evaluation, formatting, pairs, tracking
 from weftline.sources import chunked, lineage_store, tables
 
 
@@ -43,9 +43,16 @@ def _frames(spark: SparkSession, path: str) -> DataFrame:
 
 def detect(spark, a) -> None:
     if a.version == 1:
-        found = detection.detect_frames(_frames(spark, a.test_dir), detection.detect_v1, sigmas=tuple(float(x) for x in a.sigmas.split(",")), quantile=a.quantile, min_score=a.min_score, most=a.max, least=a.min, k=a.xy_downsample)
+        whole, in_bricks = detection.detect_v1, bricks.detect_bricks_v1
+        options = {"sigmas": tuple(float(x) for x in a.sigmas.split(",")), "quantile": a.quantile, "min_score": a.min_score, "most": a.max, "least": a.min, "k": a.xy_downsample}
     else:
-        found = detection.detect_frames(_frames(spark, a.test_dir), detection.detect_v2, k=a.xy_downsample, scales=_scales(a.dog_scales), rel=a.rel_threshold, percentile=a.abs_percentile, radius_um=a.min_distance_um, most=a.max_peaks, refine=not a.no_refine)
+        whole, in_bricks = detection.detect_v2, bricks.detect_bricks_v2
+        options = {"k": a.xy_downsample, "scales": _scales(a.dog_scales), "rel": a.rel_threshold, "percentile": a.abs_percentile, "radius_um": a.min_distance_um, "most": a.max_peaks, "refine": not a.no_refine}
+    if a.bricks:
+        chunked.register(spark)
+        found = in_bricks(spark.read.format("chunked_bricks").load(a.test_dir), **options)
+    else:
+        found = detection.detect_frames(_frames(spark, a.test_dir), whole, **options)
     _write(found, a.output)
 
 
@@ -162,7 +169,7 @@ def parser() -> argparse.ArgumentParser:
             else:
                 s.add_argument(flag, type=type(default) if default is not None else str, default=default)
 
-    stage("detect", detect, test_dir=str, output=str, version=2, sigmas="1,1.5,2,2.5,3", quantile=0.9995, min_score=0.015, max=350, min=40, xy_downsample=4, dog_scales="1.5,4.0;2.2,5.5", rel_threshold=0.045, abs_percentile=50.0, min_distance_um=3.2, max_peaks=40000, no_refine=bool)
+    stage("detect", detect, test_dir=str, output=str, version=2, sigmas="1,1.5,2,2.5,3", quantile=0.9995, min_score=0.015, max=350, min=40, xy_downsample=4, dog_scales="1.5,4.0;2.2,5.5", rel_threshold=0.045, abs_percentile=50.0, min_distance_um=3.2, max_peaks=40000, no_refine=bool, bricks=bool)
     stage("link", link, predictions=str, output=str, max_link_um=8.0, min_track_length=2, close_gaps=True, max_gap=1, gap_dist_um=6.0)
     stage("link-strict", link, predictions=str, output=str, max_link_um=4.0, min_track_length=5, close_gaps=bool, max_gap=1, gap_dist_um=4.0)
     stage("kalman", kalman, predictions=str, output=str, max_distance=50.0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.assignment import Objective, match
-from weftline.operators.graph import closure, components, degrees
+from weftline.operators.graph import components, degrees, range_below
 from weftline.operators.joins import map_edges, radius_join
 from weftline.plans.storage import materialize
 
@@ -75,17 +75,14 @@ def division_counts_v1(pred_edges: DataFrame, gt_edges: DataFrame, matches: Data
     comp = components(pred_edges).select("volume", F.col("node_id").alias("pred_id"), "component")
     first_fork = forks.join(comp, ["volume", "pred_id"]).groupBy("volume", "component").agg(F.min("pred_id").alias("first"))
     child = truth.join(gt_edges.select("volume", F.col("source_id").alias("d"), F.col("target_id").alias("child")), ["volume", "d"])
-    later = child.join(closure(gt_edges).select("volume", F.col("node_id").alias("child"), F.col("reach_id").alias("gt_id")), ["volume", "child"])
-    before = truth.join(gt_edges.select("volume", F.col("target_id").alias("d"), F.col("source_id").alias("gt_id")), ["volume", "d"])
-    none = F.lit(None).cast("long").alias("child")
-    wanted = (
-        child.select("volume", "d", "child", F.col("child").alias("gt_id")).unionByName(later.select("volume", "d", "child", "gt_id"))
-        .unionByName(truth.select("volume", "d", none, F.col("d").alias("gt_id"))).unionByName(before.select("volume", "d", none, "gt_id"))
-    )
     # a matched node without predicted edges is a component of its own
-    m = matches.select("volume", "gt_id", "pred_id").join(comp, ["volume", "pred_id"], "left").withColumn("component", F.coalesce("component", "pred_id"))
-    got = wanted.join(m, ["volume", "gt_id"])
-    per = got.groupBy("volume", "d").agg(F.count_distinct("child").alias("children"), F.max(F.col("child").isNull()).alias("pre"), F.min("component").alias("component"), F.max("component").alias("other"))
+    m = matches.select("volume", "gt_id", "pred_id").join(comp, ["volume", "pred_id"], "left").select("volume", "gt_id", F.coalesce("component", "pred_id").alias("value"))
+    # what lies below a daughter matters by its first and last component alone, so no pairs of ancestors are listed
+    below = range_below(m.withColumnRenamed("gt_id", "node_id"), gt_edges).withColumnRenamed("node_id", "child")
+    before = truth.join(gt_edges.select("volume", F.col("target_id").alias("d"), F.col("source_id").alias("gt_id")), ["volume", "d"])
+    at_or_before = truth.withColumn("gt_id", F.col("d")).unionByName(before).join(m, ["volume", "gt_id"])
+    got = child.join(below, ["volume", "child"]).unionByName(at_or_before.select("volume", "d", F.lit(None).cast("long").alias("child"), F.col("value").alias("low"), F.col("value").alias("high")))
+    per = got.groupBy("volume", "d").agg(F.count_distinct("child").alias("children"), F.max(F.col("child").isNull()).alias("pre"), F.min("low").alias("component"), F.max("high").alias("other"))
     found = per.where("children = 2 and pre and component = other").join(first_fork, ["volume", "component"])
     paired = found.select("volume", F.col("first").alias("pred_id")).distinct()
     has_out = gt_edges.select("volume", F.col("source_id").alias("gt_id")).distinct()

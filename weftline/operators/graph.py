@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,25 +58,38 @@ def closure(edges: DataFrame, rounds: int = 62) -> DataFrame:
     raise RuntimeError("closure did not settle")
 
 
+def _spread(best: DataFrame, hop: DataFrame, picks: dict[str, Callable], rounds: int) -> tuple[DataFrame, bool]:
+    """``best`` (volume, node_id, values) after each node has learnt, by ``picks``, from all nodes that a path of ``hop``
+    (volume, node_id, via) leads to, and whether all paths end. Reach doubles: a node learns from the nodes 1, 2, 4, ...
+    steps away, so no closure is kept. The picks must not mind repeats, as least and greatest do not."""
+    hop, best = materialize(hop.distinct(), "hops"), materialize(best, "extent")
+    for _ in range(rounds):
+        via = hop.join(best.withColumnRenamed("node_id", "via"), ["volume", "via"]).select("volume", "node_id", *picks)
+        earlier, best = best, materialize(best.unionByName(via).groupBy("volume", "node_id").agg(*[pick(c).alias(c) for c, pick in picks.items()]), "extent")
+        known = hop
+        hop = materialize(hop.alias("p").join(hop.alias("q"), (F.col("p.volume") == F.col("q.volume")) & (F.col("p.via") == F.col("q.node_id"))).select("p.volume", "p.node_id", "q.via").distinct(), "hops")
+        release(known, earlier)
+        if hop.isEmpty():
+            return best, True
+    return best, False
+
+
 def lineage_extent(nodes: DataFrame, edges: DataFrame, rounds: int = 62) -> DataFrame:
     """volume, node_id, t, age (frames since the first ancestor, from 1) and span (frames to the last descendant, from 1).
-
-    Earliest ancestor and latest descendant times spread along edges with doubled reach: a node learns from the
-    nodes 1, 2, 4, ... steps away, so no closure is kept.
-    """
+    Earliest ancestor and latest descendant times spread along edges."""
     out = nodes.select("volume", "node_id", "t")
     for name, source, target, pick in (("age", "source_id", "target_id", F.min), ("span", "target_id", "source_id", F.max)):
-        hop = materialize(edges.select("volume", F.col(target).alias("node_id"), F.col(source).alias("via")).distinct(), "hops")
-        best = materialize(out.select("volume", "node_id", F.col("t").alias("best")), "extent")
-        for _ in range(rounds):
-            via = hop.join(best.withColumnRenamed("node_id", "via"), ["volume", "via"]).select("volume", "node_id", "best")
-            best = materialize(best.unionByName(via).groupBy("volume", "node_id").agg(pick("best").alias("best")), "extent")
-            known = hop
-            hop = materialize(hop.alias("p").join(hop.alias("q"), (F.col("p.volume") == F.col("q.volume")) & (F.col("p.via") == F.col("q.node_id"))).select("p.volume", "p.node_id", "q.via").distinct(), "hops")
-            release(known)
-            if hop.isEmpty():
-                break
-        else:
+        hop = edges.select("volume", F.col(target).alias("node_id"), F.col(source).alias("via"))
+        best, ended = _spread(out.select("volume", "node_id", F.col("t").alias("best")), hop, {"best": pick}, rounds)
+        if not ended:
             raise RuntimeError("edges lead in a circle")
         out = out.join(best.withColumnRenamed("best", f"_{name}"), ["volume", "node_id"], "left")
     return out.select("volume", "node_id", "t", (F.col("t") - F.coalesce("_age", "t") + 1).alias("age"), (F.coalesce("_span", "t") - F.col("t") + 1).alias("span"))
+
+
+def range_below(values: DataFrame, edges: DataFrame, rounds: int = 62) -> DataFrame:
+    """volume, node_id, low, high: the least and greatest of ``value`` (volume, node_id, value) over a node and all its
+    descendants, for nodes that have any. One row a node at all times; edges may merge, and may lead in a circle."""
+    own = values.groupBy("volume", "node_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    hop = edges.select("volume", F.col("source_id").alias("node_id"), F.col("target_id").alias("via"))
+    return _spread(own, hop, {"low": F.min, "high": F.max}, rounds)[0]

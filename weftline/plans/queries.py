@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import geometry
-from weftline.operators import assignment, augment, detection, divisions, evaluation, formatting, graph, joins, pair_model, pairs, text_analysis, tracking
+from weftline.operators import assignment, augment, bricks, detection, divisions, evaluation, formatting, graph, joins, pair_model, pairs, text_analysis, tracking
 from weftline.plans.views import FRAME_SHAPE, Views, with_views
 from weftline.sources import tables
 
@@ -233,6 +233,16 @@ def _(v: Views) -> DataFrame:
     return detection.detect_frames(v.frames, detection.detect_v2)
 
 
+@query("v6_v10_detect_in_bricks")
+def _(v: Views) -> DataFrame:
+    return bricks.detect_bricks_v1(bricks.cut_frames(v.frames, (8, 32, 32)))
+
+
+@query("v7_v9_v11_v13_detect_in_bricks")
+def _(v: Views) -> DataFrame:
+    return bricks.detect_bricks_v2(bricks.cut_frames(v.frames, (8, 32, 32)))
+
+
 @query("v24_detect_by_scorer", """WITH q AS (SELECT *, least(greatest(v, quantile_cont(v, 0.01) OVER w), quantile_cont(v, 0.999) OVER w) AS c FROM voxels WINDOW w AS (PARTITION BY volume, t)),
 s AS (SELECT volume, t, z, y, x, 1 / (1 + exp(-2 * (c - avg(c) OVER w) / CASE WHEN stddev_pop(c) OVER w < 1e-6 THEN 1 ELSE stddev_pop(c) OVER w END)) AS s FROM q WINDOW w AS (PARTITION BY volume, t))
 SELECT volume, CAST(t AS BIGINT) AS t, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, round(s, 6) AS score FROM s WHERE s > 0.9""")

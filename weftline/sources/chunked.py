@@ -4,13 +4,15 @@ A volume is a folder ``name.zarr`` with an array (or a member ``0``) of
 little-endian uint16, axes t, z, y, x, one frame per chunk. Metadata is read from
 the array's JSON (version 2 ``.zarray`` or 3 ``zarr.json``). Chunks may be raw,
 zlib, gzip, zstd or Blosc compressed; other codecs raise a clear error. Spark reads through ``spark.read.format("chunked_frames").load(path)``:
-filters on volume and t decide which partitions there are. It writes by
+filters on volume and t decide which partitions there are. Arrays whose frames take several chunks are read as bricks, a
+chunk a row, by the format ``chunked_bricks``. Spark writes by
 ``df.write.format("chunked_frames").mode(...).save(path)``: volumes appear whole.
 """
 
 from __future__ import annotations
 
 import gzip
+import itertools
 import json
 import math
 import zlib
@@ -119,6 +121,56 @@ class FrameReader(pruning.PrunedReader):
         yield partition.volume, partition.t, shape, data
 
 
+@dataclass
+class SlabPartition(InputPartition):
+    volume: str
+    path: str
+    t: int
+    row: int
+
+
+BRICK_FIELDS = (("volume", pa.string()), ("t", pa.int32()), *((name, pa.list_(pa.int32())) for name in ("shape", "brick", "origin", "size")), ("data", pa.binary()))
+
+
+def read_bricks(info: ArrayInfo, t: int, row: int) -> Iterator[tuple[list[int], list[int], bytes]]:
+    """Origin, size and bytes of the chunks of one frame whose number along z is ``row``; what chunks hold beyond the
+    array's end is cut off, and chunks that are not there are 0."""
+    import numpy as np
+
+    if info.chunk[0] != 1 or len(info.shape) != 4:
+        raise ValueError("a chunk must lie within one frame")
+    shape, brick = info.shape[1:], info.chunk[1:]
+    for at in itertools.product([row], *[range(-(-n // b)) for n, b in zip(shape[1:], brick[1:], strict=True)]):
+        key = info.separator.join(str(k) for k in (t, *at))
+        f = Path(info.folder) / ("c" + info.separator + key if info.version == 3 else key)
+        data = decompress(f.read_bytes(), info.codec) if f.exists() else bytes(2 * math.prod(brick))
+        if len(data) != 2 * math.prod(brick):
+            raise ValueError(f"{f}: {len(data)} bytes instead of {2 * math.prod(brick)}")
+        origin = [j * b for j, b in zip(at, brick, strict=True)]
+        size = [min(b, n - o) for b, n, o in zip(brick, shape, origin, strict=True)]
+        held = np.frombuffer(data, "<u2").reshape(brick)
+        yield origin, size, held[tuple(slice(n) for n in size)].tobytes()
+
+
+class BrickReader(FrameReader):
+    """A partition per frame and row of chunks along z; each chunk is a batch, so a task holds one at a time."""
+
+    def partitions(self) -> list[SlabPartition]:
+        out = []
+        for p in super().partitions():
+            info = array_info(p.path)
+            out += [SlabPartition(p.volume, p.path, p.t, row) for row in range(-(-info.shape[1] // info.chunk[1]))]
+        return out
+
+    def read(self, partition: SlabPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        info = array_info(partition.path)
+        for origin, size, data in read_bricks(info, partition.t, partition.row):
+            values = (partition.volume, partition.t, list(info.shape[1:]), list(info.chunk[1:]), origin, size, data)
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, BRICK_FIELDS, strict=True)], [name for name, _ in BRICK_FIELDS])
+
+
 @dataclass
 class FramesWritten(WriterCommitMessage):
     """Last frame and shape of each volume that a task met."""
@@ -175,8 +227,21 @@ class ChunkedFrames(DataSource):
         return FrameWriter(self.options["path"], overwrite, self.options.get("codec", "blosc"))
 
 
+class ChunkedBricks(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "chunked_bricks"
+
+    def schema(self) -> str:
+        return "volume string, t int, shape array<int>, brick array<int>, origin array<int>, size array<int>, data binary"
+
+    def reader(self, schema) -> BrickReader:
+        return BrickReader(self.options["path"])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChunkedFrames)
+    spark.dataSource.register(ChunkedBricks)
     pruning.allow(spark)
 
 
