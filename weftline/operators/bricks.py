@@ -73,7 +73,7 @@ def _place(n: Column, q: float) -> tuple[Column, Column, Column]:
 
 
 def frame_order(bricks: DataFrame, k: int, quantiles: dict[str, float]) -> DataFrame:
-    """volume, t and per quantile NAME_low, NAME_high and NAME_part: the voxels around it in the order of the frame
+    """volume, t, the number of bricks along each axis (gz, gy, gx) and per quantile NAME_low, NAME_high and NAME_part: the voxels around it in the order of the frame
     downsampled along y and x, and where it lies between them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,13 +82,15 @@ def frame_order(bricks: DataFrame, k: int, quantiles: dict[str, float]) -> DataF
                 if any(o % k for o in r.origin[1:]):
                     raise ValueError(f"origin {list(r.origin)} is no multiple of {k}")
                 v, n = np.unique(_array(r)[:, ::k, ::k], return_counts=True)
-                yield pd.DataFrame({"volume": r.volume, "t": r.t, "v": v.astype(np.int32), "n": n})
+                grid = [(n + b - 1) // b for n, b in zip(r.shape, r.brick, strict=True)]
+                yield pd.DataFrame({"volume": r.volume, "t": r.t, "v": v.astype(np.int32), "n": n, "gz": grid[0], "gy": grid[1], "gx": grid[2]})
 
-    counts = bricks.select("volume", "t", "origin", "size", "data").mapInPandas(count, "volume string, t int, v int, n long").groupBy("volume", "t", "v").agg(F.sum("n").alias("n"))
+    found = bricks.mapInPandas(count, "volume string, t int, v int, n long, gz int, gy int, gx int")
+    counts = found.groupBy("volume", "t", "v").agg(F.sum("n").alias("n"), *[F.max(f"g{a}").alias(f"g{a}") for a in "zyx"])
     frame = Window.partitionBy("volume", "t")
     summed = counts.withColumns({"upto": F.sum("n").over(frame.orderBy("v")), "all": F.sum("n").over(frame)})
     first_beyond = lambda place: F.min(F.when(F.col("upto") > place, F.col("v"))).cast("double")
-    out = []
+    out = [F.max(f"g{a}").alias(f"g{a}") for a in "zyx"]
     for name, q in quantiles.items():
         low, high, part = _place(F.col("all"), q)
         out += [first_beyond(low).alias(f"{name}_low"), first_beyond(high).alias(f"{name}_high"), F.first(part).alias(f"{name}_part")]
@@ -173,14 +175,18 @@ def _gather(bricks: DataFrame, levels: DataFrame, k: int, halo: tuple[int, ...],
                 kinds = [(0, array[:, ::k, ::k], _scaled(r.origin, k), _scaled(r.brick, k), halo, _scaled(r.shape, k))]
                 if full:
                     kinds.append((1, array, list(r.origin), list(r.brick), WINDOW, list(r.shape)))
-                for level, part, origin, brick, reach, shape in kinds:
-                    for at, corner, piece in _pieces(part, origin, brick, reach, shape):
-                        yield pd.DataFrame({"volume": [r.volume], "t": [r.t], "jz": at[0], "jy": at[1], "jx": at[2], "level": level, "shape": [shape], "brick": [brick], "origin": [corner], "size": [list(piece.shape)], "data": [piece.tobytes()]})
+                found = [
+                    (r.volume, r.t, *at, level, shape, brick, corner, list(piece.shape), piece.tobytes())
+                    for level, part, origin, brick, reach, shape in kinds for at, corner, piece in _pieces(part, origin, brick, reach, shape)
+                ]
+                yield pd.DataFrame(found, columns=[f.split()[0] for f in PIECES.split(", ")])
 
     pieces = bricks.mapInPandas(cut, PIECES)
-    numbers = [c for c in levels.columns if c not in ("volume", "t")]
-    places = bricks.select("volume", "t", *[F.expr(f"cast(origin[{i}] div brick[{i}] as int)").alias(f"j{a}") for i, a in enumerate("zyx")])
-    told = places.join(levels, ["volume", "t"]).select("volume", "t", "jz", "jy", "jx", F.struct(*numbers).alias("levels"))
+    numbers = [c for c in levels.columns if c not in ("volume", "t", "gz", "gy", "gx")]
+    told = levels
+    for a in "zyx":
+        told = told.withColumn(f"j{a}", F.explode(F.sequence(F.lit(0), F.col(f"g{a}") - 1)))
+    told = told.select("volume", "t", "jz", "jy", "jx", F.struct(*numbers).alias("levels"))
     rows = pieces.withColumn("levels", F.lit(None).cast(told.schema["levels"].dataType)).unionByName(told, allowMissingColumns=True)
 
     def assembled(pdf: pd.DataFrame, at, reach) -> tuple[np.ndarray, list[int]]:
@@ -197,13 +203,18 @@ def _gather(bricks: DataFrame, levels: DataFrame, k: int, halo: tuple[int, ...],
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         volume, t, at = key[0], key[1], key[2:]
         found = pdf[pdf.level == 0]
+        if found.empty:
+            raise ValueError(f"bricks do not cover the frame {volume}, {t} once")
         region, corner = assembled(found, at, halo)
         whole = assembled(pdf[pdf.level == 1], at, WINDOW) if full else (None, None)
         levels_ = pdf.levels.dropna().iloc[0]
         out = kernel(at, found["shape"].iloc[0], found.brick.iloc[0], region, corner, *whole, levels_)
         return out.assign(volume=volume, t=t)
 
-    return rows.groupBy("volume", "t", "jz", "jy", "jx").applyInPandas(solve, schema)
+    # kernels take far longer than their bytes tell, so partitions are not merged by size
+    place = ["volume", "t", "jz", "jy", "jx"]
+    tasks = int(bricks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *place).groupBy(*place).applyInPandas(solve, schema)
 
 
 def _peaks(response: np.ndarray, corner, at, brick, offsets: np.ndarray, shape) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -240,7 +251,7 @@ def detect_bricks_v1(bricks: DataFrame, sigmas=(1.0, 1.5, 2.0, 2.5, 3.0), quanti
     sigmas = tuple(max(0.5, s / k) for s in sigmas) if k > 1 else tuple(sigmas)
     offsets = box_offsets()
     halo = tuple(g + m for g, m in zip(_gaussian_reach([(1.6 * max(0.6, 0.35 * s), 1.6 * s, 1.6 * s) for s in sigmas], 2.5), (1, 3, 3), strict=True))
-    levels = frame_order(bricks, k, {"lo": 1.0 / 100, "hi": 99.9 / 100}).select("volume", "t", _level("lo").alias("lo"), _level("hi").alias("hi"))
+    levels = frame_order(bricks, k, {"lo": 1.0 / 100, "hi": 99.9 / 100}).select("volume", "t", "gz", "gy", "gx", _level("lo").alias("lo"), _level("hi").alias("hi"))
 
     def kernel(at, shape, brick, region, corner, full, full_corner, level) -> pd.DataFrame:
         lo, hi = level["lo"], level["hi"]
@@ -270,7 +281,7 @@ def detect_bricks_v2(bricks: DataFrame, k: int = 4, scales=((1.5, 4.0), (2.2, 5.
     halo = tuple(g + m for g, m in zip(_gaussian_reach([tuple(s / n for n in spacing) for pair in scales for s in pair], 4.0), reach, strict=True))
     order = frame_order(bricks, k, {"lo": 1.0 / 100, "hi": 99.7 / 100, "bright": percentile / 100})
     ends = order.withColumns({"lo": _level("lo"), "hi": _level("hi")}).withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi")))
-    levels = ends.select("volume", "t", "lo", "hi", _level("bright", lambda v: F.greatest((v - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))).alias("bright"))
+    levels = ends.select("volume", "t", "gz", "gy", "gx", "lo", "hi", _level("bright", lambda v: F.greatest((v - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))).alias("bright"))
 
     def kernel(at, shape, brick, region, corner, full, full_corner, level) -> pd.DataFrame:
         n = np.clip((region.astype(np.float64) - level["lo"]) / (level["hi"] - level["lo"]), 0, None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import geometry
 from weftline.operators import assignment, augment, bricks, detection, divisions, evaluation, formatting, graph, joins, pair_model, pairs, text_analysis, tracking
+from weftline.plans.storage import materialize
 from weftline.plans.views import FRAME_SHAPE, Views, with_views
 from weftline.sources import tables
 
@@ -233,14 +234,19 @@ def _(v: Views) -> DataFrame:
     return detection.detect_frames(v.frames, detection.detect_v2)
 
 
+def _cut(v: Views) -> DataFrame:
+    """Frames in two bricks each, painted once."""
+    return materialize(bricks.cut_frames(v.frames, (16, 64, 32)), "bricks")
+
+
 @query("v6_v10_detect_in_bricks")
 def _(v: Views) -> DataFrame:
-    return bricks.detect_bricks_v1(bricks.cut_frames(v.frames, (8, 32, 32)))
+    return bricks.detect_bricks_v1(_cut(v))
 
 
 @query("v7_v9_v11_v13_detect_in_bricks")
 def _(v: Views) -> DataFrame:
-    return bricks.detect_bricks_v2(bricks.cut_frames(v.frames, (8, 32, 32)))
+    return bricks.detect_bricks_v2(_cut(v))
 
 
 @query("v24_detect_by_scorer", """WITH q AS (SELECT *, least(greatest(v, quantile_cont(v, 0.01) OVER w), quantile_cont(v, 0.999) OVER w) AS c FROM voxels WINDOW w AS (PARTITION BY volume, t)),
@@ -1173,8 +1179,6 @@ def _(v: Views) -> DataFrame:
 @query("n4_pair_model")
 def _(v: Views) -> DataFrame:
     """Scores of all pairs by a model fitted on the volumes that are not held out."""
-    from weftline.plans.storage import materialize
-
     rows = pairs.edge_pairs(v.det, v.gt_nodes, v.gt_edges).join(F.broadcast(pairs.split_volumes(v.det)), "volume")
     rows = materialize(rows.select("volume", "t", "i", "j", "label", "is_val", *pair_model.FEATURES), "pairs")
     model = pair_model.fit(rows.where("not is_val"))
