@@ -185,21 +185,33 @@ def test_lineage_stores(spark, tmp_path, version, codec, kind):
         lineage_store.read_lineage_stores(spark, str(tmp_path), ["v1", "v9"])
 
 
-def test_filters_decide_which_frames_are_read(spark, tmp_path):
+def test_options_decide_which_frames_are_read(spark, tmp_path):
     for name in ("a_1", "b_2"):
         volume(tmp_path, name)
     (tmp_path / "c_3.zarr").mkdir()  # without an array: reading it would raise
     chunked.register(spark)
-    df = spark.read.format("chunked_frames").load(str(tmp_path))
-    cases = {"volume = 'a_1' and t = 2": 1, "volume in ('a_1', 'b_2') and t >= 1": 4, "volume like 'b%' and t < 2 and t > 0": 1, "volume = 'a_1' and t <= 1 and length(data) > 0": 2}
-    for condition, n in cases.items():
-        found = df.where(condition)
+    load = lambda **options: spark.read.format("chunked_frames").options(**options).load(str(tmp_path))
+    both = json.dumps(["a_1", "b_2"])
+    cases = [({"volumes": '["a_1"]', "first_t": 2, "last_t": 2}, 1), ({"volumes": both, "first_t": 1}, 4), ({"volumes": '["b_2"]', "last_t": 1}, 2), ({"volumes": both, "first_t": 0, "last_t": 0}, 2)]
+    for options, n in cases:
+        found = load(**options)
         assert found.rdd.getNumPartitions() == n and found.count() == n
-    assert df.where("volume = 'nothing'").count() == 0
-    assert df.where("volume = 'a_1' and (t = 0 or shape[0] = 1)").count() == 1
+    assert load(volumes='["nothing"]').count() == 0 and load(volumes=both, first_t=9).count() == 0
+
+
+def test_filters_of_one_loaded_table_do_not_meet(spark, tmp_path):
+    """A filter on a loaded table leaves what other uses of it read."""
+    for name in ("a_1", "b_2"):
+        volume(tmp_path, name)
+    chunked.register(spark)
+    df = spark.read.format("chunked_frames").load(str(tmp_path))
+    assert [df.where(c).count() for c in ("t = 1", "true", "volume = 'a_1' and t < 2", "volume is not null")] == [2, 6, 2, 6]
+    assert df.where("t = 1").unionByName(df).count() == 8 and df.unionByName(df.where("t = 1")).count() == 8
+    assert df.where("t = 0").unionByName(df.where("t = 2")).select("t").distinct().count() == 2
+    assert df.where("t = 1").alias("a").join(df.alias("b"), ["volume"]).count() == 6
 
 
-def test_filters_decide_which_stores_are_opened(spark, tmp_path):
+def test_names_decide_which_stores_are_opened(spark, tmp_path):
     frame = spark.createDataFrame([(v, i, 0, 1.0, 2.0, 3.0) for v in ("a", "b", "c") for i in range(3)], "volume string, node_id long, t long, z double, y double, x double")
     lineage_store.write_lineage_stores(frame, frame.selectExpr("volume", "node_id source_id", "node_id target_id").limit(0), frame.selectExpr("volume", "1 estimated_number_of_nodes").limit(0), str(tmp_path))
     for array in (tmp_path / "c.geff").rglob(".zarray"):

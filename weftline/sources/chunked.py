@@ -4,7 +4,7 @@ A volume is a folder ``name.zarr`` with an array (or a member ``0``) of
 little-endian uint16, axes t, z, y, x, one frame per chunk. Metadata is read from
 the array's JSON (version 2 ``.zarray`` or 3 ``zarr.json``). Chunks may be raw,
 zlib, gzip, zstd or Blosc compressed; other codecs raise a clear error. Spark reads through ``spark.read.format("chunked_frames").load(path)``:
-filters on volume and t decide which partitions there are. Arrays whose frames take several chunks are read as bricks, a
+the options ``volumes``, ``first_t`` and ``last_t`` decide which partitions there are. Arrays whose frames take several chunks are read as bricks, a
 chunk a row, by the format ``chunked_bricks``. Spark writes by
 ``df.write.format("chunked_frames").mode(...).save(path)``: volumes appear whole.
 """
@@ -105,14 +105,9 @@ class FramePartition(InputPartition):
 
 
 class FrameReader(pruning.PrunedReader):
-    constant = ("volume", "t")
-
-    def __init__(self, path: str):
-        self.path = path
-
     def partitions(self) -> list[FramePartition]:
-        volumes = [v for v in find_volumes(self.path) if self.keeps(volume=v.stem)]
-        return [FramePartition(v.stem, str(v), t) for v in volumes for t in range(array_info(v).shape[0]) if self.keeps(t=t)]
+        volumes = [v for v in find_volumes(self.path) if self.keeps_volume(v.stem)]
+        return [FramePartition(v.stem, str(v), t) for v in volumes for t in range(array_info(v).shape[0]) if self.keeps_frame(t)]
 
     def read(self, partition: FramePartition | None) -> Iterator[tuple]:
         if partition is None:  # no frame is left
@@ -221,7 +216,7 @@ class ChunkedFrames(DataSource):
         return "volume string, t int, shape array<int>, data binary"
 
     def reader(self, schema) -> FrameReader:
-        return FrameReader(self.options["path"])
+        return FrameReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> FrameWriter:
         return FrameWriter(self.options["path"], overwrite, self.options.get("codec", "blosc"))
@@ -236,13 +231,12 @@ class ChunkedBricks(DataSource):
         return "volume string, t int, shape array<int>, brick array<int>, origin array<int>, size array<int>, data binary"
 
     def reader(self, schema) -> BrickReader:
-        return BrickReader(self.options["path"])
+        return BrickReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChunkedFrames)
     spark.dataSource.register(ChunkedBricks)
-    pruning.allow(spark)
 
 
 def _describe(folder: Path, shape: list[int], codec: str) -> None:

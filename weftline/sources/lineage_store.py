@@ -56,13 +56,12 @@ class StorePartition(InputPartition):
 
 
 class StoreReader(pruning.PrunedReader):
-    constant = ("volume",)
-
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    def __init__(self, options, kind: str):
+        super().__init__(options)
+        self.kind = kind
 
     def partitions(self) -> list[StorePartition]:
-        return [StorePartition(str(p)) for p in find_stores(self.path) if self.keeps(volume=p.stem)]
+        return [StorePartition(str(p)) for p in find_stores(self.path) if self.keeps_volume(p.stem)]
 
     def read(self, partition: StorePartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no store is left
@@ -167,7 +166,7 @@ class LineageStores(DataSource):
         return SCHEMAS[self.options.get("table", "nodes")]
 
     def reader(self, schema) -> StoreReader:
-        return StoreReader(self.options["path"], self.options.get("table", "nodes"))
+        return StoreReader(self.options, self.options.get("table", "nodes"))
 
     def writer(self, schema, overwrite: bool) -> StoreWriter:
         return StoreWriter(self.options["path"], overwrite)
@@ -175,7 +174,6 @@ class LineageStores(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LineageStores)
-    pruning.allow(spark)
 
 
 def read_lineage_stores(spark: SparkSession, path: str, volumes: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -183,8 +181,8 @@ def read_lineage_stores(spark: SparkSession, path: str, volumes: list[str] | Non
     if volumes is not None and (lost := sorted(set(volumes) - {p.stem for p in find_stores(path)})):
         raise FileNotFoundError(f"no ground truth for {lost}")
     register(spark)
-    out = [spark.read.format("lineage_stores").option("table", k).load(path) for k in SCHEMAS]
-    return tuple(df if volumes is None else df.where(df.volume.isin(volumes)) for df in out)
+    named = {} if volumes is None else {"volumes": json.dumps(volumes)}
+    return tuple(spark.read.format("lineage_stores").options(table=k, **named).load(path) for k in SCHEMAS)
 
 
 def write_lineage_stores(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> None:

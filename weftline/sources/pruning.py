@@ -1,47 +1,27 @@
-"""Filters on what a source's paths already tell, such as volume and frame, taken before anything is read.
+"""What a source leaves unread, by options that a load names: ``volumes`` (a JSON list of names), ``first_t`` and ``last_t``.
 
-Spark hands filters to Python sources only where ``spark.sql.python.filterPushdown.enabled`` is set; ``allow`` sets it.
+Options rather than pushed filters: Spark 4.1 keeps the filters pushed to a Python source in the relation that a load
+returned, so two filters on one loaded table, or a filter and none, would read each other's partitions and lose rows.
 """
 
 from __future__ import annotations
 
-import operator
-from collections.abc import Iterable
+import json
+from collections.abc import Mapping
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSourceReader
 
-_TESTS = {
-    EqualTo: operator.eq,
-    EqualNullSafe: operator.eq,
-    GreaterThan: operator.gt,
-    GreaterThanOrEqual: operator.ge,
-    LessThan: operator.lt,
-    LessThanOrEqual: operator.le,
-    In: lambda own, values: own in values,
-    StringStartsWith: str.startswith,
-}
 
+class PrunedReader(DataSourceReader):
+    """A reader whose partitions each belong to one volume, and maybe one frame."""
 
-def allow(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    def __init__(self, options: Mapping[str, str]):
+        self.path = options["path"]
+        self.volumes = set(json.loads(options["volumes"])) if options.get("volumes") is not None else None
+        self.first_t, self.last_t = (None if options.get(c) is None else int(options[c]) for c in ("first_t", "last_t"))
 
+    def keeps_volume(self, name: str) -> bool:
+        return self.volumes is None or name in self.volumes
 
-class PrunedReader(DataSourceReader):
-    """A reader whose partitions each hold one value of every column in ``constant``, never null."""
-
-    constant: tuple[str, ...] = ()
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes the filters that a partition's constants decide, and leaves the others to Spark."""
-        self.taken = []
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column in self.constant and type(f) in _TESTS and f.value is not None:
-                self.taken.append((column, type(f), f.value))
-            elif column not in self.constant or type(f) is not IsNotNull:
-                yield f
-
-    def keeps(self, **constants) -> bool:
-        """Whether the filters taken leave a partition of these constants, which may be some of all."""
-        return all(_TESTS[kind](constants[c], value) for c, kind, value in getattr(self, "taken", ()) if c in constants)
+    def keeps_frame(self, t: int) -> bool:
+        return (self.first_t is None or t >= self.first_t) and (self.last_t is None or t <= self.last_t)
