@@ -3,7 +3,8 @@
 Radius joins are equi-joins on (volume, frame, grid cell). Cells are four gates
 wide; one side goes to each cell that its reach touches, mostly one or two per
 axis, so no frame is ever joined with itself as a whole, hot frames spread over
-their cells, and the exploded side grows by about 3.4.
+their cells, and the exploded side grows by about 3.4. Spark guesses the size of
+an exploded side as that before it and would broadcast it: these joins merge.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def radius_join(a: DataFrame, b: DataFrame, gate: float, gaps: range | list[int]
     for c in names:
         on = on & (F.col(f"p.{c}") == F.col(f"q.{c}"))
     d = distance_um("p", "q")
-    return p.join(q, on).where(d <= F.lit(float(gate))).select(
+    return p.hint("merge").join(q, on).where(d <= F.lit(float(gate))).select(
         *[F.col(f"p.{c}").alias(f"{c}_a") for c in keep_a], *[F.col(f"q.{c}").alias(f"{c}_b") for c in keep_b], F.col("p.gap").alias("gap"), d.alias("distance_um")
     )
 
@@ -100,7 +101,7 @@ def nodes_in_box(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
         covered = covered.withColumn(f"_c{k}", F.explode(F.sequence(low(k), high(k))))
     placed = nodes.join(in_use, ["volume", "t"]).withColumns({f"_c{k}": cell(k, F.col(k)) for k in axes})
     inside = [(F.col(k) >= F.col(f"{k}0")) & (F.col(k) < F.col(f"{k}1")) for k in axes]
-    return placed.join(covered, ["volume", "t", *levels, *cells]).where(inside[0] & inside[1] & inside[2]).drop(*levels, *cells)
+    return placed.join(covered.hint("merge"), ["volume", "t", *levels, *cells]).where(inside[0] & inside[1] & inside[2]).drop(*levels, *cells)
 
 
 def existing_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
