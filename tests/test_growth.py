@@ -17,3 +17,10 @@ def plan(df):
 
 def test_points_exploded_to_cells_are_not_broadcast(spark):
     assert "Broadcast" not in plan(QUERIES["j5_frame_gaps"](spark, DATA))
+
+
+def test_edge_pairs_do_not_broadcast_exploded_points(spark):
+    v = Views(spark, DATA)
+    points = v.det.select("volume", "t", "z", "y", "x", "score", "node_id")
+    found = pairs.edge_pairs(points, v.gt_nodes.drop("user_id"), v.gt_edges)
+    assert not [line for line in plan(found).splitlines() if "Broadcast" in line and "SQRT" in line]
