@@ -30,7 +30,13 @@ def downsample(voxels: DataFrame, k: int) -> DataFrame:
 def _levels(voxels: DataFrame, low: float, high: float) -> DataFrame:
     """Voxels with the percentiles lo and hi (linear, exact) of their frame."""
     p = voxels.groupBy("volume", "t").agg(F.expr(f"percentile(v, array({low}, {high}))").alias("p"))
-    return voxels.join(p.select("volume", "t", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")), ["volume", "t"])
+    return _of_frame(voxels, p.select("volume", "t", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")))
+
+
+def _of_frame(voxels: DataFrame, frames: DataFrame) -> DataFrame:
+    """Voxels with the columns of their frame. Spark takes the size of voxels that were exploded from a small table for
+    that of the table and would broadcast them, hence the hint: a task holds the rows of its frames."""
+    return voxels.join(frames.hint("shuffle_hash"), ["volume", "t"])
 
 
 def normalize(voxels: DataFrame, kind: str) -> DataFrame:

@@ -128,10 +128,13 @@ class Views:
 
     @cached_property
     def voxels(self) -> DataFrame:
-        """One frame of 8 x 16 x 16 voxels per supplier, with a peak in its middle."""
-        grid = self.table("supplier").select("s_suppkey", "s_acctbal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2047).cast("long"))).alias("n"))
+        """One frame of 8 x 16 x 16 voxels per supplier, with a peak in its middle. Frames are dealt before they grow, as
+        the table is one small file; what groups voxels by frame then needs no shuffle of them."""
+        deal = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        frames = self.table("supplier").selectExpr("concat('v', s_suppkey % 2) AS volume", "s_suppkey div 2 AS t", "s_suppkey", "s_acctbal").repartition(deal, "volume", "t")
+        grid = frames.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2047).cast("long"))).alias("n"))
         return grid.selectExpr(
-            "concat('v', s_suppkey % 2) AS volume", "s_suppkey div 2 AS t", "n div 256 AS z", "n div 16 % 16 AS y", "n % 16 AS x",
+            "volume", "t", "n div 256 AS z", "n div 16 % 16 AS y", "n % 16 AS x",
             "((n + s_suppkey * 2048) * 7919 + (n div 16) * 104729 + (n div 256) * 1299709) % 1009 + CASE WHEN n div 256 = 4 AND n div 16 % 16 = 8 AND n % 16 = 8 THEN 2000 + cast(floor(abs(s_acctbal)) AS long) % 500 ELSE 0 END AS v",
         )
 
