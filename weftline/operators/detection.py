@@ -50,7 +50,7 @@ def normalize(voxels: DataFrame, kind: str) -> DataFrame:
             return levels.withColumn("n", F.when(F.col("hi") > F.col("lo"), (clipped - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)).drop("lo", "hi")
         c = levels.withColumn("c", clipped)
         stats = c.groupBy("volume", "t").agg(F.avg("c").alias("m"), F.stddev_pop("c").alias("s"))
-        return c.join(stats, ["volume", "t"]).withColumn("n", (F.col("c") - F.col("m")) / F.when(F.col("s") < 1e-6, 1.0).otherwise(F.col("s"))).drop("lo", "hi", "c", "m", "s")
+        return _of_frame(c, stats).withColumn("n", (F.col("c") - F.col("m")) / F.when(F.col("s") < 1e-6, 1.0).otherwise(F.col("s"))).drop("lo", "hi", "c", "m", "s")
     levels = _levels(voxels, 0.01, 0.997).withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi")))
     n = F.greatest((v - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))
     return levels.withColumn("n", n if kind == "below" else F.least(n, F.lit(1.0))).drop("lo", "hi")
