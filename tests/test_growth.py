@@ -24,3 +24,18 @@ def test_edge_pairs_do_not_broadcast_exploded_points(spark):
     points = v.det.select("volume", "t", "z", "y", "x", "score", "node_id")
     found = pairs.edge_pairs(points, v.gt_nodes.drop("user_id"), v.gt_edges)
     assert not [line for line in plan(found).splitlines() if "Broadcast" in line and "SQRT" in line]
+
+
+def test_voxels_are_not_broadcast(spark):
+    for name in ("v1_normalize_unit", "v2_normalize_z", "v3_normalize_clip", "v4_normalize_below", "v12_refine_centroids"):
+        assert "Broadcast" not in plan(QUERIES[name](spark, DATA)), name
+
+
+def test_centres_at_the_ends_of_runs(spark):
+    rng = np.random.default_rng(5)
+    frame = rng.integers(0, 9, (2, 5, 40))
+    voxels = spark.createDataFrame([("v", 0, z, y, x, int(frame[z, y, x])) for z, y, x in np.ndindex(frame.shape)], "volume string, t long, z long, y long, x long, v long")
+    points = np.array([[1.0, 2.0, float(x)] for x in (-1, 0, 12, 13, 15, 16, 18, 19, 31, 39, 90)])
+    df = spark.createDataFrame([("v", 0, *p, 1.0, i) for i, p in enumerate(points.tolist())], POINTS)
+    got = np.array([tuple(r) for r in detection.refine_centroids(df, voxels).orderBy("node_id").select("z", "y", "x").collect()])
+    assert np.allclose(got, detection.centroids(frame, points))

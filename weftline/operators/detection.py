@@ -85,16 +85,26 @@ def dedup_voxels(detections: DataFrame, order: str = "node_id") -> DataFrame:
     return detections.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+#: Voxels along x that one row of a join holds.
+RUN = 16
+
+
 def refine_centroids(points: DataFrame, voxels: DataFrame, window: tuple[int, int, int] = (1, 3, 3)) -> DataFrame:
-    """Intensity-weighted centres in the box around each point; points in dark boxes stay."""
+    """Intensity-weighted centres in the box around each point; points in dark boxes stay.
+
+    Boxes and voxels meet by runs of ``RUN`` voxels along x, so that the join has equal keys only and few rows. Its sizes
+    are guessed as before the explosion, so it merges and never broadcasts.
+    """
     c = points.withColumns({f"c{k}": half_even(F.col(k)) for k in "zyx"})
-    # the box is exploded, so that the join has equal keys only
-    for k, w in zip("zyx", window, strict=True):
+    for k, w in zip("zy", window, strict=False):
         c = c.withColumn(f"b{k}", F.explode(F.sequence(F.col(f"c{k}") - w, F.col(f"c{k}") + w)))
+    c = c.withColumns({"x0": F.col("cx") - window[2], "x1": F.col("cx") + window[2]})
+    c = c.withColumn("run", F.explode(F.sequence(F.floor(F.col("x0") / RUN), F.floor(F.col("x1") / RUN)))).select("volume", "t", "node_id", "bz", "by", "x0", "x1", "run")
     v = voxels.select("volume", "t", *[F.col(k).cast("long").alias(f"b{k}") for k in "zyx"], F.col("v").cast("double").alias("v"))
-    joined = c.join(v, ["volume", "t", "bz", "by", "bx"])
+    runs = v.groupBy("volume", "t", "bz", "by", F.floor(F.col("bx") / RUN).alias("run")).agg(F.collect_list(F.struct("bx", "v")).alias("held"))
+    joined = c.hint("merge").join(runs, ["volume", "t", "bz", "by", "run"]).select("volume", "t", "node_id", "bz", "by", "x0", "x1", F.inline("held")).where("bx between x0 and x1")
     sums = joined.groupBy("volume", "t", "node_id").agg(F.sum("v").alias("s"), *[(F.sum(F.col("v") * F.col(f"b{k}"))).alias(f"s{k}") for k in "zyx"])
-    out = points.join(sums, ["volume", "t", "node_id"], "left")
+    out = points.join(sums.hint("merge"), ["volume", "t", "node_id"], "left")
     return out.withColumns({k: F.when(F.col("s") > 0, F.col(f"s{k}") / F.col("s")).otherwise(F.col(k)) for k in "zyx"}).drop("s", "sz", "sy", "sx")
 
 
