@@ -39,3 +39,24 @@ def test_centres_at_the_ends_of_runs(spark):
     df = spark.createDataFrame([("v", 0, *p, 1.0, i) for i, p in enumerate(points.tolist())], POINTS)
     got = np.array([tuple(r) for r in detection.refine_centroids(df, voxels).orderBy("node_id").select("z", "y", "x").collect()])
     assert np.allclose(got, detection.centroids(frame, points))
+
+
+def test_painting_equals_brute_force(spark):
+    """Boxes over the edges of tiles, below 0 and beyond the shape; a later order wins, null orders lose."""
+    rng = np.random.default_rng(3)
+    places = [(float(z), float(y), float(x)) for z, y, x in rng.integers((-9, 245, 500), (70, 265, 520), (60, 3))]
+    orders = [None if i % 9 == 0 else int(k) for i, k in enumerate(rng.permutation(60))]
+    nodes = [("v", i % 2, *p, i + 100, o) for i, (p, o) in enumerate(zip(places, orders, strict=True))]
+    df = spark.createDataFrame(nodes, "volume string, t long, z double, y double, x double, label long, ord long")
+    for shape in (None, (60, 258, 516)):
+        seen = {}
+        for _, t, z, y, x, label, o in nodes:
+            ranges = [range(max(0, int(c) - r), min(int(c) + r, s - 1 if shape else 10**6) + 1) for c, r, s in zip((z, y, x), (2, 4, 4), shape or (0, 0, 0), strict=True)]
+            for at in np.stack(np.meshgrid(*ranges, indexing="ij"), axis=-1).reshape(-1, 3).tolist():
+                key, mine = (t, *at), (-1 if o is None else o, None if o is None else label)
+                seen[key] = max(seen.get(key, (-2, None)), mine, key=lambda m: m[0])
+        got = {tuple(r[:4]): r[4] for r in detection.paint_labels(df, shape=shape).select("t", "z", "y", "x", "label").collect()}
+        assert got == {k: m[1] for k, m in seen.items()}
+        sums = {(r.t, r.label): (r.n, r.z, r.y, r.x) for r in detection.painted_sums(df, shape=shape).collect()}
+        assert {k: tuple(int(c) for c in np.array([(1, *at) for (t, *at), m in seen.items() if (t, m[1]) == k]).sum(axis=0)) for k in sums} == sums
+        assert set(sums) == {(k[0], m[1]) for k, m in seen.items()}

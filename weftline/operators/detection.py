@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,22 +202,63 @@ def negative_patches(candidates: DataFrame, cells: DataFrame, n: int, patch: int
         c = c.withColumn(f"c{k}", F.explode(F.sequence(cell(k, -patch), cell(k, patch))))
     same = [F.col(f"c.{n}") == F.col(f"g.{n}") for n in ("volume", "t", "cz", "cy", "cx")]
     apart = sum((F.abs(F.col(f"c.{k}") - F.col(f"g.{k}")) for k in "zyx"), F.lit(0))
-    near = c.alias("c").join(g.alias("g"), [*same, apart < patch]).select("c.volume", "c.t", "c.candidate_id").distinct()
+    near = c.alias("c").hint("merge").join(g.alias("g"), [*same, apart < patch]).select("c.volume", "c.t", "c.candidate_id").distinct()
     free = candidates.join(near, ["volume", "t", "candidate_id"], "left_anti")
     hashed = F.md5(F.concat_ws("|", F.lit(seed), "volume", F.col("t").cast("string"), F.col("candidate_id").cast("string")).cast("binary"))
     rank = F.row_number().over(Window.partitionBy("volume", "t").orderBy(hashed))
     return free.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def paint_labels(nodes: DataFrame, radii: tuple[int, int, int] = (2, 4, 4), shape: tuple[int, int, int] | None = None) -> DataFrame:
-    """Label per voxel of the boxes around nodes; the later node (greater ``ord``) wins."""
-    n = nodes.withColumns({f"c{k}": half_even(F.col(k)) for k in "zyx"})
+#: Voxels along z, y and x that are painted at once.
+TILE = (64, 256, 256)
+
+
+def _painted(nodes: DataFrame, radii: tuple[int, int, int], shape: tuple[int, int, int] | None, fields: dict[str, str], row: Callable[..., list]) -> DataFrame:
+    """Boxes around nodes, painted tile by tile in the order of ``ord``: only nodes are shuffled, each to the tiles that its
+    box touches. ``row`` makes the columns ``fields`` of the places that a node keeps."""
+    n = nodes.select("volume", "t", "label", "ord", *[half_even(F.col(k)).alias(f"c{k}") for k in "zyx"])
     for i, (k, r) in enumerate(zip("zyx", radii, strict=True)):
         top = F.col(f"c{k}") + r
-        if shape is not None:
-            top = F.least(top, F.lit(shape[i] - 1).cast("long"))
-        n = n.withColumn(f"b{k}", F.explode(F.sequence(F.greatest(F.col(f"c{k}") - r, F.lit(0).cast("long")), top)))
-    return n.groupBy("volume", "t", F.col("bz").alias("z"), F.col("by").alias("y"), F.col("bx").alias("x")).agg(F.max_by("label", "ord").alias("label"))
+        n = n.withColumns({f"a{k}": F.greatest(F.col(f"c{k}") - r, F.lit(0).cast("long")), f"b{k}": top if shape is None else F.least(top, F.lit(shape[i] - 1).cast("long"))})
+    n = n.drop("cz", "cy", "cx").where("az <= bz and ay <= by and ax <= bx")
+    for k, size in zip("zyx", TILE, strict=True):
+        n = n.withColumn(f"i{k}", F.explode(F.sequence(F.floor(F.col(f"a{k}") / size), F.floor(F.col(f"b{k}") / size))))
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in ("volume", "t", "label")}
+
+    def paint(tile: pa.Table) -> pa.Table:
+        tile = tile.take(pc.sort_indices(tile, sort_keys=[("ord", "ascending")], null_placement="at_start"))
+        column = lambda names: np.stack([tile.column(c).to_numpy() for c in names], axis=1)
+        corner = column(("iz", "iy", "ix"))[0] * TILE
+        low, high = np.maximum(column(("az", "ay", "ax")), corner), np.minimum(column(("bz", "by", "bx")), corner + TILE - 1)
+        first = low.min(axis=0)
+        canvas = np.zeros(high.max(axis=0) + 1 - first, np.int32)
+        boxes = [tuple(slice(a, b) for a, b in zip(*ends, strict=True)) for ends in zip((low - first).tolist(), (high - first + 1).tolist(), strict=True)]
+        for i, box in enumerate(boxes):
+            canvas[box] = i + 1
+        seen, made = [], []
+        for i, box in enumerate(boxes):
+            places = (canvas[box] == i + 1).nonzero()
+            if len(places[0]):
+                made.append(row(*[p + o for p, o in zip(places, low[i].tolist(), strict=True)]))
+                seen.append((i, len(made[-1][0])))
+        at = np.repeat(*np.array(seen).T)
+        own = tile.select(["volume", "t"]).take(at)
+        # of places without an order the label is null
+        label = pc.if_else(pc.is_valid(tile.column("ord")), tile.column("label"), None).take(at)
+        return pa.table({"volume": own.column("volume"), "t": own.column("t"), "label": label, **{c: np.concatenate(part) for c, part in zip(fields, zip(*made, strict=True), strict=True)}})
+
+    return n.groupBy("volume", "t", "iz", "iy", "ix").applyInArrow(paint, ", ".join(f"{c} {kind}" for c, kind in (kinds | fields).items()))
+
+
+def paint_labels(nodes: DataFrame, radii: tuple[int, int, int] = (2, 4, 4), shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """Label per voxel of the boxes around nodes; the later node (greater ``ord``) wins."""
+    return _painted(nodes, radii, shape, dict.fromkeys("zyx", "long"), lambda *places: places).select("volume", "t", "z", "y", "x", "label")
+
+
+def painted_sums(nodes: DataFrame, radii: tuple[int, int, int] = (2, 4, 4), shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """Of each label that ``paint_labels`` leaves in a frame the number of voxels, and the sums of their places."""
+    parts = _painted(nodes, radii, shape, dict.fromkeys(("n", "z", "y", "x"), "long"), lambda *places: [[len(places[0])], *[[int(p.sum())] for p in places]])
+    return parts.groupBy("volume", "t", "label").agg(*[F.sum(k).alias(k) for k in ("n", "z", "y", "x")])
 
 
 # ---------------------------------------------------------------- array kernels
