@@ -31,6 +31,28 @@ def test_voxels_are_not_broadcast(spark):
         assert "Broadcast" not in plan(QUERIES[name](spark, DATA)), name
 
 
+def test_frames_are_dealt_before_they_grow(spark):
+    v = Views(spark, DATA)
+    assert v.voxels.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for df in (detection.box_maximum(v.voxels), detection.to_dense(v.voxels, (8, 16, 16)), detection.stitch(v.voxels)):
+        assert plan(df).count("Exchange") == 1  # of suppliers
+
+
+def test_many_small_frames_share_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunked, "MOST_SINGLE", 3)
+    frames = np.arange(2 * 7 * 12, dtype="<u2").reshape(2, 7, 1, 3, 4)
+    for name, a in zip("ab", frames, strict=True):
+        chunked.write_volume(tmp_path / f"{name}.zarr", a)
+    parts = lambda **options: chunked.FrameReader({"path": str(tmp_path), **options}).partitions()
+    assert [(p.volume, *p.frames) for p in parts()] == [("a", 0, 1, 2, 3, 4), ("a", 5, 6), ("b", 0, 1, 2, 3, 4), ("b", 5, 6)]
+    assert [(p.volume, *p.frames) for p in parts(first_t="2", last_t="4")] == [("a", 2, 3), ("a", 4), ("b", 2, 3), ("b", 4)]
+    reader = chunked.FrameReader({"path": str(tmp_path)})
+    got = {(v, t): data for p in reader.partitions() for b in reader.read(p) for v, t, data in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True)}
+    assert got == {(v, t): frames[i, t].tobytes() for i, v in enumerate("ab") for t in range(7)}
+    monkeypatch.setattr(chunked, "PARTITION_BYTES", 2 * 24)
+    assert {len(p.frames) for p in parts()} == {2, 1}
+
+
 def test_centres_at_the_ends_of_runs(spark):
     rng = np.random.default_rng(5)
     frame = rng.integers(0, 9, (2, 5, 40))

@@ -459,24 +459,19 @@ def detect_by_scorer(frames: DataFrame, scorer: Callable[[np.ndarray], np.ndarra
 
 
 def to_dense(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Long-form voxels as dense frames: each plane is packed by itself, then a frame's planes are joined. Voxels that are
-    not there are 0; positions outside of the shape and values beyond 16 bits raise ValueError."""
-    depth, rows, columns = shape
-
-    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = int(pdf.z.iloc[0])
-        if not 0 <= z < depth or not pdf.y.between(0, rows - 1).all() or not pdf.x.between(0, columns - 1).all() or not pdf.v.between(0, 65535).all():
-            raise ValueError(f"voxels outside of {shape} or of 16 bits: {pdf.volume.iloc[0]}, frame {pdf.t.iloc[0]}")
-        out = np.zeros((rows, columns), dtype="<u2")
-        out[pdf.y, pdf.x] = pdf.v
-        return pd.DataFrame({"volume": [pdf.volume.iloc[0]], "t": [int(pdf.t.iloc[0])], "z": [z], "data": [out.tobytes()]})
-
-    planes = voxels.select("volume", "t", "z", "y", "x", "v").groupBy("volume", "t", "z").applyInPandas(plane, "volume string, t int, z int, data binary")
-    listed = planes.groupBy("volume", "t").agg(F.collect_list(F.struct("z", "data")).alias("planes"))  # as large as the frame
-
-    @F.pandas_udf("binary")
-    def joined(planes: pd.Series) -> pd.Series:
-        dark = bytes(2 * rows * columns)
-        return planes.map(lambda found: b"".join((held := {p["z"]: p["data"] for p in found}).get(z, dark) for z in range(depth)))
-
-    return listed.select("volume", "t", F.array(*[F.lit(int(n)) for n in shape]).alias("shape"), joined("planes").alias("data"))
+    """Long-form voxels as dense frames: a frame's voxels are put in their places batch by batch, so a task holds one dense
+    frame. Voxels that are not there are 0; positions outside of the shape and values beyond 16 bits raise ValueError."""
+
+    def packed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        volume, t = (k.as_py() for k in key)
+        out = np.zeros(shape, dtype="<u2")
+        for batch in batches:
+            held = [batch.column(batch.schema.get_field_index(c)) for c in ("z", "y", "x", "v")]
+            values = [c.to_numpy(zero_copy_only=False) for c in held]
+            if any(c.null_count for c in held) or not all(((0 <= a) & (a < n)).all() for a, n in zip(values, (*shape, 65535 + 1), strict=True)):
+                raise ValueError(f"voxels outside of {shape} or of 16 bits: {volume}, frame {t}")
+            out[tuple(a.astype(np.int64) for a in values[:3])] = values[3]
+        made = {"volume": pa.array([volume], pa.string()), "t": pa.array([t], pa.int32()), "shape": pa.array([list(shape)], pa.list_(pa.int32())), "data": pa.array([out.tobytes()], pa.binary())}
+        yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+    return voxels.select("volume", "t", "z", "y", "x", "v").groupBy("volume", "t").applyInArrow(packed, "volume string, t int, shape array<int>, data binary")

@@ -1,4 +1,4 @@
-"""Chunked arrays on disk as a Spark data source, one partition per volume and frame.
+"""Chunked arrays on disk as a Spark data source, one partition per volume and run of frames.
 
 A volume is a folder ``name.zarr`` with an array (or a member ``0``) of
 little-endian uint16, axes t, z, y, x, one frame per chunk. Metadata is read from
@@ -97,23 +97,50 @@ def read_frame(info: ArrayInfo, t: int) -> tuple[list[int], bytes]:
     return list(info.shape[1:]), data
 
 
+#: From this many frames on small ones share a partition, up to this many bytes of a partition's frames.
+MOST_SINGLE, PARTITION_BYTES = 256, 1 << 25
+
+
 @dataclass
 class FramePartition(InputPartition):
     volume: str
     path: str
-    t: int
+    frames: range
+
+
+FRAME_FIELDS = (("volume", pa.string()), ("t", pa.int32()), ("shape", pa.list_(pa.int32())), ("data", pa.binary()))
 
 
 class FrameReader(pruning.PrunedReader):
+    """A partition per frame, or per run of small frames where there are many; each frame is a batch."""
+
+    def kept(self) -> Iterator[tuple[Path, ArrayInfo, range]]:
+        """Volumes with their array and the frames that are read."""
+        for v in find_volumes(self.path):
+            if self.keeps_volume(v.stem):
+                info = array_info(v)
+                first, last = self.first_t or 0, info.shape[0] - 1 if self.last_t is None else self.last_t
+                yield v, info, range(max(0, first), min(info.shape[0], last + 1))
+
     def partitions(self) -> list[FramePartition]:
-        volumes = [v for v in find_volumes(self.path) if self.keeps_volume(v.stem)]
-        return [FramePartition(v.stem, str(v), t) for v in volumes for t in range(array_info(v).shape[0]) if self.keeps_frame(t)]
+        kept = list(self.kept())
+        share = -(-sum(len(frames) for _, _, frames in kept) // MOST_SINGLE)
+        out = []
+        for v, info, frames in kept:
+            step = max(1, min(share, PARTITION_BYTES // max(1, 2 * math.prod(info.shape[1:]))))
+            out += [FramePartition(v.stem, str(v), frames[k : k + step]) for k in range(0, len(frames), step)]
+        return out
 
-    def read(self, partition: FramePartition | None) -> Iterator[tuple]:
+    def read(self, partition: FramePartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no frame is left
             return
-        shape, data = read_frame(array_info(partition.path), partition.t)
-        yield partition.volume, partition.t, shape, data
+        info = array_info(partition.path)
+        for t in partition.frames:
+            yield _row(FRAME_FIELDS, (partition.volume, t, *read_frame(info, t)))
+
+
+def _row(fields: tuple[tuple[str, pa.DataType], ...], values: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, fields, strict=True)], [name for name, _ in fields])
 
 
 @dataclass
@@ -151,19 +178,14 @@ class BrickReader(FrameReader):
     """A partition per frame and row of chunks along z; each chunk is a batch, so a task holds one at a time."""
 
     def partitions(self) -> list[SlabPartition]:
-        out = []
-        for p in super().partitions():
-            info = array_info(p.path)
-            out += [SlabPartition(p.volume, p.path, p.t, row) for row in range(-(-info.shape[1] // info.chunk[1]))]
-        return out
+        return [SlabPartition(v.stem, str(v), t, row) for v, info, frames in self.kept() for t in frames for row in range(-(-info.shape[1] // info.chunk[1]))]
 
     def read(self, partition: SlabPartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         info = array_info(partition.path)
         for origin, size, data in read_bricks(info, partition.t, partition.row):
-            values = (partition.volume, partition.t, list(info.shape[1:]), list(info.chunk[1:]), origin, size, data)
-            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(values, BRICK_FIELDS, strict=True)], [name for name, _ in BRICK_FIELDS])
+            yield _row(BRICK_FIELDS, (partition.volume, partition.t, list(info.shape[1:]), list(info.chunk[1:]), origin, size, data))
 
 
 @dataclass
