@@ -83,7 +83,7 @@ def place(drawn: DataFrame, points: DataFrame, shape: tuple[int, int, int]) -> D
     their frames. One row per view."""
     moves = drawn.select("volume", "t", *DRAWN[:5])
     z, y, x = (F.when(F.col(f"flip_{k}"), F.lit(n - 1) - F.col(k)).otherwise(F.col(k)) for k, n in zip("zyx", shape, strict=True))
-    j = points.join(moves, ["volume", "t"]).withColumns({"_z": z, "_y": y, "_x": x})
+    j = points.join(moves.hint("merge"), ["volume", "t"]).withColumns({"_z": z, "_y": y, "_x": x})
     ny, nx, k = shape[1] - 1, shape[2] - 1, F.col("turns")
     new_y = F.when(k == 1, nx - F.col("_x")).when(k == 2, ny - F.col("_y")).when(k == 3, F.col("_x")).otherwise(F.col("_y"))
     new_x = F.when(k == 1, F.col("_y")).when(k == 2, nx - F.col("_x")).when(k == 3, ny - F.col("_y")).otherwise(F.col("_x"))
