@@ -29,6 +29,10 @@ class Objective(Enum):
         return 1000.0 * gate + 1 if self is Objective.CARDINALITY else gate + 1
 
 
+#: Groups that components are dealt to, as a group each would cost more than its solution.
+DEALT = 4096
+
+
 def match(candidates: DataFrame, gate: float, objective: Objective = Objective.CARDINALITY, keys: tuple[str, ...] = ("volume", "t"), strict: bool = False, by_component: bool = False) -> DataFrame:
     """``candidates``: keys, a_id, b_id, distance_um. The pairs of an optimal matching; ``strict`` drops pairs at the gate itself.
     ``by_component``: groups may be large, so their connected components are found first and are solved apart."""
@@ -50,5 +54,11 @@ def match(candidates: DataFrame, gate: float, objective: Objective = Objective.C
         edges = contested.select(group, (2 * F.col("a_id")).alias("source_id"), (2 * F.col("b_id") + 1).alias("target_id"))
         of_a = components(edges).where("node_id % 2 = 0").select(*[F.col(f"volume.{k}").alias(k) for k in keys], (F.col("node_id") / 2).cast("long").alias("a_id"), "component")
         columns = contested.columns
-        return sure.unionByName(contested.join(of_a, [*keys, "a_id"]).groupBy(*keys, "component").applyInPandas(lambda pdf: solve(pdf)[columns], contested.schema))
+
+        def solve_each(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = pdf.groupby([*keys, "component"], sort=False, dropna=False).ngroup().to_numpy()
+            return pdf[match_pairs(pdf.a_id.to_numpy(), pdf.b_id.to_numpy(), pdf.distance_um.to_numpy(), cost, own)][columns]
+
+        dealt = contested.join(of_a, [*keys, "a_id"]).withColumn("_deal", F.pmod(F.xxhash64(*keys, "component"), F.lit(DEALT)))
+        return sure.unionByName(dealt.groupBy("_deal").applyInPandas(solve_each, contested.schema))
     return sure.unionByName(contested.groupBy(*keys).applyInPandas(solve, contested.schema))
