@@ -43,10 +43,17 @@ def true_edges(nodes: DataFrame) -> DataFrame:
     return a.join(b, ["volume", "cell", "t"]).select("volume", "source_id", "target_id")
 
 
-def dataset(points: DataFrame, truth: DataFrame, config: dict) -> DataFrame:
-    """The rows of the training set."""
-    found = pairs.edge_pairs(points, truth.drop("cell"), true_edges(truth), config["gate_um"], config["match_um"])
-    kept = pairs.sample_negatives(found, config["negatives"], config["seed"])
+def dataset(points: DataFrame, truth: DataFrame, config: dict, held: list[DataFrame] | None = None) -> DataFrame:
+    """The rows of the training set. Pairs are read by several steps, and would be joined anew for each: with ``held`` they
+    and the sample are persisted, and listed there for the caller to unpersist."""
+
+    def kept_once(df: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(df.persist())
+        return df
+
+    found = kept_once(pairs.edge_pairs(points, truth.drop("cell"), true_edges(truth), config["gate_um"], config["match_um"]))
+    kept = kept_once(pairs.sample_negatives(found, config["negatives"], config["seed"]))
     patches = pairs.patch_index(kept)
     for end in "ij":
         kept = kept.join(patches.select("volume", F.col("node_id").alias(end), F.col("patch_id").alias(f"patch_{end}")), ["volume", end])
@@ -62,8 +69,13 @@ def run(spark: SparkSession, points: str, truth: str, output: str, config: dict
     done = {"points": detections.count(), "truth": nodes.count()}
     LOG.info("read %d detections of %s and %d annotated nodes of %s", done["points"], points, done["truth"], truth)
     mode = "dynamic" if config["volumes"] else "static"
-    rows = dataset(detections, nodes, config).hint("rebalance", "volume", "split")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("volume", "split").parquet(output)
+    held: list[DataFrame] = []
+    try:
+        rows = dataset(detections, nodes, config, held).hint("rebalance", "volume", "split")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("volume", "split").parquet(output)
+    finally:
+        for df in held:
+            df.unpersist()
     back = written(spark, output, SCHEMA)
     back = back.where(F.col("volume").isin(config["volumes"])) if config["volumes"] else back
     for r in back.groupBy("volume", "split").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).orderBy("volume", "split").collect():  # a row per partition

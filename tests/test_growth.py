@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from jobs import edge_dataset
+from jobs._command import configuration
 from weftline.operators import detection, pairs
 from weftline.plans.queries import QUERIES
 from weftline.plans.views import Views
@@ -82,3 +84,17 @@ def test_painting_equals_brute_force(spark):
         sums = {(r.t, r.label): (r.n, r.z, r.y, r.x) for r in detection.painted_sums(df, shape=shape).collect()}
         assert {k: tuple(int(c) for c in np.array([(1, *at) for (t, *at), m in seen.items() if (t, m[1]) == k]).sum(axis=0)) for k in sums} == sums
         assert set(sums) == {(k[0], m[1]) for k, m in seen.items()}
+
+
+def test_edge_dataset_reads_its_pairs_from_what_is_held(spark):
+    config = configuration("edge_dataset")
+    tables = [edge_dataset._mapped(spark.read.parquet(f"{DATA}/events.parquet"), config[k], config) for k in ("points", "truth")]
+    held = []
+    rows = edge_dataset.dataset(*tables, config, held)
+    try:
+        # the joins of pairs are in the held plans only
+        assert len(held) == 2 and "SQRT" not in rows._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert sorted(rows.collect()) == sorted(edge_dataset.dataset(*tables, config).collect())
+    finally:
+        for df in held:
+            df.unpersist()
