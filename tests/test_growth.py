@@ -5,6 +5,7 @@ import numpy as np
 from jobs import edge_dataset
 from jobs._command import configuration
 from weftline.operators import detection, pairs
+from weftline.plans import views
 from weftline.plans.queries import QUERIES
 from weftline.plans.views import Views
 from weftline.sources import chunked
@@ -40,6 +41,13 @@ def test_frames_are_dealt_before_they_grow(spark):
         assert plan(df).count("Exchange") == 1  # of suppliers
 
 
+def test_tasks_hold_a_bounded_number_of_frames(spark, monkeypatch):
+    monkeypatch.setattr(views, "FRAMES", 1)
+    v = Views(spark, DATA)
+    assert v.voxels.rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), v.table("supplier").count()) > 4
+    assert plan(detection.stitch(v.voxels)).count("Exchange") == 1
+
+
 def test_many_small_frames_share_partitions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(chunked, "MOST_SINGLE", 3)
     frames = np.arange(2 * 7 * 12, dtype="<u2").reshape(2, 7, 1, 3, 4)

@@ -6,6 +6,7 @@ needed ones, in order, before a query.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cached_property
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Voxels of a painted frame along z, y and x.
 FRAME_SHAPE = (16, 64, 64)
+#: Frames of ``voxels`` that one task holds on average, at most.
+FRAMES = 1024
 
 SQL = {
     "det": """SELECT event_type AS volume, CAST(date_diff('second', TIMESTAMP '2024-01-01', ts) // 25920 AS BIGINT) AS t,
@@ -129,9 +132,11 @@ class Views:
     @cached_property
     def voxels(self) -> DataFrame:
         """One frame of 8 x 16 x 16 voxels per supplier, with a peak in its middle. Frames are dealt before they grow, as
-        the table is one small file; what groups voxels by frame then needs no shuffle of them."""
-        deal = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        frames = self.table("supplier").selectExpr("concat('v', s_suppkey % 2) AS volume", "s_suppkey div 2 AS t", "s_suppkey", "s_acctbal").repartition(deal, "volume", "t")
+        the table is one small file; what groups voxels by frame then needs no shuffle of them. There are as many parts as
+        shuffles have, or more where a part would get over ``FRAMES`` frames: a task's memory does not grow with the table."""
+        suppliers = self.table("supplier")
+        deal = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(suppliers.count() / FRAMES))
+        frames = suppliers.selectExpr("concat('v', s_suppkey % 2) AS volume", "s_suppkey div 2 AS t", "s_suppkey", "s_acctbal").repartition(deal, "volume", "t")
         grid = frames.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2047).cast("long"))).alias("n"))
         return grid.selectExpr(
             "volume", "t", "n div 256 AS z", "n div 16 % 16 AS y", "n % 16 AS x",
