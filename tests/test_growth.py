@@ -4,8 +4,11 @@ import numpy as np
 
 from jobs import edge_dataset
 from jobs._command import configuration
+from weftline.functions.geometry import half_even
 from weftline.operators import detection, pairs
-from weftline.plans import views
+from weftline.operators.assignment import Objective, match
+from weftline.operators.joins import radius_join
+from weftline.plans import calibration, views
 from weftline.plans.queries import QUERIES
 from weftline.plans.views import Views
 from weftline.sources import chunked
@@ -106,3 +109,20 @@ def test_edge_dataset_reads_its_pairs_from_what_is_held(spark):
     finally:
         for df in held:
             df.unpersist()
+
+
+def test_calibration_keeps_as_many_true_nodes_as_matter(spark):
+    """Truth far denser than candidates: few pairs are kept, and the matching is that of all pairs."""
+    rng = np.random.default_rng(8)
+    points = [("v", t, *p, 1.0, 9.0, i + 1) for t in range(3) for i, p in enumerate(rng.uniform(0, 20, (6, 3)).tolist())]
+    nodes = [("v", t, *p, t * 1000 + i) for t in range(3) for i, p in enumerate(rng.uniform(0, 20, (300, 3)).tolist())]
+    found = spark.createDataFrame(points, "volume string, t long, z double, y double, x double, score double, clear_um double, place long")
+    truth = spark.createDataFrame(nodes, "volume string, t long, z double, y double, x double, node_id long")
+    near = calibration.near_truth(found, truth)
+    counts = [r[0] for r in near.groupBy("t", "place").agg({"*": "count"}).select("count(1)").collect()]
+    assert max(counts) == 6
+    own = found.select("volume", "t", *[half_even(found[k]).cast("double").alias(k) for k in "zyx"], "place")
+    pairs_ = radius_join(own, truth, 7.0, [0], ["volume", "t", "place"], ["node_id"]).selectExpr("volume_a as volume", "t_a as t", "place_a as a_id", "node_id_b as b_id", "distance_um")
+    assert pairs_.count() > 2 * near.count()
+    solved = lambda df: sorted(tuple(r) for r in match(df, 7.0, Objective.GAIN).select("t", "a_id", "b_id").collect())
+    assert solved(near.withColumnRenamed("place", "a_id")) == solved(pairs_)

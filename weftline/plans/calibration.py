@@ -96,35 +96,57 @@ def candidates(frames: DataFrame) -> DataFrame:
     return candidate_frames(frames, RANGES["rel_threshold"][0], RANGES["min_distance_um"])
 
 
-def run_trials(found: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, meta: DataFrame, trials: list[tuple[int, dict]], most: int = 500, min_track_length: int = 2) -> DataFrame:
+def near_truth(found: DataFrame, gt_nodes: DataFrame) -> DataFrame:
+    """Candidates (volume, t, place) with the annotated nodes near their rounded points, for all trials.
+
+    Of each candidate the nearest nodes are kept, as many as a frame has candidates: an optimal matching needs no other,
+    as one of those is always free. So what the trials read does not grow with the truth.
+    """
+    own = found.select("volume", "t", *[half_even(F.col(k)).cast("double").alias(k) for k in "zyx"], "place")
+    most = found.groupBy("volume", "t").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # one row
+    near = radius_join(own, gt_nodes, evaluation.MATCH_UM, [0], ["volume", "t", "place"], ["node_id"])
+    near = near.select(F.col("volume_a").alias("volume"), F.col("t_a").alias("t"), F.col("place_a").alias("place"), F.col("node_id_b").alias("b_id"), "distance_um")
+    rank = F.row_number().over(Window.partitionBy("volume", "t", "place").orderBy("distance_um", "b_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def truth_counts(gt_nodes: DataFrame, gt_edges: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row per volume: estimated nodes, true edges and divisions."""
+    truth = gt_edges.select("volume", "source_id", "target_id").distinct()
+    out = evaluation.estimated_nodes(gt_nodes.select("volume").distinct(), gt_nodes, meta, False)
+    for column, rows in (("n_edges", truth), ("n_divisions", degrees(truth).where("out_degree >= 2"))):
+        out = out.join(rows.groupBy("volume").agg(F.count("*").alias(column)), "volume", "left")
+    return out
+
+
+def run_trials(
+    found: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, meta: DataFrame, trials: list[tuple[int, dict]], most: int = 500, min_track_length: int = 2, near: DataFrame | None = None, of_volume: DataFrame | None = None
+) -> DataFrame:
     """One row per trial with its parameters, numbers of detections and tracks, pooled counts and scores.
 
-    ``found``: ``candidates``; ``most``: points kept per frame, by score. Volumes in which a trial has no track do not
-    count for it, as its graph does not name them.
+    ``found``: ``candidates``; ``most``: points kept per frame, by score; ``near`` and ``of_volume``: what ``near_truth`` and
+    ``truth_counts`` make, where it is there already. Volumes in which a trial has no track do not count for it, as its
+    graph does not name them.
     """
     spark = found.sparkSession
+    near = near_truth(found, gt_nodes) if near is None else near
+    of_volume = truth_counts(gt_nodes, gt_edges, meta) if of_volume is None else of_volume
     params = spark.createDataFrame([(i, *[p[k] for k in RANGES]) for i, p in trials], _PARAMS)
     held = found.join(F.broadcast(params), (F.col("score") >= F.col("rel_threshold")) & (F.col("clear_um") > F.col("min_distance_um")))  # at most 30 rows
     rank = F.row_number().over(Window.partitionBy("trial", "volume", "t").orderBy("place"))
     held = held.withColumn("_rank", rank).where(F.col("_rank") <= most) if most and most > 0 else held
     name = F.concat_ws("/", F.col("trial").cast("string"), "volume").alias("volume")
     node = (F.shiftleft(F.col("t"), 24) + F.col("place")).alias("node_id")
-    points = materialize(held.select("trial", F.col("volume").alias("_own"), name, "t", "z", "y", "x", "score", "max_link_um", node), "trial_points")
+    points = materialize(held.select("trial", F.col("volume").alias("_own"), name, "t", "z", "y", "x", "score", "max_link_um", node, "place"), "trial_points")
     tracks = materialize(track_previous_present(points.drop("trial", "_own"), RANGES["max_link_um"][1], min_track_length, "max_link_um"), "trial_tracks")
     split = lambda df: df.withColumns({"trial": F.split_part("volume", F.lit("/"), F.lit(1)).cast("long"), "volume": F.expr("substring(volume, locate('/', volume) + 1)")})
     numbered = number_track_nodes(tracks)
-    nodes = split(numbered).select("trial", "volume", "t", *[half_even(F.col(k)).cast("double").alias(k) for k in "zyx"], "node_id")
-    pairs = radius_join(nodes, gt_nodes, evaluation.MATCH_UM, [0], ["trial", "volume", "t", "node_id"], ["node_id"])
-    pairs = pairs.select(*[F.col(f"{c}_a").alias(c) for c in ("trial", "volume", "t")], F.col("node_id_a").alias("a_id"), F.col("node_id_b").alias("b_id"), "distance_um")
+    nodes = split(numbered).select("trial", "volume", "t", "node_id", "place")
+    pairs = nodes.join(near, ["volume", "t", "place"]).select("trial", "volume", "t", F.col("node_id").alias("a_id"), "b_id", "distance_um")
     matches = materialize(match(pairs, evaluation.MATCH_UM, Objective.GAIN, ("trial", "volume", "t")), "trial_matches")
     named = matches.select(F.concat_ws("/", F.col("trial").cast("string"), "volume").alias("volume"), F.col("a_id").alias("pred_id"), F.col("b_id").alias("gt_id"))
     mapped = split(map_edges(track_edges(numbered), named)).select("trial", "volume", F.col("gt_source").alias("source_id"), F.col("gt_target").alias("target_id")).distinct()
-    truth = gt_edges.select("volume", "source_id", "target_id").distinct()
-    hits = mapped.join(truth, ["volume", "source_id", "target_id"], "left_semi")
-    volumes = gt_nodes.select("volume").distinct()
-    of_volume = evaluation.estimated_nodes(volumes, gt_nodes, meta, False)
-    for column, rows in (("n_edges", truth), ("n_divisions", degrees(truth).where("out_degree >= 2"))):
-        of_volume = of_volume.join(rows.groupBy("volume").agg(F.count("*").alias(column)), "volume", "left")
+    hits = mapped.join(gt_edges, ["volume", "source_id", "target_id"], "left_semi")
     of_trial = nodes.groupBy("trial", "volume").agg(F.count("*").alias("pred_nodes"))
     for column, rows in (("matched_nodes", matches), ("edge_tp", hits), ("n_mapped", mapped)):
         of_trial = of_trial.join(rows.groupBy("trial", "volume").agg(F.count("*").alias(column)), ["trial", "volume"], "left")
@@ -151,17 +173,18 @@ def calibrate(frames: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, meta:
     """One row per trial with its parameters and scores, best first. ``batch``: trials asked for at once after the first ten."""
     sampler = ParzenSampler(RANGES, seed)
     found = materialize(candidates(frames), "candidates")
+    near, of_volume = materialize(near_truth(found, gt_nodes), "near"), materialize(truth_counts(gt_nodes, gt_edges, meta), "truth_counts")
     truth = [materialize(df, "truth") for df in (gt_nodes.select("volume", "t", "z", "y", "x", "node_id"), gt_edges.select("volume", "source_id", "target_id"), meta.select("volume", "estimated_number_of_nodes"))]
     rows: DataFrame | None = None
     number = 0
     while number < min(trials, MOST_TRIALS):
         asked = sampler.ask(min(sampler.startup if number == 0 else batch, min(trials, MOST_TRIALS) - number))
         numbered = list(enumerate(asked, number))
-        done = run_trials(found, *truth, numbered, **options)
+        done = run_trials(found, *truth, numbered, near=near, of_volume=of_volume, **options)
         score = {r.trial: r.combined_score for r in done.select("trial", "combined_score").collect()}  # at most 30 rows
         for i, p in numbered:
             sampler.tell(p, score[i])
         rows = done if rows is None else rows.unionByName(done)
         number += len(asked)
-    release(found, *truth)
+    release(found, near, of_volume, *truth)
     return rows.orderBy(F.col("combined_score").desc(), "trial")
