@@ -38,15 +38,14 @@ def output_schema(config: dict) -> str:
 
 def segments(docs: DataFrame, config: dict) -> DataFrame:
     """A row per segment. ``docs`` have a ``key`` of their own beside the columns that the configuration names."""
-    lines = ta.lines(docs, "key", config["text"])
-    sections = ta.sections(lines, config["markers"], "key")
+    # documents are shuffled once, with what their segments keep of them; all steps then work where their lines are
+    docs = docs.select("key", F.col(config["text"]).alias("text"), F.struct(config["id"], *config["keep"]).alias("_own"))
+    lines = ta.in_sections(ta.lines(docs, "key", "text", ("_own",)), config["markers"], "key")
     blank = F.char_length(F.trim("line")) == 0 if not config["blank_below"] else F.char_length("line") < config["blank_below"]
-    paragraphs = ta.paragraphs(lines, sections, "key", blank)
-    found = ta.segments(ta.classify(paragraphs, RULES[config["rules"]]), "key")
-    measured = ta.lexical_metrics(found, "text")
-    names = [field.split()[0] for field in _SEGMENT]
-    own = docs.select("key", config["id"], *config["keep"])
-    return measured.select("key", "paragraph_type", *names).withColumn("section_no", F.col("section_no").cast("long")).join(own, "key").drop("key")
+    paragraphs = ta.paragraphs(lines, None, "key", blank, ("_own",))
+    found = ta.segments(ta.classify(paragraphs, RULES[config["rules"]]).drop("lines"), "key")
+    measured = ta.lexical_metrics(found, "text").withColumn("section_no", F.col("section_no").cast("long"))
+    return measured.select("_own.*", "paragraph_type", *[field.split()[0] for field in _SEGMENT])
 
 
 def run(spark: SparkSession, input: str, output: str, checkpoint: str, config: dict | None = None) -> dict:
@@ -56,11 +55,9 @@ def run(spark: SparkSession, input: str, output: str, checkpoint: str, config: d
 
     def write(batch: DataFrame, number: int) -> None:
         at = f"{output}/batch={number}"
-        batch.persist()  # several steps read it
         read = batch.count()
         # the replaced folder is this batch's own; partitions are as large as the session's advisory size
         segments(batch, config).hint("rebalance", "paragraph_type").write.mode("overwrite").partitionBy("paragraph_type").parquet(at)
-        batch.unpersist()
         made = written(batch.sparkSession, at, output_schema(config)).count()
         for what, n in (("read", read), ("batches", 1), ("written", made)):
             done[what] += n

@@ -68,6 +68,19 @@ def test_two_runs_over_growing_input(spark, parts, tmp_path):
     assert out.where("doc_id is null").count() == 2 and {p.name for p in (tmp_path / "out").glob("batch=0/*") if p.is_dir()} <= {"paragraph_type=other", "paragraph_type=preamble_instruction", "paragraph_type=transcript_user_text"}
 
 
+def test_documents_are_read_and_shuffled_once(spark, parts):
+    docs = spark.read.parquet(*map(str, parts)).withColumn("key", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+    made = segment_documents.segments(docs, _command.configuration("segment_documents"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("Exchange ") == 1 and "Join" not in plan, plan
+    # columns of the document may have any name, those of a segment's own steps too
+    config = _command.configuration("segment_documents") | {"keep": ["lines", "line", "text"], "schema": "doc_id long, text string, lines string, line string"}
+    named = docs.withColumns({"lines": F.lit("a"), "line": F.col("source")})
+    got = segment_documents.segments(named, config).select("doc_id", "segment_id", "lines", "line", "text", "sha256")
+    want = made.select("doc_id", "segment_id", F.lit("a").alias("lines"), F.col("source").alias("line"), "sha256")
+    assert rows(got.drop("text")) == rows(want)
+
+
 def test_a_batch_that_failed_is_written_once(spark, parts, tmp_path):
     at = {"input": str(tmp_path / "in"), "output": str(tmp_path / "out"), "checkpoint": str(tmp_path / "mark")}
     come(tmp_path / "in", parts[0])

@@ -446,6 +446,38 @@ def test_markers(spark):
         text_analysis.find_markers(lines, [{"name": "no", "match": "exact", "value": "?"}], required=True)
 
 
+def test_lines_in_sections(spark):
+    docs = [(1, "x\nA\nB\nA\nC\nx"), (2, "A\nA"), (3, "x\ny\n"), (None, "A\nC"), (4, ""), (5, None)]
+    lines = text_analysis.lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    markers = [{"name": "a", "match": "exact", "value": "A", "type": "a"}, {"name": "also", "match": "exact", "value": "A", "type": "lost"}, {"name": "x", "match": "exact", "value": "x", "after": "a", "type": "end"}]
+    want = [(1, 1, "preamble", 1, 1), (1, 2, "a", 2, 5), (1, 3, "end", 6, 6), (2, 1, "a", 1, 2), (3, 1, "preamble", 1, 2)]
+    columns = ("doc_id", "section_no", "section_type", "line_start", "line_end")
+    placed = text_analysis.in_sections(lines, markers)
+    assert rows(text_analysis.sections(lines, markers), *columns) == want
+    assert rows(placed.groupBy(*columns[:3]).agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end")), *columns) == want
+    keys = ("doc_id", "section_no", "section_type", "line_start", "line_end", "char_start", "char_end", "text")
+    blank = F.col("line") == "B"
+    assert rows(text_analysis.paragraphs(placed, blank=blank), *keys) == rows(text_analysis.paragraphs(lines, text_analysis.sections(lines, markers), blank=blank), *keys)
+    found = {r.doc_id: (r.a, r.x) for r in text_analysis.find_markers(lines, markers).collect()}
+    assert found == {1: (2, 6), 2: (1, None), 3: (None, None), None: (None, None)}
+    # documents are shuffled, not their lines, and neither by a later step
+    plan = text_analysis.paragraphs(placed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
+
+
+def test_lexical_metrics_of_odd_runs(spark):
+    import re
+
+    texts = ["no no NO,no\tNo", "x1all 12all all12 all_ _no no1 1no", "\U0001d400no no\U0001d400 \U0001d7d8no \U0001d7d8\U0001d7d9", "İno can\u0130 no\u0301", "12 34 a 5 b6 _ __ _a \u3000 7\u00a08", "a  b \n c ?a? ¿ \U0001f600\U0001f600 …", "needs need needed requireds required", "ann aill", "1" * 30000 + " 2" + "_" * 30000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in text_analysis.lexical_metrics(docs).collect():
+        t = re.findall(r"\w+|[^\w\s]", r.text)
+        low = [x.lower() for x in t]
+        cues = [sum(x in c for x in low) for c in (text_analysis.ABSOLUTE_CUES, text_analysis.NEGATION_CUES, text_analysis.MODAL_CUES)]
+        kinds = [len(t), sum(any(c.isalpha() for c in x) for x in t), sum(x.isdecimal() for x in t), sum(not any(c.isalnum() for c in x) for x in t)]
+        assert list(r)[2:] == [*kinds, r.text.count("?") + r.text.count("¿"), *cues], r.text[:40]
+
+
 def test_tokens_equal_pythons(spark):
     import re
 

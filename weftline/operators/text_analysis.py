@@ -15,7 +15,7 @@ CODE_STARTS = ("from ", "import ", "def ", "class ", "try:", "except", "return "
 
 def normalize_newlines(text: Column) -> Column:
     """CRLF and CR become LF."""
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 #: A word character: letters, numbers and the underscore of all scripts.
@@ -30,45 +30,55 @@ def tokens(text: Column) -> Column:
 def lexical_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds counts of tokens by kind, question marks and cue words.
 
-    Each count scans the text once by a pattern that stands for whole tokens, so no token lists are built. Cue words
+    One scan makes every run of word characters with a letter, and the spaces behind it, a single letter; the kinds are
+    counted in the short text that is left, so no list of all tokens is built. Cue words have a scan of their own. Those
     with an apostrophe never count, as the tokenizer splits them.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("long")
-    whole = lambda inner: f"(?U)(?<!{_W})(?:{inner})(?!{_W})"
     every = sorted({w for w in ABSOLUTE_CUES + NEGATION_CUES + MODAL_CUES if w.isalpha()})
-    docs = docs.withColumn("_cues", F.regexp_extract_all(F.lower(body), F.lit(whole("|".join(every))), F.lit(0)))
+    first, second = ("".join(sorted({c for w in every for c in (w[k], w[k].upper())})) for k in (0, 1))
+    # a character that is no word's, then cheap tests, which few places pass; one first letter with another word's rest is
+    # dropped by isin. A look behind would take half of a character beyond 16 bits
+    cue = rf"[^\p{{L}}\p{{N}}_]([{first}](?=[{second}])(?i:{'|'.join(sorted({w[1:] for w in every}))})(?!{_W}))"
+    # the test behind the first number keeps long runs of numbers linear
+    worded = rf"(?:\p{{L}}++|[\p{{N}}_](?<![\p{{N}}_].)[\p{{N}}_]*+\p{{L}}++)(?:[\p{{N}}_]{_W}*+)?+ *+"
+    gone = lambda c, pattern, by="": F.regexp_replace(c, F.lit(pattern), F.lit(by))
+    found = lambda c, pattern, group=0: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    body = F.coalesce(F.col(text), F.lit(""))
+    d = docs.withColumns({"_cues": F.transform(found(F.concat(F.lit(" "), body), cue, 1), F.lower), "_short": gone(body, worded, "a")})
+    d = d.withColumns({"_numbers": found("_short", r"[\p{N}_]++"), "_rest": gone("_short", r"[\p{N}_\p{IsWhite_Space}]++")})
+    d = d.withColumn("_symbols", F.replace("_rest", F.lit("a"), F.lit("")))
+    numbers = lambda pattern: F.size(F.filter("_numbers", lambda w: w.rlike(pattern)))
     cues = lambda words: F.size(F.filter("_cues", lambda c: c.isin(list(words)))).cast("long")
-    return docs.withColumns({
-        "token_count": count(f"(?U){_W}+|{_NOT_W}"), "alphabetic_token_count": count(rf"(?U)[\p{{N}}_]*\p{{L}}{_W}*"), "digit_token_count": count(whole(r"\p{Nd}+")),
-        "punctuation_token_count": count(f"(?U){_NOT_W}|" + whole("_+")[4:]), "question_mark_count": count("[?¿]"),
+    return d.withColumns({
+        "token_count": (F.char_length("_rest") + F.size("_numbers")).cast("long"), "alphabetic_token_count": (F.char_length("_rest") - F.char_length("_symbols")).cast("long"), "digit_token_count": numbers(r"\A\p{Nd}++\z").cast("long"),
+        "punctuation_token_count": (F.char_length("_symbols") + numbers(r"\A_++\z")).cast("long"), "question_mark_count": F.regexp_count("_symbols", F.lit("[?¿]")).cast("long"),
         "absolute_cue_count": cues(ABSOLUTE_CUES), "negation_cue_count": cues(NEGATION_CUES), "modal_cue_count": cues(MODAL_CUES),
-    }).drop("_cues")
+    }).drop("_cues", "_short", "_numbers", "_rest", "_symbols")
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """line_no (from 1), line, and its character range [char_start, char_end) without the newline. A final newline ends
-    the last line and begins none; empty texts have no lines."""
-    body = normalize_newlines(F.coalesce(F.col(text), F.lit("")))
-    d = docs.select(F.col(id_col), body.alias("_b")).where("_b <> ''").withColumn("_b", F.regexp_replace("_b", "\n\\z", ""))
+    the last line and begins none; empty texts have no lines. ``keep`` names columns that the lines get of their document.
+
+    Documents are dealt by id before they are cut, so that what follows by id, here and in the steps below, needs no
+    further shuffle of lines.
+    """
+    d = docs.select(id_col, *keep, F.col(text).alias("_b")).where("_b <> ''").repartition(F.col(id_col))
+    d = d.withColumn("_b", normalize_newlines(F.col("_b")))
+    d = d.withColumn("_b", F.when(F.endswith("_b", F.lit("\n")), F.expr("left(_b, char_length(_b) - 1)")).otherwise(F.col("_b")))
     parts = F.split("_b", "\n", -1)
-    placed = d.select(id_col, F.posexplode(parts).alias("pos", "line"))
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.select(id_col, *keep, F.posexplode(parts).alias("pos", "line")).withColumn("line_no", (F.col("pos") + 1).cast("long"))
+    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("char_start", F.coalesce(F.sum(F.char_length("line").cast("long") + 1).over(w), F.lit(0)))
-    return placed.select(id_col, (F.col("pos") + 1).cast("long").alias("line_no"), "line", "char_start", (F.col("char_start") + F.char_length("line")).alias("char_end"))
+    return placed.select(id_col, "line_no", "line", "char_start", (F.col("char_start") + F.char_length("line")).alias("char_end"), *keep)
 
 
-def find_markers(lines_: DataFrame, markers: list[dict], id_col: str = "doc_id", required: bool = False) -> DataFrame:
-    """First line of each marker per document. A marker has a name, a value and a match: ``exact``, ``lookahead`` (with
-    ``next_prefix``) or ``sequence`` (a list as value); ``after`` names a marker that must come before.
-
-    With ``required``, a document without a marker raises ValueError.
-    """
-    deepest = max([len(m["value"]) for m in markers if m["match"] == "sequence"], default=2)
+def _hits(lines_: DataFrame, markers: list[dict], id_col: str) -> DataFrame:
+    """Adds for each marker, by its name behind ``_at_``, its first line in the document; one sort by document and line."""
     w = Window.partitionBy(id_col).orderBy("line_no")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    deepest = max([len(m["value"]) for m in markers if m["match"] == "sequence"], default=2)
     ahead = lines_.withColumns({f"_l{k}": F.lead("line", k).over(w) for k in range(1, max(2, deepest))})
-    found = lines_.select(id_col).distinct()
-    names = []
     for m in markers:
         if m["match"] == "sequence":
             hit = F.col("line") == m["value"][0]
@@ -78,44 +88,69 @@ def find_markers(lines_: DataFrame, markers: list[dict], id_col: str = "doc_id",
             hit = F.col("line") == m["value"]
             if m["match"] == "lookahead":
                 hit = hit & F.col("_l1").startswith(m["next_prefix"])
-        rows = ahead.where(hit)
+        hit = hit & F.col(id_col).isNotNull()
         if m.get("after"):
-            rows = rows.join(found.select(id_col, F.col(m["after"]).alias("_after")), id_col).where(F.col("line_no") > F.col("_after"))
-        found = found.join(rows.groupBy(id_col).agg(F.min("line_no").alias(m["name"])), id_col, "left")
-        names.append(m["name"])
+            hit = hit & (F.col("line_no") > F.col(f"_at_{m['after']}"))
+        ahead = ahead.withColumn(f"_at_{m['name']}", F.min(F.when(hit, F.col("line_no"))).over(whole))
+    return ahead.drop(*[f"_l{k}" for k in range(1, max(2, deepest))])
+
+
+def find_markers(lines_: DataFrame, markers: list[dict], id_col: str = "doc_id", required: bool = False) -> DataFrame:
+    """First line of each marker per document. A marker has a name, a value and a match: ``exact``, ``lookahead`` (with
+    ``next_prefix``) or ``sequence`` (a list as value); ``after`` names a marker that must come before.
+
+    With ``required``, a document without a marker raises ValueError.
+    """
+    names = [m["name"] for m in markers]
+    hits = _hits(lines_.select(id_col, "line_no", "line"), markers, id_col)
+    found = hits.groupBy(id_col).agg(*[F.max(f"_at_{n}").alias(n) for n in names]) if names else hits.select(id_col).distinct()
     if required and (lost := found.where(" or ".join(f"`{n}` is null" for n in names)).limit(1).count()):
         raise ValueError(f"markers missing in {lost} document or more")
     return found
 
 
+def in_sections(lines_: DataFrame, markers: list[dict], id_col: str = "doc_id") -> DataFrame:
+    """The lines with section_no and section_type: each marker begins a section of its ``type`` up to the next; the lines
+    before are ``preamble``. Of markers at one line the first in the list gives the type. Lines without an id are
+    in no section."""
+    marked = _hits(lines_.where(F.col(id_col).isNotNull()), markers, id_col)
+    at = [(F.col(f"_at_{m['name']}"), m["type"]) for m in markers]
+    last = F.greatest(F.lit(1).cast("long"), F.lit(0).cast("long"), *[F.when(c <= F.col("line_no"), c) for c, _ in at])
+    kind = F.lit("preamble")
+    for c, k in reversed(at):
+        kind = F.when(c == F.col("_from"), k).otherwise(kind)
+    begun = F.array_distinct(F.filter(F.array(F.lit(1).cast("long"), *[c for c, _ in at]), lambda x: x <= F.col("line_no")))
+    placed = marked.withColumn("_from", last).withColumns({"section_no": F.size(begun), "section_type": kind})
+    return placed.drop("_from", *[f"_at_{m['name']}" for m in markers])
+
+
 def sections(lines_: DataFrame, markers: list[dict], id_col: str = "doc_id") -> DataFrame:
-    """Ranges between markers: each begins a section of its ``type`` up to the next; the lines before are ``preamble``."""
-    found = find_markers(lines_, markers, id_col)
-    kinds = F.array(*[F.struct(F.col(m["name"]).alias("line_start"), F.lit(m["type"]).alias("section_type")) for m in markers])
-    begun = found.select(id_col, F.explode(kinds).alias("s")).select(id_col, "s.*").where("line_start is not null")
-    begun = begun.unionByName(lines_.select(id_col).distinct().select(id_col, F.lit(1).cast("long").alias("line_start"), F.lit("preamble").alias("section_type")))
-    first = F.row_number().over(Window.partitionBy(id_col, "line_start").orderBy(F.col("section_type") == "preamble"))
-    begun = begun.withColumn("_f", first).where("_f = 1").drop("_f")
-    last = lines_.groupBy(id_col).agg(F.max("line_no").alias("_last"))
-    w = Window.partitionBy(id_col).orderBy("line_start")
-    ranged = begun.join(last, id_col).withColumns({"section_no": F.row_number().over(w), "line_end": F.coalesce(F.lead("line_start").over(w) - 1, F.col("_last"))})
+    """Ranges of lines of the sections of ``in_sections``."""
+    placed = in_sections(lines_.select(id_col, "line_no", "line"), markers, id_col)
+    ranged = placed.groupBy(id_col, "section_no", "section_type").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
     return ranged.select(id_col, "section_no", "section_type", "line_start", "line_end")
 
 
-def paragraphs(lines_: DataFrame, sections_: DataFrame | None = None, id_col: str = "doc_id", blank: Column | None = None) -> DataFrame:
-    """Maximal runs of lines that aren't blank, within sections: line and character ranges, text, lines as array."""
+def paragraphs(lines_: DataFrame, sections_: DataFrame | None = None, id_col: str = "doc_id", blank: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Maximal runs of lines that aren't blank, within sections: line and character ranges, text, lines as array.
+
+    Sections are those of the table, or else of the lines' own section_no and section_type (``in_sections``), which saves
+    a join; without either all is ``preamble``. ``keep`` names columns of the document that the lines have.
+    """
     blank = F.trim("line") == "" if blank is None else blank
     placed = lines_.withColumn("_blank", blank.cast("int"))
-    if sections_ is None:
-        placed = placed.withColumns({"section_no": F.lit(1), "section_type": F.lit("preamble")})
-    else:
+    if sections_ is not None:
         # one row per document and section: lines look theirs up by a range within the document
         s = sections_.select(id_col, "section_no", "section_type", "line_start", "line_end")
         placed = placed.join(s, id_col).where("line_no between line_start and line_end").drop("line_start", "line_end")
-    island = F.sum("_blank").over(Window.partitionBy(id_col, "section_no").orderBy("line_no"))
+    elif "section_no" not in lines_.columns:
+        placed = placed.withColumns({"section_no": F.lit(1), "section_type": F.lit("preamble")})
+    # sections are ranges of lines, so the order by line is theirs too
+    island = F.sum("_blank").over(Window.partitionBy(id_col).orderBy("line_no"))
     runs = placed.withColumn("_island", island).where("_blank = 0")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    grouped = runs.groupBy(id_col, "section_no", "section_type", "_island").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), listed.alias("lines"))
+    own = [F.first(c).alias(c) for c in keep]
+    grouped = runs.groupBy(id_col, "section_no", "section_type", "_island").agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), listed.alias("lines"), *own)
     return grouped.drop("_island").withColumn("text", F.array_join("lines", "\n"))
 
 
