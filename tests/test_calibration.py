@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from weftline.functions.solver import match_pairs
-from weftline.operators import detection
+from weftline.operators import detection, tracking
 from weftline.plans import calibration
 
 DATA = "/root/testdata/sf0.001"
@@ -168,3 +168,43 @@ def test_query_searches_all_trials(spark):
     rows = queries.QUERIES["x3_calibration"](spark, DATA).collect()
     assert sorted(r.trial for r in rows) == list(range(30))
     assert [r.combined_score for r in rows] == sorted((r.combined_score for r in rows), reverse=True) and rows[0].edge_tp > 0
+
+
+@pytest.mark.parametrize("block", (1, 2, 3, 128))
+def test_links_by_blocks_equal_the_tracker(spark, block):
+    """Tracks through several blocks, over absent frames, with a gate for each volume."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for volume, gate in (("u", 4.0), ("v", 9.0)):
+        cells = rng.uniform(0, 40, (9, 3)) / SCALE
+        for t in range(11):
+            cells = cells + rng.normal(0, 1.5, cells.shape) / SCALE
+            if t not in (4, 5, 8):
+                rows += [(volume, t, *p, 1.0, (t << 24) + i, gate) for i, p in enumerate(cells[rng.random(9) < 0.8].tolist())]
+    points = spark.createDataFrame(rows, "volume string, t long, z double, y double, x double, score double, node_id long, own double")
+    tracks = tracking.track_previous_present(points.drop("own").join(points.select("volume", "own").distinct(), "volume"), 10.0, 1, "own").toPandas()
+    want = tracks.assign(head=tracks.groupby(["volume", "track_id"]).node_id.transform("min")).set_index(["volume", "node_id"])["head"].to_dict()
+    got = tracking.link_blocks(points, 10.0, "own", block).toPandas()
+    assert got.set_index(["volume", "node_id"])["head"].to_dict() == want and len(got) == len(rows)
+    assert 2 < len(set(want.values())) < len(rows) / 2 and sorted(got.columns) == sorted([*points.columns, "head"])
+
+
+def test_a_batch_of_trials_takes_few_jobs(spark):
+    """Jobs of a batch wait for each other: tracks within a block take no rounds, and frames no job of their own."""
+    points = [("v", t, 4.0, 8.0 + 30 * i, 8.0 + t, 1.0, 9.0, i + 1) for t in range(12) for i in range(3)]
+    found = spark.createDataFrame(points, CANDIDATES)
+    nodes = spark.createDataFrame([("v", t, 4.0, 8.0 + 30 * i, 8.0 + t, 100 * t + i) for t in range(12) for i in range(3)], NODES)
+    edges = spark.createDataFrame([("v", 100 * t + i, 100 * t + 100 + i) for t in range(11) for i in range(3)], EDGES)
+    meta = spark.createDataFrame([("v", 36)], "volume string, estimated_number_of_nodes long")
+    near, of_volume = calibration.near_truth(found, nodes).cache(), calibration.truth_counts(nodes, edges, meta).cache()
+    near.count(), of_volume.count()
+    trials = [(i, {"rel_threshold": 0.04, "min_distance_um": 3.0, "max_link_um": 6.0 + i}) for i in range(3)]
+    spark.sparkContext.setJobGroup("few", "a batch")
+    try:
+        rows = calibration.run_trials(found, nodes, edges, meta, trials, near=near, of_volume=of_volume).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        near.unpersist(), of_volume.unpersist()
+    assert [(r.detections, r.tracks, r.edge_tp, r.edge_fp, r.edge_fn, r.combined_score) for r in rows] == [(36, 3, 33, 0, 0, 0.5)] * 3
+    assert 0 < jobs < 40, jobs

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.solver import match_pairs
-from weftline.operators.assignment import match
+from weftline.operators.assignment import Objective, match
 from weftline.operators.graph import components
 from weftline.operators.joins import radius_join
 from weftline.operators.ranks import number_rows
 from weftline.plans.storage import materialize
-from weftline.schema import require_columns
+from weftline.schema import SCALE, require_columns
 
 
 def number_nodes(detections: DataFrame, order: str) -> DataFrame:
@@ -106,6 +106,56 @@ def track_previous_present(detections: DataFrame, gate: float, min_length: int =
     return drop_short(placed.join(numbered, ["volume", "component"]).drop("component"), min_length)
 
 
+#: Frames whose points one task links in a row. Peaks are far sparser than voxels: so many frames of points are less than one of voxels.
+BLOCK = 128
+#: Pairs of points of two frames that are compared without cells, at most.
+DENSE = 65536
+
+
+def link_blocks(detections: DataFrame, gate: float, own_gate: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Detections with ``head``, the first node of their track: the links of ``track_previous_present``, for frames of few
+    points. Node ids ascend with the frames.
+
+    A task follows the tracks through ``block`` frames and to the frame behind them, so that links and tracks take one
+    pass. Pieces of tracks that reach into a further block are joined as components, one row a piece.
+    """
+    frames = detections.select("volume", "t").distinct().withColumn("_step", F.row_number().over(Window.partitionBy("volume").orderBy("t")).cast("long") - 1)
+    own, first = F.floor(F.col("_step") / block), (F.col("_step") % block == 0) & (F.col("_step") > 0)
+    stepped = detections.join(frames, ["volume", "t"]).withColumn("_block", F.explode(F.when(first, F.array(own, own - 1)).otherwise(F.array(own))))
+    scale, cost = np.array(list(SCALE.values())), Objective.CARDINALITY.infeasible(gate)
+    columns = [*detections.columns, "head", "_ahead"]
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_step", "node_id"], ignore_index=True)
+        at, step = pdf[["z", "y", "x"]].to_numpy(float), pdf["_step"].to_numpy()
+        most = np.minimum(pdf[own_gate].to_numpy(float), gate) if own_gate else np.full(len(pdf), gate)
+        head = pdf.node_id.to_numpy(np.int64, copy=True)
+        begin = np.flatnonzero(np.r_[True, np.diff(step) != 0]).tolist()
+        for a, b, end in zip(begin, begin[1:], [*begin[2:], len(pdf)], strict=False):
+            if (b - a) * (end - b) <= DENSE:
+                i, j = np.indices((b - a, end - b)).reshape(2, -1)
+            else:
+                i, j, _ = pairs_within(at[a:b] * scale, at[b:end] * scale, gate * (1 + 1e-9))
+            z, y, x = ((at[a + i] - at[b + j]) * scale).T
+            d = np.sqrt(z * z + y * y + x * x)  # to the last bit as in SQL
+            near = d <= most[a + i]
+            i, j, d = i[near], j[near], d[near]
+            take = match_pairs(i, j, d, cost)
+            head[b + j[take]] = head[a + i[take]]
+        pdf = pdf.assign(head=head, _ahead=step // block != pdf["_block"].to_numpy())
+        return pdf[~pdf["_ahead"] | (pdf["head"] != pdf["node_id"])][columns]
+
+    # a number of parts that stays: points are few, but not their pairs
+    dealt = stepped.repartition(int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions")), "volume", "_block").groupBy("volume", "_block")
+    kinds = ", ".join(f"{c} {kind}" for c, kind in detections.dtypes)
+    made = materialize(dealt.applyInPandas(follow, f"{kinds}, head long, _ahead boolean"), "pieces")
+    ahead, pieces = made.where("_ahead").select("volume", F.col("head").alias("source_id"), F.col("node_id").alias("target_id")), made.where("not _ahead").drop("_ahead")
+    if ahead.isEmpty():
+        return pieces
+    whole = components(ahead).select("volume", F.col("node_id").alias("head"), "component")
+    return pieces.join(whole, ["volume", "head"], "left").withColumn("head", F.coalesce("component", "head")).select(*columns[:-1])
+
+
 # ---------------------------------------------------------------- Kalman tracker
 
 

@@ -17,17 +17,18 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.geometry import half_even
+from weftline.functions.solver import match_pairs
 from weftline.operators import evaluation
-from weftline.operators.assignment import Objective, match
+from weftline.operators.assignment import Objective
 from weftline.operators.detection import candidate_frames
-from weftline.operators.formatting import number_track_nodes, track_edges
-from weftline.operators.graph import degrees
-from weftline.operators.joins import map_edges, radius_join
-from weftline.operators.tracking import track_previous_present
+from weftline.operators.joins import radius_join
+from weftline.operators.tracking import link_blocks
 from weftline.plans.storage import materialize, release
 
 #: Ranges of the sampled parameters: relative threshold, suppression radius and link gate in micrometres.
@@ -112,11 +113,53 @@ def near_truth(found: DataFrame, gt_nodes: DataFrame) -> DataFrame:
 
 def truth_counts(gt_nodes: DataFrame, gt_edges: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per volume: estimated nodes, true edges and divisions."""
-    truth = gt_edges.select("volume", "source_id", "target_id").distinct()
-    out = evaluation.estimated_nodes(gt_nodes.select("volume").distinct(), gt_nodes, meta, False)
-    for column, rows in (("n_edges", truth), ("n_divisions", degrees(truth).where("out_degree >= 2"))):
-        out = out.join(rows.groupBy("volume").agg(F.count("*").alias(column)), "volume", "left")
-    return out
+    children = gt_edges.select("volume", "source_id", "target_id").distinct().groupBy("volume", "source_id").agg(F.count("*").alias("_n"))
+    edges = children.groupBy("volume").agg(F.sum("_n").alias("n_edges"), F.count_if(F.col("_n") >= 2).alias("n_divisions"))
+    return evaluation.estimated_nodes(gt_nodes.select("volume").distinct(), gt_nodes, meta, False).join(edges, "volume", "left")
+
+
+def near_edges(gt_edges: DataFrame, near: DataFrame) -> DataFrame:
+    """True edges, once each, both of whose ends are near a candidate: no trial finds another."""
+    ends = near.select("volume", "b_id").distinct()
+    out = gt_edges.select("volume", "source_id", "target_id").distinct()
+    for k in ("source_id", "target_id"):
+        out = out.join(ends.withColumnRenamed("b_id", k), ["volume", k], "left_semi")
+    return out.select("volume", "source_id", "target_id")
+
+
+def match_trials(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """Nodes (trial, volume, t, place, head) with ``b_id``, the true node that each is matched with, or null.
+
+    A task holds the pairs of one frame, once for all trials. Trials that have the same nodes in it share the solution.
+    """
+    cost = Objective.GAIN.infeasible(evaluation.MATCH_UM)
+
+    def solve(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        own = own.sort_by([("trial", "ascending"), ("head", "ascending")])
+        place, b, d = (pairs.column(c).to_numpy() for c in ("place", "b_id", "distance_um"))
+        trial, points = own.column("trial").to_numpy(), own.column("place").to_numpy()
+        top = int(max(place.max(initial=0), points.max(initial=0))) + 1
+        found, none = np.zeros(len(points), np.int64), np.ones(len(points), bool)
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for number in np.unique(trial):
+            first, last = np.searchsorted(trial, (number, number + 1))
+            key = points[first:last].tobytes()
+            if key not in known:
+                order = np.full(top, -1)
+                order[points[first:last]] = np.arange(last - first)
+                a = order[place]
+                held = a >= 0
+                take = match_pairs(a[held], b[held], d[held], cost)
+                known[key] = a[held][take], b[held][take]
+            at, to = known[key]
+            found[first + at], none[first + at] = to, False
+        return own.append_column("b_id", pa.array(found, mask=none))
+
+    # a number of parts that stays: pairs are few bytes but much work
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_frame = lambda df, *columns: df.select("volume", "t", *columns).repartition(parts, "volume", "t").groupBy("volume", "t")
+    both = by_frame(nodes, "trial", "place", "head").cogroup(by_frame(near, "place", "b_id", "distance_um"))
+    return both.applyInArrow(solve, "volume string, t long, trial long, place long, head long, b_id long")
 
 
 def run_trials(
@@ -125,47 +168,49 @@ def run_trials(
     """One row per trial with its parameters, numbers of detections and tracks, pooled counts and scores.
 
     ``found``: ``candidates``; ``most``: points kept per frame, by score; ``near`` and ``of_volume``: what ``near_truth`` and
-    ``truth_counts`` make, where it is there already. Volumes in which a trial has no track do not count for it, as its
-    graph does not name them.
+    ``truth_counts`` make, where it is there already; ``gt_edges`` may then be ``near_edges``. Volumes in which a trial has no
+    track do not count for it, as its graph does not name them.
     """
     spark = found.sparkSession
     near = near_truth(found, gt_nodes) if near is None else near
     of_volume = truth_counts(gt_nodes, gt_edges, meta) if of_volume is None else of_volume
-    params = spark.createDataFrame([(i, *[p[k] for k in RANGES]) for i, p in trials], _PARAMS)
+    numbers = {"trial": pa.array([i for i, _ in trials], pa.int64()), **{k: pa.array([p[k] for _, p in trials], pa.float64()) for k in RANGES}}
+    params = spark.createDataFrame(pa.table(numbers), _PARAMS)
     held = found.join(F.broadcast(params), (F.col("score") >= F.col("rel_threshold")) & (F.col("clear_um") > F.col("min_distance_um")))  # at most 30 rows
     rank = F.row_number().over(Window.partitionBy("trial", "volume", "t").orderBy("place"))
     held = held.withColumn("_rank", rank).where(F.col("_rank") <= most) if most and most > 0 else held
     name = F.concat_ws("/", F.col("trial").cast("string"), "volume").alias("volume")
     node = (F.shiftleft(F.col("t"), 24) + F.col("place")).alias("node_id")
-    points = materialize(held.select("trial", F.col("volume").alias("_own"), name, "t", "z", "y", "x", "score", "max_link_um", node, "place"), "trial_points")
-    tracks = materialize(track_previous_present(points.drop("trial", "_own"), RANGES["max_link_um"][1], min_track_length, "max_link_um"), "trial_tracks")
-    split = lambda df: df.withColumns({"trial": F.split_part("volume", F.lit("/"), F.lit(1)).cast("long"), "volume": F.expr("substring(volume, locate('/', volume) + 1)")})
-    numbered = number_track_nodes(tracks)
-    nodes = split(numbered).select("trial", "volume", "t", "node_id", "place")
-    pairs = nodes.join(near, ["volume", "t", "place"]).select("trial", "volume", "t", F.col("node_id").alias("a_id"), "b_id", "distance_um")
-    matches = materialize(match(pairs, evaluation.MATCH_UM, Objective.GAIN, ("trial", "volume", "t")), "trial_matches")
-    named = matches.select(F.concat_ws("/", F.col("trial").cast("string"), "volume").alias("volume"), F.col("a_id").alias("pred_id"), F.col("b_id").alias("gt_id"))
-    mapped = split(map_edges(track_edges(numbered), named)).select("trial", "volume", F.col("gt_source").alias("source_id"), F.col("gt_target").alias("target_id")).distinct()
-    hits = mapped.join(gt_edges, ["volume", "source_id", "target_id"], "left_semi")
-    of_trial = nodes.groupBy("trial", "volume").agg(F.count("*").alias("pred_nodes"))
-    for column, rows in (("matched_nodes", matches), ("edge_tp", hits), ("n_mapped", mapped)):
-        of_trial = of_trial.join(rows.groupBy("trial", "volume").agg(F.count("*").alias(column)), ["trial", "volume"], "left")
+    points = held.select("trial", F.col("volume").alias("_own"), name, "t", "z", "y", "x", "max_link_um", node, "place")
+    linked = link_blocks(points, RANGES["max_link_um"][1], "max_link_um").select("trial", F.col("_own").alias("volume"), "t", "place", "head")
+    # heads are in the order of track numbers, by first frame and then first node
+    n = F.count("*").over(Window.partitionBy("trial", "volume", "head"))
+    nodes = linked.withColumn("_n", n).where(F.col("_n") >= min_track_length).drop("_n")
+    matches = materialize(match_trials(nodes, near), "trial_matches")
+    along = Window.partitionBy("trial", "volume", "head").orderBy("t")
+    steps = matches.withColumns({"next_id": F.lead("b_id").over(along), "_at": F.row_number().over(along)})
+    # one row for all nodes with the same pair of true nodes, so that a mapped edge counts once
+    pairs = steps.groupBy("trial", "volume", F.when(F.col("next_id").isNotNull(), F.col("b_id")).alias("source_id"), F.when(F.col("b_id").isNotNull(), F.col("next_id")).alias("target_id"))
+    pairs = pairs.agg(F.count("*").alias("_nodes"), F.count("b_id").alias("_matched"), F.count_if(F.col("_at") == 1).alias("_tracks"))
+    truth = gt_edges.select("volume", "source_id", "target_id", F.lit(True).alias("_true")).distinct()
+    of_trial = pairs.join(truth, ["volume", "source_id", "target_id"], "left").groupBy("trial", "volume").agg(
+        F.sum("_nodes").alias("pred_nodes"), F.sum("_matched").alias("matched_nodes"), F.sum("_tracks").alias("tracks"), F.count("source_id").alias("n_mapped"), F.count("_true").alias("edge_tp")
+    )
     rows = of_trial.join(of_volume, "volume").fillna(0).withColumns({
         "edge_fp": F.col("n_mapped") - F.col("edge_tp"), "edge_fn": F.col("n_edges") - F.col("edge_tp"),
         # tracks do not fork
         "div_tp": F.lit(0).cast("long"), "div_fp": F.lit(0).cast("long"), "div_fn": F.col("n_divisions"),
     })
-    sums = rows.groupBy("trial").agg(*[F.sum(c).alias(c) for c in evaluation.COUNTS])
-    n_points = points.groupBy("trial").agg(F.count("*").alias("detections"))
-    n_tracks = split(tracks.select("volume", "track_id").distinct()).groupBy("trial").agg(F.count("*").alias("tracks"))
-    whole = params.join(n_points, "trial", "left").join(n_tracks, "trial", "left").join(sums, "trial", "left").fillna(0)
+    sums = rows.groupBy("trial").agg(*[F.sum(c).alias(c) for c in ("tracks", *evaluation.COUNTS)])
+    n_points = linked.groupBy("trial").agg(F.count("*").alias("detections"))
+    whole = params.join(n_points, "trial", "left").join(sums, "trial", "left").fillna(0)
     n, est = F.col("pred_nodes"), F.col("est_nodes")
     edge = evaluation.jaccard(F.col("edge_tp"), F.col("edge_fp"), F.col("edge_fn"))
     division = evaluation.jaccard(F.col("div_tp"), F.col("div_fp"), F.col("div_fn"))
     scored = whole.withColumns({"edge_jaccard": edge, "division_jaccard": division, "penalty": evaluation.penalty(n, est)})
     adjusted = F.col("edge_jaccard") * F.col("penalty")
     out = materialize(scored.withColumn("combined_score", 0.5 * adjusted + 0.5 * F.col("division_jaccard")), "trials")
-    release(points, tracks, matches)
+    release(matches)
     return out
 
 
@@ -173,18 +218,20 @@ def calibrate(frames: DataFrame, gt_nodes: DataFrame, gt_edges: DataFrame, meta:
     """One row per trial with its parameters and scores, best first. ``batch``: trials asked for at once after the first ten."""
     sampler = ParzenSampler(RANGES, seed)
     found = materialize(candidates(frames), "candidates")
-    near, of_volume = materialize(near_truth(found, gt_nodes), "near"), materialize(truth_counts(gt_nodes, gt_edges, meta), "truth_counts")
-    truth = [materialize(df, "truth") for df in (gt_nodes.select("volume", "t", "z", "y", "x", "node_id"), gt_edges.select("volume", "source_id", "target_id"), meta.select("volume", "estimated_number_of_nodes"))]
+    whole = [materialize(df, "truth") for df in (gt_nodes.select("volume", "t", "z", "y", "x", "node_id"), gt_edges.select("volume", "source_id", "target_id"))]
+    near, of_volume = materialize(near_truth(found, whole[0]), "near"), materialize(truth_counts(*whole, meta), "truth_counts")
+    edges = materialize(near_edges(whole[1], near), "near_edges")
+    release(*whole)
     rows: DataFrame | None = None
     number = 0
     while number < min(trials, MOST_TRIALS):
         asked = sampler.ask(min(sampler.startup if number == 0 else batch, min(trials, MOST_TRIALS) - number))
         numbered = list(enumerate(asked, number))
-        done = run_trials(found, *truth, numbered, near=near, of_volume=of_volume, **options)
+        done = run_trials(found, gt_nodes, edges, meta, numbered, near=near, of_volume=of_volume, **options)
         score = {r.trial: r.combined_score for r in done.select("trial", "combined_score").collect()}  # at most 30 rows
         for i, p in numbered:
             sampler.tell(p, score[i])
         rows = done if rows is None else rows.unionByName(done)
         number += len(asked)
-    release(found, near, of_volume, *truth)
+    release(found, near, of_volume, edges)
     return rows.orderBy(F.col("combined_score").desc(), "trial")

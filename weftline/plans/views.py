@@ -151,19 +151,23 @@ class Views:
 
         shape, widths = FRAME_SHAPE, (1, 4, 4)
         axes = np.meshgrid(*[np.arange(n) for n in shape], indexing="ij", sparse=True)
-        lines = [np.arange(n) for n in shape]
+        # of each place along an axis the reach of a blob there and its bell; a frame has many blobs and few places
+        reach = [[slice(max(0, c - 3 * w), min(n, c + 3 * w + 1)) for c in range(n)] for n, w in zip(shape, widths, strict=True)]
+        bells = [[np.exp(-(((np.arange(n)[b] - c) / w) ** 2) / 2) for c, b in enumerate(boxes)] for n, w, boxes in zip(shape, widths, reach, strict=True)]
 
         def paint(pdf: pd.DataFrame) -> pd.DataFrame:
             volume, t = pdf.volume.iloc[0], int(pdf.t.iloc[0])
             frame = (7919 * axes[0] + 104729 * axes[1] + 1299709 * axes[2]) * (t + 1) % 97 + 100.0
-            for r in pdf.sort_values("node_id").itertuples():
-                at = [int(c % n) for c, n in zip((r.z, r.y, r.x), shape, strict=True)]
-                box = tuple(slice(max(0, c - 3 * w), c + 3 * w + 1) for c, w in zip(at, widths, strict=True))
-                bells = [np.exp(-(((line[b] - c) / w) ** 2) / 2) for line, c, w, b in zip(lines, at, widths, box, strict=True)]
-                frame[box] += (800 + r.node_id % 400) * np.multiply.outer(np.multiply.outer(bells[0], bells[1]), bells[2])
+            pdf = pdf.sort_values("node_id")
+            at = (pdf[["z", "y", "x"]].to_numpy() % shape).astype(np.int64).tolist()
+            for (z, y, x), height in zip(at, (800 + pdf.node_id % 400).tolist(), strict=True):
+                blob = np.multiply.outer(np.multiply.outer(bells[0][z], bells[1][y]), bells[2][x])
+                frame[reach[0][z], reach[1][y], reach[2][x]] += height * blob
             return pd.DataFrame({"volume": [volume], "t": [t], "shape": [list(shape)], "data": [np.minimum(frame, 65535).astype("<u2").tobytes()]})
 
-        return self.det.select("volume", "t", "node_id", "z", "y", "x").groupBy("volume", "t").applyInPandas(paint, "volume string, t int, shape array<int>, data binary")
+        # a number of parts that stays, as painting is more work than its rows tell
+        dealt = self.det.select("volume", "t", "node_id", "z", "y", "x").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "volume", "t")
+        return dealt.groupBy("volume", "t").applyInPandas(paint, "volume string, t int, shape array<int>, data binary")
 
     @cached_property
     def lines(self) -> DataFrame:
